@@ -17,21 +17,55 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulspark.llm.license import license_scan
+
+    return license_scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulspark.llm.packing import pack
 
     return pack(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulspark.llm.toxicity import toxic_scores
+
+    return toxic_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from haulspark.llm.bpe import round_trip_digest
+
+    return round_trip_digest(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulspark.llm.records import tokens_round_trip
 
     return tokens_round_trip(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulspark.llm.html_extract import extract
+
+    return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulspark.llm.line_dedup import dedup_lines
+
+    return dedup_lines(read(spark, sf_dir, "documents"), "source", "text", max_ratio=0.1, min_pages=5).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from haulspark.llm import license, line_dedup
+
+    return {"op10_line_dedup": line_dedup.SQL}
