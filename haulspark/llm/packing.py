@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulspark.llm.common import checkpoint, map_batches, narrow, prepare
-from haulspark.llm.wordbpe import WordEncoder
+from haulspark.llm.wordbpe import encoder
 
 PIECE = "doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, pid int, nth bigint, ids binary"
 OUT = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_col: st
     from pyspark import TaskContext
 
     def make():
-        enc, pid = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        enc, pid = encoder(tokenizer), TaskContext.get().partitionId()
         w, last = enc.width.itemsize, np.array([end_id], enc.width).tobytes()
         pack, seen = zstandard.ZstdCompressor(level=1), np.zeros(window + 1, np.int64)
 
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, i
     for r in base.groupBy("length").count().collect():  # at most window rows
         hist[r["length"]] = r["count"]
     layout = spark.sparkContext.broadcast(Layout(hist, window))  # bounded by the combinations of the window
-    probe = WordEncoder(tokenizer).width
+    probe = encoder(tokenizer).width
 
     def make():
         where, unpack = layout.value, zstandard.ZstdDecompressor()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulspark.llm.common import checkpoint, map_batches, narrow, prepare, scratch
-from haulspark.llm.wordbpe import WordEncoder
+from haulspark.llm.wordbpe import encoder
 
 #: Fixed value of the record format's checksum mask.
 MASK_DELTA = 0xA282EAD8
@@ -104,7 +104,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_
     d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def make():
-        enc = WordEncoder(tokenizer)
+        enc = encoder(tokenizer)
         out = _Writer(folder, TaskContext.get().partitionId())
         last = np.array([end_id], enc.width).tobytes()
 

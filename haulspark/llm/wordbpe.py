@@ -1,48 +1,86 @@
-"""Encoding with a ``tokenizers`` vocabulary that drops white space: one encoding per distinct word and task."""
+"""Encoding with a ``tokenizers`` vocabulary that drops white space: one encoding per distinct word and worker."""
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import unicodedata
 
 import numpy as np
 
 #: White space for Python's str.split, but not for the vocabulary's own pattern.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Signs that may follow a word; an apostrophe isn't one, since it may bind to letters.
+TAIL = ".,;:!?|%&$#*\"()[]{}<>/\\+=~^_-…»”"
+#: Letters whose lower case depends on their place, or has more than one character.
+ODD_CASE = re.compile("[ΣİÌÍĨ]")
 
 
 class WordEncoder:
     """Ids of whole texts as packed little-endian integers.
 
-    The vocabulary normalizes, lower-cases and splits without looking across white space, so the ids of a text
-    are those of its words in order.  Each distinct word is encoded once and kept (bounded by ``keep`` words);
-    texts with control characters that only Python takes for white space are encoded as a whole.
+    The vocabulary normalizes, lower-cases and splits without looking across white space, and splits letters from
+    signs, so the ids of a text are those of its words and of the signs after them, in order.  Each distinct word
+    is encoded once and kept (bounded by ``keep`` tokens); texts with control characters that only Python takes for
+    white space are encoded as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 2_000_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 65536 else "<u4")
-        self.words: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.keep = keep
 
+    def _whole(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.parts[w] = np.array(e.ids, self.width).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.tokens) + len(new) > self.keep:
+            self.tokens = {}
+        if len(self.parts) > self.keep:
+            self.parts = {}
+        cut = []
+        for t in new:
+            head = t.rstrip(TAIL)
+            if not head.isalpha() or not head.isascii() and (ODD_CASE.search(head) or not unicodedata.is_normalized("NFC", head)):
+                cut.append((t, t, ""))
+                continue
+            low = head.lower()
+            if not low.isascii() and not unicodedata.is_normalized("NFC", low):
+                cut.append((t, t, ""))
+            else:
+                cut.append((t, low, t[len(head) :]))
+        need = {p for _, a, b in cut for p in (a, b) if p}
+        self._whole(list(need.difference(self.parts)))
+        parts = self.parts
+        self.tokens.update([(t, parts[a] + parts[b] if b else parts[a]) for t, a, b in cut])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [None if t and ODD_SPACE.search(t) else t.split() if t else [] for t in texts]
-        new = set().union(*[s for s in split if s]).difference(self.words)
-        if len(self.words) + len(new) > self.keep:
-            self.words = {}
-            new = set().union(*[s for s in split if s])
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, self.width).tobytes()
-        get = self.words.__getitem__
+        words = set().union(*filter(None, split))
+        new = words.difference(self.tokens)
+        if len(self.tokens) + len(new) > self.keep:
+            self.tokens, new = {}, words
+        if new:
+            self._learn(new)
+        get = self.tokens.__getitem__
         return [b"".join(map(get, s)) if s is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.width).tobytes() for s, t in zip(split, texts, strict=True)]
 
     def wide(self, ids: bytes) -> bytes:
         """The same ids as little-endian unsigned 32-bit integers."""
         return np.frombuffer(ids, self.width).astype("<u4").tobytes()
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """This worker's encoder: what one task has learnt helps the next."""
+    return WordEncoder(path)
