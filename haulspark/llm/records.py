@@ -132,7 +132,8 @@ def with_starts(manifest: DataFrame) -> DataFrame:
 def read_records(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """Reads the files back through their index: (doc_id, start, n_tokens, ids), every checksum verified."""
     prepare(spark)
-    files = with_starts(manifest).repartition("file")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = with_starts(manifest).repartition(n, "file")  # a number of its own: the rows are few, the files are not small
 
     def make():
         fs, base = pafs.FileSystem.from_uri(folder)
