@@ -110,36 +110,37 @@ def finite_vectors(df: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> D
     return v.where(F.size("vec") == (top[0]["d"] if top else 0))
 
 
-def packed(df: DataFrame, rows: int, extra: str = "") -> DataFrame:
-    """Each partition of (id, vec[, extra]) as binary blocks of at most ``rows`` vectors: (ids, mat, extra, n)."""
+def packed(df: DataFrame, extra: str = "") -> DataFrame:
+    """Each partition of (id, vec[, extra]) as one row of binary: (part, ids, mat, more); empty ones give none."""
+    from pyspark import TaskContext
 
     def make():
+        held: list[tuple] = []
+
         def step(b: pa.RecordBatch):
             d = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             ids = d["id"].to_numpy(zero_copy_only=False).astype("<i8")
-            if d["vec"].type.value_type == pa.binary():
-                raise TypeError("vec must hold numbers")
             mat = d["vec"].flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(len(ids), -1)
-            more = d[extra].to_numpy(zero_copy_only=False).astype("<f8") if extra else np.zeros(0)
-            step.held.append((ids, mat, more))
-            step.n += len(ids)
-            if step.n >= rows:
-                yield from flush(False)
-
-        def flush(last: bool):
-            ids, mat, more = (np.concatenate([h[i] for h in step.held]) for i in range(3))
-            at = 0
-            while at < len(ids) and (last or len(ids) - at >= rows):
-                s = slice(at, at + rows)
-                yield {"ids": [ids[s].tobytes()], "mat": [mat[s].tobytes()], "more": [more[s].tobytes()], "n": [len(ids[s])]}
-                at += rows
-            step.held, step.n = ([(ids[at:], mat[at:], more[at:])], len(ids) - at) if at < len(ids) else ([], 0)
-
-        step.held, step.n = [], 0
-        step.end = lambda: flush(True) if step.n else ()
+            held.append((ids, mat, d[extra].to_numpy(zero_copy_only=False).astype("<f8") if extra else np.zeros(0)))
+            return ()
+
+        def end():
+            if held:
+                ids, mat, more = (np.concatenate([h[i] for h in held]) for i in range(3))
+                yield {"part": [TaskContext.get().partitionId()], "ids": [ids.tobytes()], "mat": [mat.tobytes()], "more": [more.tobytes()]}
+
+        step.end = end
         return step
 
-    return map_batches(df, make, "ids binary, mat binary, more binary, n int")
+    return map_batches(df, make, "part int, ids binary, mat binary, more binary")
+
+
+def each_with_each(base: DataFrame, queries: DataFrame, parts: int) -> DataFrame:
+    """Each packed base block with each packed query block: the query blocks are dealt to the numbers of the base
+    blocks and joined by number, so a base block moves once."""
+    q = queries.select(F.col("part").alias("q_part"), *[F.col(c).alias(f"q_{c}") for c in queries.columns if c != "part"])
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return base.join(q, "part")
 
 
 def unpack(ids: bytes, mat: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -23,12 +23,24 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulspark.llm.ann import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulspark.llm.packing import pack
 
     return pack(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulspark.llm.topk import top_products
+
+    return top_products(read(spark, sf_dir, "embeddings"), k=20, query_every=20, scale=64.0)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulspark.llm.toxicity import toxic_scores
 
@@ -66,6 +78,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from haulspark.llm import license, line_dedup
+    from haulspark.llm import line_dedup, topk
 
-    return {"op10_line_dedup": line_dedup.SQL}
+    return {"op4_exact_topk": topk.SQL, "op10_line_dedup": line_dedup.SQL}

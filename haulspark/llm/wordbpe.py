@@ -15,6 +15,9 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 TAIL = ".,;:!?|%&$#*\"()[]{}<>/\\+=~^_-…»”"
 #: Letters whose lower case depends on their place, or has more than one character.
 ODD_CASE = re.compile("[ΣİÌÍĨ]")
+#: How byte-level vocabularies write the bytes of a word: printable ones as themselves, others from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
 
 class WordEncoder:
@@ -26,53 +29,64 @@ class WordEncoder:
     white space are encoded as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 65536 else "<u4")
-        self.tokens: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.keep = keep
+        self.model = self.tokenizer.model
+        probe = ["hello", "thé", "größe", "señor", "日本", "a", "ðþ", "heheingthation"]
+        #: Whether words of lower-case letters may go to the merges straight, past the normalizer and the pattern.
+        self.direct = [self._merged(w) for w in probe] == [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
 
-    def _whole(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.parts[w] = np.array(e.ids, self.width).tobytes()
+    def _merged(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return [t.id for t in self.model.tokenize(word)]
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.tokens) + len(new) > self.keep:
-            self.tokens = {}
-        if len(self.parts) > self.keep:
-            self.parts = {}
-        cut = []
+        plain, heads, lows, tails = [], [], [], []
         for t in new:
             head = t.rstrip(TAIL)
-            if not head.isalpha() or not head.isascii() and (ODD_CASE.search(head) or not unicodedata.is_normalized("NFC", head)):
-                cut.append((t, t, ""))
-                continue
-            low = head.lower()
-            if not low.isascii() and not unicodedata.is_normalized("NFC", low):
-                cut.append((t, t, ""))
-            else:
-                cut.append((t, low, t[len(head) :]))
-        need = {p for _, a, b in cut for p in (a, b) if p}
-        self._whole(list(need.difference(self.parts)))
-        parts = self.parts
-        self.tokens.update([(t, parts[a] + parts[b] if b else parts[a]) for t, a, b in cut])
+            if head.isalpha():
+                low = head.lower()
+                if low.isascii() or not ODD_CASE.search(head) and unicodedata.is_normalized("NFC", head) and unicodedata.is_normalized("NFC", low):
+                    if self.direct or len(head) < len(t) or low != t:
+                        heads.append(t)
+                        lows.append(low)
+                        tails.append(t[len(head) :])
+                        continue
+            plain.append(t)
+        known, width = self.known, self.width
+        words = set(lows)
+        if self.direct:
+            merged = self._merged
+            for w in words.difference(known):
+                known[w] = np.array(merged(w), width).tobytes()
+        need = words.union(tails, plain).difference(known)
+        need.discard("")
+        need = list(need)
+        for at in range(0, len(need), 20_000):
+            part = need[at : at + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, width).tobytes()
+        known[""] = b""
+        for t, a, b in zip(heads, lows, tails, strict=True):
+            known[t] = known[a] + known[b] if b else known[a]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [None if t and ODD_SPACE.search(t) else t.split() if t else [] for t in texts]
         words = set().union(*filter(None, split))
-        new = words.difference(self.tokens)
-        if len(self.tokens) + len(new) > self.keep:
-            self.tokens, new = {}, words
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > self.keep:  # the words of now stay; most others came once
+            self.known = {w: self.known[w] for w in words.difference(new)}
         if new:
             self._learn(new)
-        get = self.tokens.__getitem__
+        get = self.known.__getitem__
         return [b"".join(map(get, s)) if s is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.width).tobytes() for s, t in zip(split, texts, strict=True)]
 
     def wide(self, ids: bytes) -> bytes:
