@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from haulspark.llm.common import checkpoint, map_batches, narrow, prepare
 
 #: Characters of text in a block: bounds a worker's memory; larger blocks share more words.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 32 << 20
 BLOCK = "block bigint, rows binary, seq binary, n bigint, bucket array<int>, words array<binary>"
 
 
@@ -50,48 +50,59 @@ def _split(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
+class _Index(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col: str) -> DataFrame:
+    """A row per block: its documents, their pre-tokens as indices by position, its distinct words by bucket."""
     from pyspark import TaskContext
 
     def make():
         import regex
 
-        find, pid, press = regex.compile(pattern).findall, TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
+        find, pid, press = regex.compile(pattern).findall, TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=6)
 
         def step(b: pa.RecordBatch):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = find(text) if text else []
                 step.ids.append(doc_id)
-                step.lens.append(len(found))
-                step.found += found
+                step.seqs.append(np.fromiter(map(step.index.__getitem__, found), "<u4", len(found)))
                 step.chars += len(text or "")
                 if step.chars >= BLOCK_CHARS:
                     yield flush()
 
         def flush() -> dict:
-            # the most frequent words get the smallest indices, which compress best
-            index: dict[str, int] = {}
-            seq = np.fromiter((index.setdefault(w, len(index)) for w in step.found), np.int64, len(step.found))
-            order = np.argsort(-np.bincount(seq, minlength=len(index)), kind="stable") if index else np.zeros(0, int)
-            place = np.empty(len(index), "<u4")
-            place[order] = np.arange(len(index))
-            words = [w.encode() for w in index]
-            by: list[list[int]] = [[] for _ in range(buckets)]
-            for i in order.tolist():
-                by[zlib.crc32(words[i]) % buckets].append(i)
-            full = [k for k in range(buckets) if by[k]]
-            planes = place[seq].view("u1").reshape(-1, 4).T[:3] if len(seq) else np.zeros((3, 0), "u1")
-            ids = np.array([i or 0 for i in step.ids], "<i8")
-            null = np.array([i is None for i in step.ids], "u1")
+            # frequent words first, which compresses the indices; then by bucket and word, which compresses the words
+            words = [w.encode() for w in step.index]
+            seq = np.concatenate(step.seqs) if step.seqs else np.zeros(0, "<u4")
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            often = np.bincount(seq, minlength=len(words))
+            order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+            order = order[np.lexsort((bucket[order], -often[order]))]
+            place = np.empty(len(words), "<u4")
+            place[order] = np.arange(len(words))
+            packs, full = [], []
+            for k in range(buckets):
+                own = order[bucket[order] == k]
+                if len(own):
+                    full.append(k)
+                    packs.append(press.compress(_join([np.diff(place[own].astype("<i8"), prepend=0).astype("<u4").tobytes(), *[words[i] for i in own.tolist()]])))
+            planes = place[seq].view("u1").reshape(-1, 4).T[:3]
+            ids, null = np.array([i or 0 for i in step.ids], "<i8"), np.array([i is None for i in step.ids], "u1")
+            lens = np.array([len(x) for x in step.seqs], "<u4")
             row = {
-                "block": [(pid << 24) + step.no], "n": [len(index)], "seq": [_join([press.compress(p.tobytes()) for p in planes])],
-                "rows": [press.compress(_join([ids.tobytes(), null.tobytes(), np.array(step.lens, "<u4").tobytes()]))],
-                "bucket": [full], "words": [[press.compress(_join([np.array([place[i] for i in by[k]], "<u4").tobytes(), *[words[i] for i in by[k]]])) for k in full]],
+                "block": [(pid << 24) + step.no], "n": [len(words)], "seq": [_join([press.compress(p.tobytes()) for p in planes])],
+                "rows": [press.compress(_join([ids.tobytes(), null.tobytes(), lens.tobytes()]))], "bucket": [full], "words": [packs],
             }
-            step.ids, step.lens, step.found, step.chars, step.no = [], [], [], 0, step.no + 1
+            step.ids, step.seqs, step.index, step.chars, step.no = [], [], _Index(), 0, step.no + 1
             return row
 
-        step.ids, step.lens, step.found, step.chars, step.no = [], [], [], 0, 0
+        step.ids, step.seqs, step.index, step.chars, step.no = [], [], _Index(), 0, 0
         step.end = lambda: [flush()] if step.ids else ()
         return step
 
@@ -100,50 +111,51 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col: s
 
 
 def encode_words(asked: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(bucket, block, words) in bucket order to (block, ids, raw): a word is encoded at its bucket's first sight of it."""
+    """(bucket, block, words) in bucket order to (block, answer): a word is encoded at its bucket's first sight of it."""
 
     def make():
         enc = _encoder(path, pattern)
-        table = {i: w for w, i in ranks(path).items()}  # token id to bytes: decoding joins it
-        press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        press, unpress = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+        width = "<u2" if max(ranks(path).values(), default=0) < 65536 else "<u4"
 
         def step(b: pa.RecordBatch):
             for bucket, block, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != step.bucket:
-                    step.bucket, step.ids, step.raw = bucket, {}, {}
+                    step.bucket, step.ids = bucket, {}
                 place, *words = _split(unpress.decompress(packed))
-                for w in words:
-                    if w not in step.ids:
-                        got = enc._encode_single_piece(w.decode())
-                        step.ids[w] = np.array(got, "<u4").tobytes()
-                        step.raw[w] = b"".join([table[i] for i in got])
-                yield {"block": [block], "answer": [press.compress(_join([place, _join([step.ids[w] for w in words]), _join([step.raw[w] for w in words])]))]}
-
-        step.bucket, step.ids, step.raw = None, {}, {}
+                for w in set(words).difference(step.ids):
+                    step.ids[w] = np.array(enc._encode_single_piece(w.decode()), width).tobytes()
+                yield {"block": [block], "answer": [press.compress(_join([place, _join([step.ids[w] for w in words])]))]}
+
+        step.bucket, step.ids = None, {}
         return step
 
     return map_batches(asked, make, "block bigint, answer binary")
 
 
-def _assembled(joined: DataFrame, emit, schema: str) -> DataFrame:
-    """(rows, seq, n, answers) per block to documents; ``emit`` makes columns from (doc_id, word indices, ids, raw)."""
+def _assembled(joined: DataFrame, path: str, emit, schema: str) -> DataFrame:
+    """(rows, seq, n, answers) per block to documents; ``emit`` makes columns from (doc_id, word indices, ids, table)."""
 
     def make():
         unpress = zstandard.ZstdDecompressor()
+        width = "<u2" if max(ranks(path).values(), default=0) < 65536 else "<u4"
+        table = {i: w for w, i in ranks(path).items()}  # token id to bytes: what decoding joins
 
         def step(b: pa.RecordBatch):
             for rows, seq, n, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, raw = [b""] * n, [b""] * n
+                ids: list = [()] * n
                 for a in answers or []:
-                    place, i, r = _split(unpress.decompress(a))
-                    for k, x, y in zip(np.frombuffer(place, "<u4").tolist(), _split(i), _split(r), strict=True):
-                        ids[k], raw[k] = x, y
+                    place, i = _split(unpress.decompress(a))
+                    for k, x in zip(np.cumsum(np.frombuffer(place, "<u4"), dtype=np.int64).tolist(), _split(i), strict=True):
+                        ids[k] = np.frombuffer(x, width).tolist()
                 who, null, lens = _split(unpress.decompress(rows))
                 planes = [np.frombuffer(unpress.decompress(p), "u1") for p in _split(seq)]
-                at = planes[0].astype(np.int64) | planes[1].astype(np.int64) << 8 | planes[2].astype(np.int64) << 16
+                at = planes[0].astype("<u4") | planes[1].astype("<u4") << 8 | planes[2].astype("<u4") << 16
                 ends = np.cumsum(np.frombuffer(lens, "<u4"), dtype=np.int64).tolist()
                 who = [None if x else i for i, x in zip(np.frombuffer(who, "<i8").tolist(), null, strict=True)]
-                yield emit(who, [at[s:e].tolist() for s, e in zip([0, *ends], ends, strict=False)], ids, raw)
+                put = emit(ids, table)
+                for s in range(0, len(who), 500):
+                    yield put(who[s : s + 500], [at[x:y].tolist() for x, y in zip([0, *ends][s : s + 500], ends[s : s + 500], strict=True)])
 
         return step
 
@@ -167,10 +179,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     A null or empty text has no ids.  Repeated rows and null ids are kept as they come; no rows give no rows.
     """
 
-    def emit(who, texts, ids, raw):
-        return {"doc_id": who, "ids": [np.frombuffer(b"".join([ids[i] for i in t]), "<u4").astype("<i4") for t in texts]}
+    def emit(ids, table):
+        return lambda who, texts: {"doc_id": who, "ids": [[x for i in t for x in ids[i]] for t in texts]}
 
-    return _assembled(_answers(docs, path, pattern, id_col, text_col), emit, "doc_id bigint, ids array<int>")
+    return _assembled(_answers(docs, path, pattern, id_col, text_col), path, emit, "doc_id bigint, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -195,13 +207,18 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 def round_trip_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: its ids, and the bytes they decode to."""
 
-    def emit(who, texts, ids, raw):
-        text = [",".join(map(str, np.frombuffer(x, "<u4").tolist())).encode() for x in ids]
-        count = [len(x) // 4 for x in ids]
+    def emit(ids, table):
+        text = [",".join(map(str, x)).encode() for x in ids]  # of each distinct word
+        raw = [b"".join([table[i] for i in x]) for x in ids]
+        count = [len(x) for x in ids]
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        return {
-            "doc_id": who, "n_tokens": [sum([count[i] for i in t]) for t in texts],
-            "ids_sha256": [sha(b",".join([text[i] for i in t])) for t in texts], "decoded_sha256": [sha(b"".join([raw[i] for i in t])) for t in texts],
-        }
 
-    return _assembled(_answers(docs, path, pattern, "doc_id", "text"), emit, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        def put(who, texts):
+            return {
+                "doc_id": who, "n_tokens": [sum(map(count.__getitem__, t)) for t in texts],
+                "ids_sha256": [sha(b",".join(map(text.__getitem__, t))) for t in texts], "decoded_sha256": [sha(b"".join(map(raw.__getitem__, t))) for t in texts],
+            }
+
+        return put
+
+    return _assembled(_answers(docs, path, pattern, "doc_id", "text"), path, emit, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

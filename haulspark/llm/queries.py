@@ -61,6 +61,12 @@ def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_round_trip(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulspark.llm.ngram_join import jaccard_join
+
+    return jaccard_join(read(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haulspark.llm.html_extract import extract
 
