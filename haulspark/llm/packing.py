@@ -21,6 +21,7 @@ from haulspark.llm.common import checkpoint, map_batches, narrow, prepare
 from haulspark.llm.wordbpe import encoder
 
 PIECE = "doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, pid int, nth bigint, ids binary"
+OUT_NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 OUT = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
 
 
@@ -159,21 +160,35 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, i
     for r in base.groupBy("length").count().collect():  # at most window rows
         hist[r["length"]] = r["count"]
     layout = spark.sparkContext.broadcast(Layout(hist, window))  # bounded by the combinations of the window
-    probe = encoder(tokenizer).width
+    width = encoder(tokenizer).width
 
-    def make():
-        where, unpack = layout.value, zstandard.ZstdDecompressor()
+    def place():
+        where = layout.value
 
         def step(b: pa.RecordBatch):
             rows = []
-            for doc_id, start, length, crc, total, ids, rank in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, start, length, crc, total, pid, nth, rank in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 parts = where.place(length, rank)
-                raw = np.frombuffer(unpack.decompress(ids), probe).astype("<u4") if len(parts) > 1 else None
-                for s, n, seq, off in parts:
-                    rows.append((doc_id, start + s, n, crc if raw is None else zlib.crc32(raw[s : s + n].tobytes()), total, seq, off))
-            yield dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), map(list, zip(*rows, strict=True)), strict=True))
+                rows += [(doc_id, start + s, n, crc if len(parts) == 1 else None, total, seq, off, pid, length, nth, s) for s, n, seq, off in parts]
+            yield dict(zip((*OUT_NAMES, "pid", "rest", "nth", "skip"), map(list, zip(*rows, strict=True)), strict=True))
+
+        return step
+
+    def checksums():
+        unpack = zstandard.ZstdDecompressor()
+
+        def step(b: pa.RecordBatch):
+            *keep, ids, skip = (c.to_pylist() for c in b.columns)
+            out = dict(zip(OUT_NAMES, keep, strict=True))
+            for k, (raw, s, n) in enumerate(zip(ids, skip, out["length"], strict=True)):
+                out["ids_crc32"][k] = zlib.crc32(np.frombuffer(unpack.decompress(raw), width)[s : s + n].astype("<u4").tobytes())
+            yield out
 
         return step
 
-    ranked = base.join(offsets, ["pid", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", (F.col("before") + F.col("nth")).alias("rank"))
-    return map_batches(ranked, make, OUT)
+    ranked = base.join(offsets, ["pid", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "pid", "nth", (F.col("before") + F.col("nth")).alias("rank"))
+    placed = checkpoint(map_batches(ranked, place, f"{OUT}, pid int, rest int, nth bigint, skip int"))
+    # only the pieces that the greedy end has cut, about one a sequence, need their ids again
+    cut = placed.where("ids_crc32 is null").join(base.select("pid", F.col("length").alias("rest"), "nth", "ids"), ["pid", "rest", "nth"])
+    cut = map_batches(cut.select(*OUT_NAMES, "ids", "skip"), checksums, OUT)
+    return placed.where("ids_crc32 is not null").select(*OUT_NAMES).unionByName(cut)
