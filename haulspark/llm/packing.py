@@ -2,8 +2,8 @@
 
 A document longer than the window is cut into full windows and a rest.  Combinations of up to three rests that
 fill the window exactly are enumerated from the histogram, non-negative least squares gives how often to repeat
-each, the counts are rounded to what the histogram has, and what is left is packed greedily: laid end to end by
-descending length and cut at each window.  The plan is made from at most ``window`` numbers; rows meet it by
+each, the counts are rounded to what the histogram has, and what is left is packed greedily: the longest rest first,
+closed with what fills the window; rests that fill none are laid end to end and cut at each window.  The plan is made from at most ``window`` numbers; rows meet it by
 their length and their rank among rows of that length, so no group of equal lengths is ever brought together.
 """
 
@@ -76,29 +76,62 @@ def plan(hist: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return combos[used], times[used], left
 
 
+def greedy(left: np.ndarray, window: int) -> tuple[list[tuple[list[int], int]], np.ndarray]:
+    """Patterns that fill the window from what is left, longest piece first, each as often as the lengths last, and
+    what fits no full pattern.  Each pattern uses up a length, so there are at most ``window`` rounds."""
+    left, out, loose = left.copy(), [], np.zeros_like(left)
+
+    def take(have: np.ndarray, gap: int) -> int:
+        """The piece to put in: one that closes the gap, alone or with another, else the longest that fits."""
+        if have[gap]:
+            return gap
+        b = np.arange(1, gap // 2 + 1)
+        pair = b[(have[b] > 0) & (have[gap - b] > 0) & ((2 * b != gap) | (have[b] > 1))]
+        if len(pair):
+            return gap - int(pair[0])
+        fit = np.flatnonzero(have[: gap + 1])
+        return int(fit[-1]) if len(fit) and fit[-1] > 0 else 0
+
+    for a in range(window - 1, 0, -1):
+        while left[a] > 0:
+            have, parts, gap = left.copy(), [a], window - a
+            have[a] -= 1
+            while gap and (b := take(have, gap)):
+                parts.append(b)
+                have[b] -= 1
+                gap -= b
+            kinds, need = np.unique(parts, return_counts=True)
+            t = int((left[kinds] // need).min())
+            left[kinds] -= t * need
+            if gap:
+                loose[kinds] += t * need
+            else:
+                out.append((parts, t))
+    return out, loose
+
+
 class Layout:
     """Where the r-th piece of length a goes: parts of (start, length, sequence, offset)."""
 
     def __init__(self, hist: np.ndarray, window: int):
         combos, times, left = plan(hist, window)
-        self.window = window
-        first = np.concatenate([[0], np.cumsum(times)])
-        self.slots: dict[int, tuple] = {}
-        made: dict[int, list] = {}
-        for k, (combo, t) in enumerate(zip(combos.tolist(), times.tolist(), strict=True)):
+        patterns = [([a for a in c if a], t) for c, t in zip(combos.tolist(), times.tolist(), strict=True)]
+        more, loose = greedy(left[:window], window)
+        self.window, first, made = window, 0, {}
+        for parts, t in patterns + more:
             at = 0
-            for a in combo:
-                if a:
-                    made.setdefault(a, []).append((t, int(first[k]), at))
-                    at += a
+            for a in parts:
+                made.setdefault(a, []).append((t, first, at))
+                at += a
+            first += t
+        self.slots: dict[int, tuple] = {}
         for a, rows in made.items():
             t, base, at = (np.array(c, np.int64) for c in zip(*rows, strict=True))
             self.slots[a] = (np.concatenate([[0], np.cumsum(t)]), base, at)
-        full = int(hist[window]) if len(hist) > window else 0
-        self.full_base = int(first[-1])
-        self.rest_base = self.full_base + full
+        self.full_base = first
+        self.rest_base = first + (int(hist[window]) if len(hist) > window else 0)
         lengths = np.arange(window)[::-1]
-        start = np.concatenate([[0], np.cumsum(lengths * left[:window][::-1])])
+        start = np.concatenate([[0], np.cumsum(lengths * loose[::-1])])
         self.rest_at = {int(a): int(s) for a, s in zip(lengths, start[:-1], strict=True)}
 
     def place(self, a: int, r: int) -> list[tuple[int, int, int, int]]:
@@ -188,7 +221,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, i
 
     ranked = base.join(offsets, ["pid", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "pid", "nth", (F.col("before") + F.col("nth")).alias("rank"))
     placed = checkpoint(map_batches(ranked, place, f"{OUT}, pid int, rest int, nth bigint, skip int"))
-    # only the pieces that the greedy end has cut, about one a sequence, need their ids again
+    # only the pieces that the greedy end has cut need their ids again
     cut = placed.where("ids_crc32 is null").join(base.select("pid", F.col("length").alias("rest"), "nth", "ids"), ["pid", "rest", "nth"])
     cut = map_batches(cut.select(*OUT_NAMES, "ids", "skip"), checksums, OUT)
-    return placed.where("ids_crc32 is not null").select(*OUT_NAMES).unionByName(cut)
+    out = placed.where("ids_crc32 is not null").select(*OUT_NAMES).unionByName(cut)
+    return out.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")  # a sequence lies together
