@@ -153,9 +153,9 @@ def _assembled(joined: DataFrame, path: str, emit, schema: str) -> DataFrame:
                 at = planes[0].astype("<u4") | planes[1].astype("<u4") << 8 | planes[2].astype("<u4") << 16
                 ends = np.cumsum(np.frombuffer(lens, "<u4"), dtype=np.int64).tolist()
                 who = [None if x else i for i, x in zip(np.frombuffer(who, "<i8").tolist(), null, strict=True)]
-                put = emit(ids, table)
+                put, starts = emit(ids, table), [0, *ends][:-1]
                 for s in range(0, len(who), 500):
-                    yield put(who[s : s + 500], [at[x:y].tolist() for x, y in zip([0, *ends][s : s + 500], ends[s : s + 500], strict=True)])
+                    yield put(who[s : s + 500], [at[x:y].tolist() for x, y in zip(starts[s : s + 500], ends[s : s + 500], strict=True)])
 
         return step
 
