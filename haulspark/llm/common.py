@@ -13,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulspark.session import checkpoint, checkpoint_dir
+
+__all__ = ["BATCH_ROWS", "checkpoint", "checkpoint_dir", "each_with_each", "finite_vectors", "map_batches", "narrow", "packed", "prepare", "read", "scratch", "unpack"]
+
 #: Rows in an Arrow batch, so that a batch of very long texts still fits a Python worker.
 BATCH_ROWS = 1000
 
@@ -29,26 +33,11 @@ def prepare(spark: SparkSession) -> None:
     _ship(spark)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it names none, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="haulspark-"))
-    return sc.getCheckpointDir()
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; the result survives the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _ship(spark: SparkSession) -> None:
     """Python workers import this package; send it along unless PYTHONPATH has it already."""
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
