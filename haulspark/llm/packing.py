@@ -13,14 +13,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulspark.llm.common import checkpoint, map_batches, narrow, prepare
 from haulspark.llm.wordbpe import encoder
 
-PIECE = "doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, pid int, nth bigint, ids binary"
+PIECE = "doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, pid int, nth bigint, key string"
 OUT_NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 OUT = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
 
@@ -157,24 +156,28 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_col: st
     def make():
         enc, pid = encoder(tokenizer), TaskContext.get().partitionId()
         w, last = enc.width.itemsize, np.array([end_id], enc.width).tobytes()
-        pack, seen = zstandard.ZstdCompressor(level=1), np.zeros(window + 1, np.int64)
+        seen = np.zeros(window + 1, np.int64)
 
         def step(b: pa.RecordBatch):
             rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+            for doc_id, ids, key in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), b.column(2).to_pylist(), strict=True):
                 ids += last
                 n = len(ids) // w
                 for at in range(0, n, window):
                     part = ids[at * w : (at + window) * w]
                     a = len(part) // w
-                    rows.append((doc_id, at, a, zlib.crc32(enc.wide(part)), n, pid, int(seen[a]), pack.compress(part) if a < window else None))
+                    rows.append((doc_id, at, a, zlib.crc32(enc.wide(part)), n, pid, int(seen[a]), key if a < window else None))
                     seen[a] += 1
-            yield dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "pid", "nth", "ids"), map(list, zip(*rows, strict=True)), strict=True))
+            yield dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "pid", "nth", "key"), map(list, zip(*rows, strict=True)), strict=True))
 
         return step
 
-    d = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return map_batches(d, make, PIECE)
+    return map_batches(_keyed(docs, id_col, text_col), make, PIECE)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    d = narrow(docs, doc_id=id_col, text=text_col)
+    return d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,36 +196,37 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, i
     for r in base.groupBy("length").count().collect():  # at most window rows
         hist[r["length"]] = r["count"]
     layout = spark.sparkContext.broadcast(Layout(hist, window))  # bounded by the combinations of the window
-    width = encoder(tokenizer).width
 
     def place():
         where = layout.value
 
         def step(b: pa.RecordBatch):
             rows = []
-            for doc_id, start, length, crc, total, pid, nth, rank in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, start, length, crc, total, key, rank in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 parts = where.place(length, rank)
-                rows += [(doc_id, start + s, n, crc if len(parts) == 1 else None, total, seq, off, pid, length, nth, s) for s, n, seq, off in parts]
-            yield dict(zip((*OUT_NAMES, "pid", "rest", "nth", "skip"), map(list, zip(*rows, strict=True)), strict=True))
+                rows += [(doc_id, start + s, n, crc if len(parts) == 1 else None, total, seq, off, key) for s, n, seq, off in parts]
+            yield dict(zip((*OUT_NAMES, "key"), map(list, zip(*rows, strict=True)), strict=True))
 
         return step
 
     def checksums():
-        unpack = zstandard.ZstdDecompressor()
+        enc = encoder(tokenizer)
+        w, last = enc.width.itemsize, np.array([end_id], enc.width).tobytes()
 
         def step(b: pa.RecordBatch):
-            *keep, ids, skip = (c.to_pylist() for c in b.columns)
+            *keep, texts = (c.to_pylist() for c in b.columns)
             out = dict(zip(OUT_NAMES, keep, strict=True))
-            for k, (raw, s, n) in enumerate(zip(ids, skip, out["length"], strict=True)):
-                out["ids_crc32"][k] = zlib.crc32(np.frombuffer(unpack.decompress(raw), width)[s : s + n].astype("<u4").tobytes())
+            for k, (ids, s, n) in enumerate(zip(enc.encode(texts), out["start"], out["length"], strict=True)):
+                out["ids_crc32"][k] = zlib.crc32(enc.wide((ids + last)[s * w : (s + n) * w]))
             yield out
 
         return step
 
-    ranked = base.join(offsets, ["pid", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "pid", "nth", (F.col("before") + F.col("nth")).alias("rank"))
-    placed = checkpoint(map_batches(ranked, place, f"{OUT}, pid int, rest int, nth bigint, skip int"))
-    # only the pieces that the greedy end has cut need their ids again
-    cut = placed.where("ids_crc32 is null").join(base.select("pid", F.col("length").alias("rest"), "nth", "ids"), ["pid", "rest", "nth"])
-    cut = map_batches(cut.select(*OUT_NAMES, "ids", "skip"), checksums, OUT)
+    ranked = base.join(offsets, ["pid", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "key", (F.col("before") + F.col("nth")).alias("rank"))
+    placed = checkpoint(map_batches(ranked, place, f"{OUT}, key string"))
+    # the few pieces that the greedy end has cut are encoded once more for their checksums
+    cut = placed.where("ids_crc32 is null")
+    texts = _keyed(docs, id_col, text_col).select("key", "text").join(cut.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    cut = map_batches(cut.join(texts, "key").select(*OUT_NAMES, "text"), checksums, OUT)
     out = placed.where("ids_crc32 is not null").select(*OUT_NAMES).unionByName(cut)
     return out.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")  # a sequence lies together
