@@ -32,7 +32,7 @@ def dedup_lines(pages: DataFrame, host_col: str = "source", text_col: str = "tex
     page_key = F.md5(F.concat(F.coalesce(F.concat(F.lit("h"), host), F.lit("n")), F.lit("\n"), text))
 
     d = pages.select(host.alias("host"), text.alias("text"))
-    marks = F.transform(F.array_distinct(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")), _mark)
+    marks = F.transform(F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")), _mark)
     totals = d.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = d.select("host", F.explode(marks).alias("m")).groupBy("host", "m").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.col("n") >= min_pages)
