@@ -398,9 +398,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text).  Texts without words all stay.  Of rows with the same id and text, the first by their other columns stays."""
     _, members = _classes(docs, id_col, text_col, n, threshold, tolerance)
     best = members.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("w"))
-    best = best.select(F.col("w.key").alias("_win_key"), F.col("w.first").alias("_win_id"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"))
-    worded = members.select(F.col("key").alias("_known"))
-    kept = rows.join(best, (rows.key == best["_win_key"]) & rows.id.eqNullSafe(best["_win_id"])).groupBy("key").agg(F.min("row").alias("row")).select("row.*")
-    wordless = rows.join(worded, rows.key == worded["_known"], "left_anti").select("row.*")
-    return kept.unionByName(wordless)
+    winners = best.select(F.col("w.key").alias("key"), F.lit(True).alias("wins"), F.col("w.first").alias("win_id"))
+    known = members.select("key", F.lit(True).alias("known")).join(winners, "key", "left")
+    id_ = F.col(f"`{id_col}`").cast("bigint")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_.alias("id"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"))
+    # one join moves the texts once; what is left of a class is grouped where it lies
+    kept = rows.join(known, "key", "left").where(F.col("known").isNull() | (F.col("wins") & F.col("id").eqNullSafe(F.col("win_id"))))
+    each = F.when(F.col("known").isNull(), F.monotonically_increasing_id()).otherwise(-1)
+    return kept.select("key", each.alias("each"), "row").groupBy("key", "each").agg(F.min("row").alias("row")).select("row.*")
