@@ -497,7 +497,7 @@ def component_labels(spark, sf):
 @query("shortest_path", """
     WITH RECURSIVE b AS (SELECT u AS a, v AS b, length_m AS w FROM {v_edges} UNION ALL SELECT v, u, length_m FROM {v_edges}),
     r(o, n, d, h) AS (SELECT 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0 UNION SELECT r.o, b.b, r.d + b.w, r.h + 1 FROM r JOIN b ON r.n = b.a WHERE r.h < 14 AND r.d + b.w < 60 AND b.b <= 45)
-    SELECT 1 AS pair_id, min(d) AS distance FROM r WHERE n = 37""")
+    SELECT 1 AS pair_id, min(d) AS distance FROM r WHERE n = 37 HAVING count(*) > 0""")
 def shortest_path(spark, sf):
     pairs = spark.createDataFrame([(1, 0, 37)], "pair_id int, origin bigint, goal bigint")
     return graph.shortest_paths(carrier(spark, sf, "v_edges").where("u <= 45 and v <= 45"), pairs).select("pair_id", "distance")
