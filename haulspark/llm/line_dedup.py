@@ -41,11 +41,11 @@ def dedup_lines(pages: DataFrame, host_col: str = "source", text_col: str = "tex
     each = pages.select(host.alias("host"), page_key.alias("k"), text.alias("text")).select("host", "k", F.explode(marks).alias("m"))
     drop = each.join(boiler, each.host.eqNullSafe(boiler.bh) & (each.m == boiler.m)).groupBy("k").agg(F.collect_set(each.m).alias(bad))  # at most a page's lines
     joined = pages.withColumn(key, page_key).join(drop.withColumnRenamed("k", key), key, "left")
-    kept = F.when(F.col(bad).isNull(), F.split(text, "\n")).otherwise(F.filter(F.split(text, "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(bad), _mark(F.trim(x)))))
-    joined = joined.withColumn(lines, kept)
-    rest = [F.array_join(lines, "\n").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
+    clean = F.filter(F.split(text, "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(bad), _mark(F.trim(x))))
+    joined = joined.withColumn(lines, F.when(F.col(bad).isNotNull(), clean))  # most pages lose nothing and are not taken apart
+    rest = [F.when(F.col(lines).isNull(), text).otherwise(F.array_join(lines, "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
     n = F.size(F.split(text, "\n")).cast("bigint")
-    return joined.select(*rest, n.alias(own("n_lines")), (n - F.size(lines)).alias(own("n_dropped")))
+    return joined.select(*rest, n.alias(own("n_lines")), F.when(F.col(lines).isNull(), 0).otherwise(n - F.size(lines)).cast("bigint").alias(own("n_dropped")))
 
 
 #: DuckDB's form of the query over ``documents``.
