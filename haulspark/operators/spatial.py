@@ -17,6 +17,8 @@ from haulspark.session import checkpoint
 
 #: Below the sphere's metres per degree, so that a cell is never too small.
 METRES_PER_DEGREE = 110_000.0
+#: More than half the way around: every pair is within it.
+GLOBE_M = 2.1e7
 
 
 def _cell_size(radius_m: float, max_abs_lat: float) -> tuple[float, float]:
@@ -33,7 +35,8 @@ def dwithin(left: DataFrame, right: DataFrame, radius_m: float, left_pt=("lon",
     """Pairs of left and right rows at most ``radius_m`` apart, with ``dist_m``; ``right`` is the side that is copied.
 
     Columns of both sides are kept in the structs ``l`` and ``r``.  Rows without coordinates match nothing; latitudes
-    beyond ``max_abs_lat`` may miss pairs.  No pair comes twice.
+    beyond ``max_abs_lat`` may miss pairs.  No pair comes twice; pairs across the 180th meridian don't come
+    unless the cells span it.
     """
     size = _cell_size(radius_m, max_abs_lat)
     lx, ly = _cells(F.col(left_pt[0]), F.col(left_pt[1]), size)
@@ -55,33 +58,27 @@ def nearest_within(left: DataFrame, right: DataFrame, radius_m: float, left_id:
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, start_m: float = 50_000.0, grow: float = 4.0, max_abs_lat: float = 72.0) -> DataFrame:
     """The ``k`` nearest right rows of every left row, without a radius: (left_id, rank, right_id, dist_m).
 
-    Rings grow until each left row has ``k`` within the radius already searched, which makes the answer exact.  The
-    last ring spans half the globe, by which the few rows left over are met with everything.
+    Rings grow until each left row has ``k`` within the radius already searched, which makes the answer exact, but for
+    pairs across the 180th meridian.  The last ring spans the globe; only rows that far from all others reach it.
     """
-    spark, radius, out, todo = left.sparkSession, start_m, None, left
-    n_right = right.count()
-    k = min(k, n_right)
-    cols = f"{left_id} {dict(left.dtypes)[left_id]}, rank int, {right_id} {dict(right.dtypes)[right_id]}, dist_m double"
+    spark, radius, out = left.sparkSession, start_m, None
+    todo = left.where("lon is not null and lat is not null")
+    k = min(k, right.count())
     if k == 0:
-        return spark.createDataFrame([], cols)
+        kinds = dict(left.dtypes)[left_id], dict(right.dtypes)[right_id]
+        return spark.createDataFrame([], f"{left_id} {kinds[0]}, rank int, {right_id} {kinds[1]}, dist_m double")
     while True:
-        last = radius > 5e6
-        if last:
-            d = haversine_m(F.col("l.lon"), F.col("l.lat"), F.col("r.lon"), F.col("r.lat"))
-            pairs = todo.select(F.struct("*").alias("l")).hint("broadcast").join(right.select(F.struct("*").alias("r")), d >= 0).withColumn("dist_m", d)
-        else:
-            pairs = dwithin(todo, right, radius, max_abs_lat=max_abs_lat)
-        w = Window.partitionBy(left_id).orderBy("dist_m", right_id)
+        pairs = dwithin(todo, right, radius, max_abs_lat=max_abs_lat)
         flat = pairs.select(F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id), "dist_m")
-        top = flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(left_id, "rank", right_id, "dist_m")
-        top = checkpoint(top)
+        w = Window.partitionBy(left_id).orderBy("dist_m", right_id)
+        top = checkpoint(flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(left_id, "rank", right_id, "dist_m"))
         full = top.where(F.col("rank") == k).select(left_id)
         found = top.join(full, left_id, "left_semi")
         out = found if out is None else out.unionByName(found)
         todo = checkpoint(todo.join(full, left_id, "left_anti"))
-        if last or todo.isEmpty():
+        if radius >= GLOBE_M or todo.isEmpty():
             return out
-        radius *= grow
+        radius = min(GLOBE_M, radius * grow)
 
 
 def density_grid(points: DataFrame, cell_deg: float) -> DataFrame:

@@ -190,15 +190,23 @@ def bridges(spark: SparkSession, zip_path: str, out_folder: str) -> DataFrame:
             raise NotAFeed("no delimited member")
         member = max(members, key=lambda i: i.file_size)
         years = [m[0] for n in (member.filename, *z.namelist()) if (m := re.search(r"(?:19|20)\d{2}", n))]
-        lines = z.read(member).decode("latin-1").splitlines()
+        data = z.read(member)
     year = years[0] if years else str(member.date_time[0])
-    df = _csv(spark, lines, out_folder)
+    df = _csv(spark, data, out_folder)
     return merge_bridges(df.withColumn("observed_at", F.lit(f"{year}-01-01").cast("date")))
 
 
-def _csv(spark: SparkSession, lines: list[str], folder: str) -> DataFrame:
-    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "ordinal bigint, value string").coalesce(1).sortWithinPartitions("ordinal").select("value").write.mode("overwrite").text(folder)
-    return spark.read.option("header", True).option("quote", "'").option("escape", "'").csv(folder)
+def _csv(spark: SparkSession, data: bytes, folder: str) -> DataFrame:
+    """Puts a delimited file where all executors can read it, and reads it in parallel."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/records.txt")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        for at in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[at : at + (1 << 20)]))
+    finally:
+        out.close()
+    return spark.read.option("header", True).option("quote", "'").option("encoding", "ISO-8859-1").csv(folder)
 
 
 def merge_bridges(records: DataFrame) -> DataFrame:

@@ -225,6 +225,17 @@ def test_bridge_records_merge(spark):
     assert got["06B"]["min_vert_clearance_in"] is None and got["06B"]["lat"] is None
 
 
+def test_bridge_archive(spark, tmp_path):
+    import zipfile
+
+    cols = "STATE_CODE_001,STRUCTURE_NUMBER_008,RECORD_TYPE_005A,LAT_016,LONG_017,MIN_VERT_CLR_010,VERT_CLR_OVER_MT_053,VERT_CLR_UND_054B,FACILITY_CARRIED_007,FEATURES_DESC_006A,OPERATING_RATING_064,INVENTORY_RATING_066,OPEN_CLOSED_POSTED_041"
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("readme.csv", "x")
+        z.writestr("2024All.txt", f"{cols}\n48,'A,1',1,30000000,097000000,4.5,,,'CALLE ÑU',,30,20,A\n".encode("latin-1"))
+    got = feeds.bridges(spark, f"{tmp_path}/a.zip", f"file://{tmp_path}/out").collect()
+    assert [(r["nbi_id"], r["name"], r["observed_at"]) for r in got] == [("48A,1", "CALLE ÑU", dt.date(2024, 1, 1))]
+
+
 def test_streamed_dedup_and_lifecycle_equal_batch(spark, tmp_path):
     schema = "device_id int, observed_at timestamp, ping_id int, lon double, lat double, speed_kph double"
     rows = [(d, dt.datetime(2024, 1, 1, 0, m), 10 * d + m, -100.0, 40.0, 50.0) for d in range(3) for m in range(5)]
