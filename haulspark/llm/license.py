@@ -86,6 +86,23 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return d.select(
         "doc_id", "n_words", F.size(own).cast("bigint").alias("n_base"),
         F.array_min(F.transform(own, lambda x: x["start"])).alias("first_word"), F.array_max(F.transform(own, lambda x: x["start"])).alias("last_word"),
-        labels(own).alias("base_labels"), labels("spans").alias("labels"), F.coalesce(1 - F.exp(-weight), F.lit(0.0)).alias("score"),
+        labels(own).alias("base_labels"), labels("spans").alias("labels"), F.round(F.coalesce(1 - F.exp(-weight), F.lit(0.0)), 9).alias("score"),
         F.transform("spans", lambda x: F.struct(x["label"].alias("label"), x["start"].alias("start"), x["length"].alias("length"))).alias("spans"),
     )
+
+
+def sql(base: tuple = BASE, more: tuple = MORE) -> str:
+    """DuckDB's form of the query over ``documents``: every phrase sought at every place, scores to nine digits."""
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    phrases = ", ".join(f"({k}, {quoted(p.split())}, '{label}', {str(k < len(base)).lower()})" for k, (p, label) in enumerate([*base, *more]))
+    vocabulary = quoted(sorted({w for p, _ in [*base, *more] for w in p.split()}))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+v AS (SELECT unnest({vocabulary}) AS word),
+idf AS (SELECT word, ln((1 + (SELECT count(*) FROM d))::DOUBLE / (1 + count(r))) + 1e-6::DOUBLE AS x FROM v LEFT JOIN d ON list_contains(w, word) GROUP BY word),
+t AS (SELECT * FROM (VALUES {phrases}) t(k, p, label, base)),
+g AS (SELECT k, sum(x) AS weight FROM (SELECT k, unnest(p) AS word FROM t) u JOIN idf USING (word) GROUP BY k),
+h AS (SELECT r, label, base, weight, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = p[1] AND w[i:i + len(p) - 1] = p)) - 1 AS s FROM d, t JOIN g USING (k) WHERE list_contains(w, p[1])),
+a AS (SELECT r, count(*) FILTER (WHERE base) AS n_base, min(s) FILTER (WHERE base) AS first_word, max(s) FILTER (WHERE base) AS last_word, array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS base_labels,
+      array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(weight) AS weight FROM h GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(1 - exp(-weight), 0.0), 9) AS score FROM d LEFT JOIN a USING (r)"""

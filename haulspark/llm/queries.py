@@ -84,6 +84,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from haulspark.llm import line_dedup, topk
+    from haulspark.llm import license, line_dedup, topk
 
-    return {"op4_exact_topk": topk.SQL, "op10_line_dedup": line_dedup.SQL}
+    return {"op1_license_scan": license.sql(), "op4_exact_topk": topk.SQL, "op10_line_dedup": line_dedup.SQL}
