@@ -14,7 +14,12 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Signs that may follow a word; an apostrophe isn't one, since it may bind to letters.
 TAIL = ".,;:!?|%&$#*\"()[]{}<>/\\+=~^_-…»”"
 #: Letters whose lower case depends on their place, or has more than one character.
-ODD_CASE = re.compile("[ΣİÌÍĨ]")
+ODD_CASE = re.compile("[Σİ]")
+#: Signs that are set apart in a whole text, and what a text must not have for that: such a sign beside another sign,
+#: with which it would make one token, or the characters above.
+APART = ".,;:!?"
+ODD_LETTER = re.compile("[\x1c-\x1fΣİ]")
+BESIDE_A_SIGN = re.compile(r"[.,;:!?](?:(?=[^\s\w])|(?=_)|(?<=[^\s\w].)|(?<=_.))")
 #: How byte-level vocabularies write the bytes of a word: printable ones as themselves, others from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
@@ -29,7 +34,7 @@ class WordEncoder:
     white space are encoded as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,6 +53,17 @@ class WordEncoder:
             word = word.encode().decode("latin-1").translate(BYTE_SIGNS)
         return [t.id for t in self.model.tokenize(word)]
 
+    def _split(self, text: str | None) -> list[str] | None:
+        """A text's words, if its ids are theirs in order; lower-cased and with signs apart where that changes nothing."""
+        if not text:
+            return []
+        if ODD_LETTER.search(text) or not self.direct or BESIDE_A_SIGN.search(text):
+            return None if ODD_SPACE.search(text) else text.split()
+        text = text.lower()
+        for sign in APART:
+            text = text.replace(sign, f" {sign} ")
+        return text.split()
+
     def _learn(self, new: set[str]) -> None:
         plain, heads, lows, tails = [], [], [], []
         for t in new:
@@ -79,7 +95,7 @@ class WordEncoder:
             known[t] = known[a] + known[b] if b else known[a]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and ODD_SPACE.search(t) else t.split() if t else [] for t in texts]
+        split = list(map(self._split, texts))
         words = set().union(*filter(None, split))
         new = words.difference(self.known)
         if len(self.known) + len(new) > self.keep:  # the words of now stay; most others came once
