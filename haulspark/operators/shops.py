@@ -44,12 +44,15 @@ def verify(shops: DataFrame, area_codes: DataFrame) -> DataFrame:
 def join_licences(shops: DataFrame, licences: DataFrame, today: Column, radius_m: float = 150.0) -> DataFrame:
     """shop_id, licence_id, rule, expiry, expired: the first of four rules that fits, then the latest expiry.
 
-    The rules are name and zip, name and city, place and the name's first six signs, address and zip.
+    The rules are name and zip, name and city, place and the name's first six signs, address and zip.  Licences are
+    reduced to the best of each key before they meet the shops, so a key of many of both makes one row a shop.
     """
     s = shops.select("shop_id", "state", "lat", "lon", F.substring("zip", 1, 5).alias("zip"), F.upper("city").alias("city"), company_key(F.col("name")).alias("nk"), address_key(F.col("address")).alias("ak"))
     li = licences.select("licence_id", "state", "lat", "lon", "zip", "city", "expiry", company_key(F.col("name")).alias("nk"), address_key(F.col("address")).alias("ak"))
     take = lambda df, pri, rule: df.select("shop_id", "licence_id", "expiry", F.lit(pri).alias("pri"), F.lit(rule).alias("rule"))
-    on = lambda keys, pri, rule: take(s.select("shop_id", *keys).join(li.select("licence_id", "expiry", *keys), keys), pri, rule)
+    rank = F.struct(F.col("expiry").isNull().alias("none"), (-F.unix_date("expiry")).alias("late"), "licence_id", "expiry")
+    top = lambda keys: li.groupBy(*keys).agg(F.min(rank).alias("t")).select("t.licence_id", "t.expiry", *keys)
+    on = lambda keys, pri, rule: take(s.select("shop_id", *keys).join(top(keys), keys), pri, rule)
     near = dwithin(s, li, radius_m).where((F.col("l.state") == F.col("r.state")) & (F.substring("l.nk", 1, 6) == F.substring("r.nk", 1, 6)))
     near = near.select(F.col("l.shop_id").alias("shop_id"), F.col("r.licence_id").alias("licence_id"), F.col("r.expiry").alias("expiry"))
     every = on(["state", "nk", "zip"], 1, "name_zip").unionByName(on(["state", "nk", "city"], 2, "name_city")).unionByName(take(near, 3, "geo_name")).unionByName(on(["state", "ak", "zip"], 4, "addr_zip"))

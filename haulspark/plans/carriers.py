@@ -55,6 +55,9 @@ CARRIERS: dict[str, str] = {
           CASE WHEN p_partkey%4 = 0 THEN p_brand ELSE NULL END AS brand
         FROM {{part}} WHERE p_partkey%2 = 0""",
 }
+# The two sources over all parts, for the queries of whole tables.
+for _side in "ab":
+    CARRIERS[f"v_all_{_side}"] = CARRIERS[f"v_src_{_side}"].removesuffix(" WHERE p_partkey%2 = 0")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

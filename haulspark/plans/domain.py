@@ -113,11 +113,20 @@ def gate_state_floor(spark, sf):
 
 @query("swap_then_read", "SELECT nbi_id, clearance_in FROM {v_bridges} WHERE nbi_id % 2 = 0")
 def swap_then_read(spark, sf):
+    return _swap_then_read(spark, sf, "swap", "nbi_id % 2 = 0")
+
+
+@query("swap_then_read_all")
+def swap_then_read_all(spark, sf):
+    return _swap_then_read(spark, sf, "swap-all", "true")
+
+
+def _swap_then_read(spark, sf, folder, rows):
     from haulspark.session import checkpoint_dir
 
-    path = f"{checkpoint_dir(spark)}/swap-{sf.rstrip('/').split('/')[-1]}"
+    path = f"{checkpoint_dir(spark)}/{folder}-{sf.rstrip('/').split('/')[-1]}"
     b = carrier(spark, sf, "v_bridges").select("nbi_id", "clearance_in")
-    sinks.snapshot_swap(b.where("nbi_id % 2 = 0"), path, min_rows=10)
+    sinks.snapshot_swap(b.where(rows), path, min_rows=10)
     try:  # too few rows: the version before stays
         sinks.snapshot_swap(b.where("nbi_id < 3"), path, min_rows=10)
     except sinks.RefusedLoad:
@@ -547,25 +556,59 @@ def blocked(spark, sf):
     SELECT o, f, round(sim, 6) AS name_sim, round(d, 1) AS dist_m, CASE WHEN 0.60::DOUBLE*sim + 0.25::DOUBLE*(1.0::DOUBLE - least(d, 150.0::DOUBLE)/150.0::DOUBLE) + 0.15::DOUBLE*bonus >= 0.85::DOUBLE THEN 'merge' WHEN 0.60::DOUBLE*sim + 0.25::DOUBLE*(1.0::DOUBLE - least(d, 150.0::DOUBLE)/150.0::DOUBLE) + 0.15::DOUBLE*bonus <= 0.55::DOUBLE THEN 'distinct' ELSE 'gray' END AS band
     FROM p WHERE d <= 150 AND sim > 0.3::DOUBLE""")
 def conflate_pairs(spark, sf):
-    p = conflate.candidate_pairs(carrier(spark, sf, "v_src_a"), carrier(spark, sf, "v_src_b"))
-    return p.select("o", "f", F.round("name_sim", 6).alias("name_sim"), F.round("dist_m", 1).alias("dist_m"), "band")
+    return _shown(_pairs(spark, sf))
 
 
 @query("conflate_match")
 def conflate_match(spark, sf):
-    p = conflate.candidate_pairs(carrier(spark, sf, "v_src_a"), carrier(spark, sf, "v_src_b"))
-    return conflate.match_one_to_one(p.where("band = 'merge'"))
+    return conflate.match_one_to_one(_pairs(spark, sf).where("band = 'merge'"))
 
 
 @query("conflate_merge")
 def conflate_merge(spark, sf):
-    a, b = carrier(spark, sf, "v_src_a"), carrier(spark, sf, "v_src_b")
-    return conflate.merge(a, b, conflate.match_one_to_one(conflate.candidate_pairs(a, b).where("band = 'merge'")))
+    return _merged(spark, sf)
 
 
 @query("collisions")
 def collisions(spark, sf):
-    return conflate.resolve_collisions(conflate_merge(spark, sf)).select("key", "o", "f", "src", "cell_flag", "dropped")
+    return _resolved(_merged(spark, sf))
+
+
+@query("conflate_pairs_all")
+def conflate_pairs_all(spark, sf):
+    return _shown(_pairs(spark, sf, "v_all"))
+
+
+@query("conflate_match_all")
+def conflate_match_all(spark, sf):
+    return conflate.match_one_to_one(_pairs(spark, sf, "v_all").where("band = 'merge'"))
+
+
+@query("conflate_merge_all")
+def conflate_merge_all(spark, sf):
+    return _merged(spark, sf, "v_all")
+
+
+@query("collisions_all")
+def collisions_all(spark, sf):
+    return _resolved(_merged(spark, sf, "v_all"))
+
+
+def _pairs(spark, sf, source="v_src"):
+    return conflate.candidate_pairs(carrier(spark, sf, f"{source}_a"), carrier(spark, sf, f"{source}_b"))
+
+
+def _shown(p):
+    return p.select("o", "f", F.round("name_sim", 6).alias("name_sim"), F.round("dist_m", 1).alias("dist_m"), "band")
+
+
+def _merged(spark, sf, source="v_src"):
+    matches = conflate.match_one_to_one(_pairs(spark, sf, source).where("band = 'merge'"))
+    return conflate.merge(carrier(spark, sf, f"{source}_a"), carrier(spark, sf, f"{source}_b"), matches)
+
+
+def _resolved(rows):
+    return conflate.resolve_collisions(rows).select("key", "o", "f", "src", "cell_flag", "dropped")
 
 
 # ---- tracking ----------------------------------------------------------------------------------------------
