@@ -512,6 +512,15 @@ def shortest_path(spark, sf):
     return graph.shortest_paths(carrier(spark, sf, "v_edges").where("u <= 45 and v <= 45"), pairs).select("pair_id", "distance")
 
 
+@query("shortest_path_all")
+def shortest_path_all(spark, sf):
+    """A pair from every node to the one 37 numbers on, where there is one, over all edges."""
+    e = carrier(spark, sf, "v_edges")
+    nodes = e.select("u").union(e.select("v")).distinct()
+    pairs = nodes.join(nodes.select((F.col("u") - 37).alias("u"), F.col("u").alias("goal")), "u")
+    return graph.shortest_paths(e, pairs.select(F.col("u").alias("pair_id"), F.col("u").alias("origin"), "goal")).select("pair_id", "distance")
+
+
 @query("nodes_edges", """
     WITH l AS (SELECT edge_id, a.lon AS x0, a.lat AS y0, b.lon AS x1, b.lat AS y1 FROM {v_edges} e JOIN {v_places} a ON a.place_id = e.u JOIN {v_places} b ON b.place_id = e.v),
     p AS (SELECT x0 AS lon, y0 AS lat FROM l UNION ALL SELECT x1, y1 FROM l) SELECT row_number() OVER (ORDER BY lon, lat) AS node_id, round(lon, 6) AS lon, round(lat, 6) AS lat, count(*) AS degree FROM p GROUP BY lon, lat""")

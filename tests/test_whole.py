@@ -1,9 +1,11 @@
 """Queries over whole tables, which have no SQL form, against brute force on the smallest tables."""
 
+import heapq
 import math
 
 import pytest
 
+from haulspark.operators import graph
 from haulspark.plans import domain, roads
 from haulspark.plans.carriers import carrier
 
@@ -76,3 +78,33 @@ def test_conflation_of_all_rows(spark, bridges):
     merged = domain.QUERIES["conflate_merge_all"](spark, SF).collect()
     assert len(merged) == len(a) + len(b) - len(taken) and sorted(r["o"] for r in merged if r["o"] is not None) == sorted(x["rid"] for x in a)
     assert sum(1 + r["dropped"] + (r["cell_flag"] == "cell_name_merge") for r in domain.QUERIES["collisions_all"](spark, SF).collect()) == len(merged)
+
+
+def dijkstra(edges, origin):
+    near = {}
+    for u, v, w in edges:
+        near.setdefault(u, []).append((v, w))
+        near.setdefault(v, []).append((u, w))
+    best, heap = {}, [(0.0, origin)]
+    while heap:
+        d, n = heapq.heappop(heap)
+        if n not in best:
+            best[n] = d
+            for m, w in near.get(n, ()):
+                heapq.heappush(heap, (d + w, m))
+    return best
+
+
+def test_shortest_paths_over_all_edges(spark):
+    edges = [(r["u"], r["v"], r["length_m"]) for r in carrier(spark, "/root/testdata/sf0.01", "v_edges").collect()]
+    nodes = {n for u, v, _ in edges for n in (u, v)}
+    want = {u: best[u + 37] for u in nodes if u + 37 in nodes and u + 37 in (best := dijkstra(edges, u))}
+    got = domain.QUERIES["shortest_path_all"](spark, "/root/testdata/sf0.01").collect()
+    assert max(want) > 45 and {r["pair_id"]: r["distance"] for r in got} == want and len(got) == len(want)
+
+
+def test_shortest_path_by_high_nodes(spark):
+    edges = [(0, 37, 50.0), (0, 90, 1.0), (90, 91, 1.0), (91, 37, 1.0), (5, 6, 1.0)]
+    e = spark.createDataFrame(edges, "u bigint, v bigint, length_m double")
+    pairs = spark.createDataFrame([(1, 0, 37), (2, 0, 6)], "pair_id int, origin bigint, goal bigint")
+    assert [tuple(r) for r in graph.shortest_paths(e, pairs).collect()] == [(1, 3.0, 3, [0, 90, 91, 37])]
