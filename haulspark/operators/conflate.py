@@ -50,6 +50,13 @@ def match_one_to_one(pairs: DataFrame) -> DataFrame:
     return out if out is not None else pairs.select("o", "f", "score").limit(0)
 
 
+def gray_ids(pairs: DataFrame, matches: DataFrame) -> DataFrame:
+    """(src, rid) of rows to flag gray: both ends of gray pairs, and of pairs good enough to merge that lost the matching."""
+    lost = pairs.where("band = 'merge'").select("o", "f").join(matches.select("o", "f"), ["o", "f"], "left_anti")
+    g = pairs.where("band = 'gray'").select("o", "f").unionByName(lost)
+    return g.select(F.lit("a").alias("src"), F.col("o").alias("rid")).union(g.select(F.lit("b"), "f")).distinct()
+
+
 def merge(a: DataFrame, b: DataFrame, matches: DataFrame, canonical_conf: float = 0.5) -> DataFrame:
     """Published rows: merged pairs, with the surer source's values first, and the rows that neither matched."""
     shared = [c for c in a.columns if c in b.columns and c not in ("rid", "conf", "observed_at")]

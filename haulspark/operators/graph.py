@@ -11,7 +11,7 @@ from haulspark.functions.geo import cut, line_length_m, locate
 from haulspark.functions.text import carries_route
 from haulspark.functions.units import clearance_in
 from haulspark.operators.components import components
-from haulspark.operators.spatial import dwithin
+from haulspark.operators.spatial import dwithin, line_pieces, lines_within
 from haulspark.session import checkpoint
 
 
@@ -166,6 +166,31 @@ def route(edges: DataFrame, limits: DataFrame, pairs: DataFrame, vehicle: Vehicl
     return shortest_paths(free, pairs)
 
 
+def snap_candidates(points: DataFrame, edges: DataFrame, point_id: str = "point_id", k: int = 60, max_access_m: float = 25_000.0, mainland: int = 1) -> DataFrame:
+    """(point_id, component, edge_id, access_m): the nearest edge of each component among a point's ``k`` nearest edges
+    and the nearest edge of the mainland, all within ``max_access_m``; ties to the smaller edge.
+
+    ``edges`` has edge_id, line and component.
+    """
+    near = lines_within(points, line_pieces(edges, "edge_id"), max_access_m, point_id, "edge_id").withColumnRenamed("dist_m", "access_m")
+    near = near.join(edges.select("edge_id", "component"), "edge_id")
+    order = Window.partitionBy(point_id).orderBy("access_m", "edge_id")
+    pool = near.withColumn("_n", F.row_number().over(order)).where((F.col("_n") <= k) | (F.col("component") == mainland))
+    return pool.groupBy(point_id, "component").agg(F.min(F.struct("access_m", "edge_id")).alias("b")).select(point_id, "component", "b.edge_id", "b.access_m")
+
+
+def path_status(pairs: DataFrame, nodes: DataFrame, paths: DataFrame, unlimited: DataFrame | None = None) -> DataFrame:
+    """(pair_id, status, distance) of every pair (pair_id, origin, goal): ok, not_on_network where an end is null or not
+    of ``nodes`` (node_id), no_compliant_path where only ``unlimited`` paths exist, else no_path."""
+    n = nodes.select("node_id").distinct()
+    end = lambda c: n.select(F.col("node_id").alias(c), F.lit(True).alias(f"_{c}"))
+    p = pairs.select("pair_id", "origin", "goal").join(end("origin"), "origin", "left").join(end("goal"), "goal", "left").join(paths.select("pair_id", "distance"), "pair_id", "left")
+    free = (paths if unlimited is None else unlimited).select("pair_id", F.lit(True).alias("_free"))
+    on = F.col("_origin").isNotNull() & F.col("_goal").isNotNull()
+    status = F.when(~on, "not_on_network").when(F.col("distance").isNotNull(), "ok").when(F.col("_free"), "no_compliant_path").otherwise("no_path")
+    return p.join(free, "pair_id", "left").select("pair_id", status.alias("status"), "distance")
+
+
 def snap_pairs(origins: DataFrame, goals: DataFrame) -> DataFrame:
     """For each pair_id the origin and goal candidates (node, component, access_m) of one component with the least
     access in sum; ties to the smaller nodes."""

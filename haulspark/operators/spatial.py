@@ -12,13 +12,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulspark.functions.geo import haversine_m
+from haulspark.functions.geo import haversine_m, segments
 from haulspark.session import checkpoint
 
 #: Below the sphere's metres per degree, so that a cell is never too small.
 METRES_PER_DEGREE = 110_000.0
 #: More than half the way around: every pair is within it.
 GLOBE_M = 2.1e7
+#: Lines are measured by straight pieces of so many degrees at most.
+PIECE_DEG = 0.25
 
 
 def _cell_size(radius_m: float, max_abs_lat: float) -> tuple[float, float]:
@@ -81,6 +83,54 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: i
         radius = min(GLOBE_M, radius * grow)
 
 
+def line_pieces(lines: DataFrame, line_id: str) -> DataFrame:
+    """(line_id, ax, ay, bx, by): lines in straight pieces of at most PIECE_DEG; a line of one point is one piece."""
+    line = F.filter("line", lambda p: p["lon"].isNotNull() & p["lat"].isNotNull())
+    s = lines.select(line_id, line.alias("line")).select(line_id, F.explode(segments(F.when(F.size("line") == 1, F.concat("line", "line")).otherwise(F.col("line")))).alias("s"))
+    dx, dy = F.col("s.b.lon") - F.col("s.a.lon"), F.col("s.b.lat") - F.col("s.a.lat")
+    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / PIECE_DEG)).cast("int")
+    s = s.select(line_id, F.col("s.a").alias("_a"), dx.alias("_dx"), dy.alias("_dy"), n.alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
+    x, y = (lambda j, p=p, d=d: F.col(f"_a.{p}") + F.col(d) * j / F.col("_n") for p, d in (("lon", "_dx"), ("lat", "_dy")))
+    i = F.col("_i")
+    return s.select(line_id, x(i).alias("ax"), y(i).alias("ay"), x(i + 1).alias("bx"), y(i + 1).alias("by"))
+
+
+def lines_within(points: DataFrame, pieces: DataFrame, radius_m: float, point_id: str, line_id: str, max_abs_lat: float = 72.0) -> DataFrame:
+    """(point_id, line_id, dist_m): every line of ``pieces`` (of line_pieces) within the radius of a point, once.
+
+    Pieces are dealt to the cells that their boxes touch, points to the 3x3 cells around them.
+    """
+    size = _cell_size(radius_m, max_abs_lat)
+    px, py = _cells(F.col("lon"), F.col("lat"), size)
+    around = F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((px + i % 3 - 1).alias("cx"), (py + F.floor(i / 3) - 1).alias("cy"))))
+    p = points.where("lon is not null and lat is not null").select(point_id, "lon", "lat", around.alias("c")).select(point_id, "lon", "lat", "c.cx", "c.cy")
+    low, high = _cells(F.least("ax", "bx"), F.least("ay", "by"), size), _cells(F.greatest("ax", "bx"), F.greatest("ay", "by"), size)
+    dealt = pieces.withColumn("cx", F.explode(F.sequence(low[0], high[0]))).withColumn("cy", F.explode(F.sequence(low[1], high[1])))
+    k = F.cos(F.radians("lat"))  # degrees of longitude shrink with the latitude
+    ux, uy, dx, dy = (F.col("ax") - F.col("lon")) * k, F.col("ay") - F.col("lat"), (F.col("bx") - F.col("ax")) * k, F.col("by") - F.col("ay")
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ux * dx + uy * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
+    d = haversine_m(F.col("lon"), F.col("lat"), F.col("ax") + t * (F.col("bx") - F.col("ax")), F.col("ay") + t * (F.col("by") - F.col("ay")))
+    near = p.join(dealt, ["cx", "cy"]).withColumn("dist_m", d).where(F.col("dist_m") <= radius_m)
+    return near.groupBy(point_id, line_id).agg(F.min("dist_m").alias("dist_m"))
+
+
+def nearest_line(points: DataFrame, lines: DataFrame, point_id: str, line_id: str, start_m: float = 10_000.0, grow: float = 4.0) -> DataFrame:
+    """(point_id, line_id, dist_m): the nearest line (line_id, line) of every point, without a radius; ties to the smaller id.
+
+    Cells grow as in ``nearest``, and only points without a line so far go on.
+    """
+    pieces, radius, out = checkpoint(line_pieces(lines, line_id)), start_m, None
+    todo = checkpoint(points.where("lon is not null and lat is not null").select(point_id, "lon", "lat"))
+    while True:
+        best = F.min(F.struct("dist_m", line_id)).alias("b")
+        found = checkpoint(lines_within(todo, pieces, radius, point_id, line_id).groupBy(point_id).agg(best).select(point_id, f"b.{line_id}", "b.dist_m"))
+        out = found if out is None else out.unionByName(found)
+        todo = checkpoint(todo.join(found, point_id, "left_anti"))
+        if radius >= GLOBE_M or todo.isEmpty():
+            return out
+        radius = min(GLOBE_M, radius * grow)
+
+
 def density_grid(points: DataFrame, cell_deg: float) -> DataFrame:
     """Cells of a grid with the count and centroid of their points; counts sum to the rows with coordinates."""
     from haulspark.functions.geo import grid_cell

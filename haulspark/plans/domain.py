@@ -736,6 +736,32 @@ def station_state(spark, sf):
     return carrier(spark, sf, "v_bridges").select("nbi_id", F.coalesce(own, place, near).alias("state"), src.alias("state_source"))
 
 
+@query("station_state_all")
+def station_state_all(spark, sf):
+    """As station_state, with the state of the truly nearest edge (that of its first node) where no source names one."""
+    b, k = carrier(spark, sf, "v_bridges"), F.col("nbi_id")
+    own, place = F.when(k % 3 == 0, "TX"), F.when(k % 3 == 1, F.col("posting"))
+    s = b.select("nbi_id", "lon", "lat", own.alias("own"), place.alias("place"))
+    near = spatial.nearest_line(s.where("own is null and place is null"), _graph_lines(spark, sf), "nbi_id", "edge_id")
+    states = carrier(spark, sf, "v_edges").join(carrier(spark, sf, "v_places").select(F.col("place_id").alias("u"), F.col("state").alias("near")), "u").select("edge_id", "near")
+    s = s.join(near.join(states, "edge_id").select("nbi_id", "near"), "nbi_id", "left")
+    src = F.when(F.col("own").isNotNull(), "osm").when(F.col("place").isNotNull(), "overture").when(F.col("near").isNotNull(), "nearest truck route")
+    return s.select("nbi_id", F.coalesce("own", "place", "near").alias("state"), src.alias("state_source"))
+
+
+@query("snap_candidates_all")
+def snap_candidates_all(spark, sf):
+    parts = graph.ranked_components(carrier(spark, sf, "v_edges")).select(F.col("node_id").alias("u"), "component")
+    lines = _graph_lines(spark, sf).join(carrier(spark, sf, "v_edges").select("edge_id", "u").join(parts, "u").select("edge_id", "component"), "edge_id")
+    return graph.snap_candidates(carrier(spark, sf, "v_bridges").select("nbi_id", "lon", "lat"), lines, "nbi_id").select("nbi_id", "component", "edge_id", F.round("access_m", 1).alias("access_m"))
+
+
+@query("conflate_gray_all")
+def conflate_gray_all(spark, sf):
+    p = _pairs(spark, sf, "v_all")
+    return conflate.gray_ids(p, conflate.match_one_to_one(p.where("band = 'merge'")))
+
+
 @query("window_84d", "SELECT region, week_of, price FROM {v_prices} WHERE week_of >= (SELECT max(week_of) FROM {v_prices}) - 84")
 def window_84d(spark, sf):
     p = carrier(spark, sf, "v_prices").select("region", "week_of", "price")

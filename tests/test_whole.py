@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from haulspark.operators import graph
+from haulspark.operators import conflate, graph, spatial
 from haulspark.plans import domain, roads
 from haulspark.plans.carriers import carrier
 
@@ -108,3 +108,53 @@ def test_shortest_path_by_high_nodes(spark):
     e = spark.createDataFrame(edges, "u bigint, v bigint, length_m double")
     pairs = spark.createDataFrame([(1, 0, 37), (2, 0, 6)], "pair_id int, origin bigint, goal bigint")
     assert [tuple(r) for r in graph.shortest_paths(e, pairs).collect()] == [(1, 3.0, 3, [0, 90, 91, 37])]
+
+
+LINE = "array<struct<lon:double,lat:double>>"
+
+
+def off_line(p, line, n=4000):
+    """Metres from a point to a line, by closely set points on it."""
+    spots = [(a[0] + (b[0] - a[0]) * i / n, a[1] + (b[1] - a[1]) * i / n) for a, b in zip(line, line[1:] or line) for i in range(n + 1)]
+    return min(metres(p, {"lon": x, "lat": y}) for x, y in spots)
+
+
+def test_nearest_line(spark):
+    lines = [(1, [(-120.0, 30.0), (-80.0, 45.0)]), (2, [(-100.0, 31.0), (-99.0, 31.2), (-99.0, 33.0)]), (3, [(-70.0, 45.0)]), (4, [(-99.0, 33.0), (-98.0, 33.0)]), (5, [])]
+    points = [(1, -99.5, 31.0), (2, -99.1, 32.0), (3, -71.0, 44.0), (4, -110.0, 33.0), (5, -99.0, 33.2), (6, None, None), (7, 20.0, -30.0)]
+    got = {r["p"]: (r["i"], r["dist_m"]) for r in spatial.nearest_line(spark.createDataFrame(points, "p int, lon double, lat double"), spark.createDataFrame(lines, f"i int, line {LINE}"), "p", "i").collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 7}
+    for p, x, y in points:
+        if x is not None:
+            d, i = min((round(off_line({"lon": x, "lat": y}, line), 0), i) for i, line in lines if line)
+            assert got[p][0] == i and got[p][1] == pytest.approx(d, abs=max(30, 1e-4 * d))
+
+
+def test_station_state_is_computed(spark):
+    got = {r["nbi_id"]: r for r in domain.QUERIES["station_state_all"](spark, SF).collect()}
+    at = {p["place_id"]: p for p in carrier(spark, SF, "v_places").collect()}
+    edges = [(r["u"], r["edge_id"], [(at[n]["lon"], at[n]["lat"]) for n in (r["u"], r["v"])]) for r in carrier(spark, SF, "v_edges").collect() if r["u"] in at and r["v"] in at]
+    left = [b for b in carrier(spark, SF, "v_bridges").collect() if b["nbi_id"] % 3 == 2 or b["nbi_id"] % 3 == 1 and b["posting"] is None]
+    for b in left[:12]:
+        assert got[b["nbi_id"]]["state"] == at[min((off_line(b, line), k, u) for u, k, line in edges)[2]]["state"]
+    assert len(left) > 5 and {got[b["nbi_id"]]["state_source"] for b in left} == {"nearest truck route"} and "NEAR" not in {r["state"] for r in got.values()}
+
+
+def test_snap_candidates(spark):
+    stubs = [(i, [(-100.0, 40.0 + i / 1e4), (-99.99, 40.0 + i / 1e4)], 2) for i in range(70)]
+    e = spark.createDataFrame([*stubs, (100, [(-100.0, 40.1), (-99.0, 40.1)], 1), (101, [(-100.0, 40.15), (-99.0, 40.15)], 1), (102, [(-100.0, 40.12), (-99.0, 40.12)], 3)], f"edge_id int, line {LINE}, component int")
+    got = graph.snap_candidates(spark.createDataFrame([(1, -99.995, 39.999), (2, -90.0, 40.0)], "point_id int, lon double, lat double"), e).collect()
+    assert sorted((r["point_id"], r["component"], r["edge_id"]) for r in got) == [(1, 1, 100), (1, 2, 0)]  # 3 is beyond the 60 nearest
+
+
+def test_path_status(spark):
+    pairs = spark.createDataFrame([(1, 1, 2), (2, 1, 3), (3, 1, 99), (4, None, 1), (5, 2, 3)], "pair_id int, origin bigint, goal bigint")
+    paths = lambda *ids: spark.createDataFrame([(i, 5.0) for i in ids], "pair_id int, distance double")
+    got = graph.path_status(pairs, spark.createDataFrame([(1,), (2,), (3,)], "node_id bigint"), paths(1), paths(1, 5)).collect()
+    assert {r["pair_id"]: r["status"] for r in got} == {1: "ok", 2: "no_path", 3: "not_on_network", 4: "not_on_network", 5: "no_compliant_path"}
+
+
+def test_losers_of_the_matching_are_gray(spark):
+    p = spark.createDataFrame([(1, 1, 0.95, "merge"), (1, 2, 0.9, "merge"), (3, 3, 0.6, "gray"), (4, 4, 0.2, "distinct")], "o bigint, f bigint, score double, band string")
+    got = conflate.gray_ids(p, conflate.match_one_to_one(p.where("band = 'merge'"))).collect()
+    assert sorted(map(tuple, got)) == [("a", 1), ("a", 3), ("b", 2), ("b", 3)]
