@@ -10,6 +10,7 @@ word beginnings with a probability each, found by greedy cover on a bounded samp
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import string
@@ -33,6 +34,8 @@ EDGES = string.punctuation + "…“”‘’«»¡¿–—"
 LETTERS = re.compile(r"[^\W\d_]+")
 TRIPLE = re.compile(r"(.)\1\1")
 SPACED = re.compile(r"(?<!\S)[^\s.,_*-](?:[ .,_*-]{1,3}[^\s.,_*-](?![^\s.,_*-])){2,}")
+SPACED_LETTER = re.compile(r"([^\s.,_*-])([ .,_*-]*)")
+LONG_RUN = re.compile(r"(.)\1{3,}")
 #: Costs of the channel, as log probabilities.
 SWAP, SAME, DROP, LOSE, ONCE, TWICE, PAIR = -1.0, -2.5, -1.5, -4.0, -0.5, -1.0, -3.0  # LOSE: a sign that may be a letter
 #: Signs at a token's start and end that may be letters rather than punctuation.
@@ -41,7 +44,7 @@ LEAD, TRAIL = "$@!|+*", "$@*+"
 TRIGRAMS = 200_000
 #: How many features of different beginnings are to explain each toxic text of the sample, where it has as many.
 COVER = 3
-#: A longer token is restored in pieces of this length that overlap by half, so that time stays linear.
+#: Longer tokens don't count for the language model.
 LONGEST_TOKEN = 40
 
 
@@ -73,39 +76,69 @@ class Language:
         return s
 
 
+@functools.cache
+def _edges(c: str, run: int) -> list[tuple[int, str, float]]:
+    """What a character may stand for that is followed by itself up to ``run`` times, counted with it."""
+    edges = []
+    for x in LOOKALIKE.get(c, ""):
+        edges.append((1, x, SWAP - 0.3 * (len(LOOKALIKE[c]) - 1)))
+        if run > 1:
+            edges.append((run, x, SWAP - 0.5))
+    if c.isalpha():
+        edges.append((1, c, 0.0 if c not in LOOKALIKE else SAME))
+        if run > 1:
+            edges += [(run, c, ONCE if run > 2 else PAIR)] + [(run, c + c, TWICE)] * (run > 2)
+    elif c.isdigit():
+        edges.append((1, c, SAME))
+    else:
+        edges += [(1, "", LOSE if c in LOOKALIKE else DROP), (1, " ", SAME)]
+        if run > 1:
+            edges.append((run, "", DROP))
+    return edges
+
+
 def lattice(token: str) -> list[list[tuple[int, str, float]]]:
     """For each place of a token, edges (characters used up, text, log probability)."""
-    out = []
-    for i, c in enumerate(token):
-        run = 1
-        while i + run < len(token) and token[i + run] == c:
-            run += 1
-        edges = []
-        for x in LOOKALIKE.get(c, ""):
-            edges.append((1, x, SWAP - 0.3 * (len(LOOKALIKE[c]) - 1)))
-            if run > 1:
-                edges.append((run, x, SWAP - 0.5))
-        if c.isalpha():
-            edges.append((1, c, 0.0 if c not in LOOKALIKE else SAME))
-            if run > 1:
-                edges += [(run, c, ONCE if run > 2 else PAIR)] + [(run, c + c, TWICE)] * (run > 2)
-        elif c.isdigit():
-            edges.append((1, c, SAME))
+    out, run = [], 0
+    for i in range(len(token) - 1, -1, -1):
+        run = run + 1 if token[i : i + 1] == token[i + 1 : i + 2] else 1
+        out.append(_edges(token[i], run))
+    return out[::-1]
+
+
+def spaced_lattice(text: str) -> tuple[str, list[list[tuple[int, str, float]]]]:
+    """The letters of a run of single letters, and their lattice: what stands between two letters is nothing or a
+    space.  A letter repeated more than three times, spaced out or not, counts as three."""
+    letters, gaps = [], []
+    for m in SPACED_LETTER.finditer(text):
+        if letters[-3:] == [m[1]] * 3:
+            gaps[-1] = len(m[2])
         else:
-            edges += [(1, "", LOSE if c in LOOKALIKE else DROP), (1, " ", SAME)]
-            if run > 1:
-                edges.append((run, "", DROP))
-        out.append(edges)
-    return out
+            letters.append(m[1])
+            gaps.append(len(m[2]))
+    whole, out = "".join(letters), []
+    for i, edges in enumerate(lattice(whole)):
+        out.append([])
+        for used, new, cost in edges:
+            if used == 2:  # a pair of letters that were set apart is meant as one
+                continue
+            gap = gaps[i + used - 1]
+            out[-1].append((used, new, cost - 0.1 * gap))
+            if gap:
+                out[-1].append((used, new + " ", cost - 4.0 - 0.1 * (gap - 1)))
+    return whole, out
 
 
 def viterbi(edges: list[list[tuple[int, str, float]]], language: Language) -> str:
-    """The likeliest text through the lattice; a state is a place and the last two characters."""
+    """The likeliest text through the lattice; a state is a place and the last two characters.
+
+    A state keeps its last piece of text and the state before, so that time is linear in the length and what no state
+    leads back to is freed.
+    """
     n = len(edges)
-    at: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 1)]
-    at[0] = {"  ": (0.0, "")}
+    at: dict[int, dict[str, tuple[float, tuple | None]]] = {0: {"  ": (0.0, None)}}
     for i in range(n):
-        for state, (score, text) in sorted(at[i].items(), key=lambda x: -x[1][0])[:64]:
+        for state, (score, back) in sorted(at.pop(i, {}).items(), key=lambda x: -x[1][0])[:64]:
             for used, new, cost in edges[i]:
                 s, before = score + cost, state
                 for c in new:
@@ -113,24 +146,36 @@ def viterbi(edges: list[list[tuple[int, str, float]]], language: Language) -> st
                         continue
                     s += language.score(before, c)
                     before = before[1] + c
-                old = at[i + used].get(before)
+                to = at.setdefault(i + used, {})
+                old = to.get(before)
                 if old is None or s > old[0]:
-                    at[i + used][before] = (s, text + new)
-    best = max(((s + language.score(b, " "), t) for b, (s, t) in at[n].items()), default=(0.0, ""))
-    return best[1]
+                    to[before] = (s, (back, new) if new else back)
+    end = at.get(n, {})
+    if not end:
+        return ""
+    # of equal scores the greatest text, as for whole texts
+    best = max(s + language.score(b, " ") for b, (s, _) in end.items())
+    return max(_text(back) for b, (s, back) in end.items() if s + language.score(b, " ") == best)
+
+
+def _text(back: tuple | None) -> str:
+    out = []
+    while back:
+        back, new = back
+        out.append(new)
+    return "".join(reversed(out))
 
 
-def pieces(token: str) -> list[str]:
-    """A token, or overlapping parts of a long one: any word of up to half the length lies whole in one of them."""
-    half = LONGEST_TOKEN // 2
-    return [token] if len(token) <= LONGEST_TOKEN else [token[i : i + LONGEST_TOKEN] for i in range(0, len(token) - half, half)]
+def squeeze(token: str) -> str:
+    """A token with no character more than three times in a row: more say no more."""
+    return LONG_RUN.sub(r"\1\1\1", token)
 
 
 def restore(token: str, language: Language) -> str:
     """The likeliest text of a lower-case token; plain words are what they are."""
     if token.isalpha() and not TRIPLE.search(token):
         return token
-    return " ".join(viterbi(lattice(p), language) for p in pieces(token))
+    return viterbi(lattice(squeeze(token)), language)
 
 
 def words_of(token: str, language: Language) -> set[str]:
@@ -151,9 +196,7 @@ def spaced_words(text: str, language: Language) -> set[str]:
     """Words of runs of single letters, restored."""
     found: set[str] = set()
     for m in SPACED.finditer(text):
-        for run in pieces(m[0]):
-            edges = [[(1, "", -0.1), (1, " ", -4.0)] if c in " .,_*-" else e for c, e in zip(run, lattice(run), strict=True)]
-            found.update(LETTERS.findall(viterbi(edges, language)))
+        found.update(LETTERS.findall(viterbi(spaced_lattice(m[0])[1], language)))
     return found
 
 

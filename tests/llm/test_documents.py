@@ -279,3 +279,19 @@ def test_held_out_pages_are_labelled_right():
                 right += (p[id(x)] > 0.5) == (id(x) in content)
             stack += x.children
     assert right / n > 0.95
+
+
+def test_long_disguises_are_restored_whole():
+    words = "nobody wants stupid worthless people".split()
+    counts: dict[str, float] = {}
+    for w in words:
+        for k in range(len(w) + 1):
+            g = f"  {w} "[k : k + 3]
+            counts[g] = counts.get(g, 0) + 20
+    language = toxicity.Language(counts)
+    assert "stupid" in toxicity.words_of("st" + 45 * "u" + "pid", language)
+    assert "stupid" in toxicity.words_of("s" + 30 * "." + "tu" + 3000 * "." + "p" + 30 * "1" + "d", language)
+    for gap in (" - ", " ", "."):
+        text = "  ".join(gap.join(w) for w in words) if gap == " " else gap.join("".join(words))
+        assert {"stupid", "worthless"} <= toxicity.spaced_words(text, language), gap
+    assert "stupid" in toxicity.spaced_words("s t " + 40 * "u " + "p i d", language)
