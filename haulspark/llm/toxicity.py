@@ -10,16 +10,22 @@ word beginnings with a probability each, found by greedy cover on a bounded samp
 
 from __future__ import annotations
 
+import atexit
+import bisect
 import functools
 import math
 import re
+import shutil
 import string
+import tempfile
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +46,10 @@ LONG_RUN = re.compile(r"(.)\1{3,}")
 SWAP, SAME, DROP, LOSE, ONCE, TWICE, PAIR = -1.0, -2.5, -1.5, -4.0, -0.5, -1.0, -3.0  # LOSE: a sign that may be a letter
 #: Signs at a token's start and end that may be letters rather than punctuation.
 LEAD, TRAIL = "$@!|+*", "$@*+"
-#: Trigrams kept from a task and in the model: their number has this bound, whatever the alphabets.
-TRIGRAMS = 200_000
+#: Words or trigrams that a task holds before it sends their sums on, and scores that it remembers.
+HELD, MEMO = 200_000, 1_000_000
 #: How many features of different beginnings are to explain each toxic text of the sample, where it has as many.
 COVER = 3
-#: Longer tokens don't count for the language model.
-LONGEST_TOKEN = 40
 
 
 class Language:
@@ -66,16 +70,54 @@ class Language:
         self.total = sum(self.one.values()) + 1.0
         self.memo: dict[str, float] = {}
 
+    def sums(self, g: str) -> tuple[float, float, float, float, float]:
+        """Counts of a trigram, of its first two characters, its last two, its middle one and its last one."""
+        return self.three.get(g, 0.0), self.two[g[:2]], self.pair[g[1:]], self.mid[g[1]], self.one[g[2]]
+
     def score(self, before: str, c: str) -> float:
         """log P(c | two characters before it)."""
         g = before + c
         if (s := self.memo.get(g)) is None:
-            p1 = (self.one[c] + 0.1) / (self.total + 100)
-            p2 = (self.pair[g[1:]] + 5 * p1) / (self.mid[g[1]] + 5)
-            s = self.memo[g] = math.log((self.three.get(g, 0.0) + 2 * p2) / (self.two[g[:2]] + 2))
+            three, two, pair, mid, one = self.sums(g)
+            p1 = (one + 0.1) / (self.total + 100)
+            p2 = (pair + 5 * p1) / (mid + 5)
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            s = self.memo[g] = math.log((three + 2 * p2) / (two + 2))
         return s
 
 
+class StoredLanguage(Language):
+    """The same model over a file of sorted tables, which is mapped into memory and not read as a whole.
+
+    Each table is keys and running sums: trigrams, pairs of their last two characters, last characters.  Counts of
+    what begins alike are differences of the running sums.
+    """
+
+    def __init__(self, path: str):
+        sizes = np.fromfile(path, "<i8", 3)
+        at, self.tables = 24, []
+        for n in sizes.tolist():
+            keys, upto = (np.memmap(path, "<i8", "r", at + 8 * k * n, (n,)) if n else np.zeros(0, np.int64) for k in (0, 1))
+            self.tables.append((keys, upto))
+            at += 16 * n
+        last = self.tables[2][1]
+        self.total = (int(last[-1]) if len(last) else 0) + 1.0
+        self.memo: dict[str, float] = {}
+
+    def _between(self, table: int, low: int, high: int) -> float:
+        """Counts of the keys from ``low`` up to, not including, ``high``."""
+        keys, upto = self.tables[table]
+        i, j = bisect.bisect_left(keys, low), bisect.bisect_left(keys, high)
+        return float(int(upto[j - 1]) - (int(upto[i - 1]) if i else 0)) if j > i else 0.0
+
+    def sums(self, g: str) -> tuple[float, float, float, float, float]:
+        a, b, c = map(ord, g)
+        ab, bc = a << 21 | b, b << 21 | c
+        key = ab << 21 | c
+        return self._between(0, key, key + 1), self._between(0, ab << 21, (ab + 1) << 21), self._between(1, bc, bc + 1), self._between(1, b << 21, (b + 1) << 21), self._between(2, c, c + 1)
+
+
 @functools.cache
 def _edges(c: str, run: int) -> list[tuple[int, str, float]]:
     """What a character may stand for that is followed by itself up to ``run`` times, counted with it."""
@@ -227,8 +269,12 @@ class Reader:
 # ---- training --------------------------------------------------------------------------------------------
 
 
-def language_model(docs: DataFrame, text_col: str = "text") -> Language:
-    """Trigram counts of all documents' words; each task sends sums over its distinct words."""
+def language_model(docs: DataFrame, text_col: str = "text") -> str:
+    """Counts the character trigrams of all documents' words and gives the name of the model's file, see ``model``.
+
+    No word and no trigram is left out: what a task holds is sent on and summed, never dropped, so the counts are
+    whole numbers that don't depend on the partitioning.
+    """
 
     def make():
         words: Counter = Counter()
@@ -237,43 +283,80 @@ def language_model(docs: DataFrame, text_col: str = "text") -> Language:
         def fold():
             if not words:
                 return
-            order = [w for w in words if len(w) <= LONGEST_TOKEN]
+            order = list(words)
             chars = np.frombuffer(("  " + "  ".join(order) + "  ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
             codes = chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:]
-            weight = np.repeat(np.array([math.sqrt(words[w]) for w in order]), [len(w) + 2 for w in order])
-            weight = np.concatenate([weight, np.zeros(len(codes) - len(weight))])
+            times = np.repeat(np.array([words[w] for w in order], float), [len(w) + 2 for w in order])
+            times = np.concatenate([times, np.zeros(len(codes) - len(times))])
             kinds, where = np.unique(codes, return_inverse=True)
-            for k, n in zip(kinds.tolist(), np.bincount(where, weight).tolist(), strict=True):
+            for k, n in zip(kinds.tolist(), np.bincount(where, times).astype(np.int64).tolist(), strict=True):
                 sums[k] += n
             words.clear()
-            if len(sums) > 2 * TRIGRAMS:
-                for k, _ in sums.most_common()[TRIGRAMS:]:
-                    del sums[k]
+
+        def send():
+            if sums:
+                yield {"g": list(sums), "n": list(sums.values())}
+                sums.clear()
 
         def step(b: pa.RecordBatch):
             for text in b.column(0).to_pylist():
                 if text:
                     words.update(text.lower().split())
-                    if len(words) > 200_000:
-                        fold()
-            return ()
+            if len(words) > HELD or sum(map(len, words)) > 20 * HELD:
+                fold()
+            if len(sums) > HELD:
+                yield from send()
 
         def end():
             fold()
-            top = sums.most_common(TRIGRAMS)
-            if top:
-                yield {"g": [k for k, _ in top], "n": [float(n) for _, n in top]}
+            yield from send()
 
         step.end = end
         return step
 
-    grams = map_batches(narrow(docs, text=text_col), make, "g bigint, n double").groupBy("g").agg(F.sum("n").alias("n"))
-    rows = grams.orderBy(F.desc("n"), "g").limit(TRIGRAMS).collect()
-    three = lambda g: "".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0))
-    return Language({three(r["g"]): r["n"] for r in rows if not 0xD800 <= (r["g"] & 0x1FFFFF) < 0xE000})
-
-
-def fit(docs: DataFrame, labels: DataFrame, language: Language, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 3000, max_clean: int = 9000) -> tuple[dict[str, float], float]:
+    grams = map_batches(narrow(docs, text=text_col), make, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    grams = checkpoint(grams.where("n > 0"))
+    pairs = checkpoint(grams.groupBy(F.col("g").bitwiseAND(F.lit((1 << 42) - 1)).alias("g")).agg(F.sum("n").alias("n")))
+    ones = pairs.groupBy(F.col("g").bitwiseAND(F.lit((1 << 21) - 1)).alias("g")).agg(F.sum("n").alias("n"))
+    return _store(grams, pairs, ones)
+
+
+def _store(*tables: DataFrame) -> str:
+    """Writes sorted keys and running sums to a file that Spark ships to all executors; the driver holds a part of a
+    table at a time."""
+    sc = tables[0].sparkSession.sparkContext
+    folder = tempfile.mkdtemp(prefix="haulspark-language-")
+    atexit.register(shutil.rmtree, folder, True)
+    name = f"language-{uuid.uuid4().hex}"
+    sizes = []
+    with open(f"{folder}/{name}", "wb") as out, tempfile.TemporaryFile(dir=folder) as held:
+        out.write(bytes(24))
+        for t in tables:
+            n = upto = 0
+            held.seek(0)
+            held.truncate()
+            packed = map_batches(t.orderBy("g"), lambda: lambda b: iter([{"g": [b.column(0).to_numpy().astype("<i8").tobytes()], "n": [b.column(1).to_numpy().astype("<i8").tobytes()]}]), "g binary, n binary")
+            for r in packed.toLocalIterator():
+                sums = np.cumsum(np.frombuffer(r["n"], "<i8")) + upto
+                upto = int(sums[-1])
+                n += len(sums)
+                out.write(r["g"])
+                held.write(sums.astype("<i8").tobytes())
+            held.seek(0)
+            shutil.copyfileobj(held, out)
+            sizes.append(n)
+        out.seek(0)
+        out.write(np.array(sizes, "<i8").tobytes())
+    sc.addFile(f"{folder}/{name}")
+    return name
+
+
+def model(name: str) -> Language:
+    """The language model of a name, on the driver or in a task."""
+    return StoredLanguage(SparkFiles.get(name))
+
+
+def fit(docs: DataFrame, labels: DataFrame, language: str, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 3000, max_clean: int = 9000) -> tuple[dict[str, float], float]:
     """Features with their probabilities, and the probability without any.
 
     Learns from at most ``max_toxic`` and ``max_clean`` rows, chosen by a hash of the id among those whose
@@ -289,11 +372,10 @@ def fit(docs: DataFrame, labels: DataFrame, language: Language, id_col: str = "d
     chosen = y.where("y = 1").orderBy(order).limit(max_toxic).unionByName(y.where("y = 0").orderBy(order).limit(max_clean))
     text = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sample = checkpoint(text.join(F.broadcast(chosen), "doc_id").where("text is not null").repartition(4 * spark.sparkContext.defaultParallelism))
-    shared = spark.sparkContext.broadcast(language.three)
 
     def found(texts: list[str]):
         """The distinct features of each text."""
-        reader = Reader(Language(shared.value), lambda words: [f for w in words for f in features(w)])
+        reader = Reader(model(language), lambda words: [f for w in words for f in features(w)])
         for t in texts:
             yield set().union(*reader.values(t))
 
@@ -357,13 +439,13 @@ def fit(docs: DataFrame, labels: DataFrame, language: Language, id_col: str = "d
     return out, min(0.4, base)
 
 
-def score(docs: DataFrame, weights: dict[str, float], base: float, language: Language, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, weights: dict[str, float], base: float, language: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``toxicity`` (0 to 1) added; null and empty texts get ``base``.
 
     The score is the noisy-or of the distinct features that the restored text has.
     """
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((language.three, weights, base))
+    shared = docs.sparkSession.sparkContext.broadcast((language, weights, base))
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     name = next(n for n in ("toxicity", *(f"toxicity_{i}" for i in range(len(docs.columns)))) if n not in docs.columns)
@@ -371,8 +453,8 @@ def score(docs: DataFrame, weights: dict[str, float], base: float, language: Lan
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        three, p, none = shared.value
-        reader = Reader(Language(three), lambda words: tuple(f for w in words for f in features(w) if f in p))
+        name, p, none = shared.value
+        reader = Reader(model(name), lambda words: tuple(f for w in words for f in features(w) if f in p))
         for b in batches:
             scores = []
             for text in b.column(place).to_pylist():

@@ -295,3 +295,24 @@ def test_long_disguises_are_restored_whole():
         text = "  ".join(gap.join(w) for w in words) if gap == " " else gap.join("".join(words))
         assert {"stupid", "worthless"} <= toxicity.spaced_words(text, language), gap
     assert "stupid" in toxicity.spaced_words("s t " + 40 * "u " + "p i d", language)
+
+
+def test_language_model_counts_everything(spark):
+    r = random.Random(3)
+    texts = ["the cat sat " * 9 + "".join(chr(0x4E00 + r.randrange(6000)) for _ in range(700)) for _ in range(400)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    counts, words = {}, {}
+    for t in texts:
+        for w in t.lower().split():
+            words[w] = words.get(w, 0) + 1
+    for w, n in words.items():
+        for k in range(len(w) + 2):
+            g = ("  " + w + "  ")[k : k + 3]
+            counts[g] = counts.get(g, 0) + n
+    assert len(counts) > 200_000
+    want = toxicity.Language(counts)
+    for parts in (1, 7):
+        got = toxicity.model(toxicity.language_model(d.repartition(parts)))
+        assert len(got.tables[0][0]) == len(counts) and got.total == pytest.approx(want.total)
+        for g in [*r.sample(sorted(counts), 300), "zzz", " th", "\U0010ffff  "]:
+            assert got.sums(g) == pytest.approx(want.sums(g)) and got.score(g[:2], g[2]) == pytest.approx(want.score(g[:2], g[2]))
