@@ -28,6 +28,8 @@ BANDS, ROWS = 50, 6
 SKETCH, STEP = 64, 16
 #: A block of a candidate group holds about so many texts and n-grams at most.
 BLOCK_TEXTS, BLOCK_GRAMS = 4096, 1_000_000
+#: Bands that a task remembers, so that a large group is a few rows of it.
+KEPT_BANDS = 500_000
 EDGES = string.punctuation + "…“”‘’«»¡¿–—"
 SEED = 1
 
@@ -213,43 +215,72 @@ def _node(key) -> F.Column:
     return F.xxhash64(key)
 
 
+def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest node that each of 0..n-1 is connected to by the edges (u, v)."""
+    label = np.arange(n)
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, their roots, and the edges (node, root) of a spanning forest: one for each node that is no root."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    roots = _roots(len(nodes), at[: len(u)], at[len(u) :])
+    other = roots != np.arange(len(nodes))
+    return nodes, nodes[roots], nodes[other], nodes[roots[other]]
+
+
 def _candidate_edges(sketched: DataFrame) -> DataFrame:
-    """(u, v): each text with the first seen of its band's texts, in a batch and then among the batches."""
+    """(u, v) that connect texts with a band in common: a batch's texts hang on a root each, with one edge a text;
+    then the roots, with their bands, hang on each other."""
 
     def local():
         def step(b: pa.RecordBatch):
             node = b.column(0).to_numpy(zero_copy_only=False)
-            bands = b.column(1)
-            flat = bands.flatten().to_numpy(zero_copy_only=False)
-            if not len(flat):
-                return
-            counts = np.diff(bands.offsets.to_numpy()) if bands.null_count == 0 else np.array([len(x) if x is not None else 0 for x in bands.to_pylist()])
-            who = np.repeat(node, counts)
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            who = np.repeat(node, BANDS)
             order = np.lexsort((who, flat))
             flat, who = flat[order], who[order]
-            head = np.concatenate([[True], flat[1:] != flat[:-1]])
-            lead = who[np.flatnonzero(head)][np.cumsum(head) - 1]
-            other = who != lead
-            pairs = np.unique(np.stack([who[other], lead[other]], 1), axis=0)
-            yield {"band": [*flat[head].tolist(), *[None] * len(pairs)], "u": [*who[head].tolist(), *pairs[:, 0].tolist()], "v": [*[None] * int(head.sum()), *pairs[:, 1].tolist()]}
-
+            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+            size = np.diff([*first, len(flat)])
+            nodes, roots, u, v = _forest(who, np.repeat(who[first], size))
+            band, root = flat[first], roots[np.searchsorted(nodes, who[first])]
+            # a band that several texts of an earlier batch had is likely to come again: hang on that batch's root
+            at = np.minimum(np.searchsorted(step.band, band), len(step.band) - 1)
+            met = step.band[at] == band
+            _, _, u2, v2 = _forest(root[met], step.root[at[met]])
+            often = (size > 1) & ~met
+            if len(step.band) > KEPT_BANDS:
+                step.band, step.root = step.band[:1], step.root[:1]
+            step.band, new = np.unique(np.concatenate([step.band, band[often]]), return_index=True)
+            step.root = np.concatenate([step.root, root[often]])[new]
+            band, root = band[~met], root[~met]
+            links = len(u) + len(u2)
+            yield {"band": pa.array([*band.tolist(), *[None] * links], pa.int64()), "u": np.concatenate([root, u, u2]), "v": pa.array([*[None] * len(band), *v.tolist(), *v2.tolist()], pa.int64())}
+
+        step.band, step.root = np.array([np.iinfo(np.int64).max]), np.zeros(1, np.int64)
         return step
 
     def across():
         def step(b: pa.RecordBatch):
             band, u = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            out_u, out_v = [], []
             head = np.concatenate([[band[0] != step.band], band[1:] != band[:-1]])
-            lead = np.where(head, u, 0)
             at = np.maximum.accumulate(np.where(head, np.arange(len(u)), -1))
             lead = np.where(at >= 0, u[np.maximum(at, 0)], step.lead)
+            step.band, step.lead = band[-1], lead[-1]
             other = lead != u
             if other.any():
-                pairs = np.unique(np.stack([u[other], lead[other]], 1), axis=0)
-                out_u, out_v = pairs[:, 0].tolist(), pairs[:, 1].tolist()
-            step.band, step.lead = band[-1], lead[-1]
-            if out_u:
-                yield {"u": out_u, "v": out_v}
+                _, _, u, v = _forest(u[other], lead[other])
+                yield {"u": u, "v": v}
 
         step.band, step.lead = None, 0
         return step
@@ -396,13 +427,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
     """All columns of the documents that stay when each class keeps the one of the smallest id (null last, then by
     text).  Texts without words all stay.  Of rows with the same id and text, the first by their other columns stays."""
-    _, members = _classes(docs, id_col, text_col, n, threshold, tolerance)
+    sketched, members = _classes(docs, id_col, text_col, n, threshold, tolerance)
     best = members.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("w"))
-    winners = best.select(F.col("w.key").alias("key"), F.lit(True).alias("wins"), F.col("w.first").alias("win_id"))
-    known = members.select("key", F.lit(True).alias("known")).join(winners, "key", "left")
-    id_ = F.col(f"`{id_col}`").cast("bigint")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_.alias("id"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"))
-    # one join moves the texts once; what is left of a class is grouped where it lies
-    kept = rows.join(known, "key", "left").where(F.col("known").isNull() | (F.col("wins") & F.col("id").eqNullSafe(F.col("win_id"))))
-    each = F.when(F.col("known").isNull(), F.monotonically_increasing_id()).otherwise(-1)
-    return kept.select("key", each.alias("each"), "row").groupBy("key", "each").agg(F.min("row").alias("row")).select("row.*")
+    stay = best.select(F.col("w.key").alias("key"), F.col("w.first").alias("id"), F.lit(False).alias("lone"))
+    stay = stay.unionByName(sketched.where("grams = 0").select("key", F.col("doc_id").alias("id"), F.lit(True).alias("lone")).distinct())
+    stay = stay.select(F.col("key").alias("stay_key"), F.col("id").alias("stay_id"), "lone")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    others = [c for c, name in zip(own, docs.columns, strict=True) if name not in (id_col, text_col)]
+    rows = docs.select(
+        F.struct(*own).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"),
+        (F.to_json(F.struct(*others)) if others else F.lit("")).alias("other"),
+    )
+    # one join moves the texts once, by text and id, so that copies of one text go different ways
+    kept = rows.join(stay, (rows.key == stay.stay_key) & rows.id.eqNullSafe(stay.stay_id))
+    each = F.when(F.col("lone"), F.monotonically_increasing_id()).otherwise(-1)
+    return kept.select("key", "id", each.alias("each"), "row", "other").groupBy("key", "id", "each").agg(F.min_by("row", "other").alias("row")).select("row.*")
