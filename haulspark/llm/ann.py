@@ -2,8 +2,9 @@
 
 The vectors are dealt into blocks.  In a block, each tree is a sorted array of long hash strings: signs of random
 projections.  A query goes down all trees to its longest-prefix matches, then all trees ascend together, a bit at
-a time, until the matches of the common prefix length are enough; those are scored exactly.  Queries meet every
-block, so the results of blocks merge into the whole table's, and memory is bounded by a block.
+a time.  It stops when a vector nearer than the worst of its best would hardly have escaped all trees at that prefix
+length, so vectors with near neighbours take few candidates.  Queries meet every block, so the results of blocks
+merge into the whole table's, and memory is bounded by a block.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulspark.llm.common import checkpoint, each_with_each, finite_vectors, map_batches, packed, prepare, unpack
+from haulspark.llm.common import by_length, checkpoint, each_with_each, finite_vectors, map_batches, packed, prepare, unpack
 
+RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 #: Vectors in a block, and queries in one.
 BLOCK, QUERIES = 8192, 1024
 BITS = 32
@@ -38,26 +40,46 @@ class Forest:
         """The signs of the projections as one number, the first at the top."""
         return ((mat @ planes) > 0).astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
-    def candidates(self, queries: np.ndarray, enough: int):
-        """For each query the places of its matches at the longest common prefix length with ``enough`` of them."""
+    def candidates(self, mat: np.ndarray, queries: np.ndarray, own: list[np.ndarray], k: int, miss: float):
+        """For each query the places of its candidates, those of ``own`` left out.
+
+        All trees ascend together until ``k`` candidates are found and a vector as near as the ``k``-th of them has
+        been missed with a probability of at most ``miss``: (1 - (1 - angle / pi) ** bits) ** trees.
+        """
+        trees, n = len(self.keys), len(queries)
         asked = [self.hashes(queries, p) for p in self.planes]
-        n, pending = len(queries), np.arange(len(queries))
-        lo, hi = (np.zeros((len(self.keys), n), np.int64) for _ in range(2))
+        pending = np.arange(n)
+        looked, found = np.zeros(n, np.int64), [np.zeros(0, np.int64)] * n
+        seen = np.zeros(len(mat), bool)
         for bits in range(BITS, -1, -1):
             free = (np.int64(1) << (BITS - bits)) - 1
+            lo, hi = np.zeros((trees, len(pending)), np.int64), np.zeros((trees, len(pending)), np.int64)
             for t, keys in enumerate(self.keys):
                 low = asked[t][pending] & ~free
-                lo[t, pending] = np.searchsorted(keys, low, "left")
-                hi[t, pending] = np.searchsorted(keys, low | free, "right")
-            pending = pending[(hi[:, pending] - lo[:, pending]).sum(0) < enough]
+                lo[t] = np.searchsorted(keys, low, "left")
+                hi[t] = np.searchsorted(keys, low | free, "right")
+            total, stay = (hi - lo).sum(0), []
+            for j, q in enumerate(pending.tolist()):
+                if bits and total[j] < max(k + 1, 1.3 * looked[q]):  # hardly more than before
+                    stay.append(q)
+                    continue
+                looked[q] = total[j]
+                seen[:] = False
+                for o, a, b in zip(self.order, lo[:, j].tolist(), hi[:, j].tolist(), strict=True):
+                    if b > a:
+                        seen[o[a:b]] = True
+                seen[own[q]] = False
+                found[q] = np.flatnonzero(seen)
+                if bits and (len(found[q]) < k or not self.enough(mat[found[q]] @ queries[q], k, bits, miss)):
+                    stay.append(q)
+            pending = np.array(stay, np.int64)
             if not len(pending):
                 break
-        seen = np.zeros(len(self.keys[0]), bool)
-        for q in range(n):
-            seen[:] = False
-            for t, o in enumerate(self.order):
-                seen[o[lo[t, q] : hi[t, q]]] = True
-            yield np.flatnonzero(seen)
+        return found
+
+    def enough(self, near: np.ndarray, k: int, bits: int, miss: float) -> bool:
+        angle = np.arccos(np.clip(np.partition(near, -k)[-k], -1, 1))
+        return (1 - (1 - angle / np.pi) ** bits) ** len(self.keys) <= miss
 
 
 def unit(mat: np.ndarray) -> np.ndarray:
@@ -73,17 +95,20 @@ def cosine(mat: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (mat * q).sum(1) / (np.sqrt((mat * mat).sum(1)) * np.sqrt((q * q).sum()))
 
 
-def nearest(df: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 128, share: float = 0.5, least: int = 128, seed: int = 11) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 128, miss: float = 0.02, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest by cosine found for each vector whose id is divisible by
     ``query_every``, among all vectors but those of the query's own id; ties to the smaller id.
 
-    A query takes candidates until its prefix ranges over all trees hold ``share`` of a block's vectors, repeats
-    counted, and ``least`` * ``k`` at least; with the defaults recall is above 0.95 even on vectors without any
-    structure.  Every vector is indexed, none is sampled.  Vectors that are null, zero, of another length than
-    most, or hold null or non-finite components take no part, nor do null ids.  No rows give no rows.
+    Every vector is indexed, none is sampled.  In each block a query takes candidates until it has ``k`` and a
+    nearer one was missed with a probability of at most ``miss``, so every query gets ``k`` rows where there are as
+    many candidates.  Vectors that are null, zero, or hold null or non-finite components take no part, nor do null
+    ids; vectors of another length than the query's are none of its candidates.  No rows give no rows.
     """
     prepare(df.sparkSession)
-    v = checkpoint(finite_vectors(df, id_col, vec_col, nonzero=True))
+    return by_length(checkpoint(finite_vectors(df, id_col, vec_col, nonzero=True)), lambda v: _nearest(v, k, query_every, trees, miss, seed), RESULT)
+
+
+def _nearest(v: DataFrame, k: int, query_every: int, trees: int, miss: float, seed: int) -> DataFrame:
     asked = v.where(F.col("id") % query_every == 0)
     parts, q_parts = (max(1, -(-x.count() // size)) for x, size in ((v, BLOCK), (asked, QUERIES)))
     pairs = each_with_each(packed(v.repartition(parts)), packed(asked.repartition(q_parts)), parts)
@@ -96,13 +121,13 @@ def nearest(df: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec
                 ids, mat = unpack(ids, mat)
                 q_ids, q_mat = unpack(q_ids, q_mat)
                 if held.get("part") != part:
-                    scaled = unit(mat)
-                    held.update(part=part, scaled=scaled, forest=Forest(scaled, trees, seed))
+                    scaled, order = unit(mat), np.argsort(ids, kind="stable")
+                    held.update(part=part, scaled=scaled, forest=Forest(scaled, trees, seed), order=order, sorted=ids[order])
                 scaled, asked = held["scaled"], unit(q_mat)
+                lo, hi = (np.searchsorted(held["sorted"], q_ids, side) for side in ("left", "right"))
+                own = [held["order"][x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
                 out = {"query_id": [], "vec_id": [], "score": []}
-                enough = max(int(share * len(ids)), least * k)
-                for i, found in enumerate(held["forest"].candidates(asked, enough)):
-                    found = found[ids[found] != q_ids[i]]
+                for i, found in enumerate(held["forest"].candidates(scaled, asked, own, k, miss)):
                     if not len(found):
                         continue
                     rough = scaled[found] @ asked[i]

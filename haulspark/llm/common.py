@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from haulspark.session import checkpoint, checkpoint_dir
 
-__all__ = ["BATCH_ROWS", "checkpoint", "checkpoint_dir", "each_with_each", "finite_vectors", "map_batches", "narrow", "packed", "prepare", "read", "scratch", "unpack"]
+__all__ = ["BATCH_ROWS", "by_length", "checkpoint", "checkpoint_dir", "each_with_each", "finite_vectors", "map_batches", "narrow", "packed", "prepare", "read", "scratch", "unpack"]
 
 #: Rows in an Arrow batch, so that a batch of very long texts still fits a Python worker.
 BATCH_ROWS = 1000
@@ -89,14 +90,19 @@ VECTOR = "id bigint, vec array<double>"
 
 def finite_vectors(df: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:
     """(id, vec) as doubles; without vectors that are null, empty, or hold null or non-finite components, and,
-    if ``nonzero``, without zero ones.  Vectors of another length than the most common one take no part."""
+    if ``nonzero``, without zero ones."""
     v = narrow(df, id=id_col, vec=vec_col).select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     ok = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
     if nonzero:
         ok = ok & F.exists("vec", lambda x: x != 0.0)
-    v = v.where(F.col("id").isNotNull() & (F.size("vec") > 0) & ok)
-    top = v.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return v.where(F.size("vec") == (top[0]["d"] if top else 0))
+    return v.where(F.col("id").isNotNull() & (F.size("vec") > 0) & ok)
+
+
+def by_length(v: DataFrame, search: Callable[[DataFrame], DataFrame], empty: str) -> DataFrame:
+    """``search`` over the vectors of each length: products are defined among equal lengths only.  There are few."""
+    sizes = [r["d"] for r in v.select(F.size("vec").alias("d")).distinct().orderBy("d").collect()]
+    found = [search(v.where(F.size("vec") == d)) for d in sizes]
+    return functools.reduce(DataFrame.unionByName, found) if found else v.sparkSession.createDataFrame([], empty)
 
 
 def packed(df: DataFrame, extra: str = "") -> DataFrame:

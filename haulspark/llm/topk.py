@@ -2,7 +2,7 @@
 
 Vectors stand in blocks by descending length.  Each query gets a threshold from the longest vectors; a block is
 then read in the order of length, and a query leaves it as soon as its own length times the next vector's is
-below the threshold.  What remains is pruned by partial sums: vectors are rotated by the singular vectors of a
+below the threshold, and a block whose longest vector is too short for all queries of a block isn't read.  What remains is pruned by partial sums: vectors are rotated by the singular vectors of a
 sample, so that the first few components carry most of a product, and the rest is bounded by Cauchy-Schwarz.
 Survivors are scored exactly, on integers.
 """
@@ -15,44 +15,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulspark.llm.ann import ranked
-from haulspark.llm.common import checkpoint, each_with_each, finite_vectors, map_batches, packed, prepare, unpack
+from haulspark.llm.common import by_length, checkpoint, finite_vectors, map_batches, packed, prepare, unpack
 
+RESULT = "query_id bigint, rank int, vec_id bigint, score bigint"
 BLOCK, QUERIES, CHUNK = 8192, 1024, 1024
 #: Vectors that the rotation is computed from, at most; it changes speed, never results.
 ROTATION_ROWS = 4096
-#: Larger components could overflow a 64-bit score.
-LARGEST = float(2**26)
+#: Scores below the least 64-bit integer count as this; one that would be returned raises.
+LEAST = -(2**63)
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer products of whole numbers held as doubles."""
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2**53:
+    """Integer products of whole numbers held as doubles: in doubles or 64-bit integers where these are exact, else
+    in Python's integers.  Raises OverflowError for a product above 64 bits; one below them becomes LEAST."""
+    size = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1]
+    if size < 2**53:
         return (q @ x.T).astype(np.int64)
-    return q.astype(np.int64) @ x.astype(np.int64).T
+    if size < 2**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    whole = lambda m: np.array([[int(c) for c in row] for row in m.tolist()], object).reshape(m.shape)
+    s = whole(q).dot(whole(x).T)
+    if s.size and s.max() >= 2**63:
+        raise OverflowError("an inner product does not fit 64 bits")
+    return np.maximum(s, LEAST).astype(np.int64)
 
 
 def rotation(sample: np.ndarray, dim: int) -> np.ndarray:
     return np.linalg.svd(sample.T @ sample)[0] if len(sample) else np.eye(dim)
 
 
+def lengths(m: np.ndarray) -> np.ndarray:
+    """Euclidean lengths; infinite where squares overflow, which prunes nothing."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num(np.sqrt((m * m).sum(1)), nan=np.inf, posinf=np.inf)
+
+
+def slack(q_len: np.ndarray, x_len: float) -> np.ndarray:
+    """What rounding may take from a bound on products of vectors of these lengths."""
+    return 1 + 1e-9 * q_len * x_len
+
+
 def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, theta: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query numbers, ids and scores of what may be among the best ``k``: for each query, of the block's rows with a
     score of at least ``theta``, the best ``k``.  ``x`` stands by descending length."""
     head = max(1, q.shape[1] // 4)
-    qr, xr = q @ turn, x @ turn
-    norm = lambda m: np.sqrt((m * m).sum(1))
-    q_len, x_len, q_rest, x_rest = norm(q), norm(x), norm(qr[:, head:]), norm(xr[:, head:])
+    with np.errstate(over="ignore", invalid="ignore"):
+        qr, xr = q @ turn, x @ turn
+    q_len, x_len, q_rest, x_rest = lengths(q), lengths(x), lengths(qr[:, head:]), lengths(xr[:, head:])
+    wild = not (np.isfinite(q_len).all() and np.isfinite(x_len).all())  # then bounds say nothing
     theta = theta.astype(float).copy()
     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
     live = np.arange(len(q_ids))
     for at in range(0, len(ids), CHUNK):
         s = slice(at, at + CHUNK)
-        slack = 1 + 1e-9 * q_len * x_len[at]  # for rounding in the bounds
-        live = live[q_len[live] * x_len[at] + slack[live] >= theta[live]]
-        if not len(live):
-            break
-        bound = qr[live, :head] @ xr[s, :head].T + np.outer(q_rest[live], x_rest[s])
-        ok = bound >= (theta - slack)[live, None]
+        if wild:
+            ok = np.ones((len(live), len(ids[s])), bool)
+        else:
+            live = live[q_len[live] * x_len[at] + slack(q_len[live], x_len[at]) >= theta[live]]
+            if not len(live):
+                break
+            bound = qr[live, :head] @ xr[s, :head].T + np.outer(q_rest[live], x_rest[s])
+            ok = bound >= (theta[live] - slack(q_len[live], x_len[at]))[:, None]
         some = ok.any(1)
         rows = live[some]
         if not len(rows):
@@ -60,11 +83,12 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
         ok, columns = ok[some], np.flatnonzero(ok[some].any(0))
         score = exact(q[rows], x[s][columns])
         for i, r in enumerate(rows):
-            good = columns[ok[i, columns] & (score[i] >= theta[r]) & (ids[s][columns] != q_ids[r])]
+            least = np.nextafter(np.nextafter(theta[r], -np.inf), -np.inf)  # large scores are rounded as doubles
+            good = columns[ok[i, columns] & (score[i] >= least) & (ids[s][columns] != q_ids[r])]
             if len(good):
                 got = score[i][np.searchsorted(columns, good)]
                 i2, s2 = np.concatenate([best[r][0], ids[s][good]]), np.concatenate([best[r][1], got])
-                top = np.lexsort((i2, -s2))[:k]
+                top = np.lexsort((i2, ~s2))[:k]
                 best[r] = (i2[top], s2[top])
                 if len(top) == k:
                     theta[r] = max(theta[r], s2[top[-1]])
@@ -76,24 +100,32 @@ def top_products(df: DataFrame, k: int = 20, query_every: int = 20, scale: float
     """query_id, rank, vec_id, score: the ``k`` largest inner products of floor(scale * vector) for each vector whose
     id is divisible by ``query_every``, with all vectors but those of the query's own id; ties to the smaller id.
 
-    Exact.  Vectors that are null, of another length than most, or hold null or non-finite components take no part,
-    nor do null ids, nor vectors with a scaled component beyond 2^26, whose scores might not fit 64 bits.  Zero
-    vectors take part.  No rows give no rows.
+    Exact.  Vectors that are null or hold null or non-finite components take no part, nor do null ids; vectors of
+    another length than the query's are none of its candidates.  Zero vectors take part.  Components of any size do:
+    a score that does not fit 64 bits raises.  No rows give no rows.
     """
     spark = df.sparkSession
     prepare(spark)
-    v = finite_vectors(df, id_col, vec_col, nonzero=False).select("id", F.transform("vec", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("vec"))
-    v = v.where(F.forall("vec", lambda x: F.abs(x) <= LARGEST)).withColumn("length", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    v = checkpoint(v)
+    v = finite_vectors(df, id_col, vec_col, nonzero=False)
+    scaled = lambda x: F.when(F.abs(x * F.lit(float(scale))) < 2.0**52, F.floor(x * F.lit(float(scale))).cast("double")).otherwise(x * F.lit(float(scale)))  # noqa: E731  larger doubles are whole
+    v = v.select("id", F.transform("vec", scaled).alias("vec")).withColumn("length", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    return by_length(checkpoint(v), lambda same: _top(same, k, query_every), RESULT)
+
+
+def _top(v: DataFrame, k: int, query_every: int) -> DataFrame:
+    spark = v.sparkSession
     asked = v.where(F.col("id") % query_every == 0).select("id", "vec")
     parts, q_parts = (max(1, -(-x.count() // size)) for x, size in ((v, BLOCK), (asked, QUERIES)))
-    sample = [r["vec"] for r in v.orderBy(F.xxhash64("id")).limit(ROTATION_ROWS).select("vec").collect()]
-    turn = spark.sparkContext.broadcast(rotation(np.array(sample, float), 1))
-    base = packed(v.repartitionByRange(parts, F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id").select("id", "vec"))
+    sample = [r["vec"] for r in v.where(F.col("length") < 1e150).orderBy(F.xxhash64("id")).limit(ROTATION_ROWS).select("vec").collect()]
+    dim = v.select(F.size("vec").alias("d")).first()["d"]
+    turn = spark.sparkContext.broadcast(rotation(np.array(sample, float), dim))
+    base = packed(v.repartitionByRange(parts, F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id").select("id", "vec", "length"), "length")
     base = checkpoint(base)
-    parts = (base.agg(F.max("part")).first()[0] or 0) + 1
     queries = checkpoint(packed(asked.repartition(q_parts)))
-    first = base.agg(F.min("part")).first()[0] or 0
+    # the greatest length of each block, a number a block, in the order of blocks
+    tops = sorted(map(tuple, map_batches(base.select("part", "more"), _greatest, "part int, top double").collect()))
+    first = tops[0][0] if tops else 0
+    block_no, block_top_len = np.array([t[0] for t in tops], np.int64), np.array([t[1] for t in tops])
 
     def seed():
         def step(b: pa.RecordBatch):
@@ -104,7 +136,10 @@ def top_products(df: DataFrame, k: int = 20, query_every: int = 20, scale: float
                 have = np.bincount(n, minlength=len(q_ids))
                 low = np.full(len(q_ids), np.inf)
                 np.minimum.at(low, n, s)
-                yield {"q_part": [q_part], "theta": [np.where(have >= k, low, -np.inf).tobytes()]}
+                theta, q_len = np.where(have >= k, low, -np.inf), lengths(q_mat)
+                # blocks whose longest vector is too short for all of these queries aren't read
+                may = [not np.isfinite(t) or bool((~np.isfinite(q_len) | (q_len * t + slack(q_len, t) >= theta)).any()) for t in block_top_len.tolist()]
+                yield {"q_part": [q_part], "theta": [theta.tobytes()], "parts": [block_no[may].tolist()]}
 
         return step
 
@@ -118,12 +153,21 @@ def top_products(df: DataFrame, k: int = 20, query_every: int = 20, scale: float
 
         return step
 
-    start = each_with_each(base.where(F.col("part") == first), queries, parts)
-    thetas = map_batches(start.select("q_part", "ids", "mat", "q_ids", "q_mat"), seed, "q_part int, theta binary")
-    queries = checkpoint(queries.join(thetas.withColumnRenamed("q_part", "part"), "part"))
-    pairs = each_with_each(base, queries, parts)
-    found = map_batches(pairs.select("q_theta", "ids", "mat", "q_ids", "q_mat"), search, "query_id bigint, vec_id bigint, score bigint")
-    return ranked(found, k)
+    q = queries.select(F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
+    start = q.withColumn("part", F.lit(first)).join(base.where(F.col("part") == first), "part")
+    thetas = map_batches(start.select("q_part", "ids", "mat", "q_ids", "q_mat"), seed, "q_part int, theta binary, parts array<int>")
+    q = checkpoint(q.join(thetas, "q_part"))
+    pairs = base.join(q.withColumn("part", F.explode("parts")), "part")
+    found = map_batches(pairs.select("theta", "ids", "mat", "q_ids", "q_mat"), search, "query_id bigint, vec_id bigint, score bigint")
+    out = ranked(found, k)
+    return out.withColumn("score", F.when(F.col("score") == LEAST, F.raise_error(F.lit("an inner product does not fit 64 bits"))).otherwise(F.col("score")))
+
+
+def _greatest():
+    def step(b: pa.RecordBatch):
+        yield {"part": b.column(0).to_pylist(), "top": [float(np.sqrt(np.frombuffer(m, "<f8").max())) for m in b.column(1).to_pylist()]}
+
+    return step
 
 
 #: DuckDB's form of the query over ``embeddings``, for finite vectors of one length.

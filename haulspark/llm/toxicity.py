@@ -180,7 +180,7 @@ def viterbi(edges: list[list[tuple[int, str, float]]], language: Language) -> st
     n = len(edges)
     at: dict[int, dict[str, tuple[float, tuple | None]]] = {0: {"  ": (0.0, None)}}
     for i in range(n):
-        for state, (score, back) in sorted(at.pop(i, {}).items(), key=lambda x: -x[1][0])[:64]:
+        for state, (score, back) in sorted(at.pop(i, {}).items(), key=lambda x: -x[1][0]):
             for used, new, cost in edges[i]:
                 s, before = score + cost, state
                 for c in new:
@@ -360,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, language: str, id_col: str = "doc_id
     """Features with their probabilities, and the probability without any.
 
     Learns from at most ``max_toxic`` and ``max_clean`` rows, chosen by a hash of the id among those whose
-    crc32(id as text) mod 5 is not 0.  Without toxic rows, or without clean ones, there are no features.
+    crc32(id as text) mod 5 is not 0; of rows that share an id the least text counts.  Without toxic rows, or without clean ones, there are no features.
     """
     spark = docs.sparkSession
     y = narrow(labels, doc_id=id_col, y=label_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("y").cast("int").alias("y"))
@@ -371,7 +371,9 @@ def fit(docs: DataFrame, labels: DataFrame, language: str, id_col: str = "doc_id
     order = F.xxhash64("doc_id", F.lit(5))
     chosen = y.where("y = 1").orderBy(order).limit(max_toxic).unionByName(y.where("y = 0").orderBy(order).limit(max_clean))
     text = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sample = checkpoint(text.join(F.broadcast(chosen), "doc_id").where("text is not null").repartition(4 * spark.sparkContext.defaultParallelism))
+    # of rows that share an id the least text, so that the sample's bound holds
+    sample = text.join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    sample = checkpoint(sample.repartition(4 * spark.sparkContext.defaultParallelism))
 
     def found(texts: list[str]):
         """The distinct features of each text."""
@@ -401,7 +403,8 @@ def fit(docs: DataFrame, labels: DataFrame, language: str, id_col: str = "doc_id
     least = max(4, int(0.003 * sizes[1]))
     grow = totals[0] / sizes[0] * sizes[1] / totals[1]  # a clean row of the sample stands for so many against a toxic one
     counts = map_batches(sample.select("text", "y"), count, "f string, n1 bigint, n0 bigint").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    kept = counts.where((F.col("n1") >= least) & (F.col("n1") >= 4 * grow * F.col("n0"))).orderBy(F.desc("n1"), "f").limit(50_000).collect()
+    kept = counts.where((F.col("n1") >= least) & (F.col("n1") >= 4 * grow * F.col("n0"))).orderBy(F.desc("n1"), "f").collect()
+    # kept: words and beginnings that at least ``least`` toxic texts of the bounded sample have
     n1, n0 = ({r["f"]: r[c] for r in kept} for c in ("n1", "n0"))
     index = {f: i for i, f in enumerate(n1)}
 
@@ -448,7 +451,8 @@ def score(docs: DataFrame, weights: dict[str, float], base: float, language: str
     shared = docs.sparkSession.sparkContext.broadcast((language, weights, base))
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    name = next(n for n in ("toxicity", *(f"toxicity_{i}" for i in range(len(docs.columns)))) if n not in docs.columns)
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in ("toxicity", *(f"toxicity_{i}" for i in range(len(docs.columns)))) if n not in taken)
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     place = docs.columns.index(text_col)
 
