@@ -33,9 +33,12 @@ CLOSED_BY = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-#: Inside one of these a word of a class or id counts for another kind of block.
+#: Words of a class or an id.
 WORDS = re.compile(r"[a-z]+|\d+")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag whose quotes are unbalanced ends at the first angle bracket.
+LOOSE_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+OPENING = re.compile(r"</?[a-zA-Z]")
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
@@ -56,6 +59,10 @@ def parse(page: str) -> Node:
     wrongly nested tags are taken as browsers take them, as far as blocks are concerned."""
     root = Node("html", None)
     here, at, n, link = root, 0, len(page), 0
+    inside: Counter = Counter()  # open elements by tag
+    unclosed: set[str] = set()  # elements that are skipped and have no end tag from here on
+    last = page.rfind(">")
+    find = TAG
 
     def text(s: str) -> None:
         if s:
@@ -64,9 +71,13 @@ def parse(page: str) -> Node:
             here.links += len(s) * (link > 0)
 
     while at < n:
-        m = TAG.search(page, at)
+        m = find.search(page, at) if at <= last else None
+        if find is TAG and (m is None or OPENING.search(page, at, m.start())):  # a tag without an end was passed over
+            find = LOOSE_TAG
+            m = find.search(page, at) if at <= last else None
         if not m:
-            text(page[at:])
+            end = page.find("<!--", at)  # a comment without an end hides what follows
+            text(page[at:] if end < 0 else page[at:end])
             break
         text(page[at : m.start()])
         at = m.end()
@@ -78,24 +89,26 @@ def parse(page: str) -> Node:
         if close:
             if tag == "a":
                 link = max(0, link - 1)
-            elif tag in ("br", "p") and tag == "br":
+            elif tag == "br":
                 text(" ")
-            elif tag in BLOCKS:
-                up = here
-                while up.parent and up.tag != tag:
-                    up = up.parent
-                if up.parent:
-                    here = up.parent
-                    link = 0
+            elif inside[tag]:
+                while here.tag != tag:
+                    inside[here.tag] -= 1
+                    here = here.parent
+                inside[tag] -= 1
+                here, link = here.parent, 0
             continue
         if tag in SKIP and tag not in VOID:
-            end = RAW.get(tag) or re.compile(rf"</{re.escape(tag)}\s*>", re.I)
-            if tag == "head":
-                end = re.compile(r"</head\s*>|(?=<body\b)", re.I)
-            m2 = end.search(page, at)
-            if m2:
-                at = m2.end()
-            elif tag in RAW:
+            if tag not in unclosed:
+                end = RAW.get(tag) or re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+                if tag == "head":
+                    end = re.compile(r"</head\s*>|(?=<body\b)", re.I)
+                m2 = end.search(page, at)
+                if m2:
+                    at = m2.end()
+                    continue
+                unclosed.add(tag)
+            if tag in RAW:
                 at = n
             continue
         if tag == "a":
@@ -106,14 +119,16 @@ def parse(page: str) -> Node:
         if tag in VOID or tag not in BLOCKS:
             continue
         shut, bounds = CLOSED_BY.get(tag, ((), ()))
-        up = here
-        while up.parent and shut and up.tag not in bounds:
-            if up.tag in shut:
-                here = up.parent
-                break
+        up = here if any(inside[t] for t in shut) else root
+        while up.parent and up.tag not in bounds and up.tag not in shut:
             up = up.parent
-        if here.tag == "p" or here.tag[0] == "h" and len(here.tag) == 2 and tag[0] == "h" and len(tag) == 2:
-            here = here.parent or here
+        if up.parent and up.tag in shut:
+            while here is not up.parent:
+                inside[here.tag] -= 1
+                here = here.parent
+        if here.parent and (here.tag == "p" or here.tag[0] == "h" and len(here.tag) == 2 and tag[0] == "h" and len(tag) == 2):
+            inside[here.tag] -= 1
+            here = here.parent
         hints, hidden = [], False
         if m[3]:
             for a in ATTR.finditer(m[3]):
@@ -128,6 +143,7 @@ def parse(page: str) -> Node:
         child = Node(tag, here, frozenset(hints), hidden)
         here.children.append(child)
         here.texts.append(child)
+        inside[tag] += 1
         here, link = child, 0
     return root
 

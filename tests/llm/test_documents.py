@@ -27,26 +27,50 @@ LICENSED = [
 ]
 
 
+NOTICES = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this FONT and associated documentation files (the \"Font\"), to deal in the Font without restriction, including",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero Public License as published by the Free Software Foundation",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this except in compliance with the License.",
+    "the of and in to a 1 0 is by use", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+]
+
+
 def test_license_scan_equals_brute_force(spark):
     lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-    got = {r["doc_id"]: r for r in license.license_scan(docs(spark, [(i, t, "s") for i, t in enumerate(LICENSED)])).collect()}
-    for i, t in enumerate(LICENSED):
+    texts = LICENSED + NOTICES
+    got = {r["doc_id"]: r for r in license.license_scan(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
-        starts, labels = [], set()
-        for phrase, label in license.BASE:
+        starts, labels, own, spans = [], set(), set(), set()
+        for n, (phrase, label) in enumerate([*license.BASE, *license.MORE]):
             p = phrase.split()
-            hits = [k for k in range(len(words)) if words[k : k + len(p)] == p]
-            starts += hits
+            hits = [k for k in range(len(words) - len(p) + 1) if all(a in ("_", b) for a, b in zip(p, words[k : k + len(p)], strict=True))]
             labels |= {label} if hits else set()
+            spans |= {(label, k, len(p)) for k in hits}
+            if n < len(license.BASE):
+                starts += hits
+                own |= {label} if hits else set()
         r = got[i]
-        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(starts), ",".join(sorted(labels)))
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(starts), ",".join(sorted(own)))
         assert (r["first_word"], r["last_word"]) == ((min(starts), max(starts)) if starts else (None, None))
-        assert labels <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"])
+        assert r["labels"] == ",".join(sorted(labels)) and {tuple(s) for s in r["spans"]} == spans
+        assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"])
     assert got[4]["labels"] == "cc-by,cc-by-sa" and got[11]["labels"] == "proprietary"
+    at = len(LICENSED)
+    assert [got[at + k]["labels"] for k in range(6)] == ["mit,mit-style", "gpl", "apache", "apache", "", "cc-by,cc-by-sa"]
     assert license.license_scan(docs(spark, [])).count() == 0
     assert license.license_scan(docs(spark, [(1, "mit license", "s"), (1, "mit license", "s"), (None, "cc by", None)])).count() == 3
 
 
+def test_license_scan_of_a_text_of_licence_words_is_linear(spark):
+    import time
+
+    start = time.time()
+    r = license.license_scan(docs(spark, [(1, "mit license " * 90_000, "s"), (2, "the gnu general public license " * 30_000, "s")])).orderBy("doc_id").collect()
+    assert [x["n_base"] for x in r] == [90_000, 30_000] and time.time() - start < 60
+
+
 # ---- line dedup --------------------------------------------------------------------------------------------
 
 
@@ -141,6 +165,34 @@ def test_one_of_each_class_stays(spark):
     assert ngram_join.one_of_each(docs(spark, [(1, "", "a"), (2, "", "a"), (1, None, "b")])).count() == 3
 
 
+def test_near_copies_with_columns_of_any_kind(spark):
+    rows = corpus(random.Random(6))[:80]
+    d = docs(spark, rows).selectExpr("*", "map('a', doc_id) AS lookup", "array(named_struct('x', doc_id)) AS things", "cast(text AS binary) AS raw", "1 AS Grams2")
+    kept = ngram_join.one_of_each(d.unionByName(d))
+    assert kept.columns == d.columns and kept.count() == ngram_join.one_of_each(docs(spark, rows)).count()
+
+
+def test_forests_connect_what_edges_connect():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for n, m in ((1, 0), (10, 5), (200, 150), (300, 900)):
+        u, v = r.integers(0, n, m), r.integers(0, n, m)
+        nodes, roots, a, b = ngram_join._forest(u, v)
+        parent = {x: x for x in nodes.tolist()}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in zip(u.tolist(), v.tolist(), strict=True):
+            x, y = sorted((find(x), find(y)))
+            parent[y] = x
+        assert [find(x) for x in nodes.tolist()] == roots.tolist()
+        assert len(a) == len(nodes) - len(set(roots.tolist())) and dict(zip(a.tolist(), b.tolist(), strict=True)) == {x: find(x) for x in parent if find(x) != x}
+
+
 def test_matrix_products_equal_intersections():
     import numpy as np
 
@@ -199,6 +251,8 @@ def test_toxicity(spark):
     import zlib
 
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, rs in got.items() if i is not None for r in rs)
+    named = toxicity.reject_toxic(d.selectExpr("*", "1 AS Toxicity", "map('a', 1) AS m2"), y)
+    assert named.columns[-2:] == ["Toxicity", "m2"] and named.where("doc_id = 1000").count() == 0
     kept = toxicity.reject_toxic(d, y)
     assert kept.columns == d.columns and kept.where("doc_id = 1003").count() == 1 and kept.where("doc_id = 1000").count() == 0
 
@@ -238,6 +292,17 @@ def test_main_text(spark):
     assert html_extract.extract(d.limit(0)).count() == 0
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    for page in ('<a "' * 200_000, "</p>" * 200_000, "<!" * 300_000, "<button>" * 100_000, "<div>" * 20_000 + "<li></li>" * 50_000, "<div>" * 20_000 + "</p></div>" * 20_000, "<svg><p>" * 50_000, "<" * 500_000):
+        html_extract.main_text(page)
+    assert time.time() - start < 60
+    assert html_extract.main_text('<article><p>Less: 1 < 2, said <a title="x > y">one</a> of them.</p></article>')[0] == "Less: 1 < 2, said one of them."
+    assert html_extract.main_text('<article><p class="x>Broken quotes here.</p><p>And one more.</p></article>')[0].endswith("And one more.")
+
+
 def test_marginals_equal_enumeration():
     m = html_extract.model()
     root = html_extract.parse('<div class="x"><p>Some words here.</p><ul><li><a>a</a></li></ul></div><footer>foot</footer>')
