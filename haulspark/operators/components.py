@@ -12,7 +12,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 2
     """(node, component) for every end of an edge; a component is named by its smallest node.
 
     In each round a node takes the smallest label among its neighbours' and then the label of that label, so a
-    chain of n nodes takes about log n rounds.  Edges with a null end are left out; loops name lone nodes.
+    chain of n nodes takes about log n rounds; ``max_rounds`` without an end raise.  Edges with a null end are left out; loops name lone nodes.
     """
     e = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null")
     both = checkpoint(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -29,4 +29,6 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 2
         labels = step.select("node", "l")
         if step.where("changed").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     return labels.select("node", F.col("l").alias("component"))

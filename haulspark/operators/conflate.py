@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulspark.functions import score
 from haulspark.functions.geo import geohash
 from haulspark.functions.score import pair_band, pair_score
-from haulspark.functions.text import digits, norm_name, set_similarity, squeeze, trigrams
+from haulspark.functions.text import digits, norm_name, set_similarity, short_key, squeeze, trigrams
 from haulspark.operators.spatial import dwithin
 from haulspark.session import checkpoint
 
@@ -57,25 +60,90 @@ def gray_ids(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     return g.select(F.lit("a").alias("src"), F.col("o").alias("rid")).union(g.select(F.lit("b"), "f")).distinct()
 
 
-def merge(a: DataFrame, b: DataFrame, matches: DataFrame, canonical_conf: float = 0.5) -> DataFrame:
-    """Published rows: merged pairs, with the surer source's values first, and the rows that neither matched."""
-    shared = [c for c in a.columns if c in b.columns and c not in ("rid", "conf", "observed_at")]
-    m = matches.select(F.col("o"), F.col("f")).join(a.select(F.col("rid").alias("o"), F.struct("*").alias("a")), "o").join(b.select(F.col("rid").alias("f"), F.struct("*").alias("b")), "f")
+#: Taken from the canonical row as they are; other columns that both sources have fill each other's nulls.
+IDENTITY = ("name", "category", "lon", "lat")
+#: The confidence of a source without one; a row at least as sure as that is canonical.
+ASSUMED_CONFIDENCE = 0.5
+
+
+def _one(x: Column, y: Column, canonical: Column, columns: list[str]) -> list[Column]:
+    """Columns of a row and its counterpart, both structs, as one row; ``canonical``: the first row's values come first."""
+
+    def pick(c: str) -> Column:
+        if c == "observed_at":
+            return F.greatest(x[c], y[c])
+        if c in IDENTITY:
+            return F.when(canonical, x[c]).otherwise(y[c])
+        return F.when(canonical, F.coalesce(x[c], y[c])).otherwise(F.coalesce(y[c], x[c]))
+
+    return [pick(c).alias(c) for c in columns]
+
+
+def merge(a: DataFrame, b: DataFrame, matches: DataFrame, pairs: DataFrame | None = None, canonical_conf: float = ASSUMED_CONFIDENCE) -> DataFrame:
+    """(o, f, shared columns, conf, src, present_in, gray): merged pairs and the rows of both that have no match.
+
+    ``a`` has rid and conf, ``b`` rid.  ``src`` is merged, a or b; ``present_in`` lists the sources; ``observed_at``
+    is the later one.  With ``pairs`` of candidate_pairs, ``gray`` marks rows that had an ambiguous counterpart,
+    merged or not.
+    """
+    shared = [c for c in a.columns if c in b.columns and c not in ("rid", "conf")]
+    gray = gray_ids(pairs, matches) if pairs is not None else None
+
+    def marked(df: DataFrame, src: str) -> DataFrame:
+        if gray is None:
+            return df.withColumn("gray", F.lit(False))
+        g = gray.where(F.col("src") == src).select("rid", F.lit(True).alias("gray"))
+        return df.join(g, "rid", "left").withColumn("gray", F.coalesce("gray", F.lit(False)))
+
+    a, b = marked(a, "a"), marked(b, "b")
+    m = matches.select("o", "f").join(a.select(F.col("rid").alias("o"), F.struct("*").alias("a")), "o").join(b.select(F.col("rid").alias("f"), F.struct("*").alias("b")), "f")
     first = F.coalesce(F.col("a.conf"), F.lit(0.0)) >= canonical_conf
-    both = m.select(F.col("o"), F.col("f"), *[F.when(first, F.coalesce(f"a.{c}", f"b.{c}")).otherwise(F.coalesce(f"b.{c}", f"a.{c}")).alias(c) for c in shared], F.lit("merged").alias("src"))
-    only_a = a.join(matches.select(F.col("o").alias("rid")), "rid", "left_anti").select(F.col("rid").alias("o"), F.lit(None).cast("bigint").alias("f"), *shared, F.lit("a").alias("src"))
-    only_b = b.join(matches.select(F.col("f").alias("rid")), "rid", "left_anti").select(F.lit(None).cast("bigint").alias("o"), F.col("rid").alias("f"), *shared, F.lit("b").alias("src"))
+    sources = lambda *x: F.array(*[F.lit(s) for s in x]).alias("present_in")
+    both = m.select("o", "f", *_one(F.col("a"), F.col("b"), first, shared), F.col("a.conf").alias("conf"), F.lit("merged").alias("src"), sources("a", "b"), (F.col("a.gray") | F.col("b.gray")).alias("gray"))
+    only_a = a.join(matches.select(F.col("o").alias("rid")), "rid", "left_anti").select(F.col("rid").alias("o"), F.lit(None).cast("bigint").alias("f"), *shared, "conf", F.lit("a").alias("src"), sources("a"), "gray")
+    only_b = b.join(matches.select(F.col("f").alias("rid")), "rid", "left_anti").select(F.lit(None).cast("bigint").alias("o"), F.col("rid").alias("f"), *shared, F.lit(None).cast(a.schema["conf"].dataType).alias("conf"), F.lit("b").alias("src"), sources("b"), "gray")
     return both.unionByName(only_a).unionByName(only_b)
 
 
-def resolve_collisions(rows: DataFrame) -> DataFrame:
-    """One row per squeezed name and geohash cell: merged rows first, then the smaller ids; ``dropped`` counts the rest.
+def resolve_collisions(rows: DataFrame, canonical_conf: float = ASSUMED_CONFIDENCE) -> DataFrame:
+    """One row per squeezed name and geohash cell, with ``key``, ``cell_flag`` and ``dropped``.
 
-    A pair of single rows from the two sources is one business: ``cell_flag`` says cell_name_merge; other groups keep
-    their best row, flagged cell_name_collision.
+    Two single rows of the two sources are one business: they become a merged row with the values of both, flagged
+    cell_name_merge.  Of other groups the row of most sources stays, then the latest, then the smaller ids, flagged
+    cell_name_collision; ``dropped`` counts the rest.
     """
     key = F.concat_ws("|", squeeze(F.col("name")), geohash(F.col("lat"), F.col("lon"), 7))
-    rank = F.struct(F.when(F.col("src") == "merged", 0).otherwise(1).alias("m"), F.coalesce("o", F.lit(2**62)).alias("o"), F.coalesce("f", F.lit(2**62)).alias("f"), F.struct(*rows.columns).alias("row"))
-    g = rows.withColumn("key", key).groupBy("key").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("src")).alias("srcs"))
-    pair = (F.col("n") == 2) & (F.col("srcs") == F.array(F.lit("a"), F.lit("b")))
-    return g.select("key", "best.row.*", F.when(pair, "cell_name_merge").when(F.col("n") > 1, "cell_name_collision").alias("cell_flag"), F.when(pair, 0).otherwise(F.col("n") - 1).alias("dropped"))
+    own = rows.columns
+    late = [F.col("observed_at").isNull().alias("undated"), _descending(rows).alias("age")] if "observed_at" in own else []
+    order = F.struct((-F.size("present_in")).alias("n"), *late, F.coalesce("o", F.lit(2**62)).alias("o"), F.coalesce("f", F.lit(2**62)).alias("f"))
+    r = rows.select(key.alias("key"), order.alias("order"), F.struct(*own).alias("row"), "src")
+    side = lambda s: F.min_by(F.when(F.col("src") == s, F.col("row")), F.when(F.col("src") == s, F.col("order"))).alias(s)
+    g = r.groupBy("key").agg(F.min_by("row", "order").alias("best"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("src") == "a").alias("na"), F.count_if(F.col("src") == "b").alias("nb"), side("a"), side("b"))
+    pair = (F.col("n") == 2) & (F.col("na") == 1) & (F.col("nb") == 1)
+    first = F.coalesce(F.col("a.conf"), F.lit(0.0)) >= canonical_conf
+    fixed = {"o": F.col("a.o"), "f": F.col("b.f"), "conf": F.col("a.conf"), "src": F.lit("merged"), "present_in": F.array(F.lit("a"), F.lit("b")), "gray": F.col("a.gray") | F.col("b.gray")}
+    shared = [c for c in own if c not in fixed]
+    joined = dict(zip(shared, _one(F.col("a"), F.col("b"), first, shared), strict=True)) | fixed
+    return g.select("key", *[F.when(pair, joined[c]).otherwise(F.col(f"best.{c}")).alias(c) for c in own], F.when(pair, "cell_name_merge").when(F.col("n") > 1, "cell_name_collision").alias("cell_flag"), F.when(pair, 0).otherwise(F.col("n") - 1).alias("dropped"))
+
+
+def _descending(rows: DataFrame) -> Column:
+    """A number that falls as observed_at rises."""
+    kind, c = dict(rows.dtypes)["observed_at"], F.col("observed_at")
+    if kind == "date":
+        return -F.unix_date(c)
+    return -F.unix_micros(c.cast("timestamp")) if kind.startswith("timestamp") else -c
+
+
+def publish(rows: DataFrame, now: Column, weights: Mapping[str, int], half_life_days: float = 180.0, inferred: Column | None = None) -> DataFrame:
+    """Published businesses: ``business_id`` of name and place, confidence with its parts, and flags.
+
+    ``rows`` is of resolve_collisions with observed_at; ``weights`` says what counts for completeness; ``inferred`` is
+    the fuel inference, ``text.inferred_brand``, kept as ``def``.  More than one source corroborates; flags are
+    dedup_gray_zone and the cell's.
+    """
+    place = [F.format_string("%.5f", F.col(c)) for c in ("lat", "lon")]
+    s = score.confidence(F.lit(score.TRUST["open_aggregate"]), score.decay(F.col("observed_at"), now, half_life_days), score.completeness(weights), score.agreement(F.lit(0), F.size("present_in") > 1), F.lit(False), F.lit(0))
+    flags = F.array_compact(F.array(F.when(F.col("gray"), "dedup_gray_zone"), F.col("cell_flag")))
+    out = rows.withColumn("business_id", short_key("biz_", squeeze(F.col("name")), *place)).withColumn("_s", s).withColumn("def", inferred if inferred is not None else F.lit(None).cast("string"))
+    return out.select("business_id", *[c for c in rows.columns if c not in ("key", "cell_flag", "dropped", "gray")], "def", "_s.*", flags.alias("flags"))

@@ -11,8 +11,9 @@ from haulspark.functions.geo import cut, line_length_m, locate
 from haulspark.functions.text import carries_route
 from haulspark.functions.units import clearance_in
 from haulspark.operators.components import components
+from haulspark.operators.numbering import number
+from haulspark.operators.routing import shortest_paths
 from haulspark.operators.spatial import dwithin, line_pieces, lines_within
-from haulspark.session import checkpoint
 
 
 @dataclass(frozen=True)
@@ -37,10 +38,6 @@ class Vehicle:
         return out
 
 
-class NoRoute(Exception):
-    """No path, or none that the vehicle may take."""
-
-
 def build_nodes(lines: DataFrame) -> DataFrame:
     """(node_id, lon, lat, degree) of the end points of lines (edge_id, line); ids follow the coordinates."""
     ends = lines.select(F.explode(F.array(F.element_at("line", 1), F.element_at("line", -1))).alias("p")).select("p.lon", "p.lat")
@@ -48,16 +45,6 @@ def build_nodes(lines: DataFrame) -> DataFrame:
     return number(points, ["lon", "lat"], "node_id").select("node_id", "lon", "lat", "degree")
 
 
-def number(df: DataFrame, order: list[str], name: str, first: int = 1) -> DataFrame:
-    """Consecutive numbers in a total order, without bringing all rows to one task: ranks within range partitions plus
-    the sizes of the partitions before."""
-    parts = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy("_part").count()
-    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, F.col("_rank") + F.col("_before") + (first - 1)).drop("_part", "_rank", "_before")
-
-
 def build_edges(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """Lines with the nodes at their ends and their length in metres."""
     p = lambda i: F.element_at("line", i)
@@ -133,42 +120,29 @@ def blocked_for(vehicle: Vehicle, closed: Column, hazmat: Column, clearance: Col
     return out.otherwise(none)
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(pair_id, distance, hops, path) for each (pair_id, origin, goal) that has a path; edges run both ways.
-
-    All pairs are relaxed together, a hop a round: a state is the least (distance, hops, path of nodes) known for a
-    pair and node, and only states that improved go on.  A state worse than its pair's best goal is dropped.  Equal
-    distances go to fewer hops, then to the smaller path.
-    """
-    both = edges.select("u", "v", "length_m").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "length_m"))
-    both = checkpoint(both.groupBy("u", "v").agg(F.min("length_m").alias("length_m")))
-    goals = checkpoint(pairs.select("pair_id", F.col("goal").alias("node")))
-    state = F.struct(F.col("d"), F.col("hops"), F.col("path"))
-    first = F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("hops"), F.array("origin").alias("path"))
-    best = checkpoint(pairs.select("pair_id", F.col("origin").alias("node"), first.alias("s"), F.lit(0).alias("born")))
-    for round_ in range(1, max_rounds + 1):
-        front = best.where(F.col("born") == round_ - 1).select("pair_id", F.col("node").alias("u"), "s")
-        limit = best.join(goals, ["pair_id", "node"]).select("pair_id", F.col("s.d").alias("limit"))
-        step = front.join(both, "u").select("pair_id", F.col("v").alias("node"), (F.col("s.d") + F.col("length_m")).alias("d"), (F.col("s.hops") + 1).alias("hops"), F.concat("s.path", F.array("v")).alias("path"))
-        step = step.join(limit, "pair_id", "left").where("limit is null or d <= limit")
-        step = step.groupBy("pair_id", "node").agg(F.min(state).alias("s")).withColumn("born", F.lit(round_))
-        best = checkpoint(best.unionByName(step).groupBy("pair_id", "node").agg(F.min(F.struct("s", "born")).alias("m")).select("pair_id", "node", "m.s", "m.born"))
-        if best.where(F.col("born") == round_).isEmpty():
-            break
-    hit = best.join(goals, ["pair_id", "node"]).select("pair_id", "s.d", "s.hops", "s.path")
-    return hit.select("pair_id", F.col("d").alias("distance"), "hops", "path")
+def allowed(edges: DataFrame, limits: DataFrame, vehicle: Vehicle) -> DataFrame:
+    """Edges with ``why``: what keeps the vehicle from them, null where it may drive."""
+    why = blocked_for(vehicle, F.col("closed"), F.col("hazmat_blocked"), F.col("min_clearance_in"), F.col("max_weight_lb"))
+    return edges.join(limits, "edge_id", "left").select("edge_id", "u", "v", "length_m", why.alias("why"))
 
 
 def route(edges: DataFrame, limits: DataFrame, pairs: DataFrame, vehicle: Vehicle) -> DataFrame:
     """Shortest paths over the edges that the vehicle may take; limits are applied before the search."""
-    why = blocked_for(vehicle, F.col("closed"), F.col("hazmat_blocked"), F.col("min_clearance_in"), F.col("max_weight_lb"))
-    free = edges.join(limits, "edge_id", "left").where(why.isNull()).select("edge_id", "u", "v", "length_m")
-    return shortest_paths(free, pairs)
+    return shortest_paths(allowed(edges, limits, vehicle).where("why is null"), pairs)
+
+
+def mainland_edges(edges: DataFrame, components_: DataFrame, mainland: int = 1) -> DataFrame:
+    """The edges of the largest component, which every snap has as a candidate; connectors (kind other than
+    truck_route) are none of them.  ``components_`` is of ``ranked_components``."""
+    at = components_.where(F.col("component") == mainland).select(F.col("node_id").alias("u"))
+    own = edges.where("kind = 'truck_route'") if "kind" in edges.columns else edges
+    return own.join(at, "u", "left_semi")
 
 
 def snap_candidates(points: DataFrame, edges: DataFrame, point_id: str = "point_id", k: int = 60, max_access_m: float = 25_000.0, mainland: int = 1) -> DataFrame:
-    """(point_id, component, edge_id, access_m): the nearest edge of each component among a point's ``k`` nearest edges
-    and the nearest edge of the mainland, all within ``max_access_m``; ties to the smaller edge.
+    """(point_id, component, edge_id, access_m, frac): the nearest edge of each component among a point's ``k`` nearest
+    edges and the nearest edge of the mainland, all within ``max_access_m``; ties to the smaller edge.  ``frac`` is the
+    place on the edge, as a share of its length.
 
     ``edges`` has edge_id, line and component.
     """
@@ -176,7 +150,9 @@ def snap_candidates(points: DataFrame, edges: DataFrame, point_id: str = "point_
     near = near.join(edges.select("edge_id", "component"), "edge_id")
     order = Window.partitionBy(point_id).orderBy("access_m", "edge_id")
     pool = near.withColumn("_n", F.row_number().over(order)).where((F.col("_n") <= k) | (F.col("component") == mainland))
-    return pool.groupBy(point_id, "component").agg(F.min(F.struct("access_m", "edge_id")).alias("b")).select(point_id, "component", "b.edge_id", "b.access_m")
+    best = pool.groupBy(point_id, "component").agg(F.min(F.struct("access_m", "edge_id")).alias("b")).select(point_id, "component", "b.edge_id", "b.access_m")
+    placed = best.join(edges.select("edge_id", "line"), "edge_id").join(points.select(point_id, "lon", "lat"), point_id)
+    return placed.select(point_id, "component", "edge_id", "access_m", locate(F.col("line"), F.col("lon"), F.col("lat")).alias("frac"))
 
 
 def path_status(pairs: DataFrame, nodes: DataFrame, paths: DataFrame, unlimited: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulspark.functions import text as T
-from haulspark.operators.graph import number
+from haulspark.operators.numbering import number
 from haulspark.plans.carriers import carrier, oracle, spark_sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -47,17 +47,14 @@ CARRIERS: dict[str, str] = {
         FROM {supplier} WHERE s_suppkey%3 <> 0 AND s_suppkey+10 <= (SELECT max(s_suppkey) FROM {supplier})""",
     "v_src_a": f"""
         SELECT p_partkey AS rid, p_name AS name, {LON.format(k='p_partkey', m=7907)} AS lon, {LAT.format(k='p_partkey', m=104717)} AS lat, p_brand AS brand,
-          CAST((p_partkey%10) AS DOUBLE)/CAST(10 AS DOUBLE) AS conf
-        FROM {{part}} WHERE p_partkey%2 = 0""",
+          CASE WHEN p_partkey%3 = 0 THEN NULL ELSE CAST(p_partkey AS VARCHAR(20)) END AS website, p_partkey%40 AS observed_at, CAST((p_partkey%10) AS DOUBLE)/CAST(10 AS DOUBLE) AS conf
+        FROM {{part}}""",
     "v_src_b": f"""
         SELECT p_partkey AS rid, CASE p_partkey%3 WHEN 0 THEN p_name WHEN 1 THEN concat(upper(p_name), ' #12') ELSE concat('Other ', p_name) END AS name,
           {LON.format(k='p_partkey', m=7907)} AS lon, {LAT.format(k='p_partkey', m=104717)}+CAST(p_partkey%5 AS DOUBLE)/CAST(4000 AS DOUBLE) AS lat,
-          CASE WHEN p_partkey%4 = 0 THEN p_brand ELSE NULL END AS brand
-        FROM {{part}} WHERE p_partkey%2 = 0""",
+          CASE WHEN p_partkey%4 = 0 THEN p_brand ELSE NULL END AS brand, CASE WHEN p_partkey%2 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR(20)) END AS website, CASE WHEN p_partkey%8 = 0 THEN NULL ELSE p_partkey%50 END AS observed_at
+        FROM {{part}}""",
 }
-# The two sources over all parts, for the queries of whole tables.
-for _side in "ab":
-    CARRIERS[f"v_all_{_side}"] = CARRIERS[f"v_src_{_side}"].removesuffix(" WHERE p_partkey%2 = 0")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

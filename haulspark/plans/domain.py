@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from haulspark.functions import geo, score, units
 from haulspark.functions import tags as tagged
 from haulspark.functions import text as T
-from haulspark.operators import conflate, gates, graph, presence, spatial
+from haulspark.operators import conflate, gates, graph, presence, routing, spatial
 from haulspark.operators.components import components
 from haulspark.plans.carriers import carrier, oracle, spark_sql, table
 from haulspark.sinks import tables as sinks
@@ -111,14 +111,9 @@ def gate_state_floor(spark, sf):
 # ---- sinks as queries --------------------------------------------------------------------------------------
 
 
-@query("swap_then_read", "SELECT nbi_id, clearance_in FROM {v_bridges} WHERE nbi_id % 2 = 0")
+@query("swap_then_read", "SELECT nbi_id, clearance_in FROM {v_bridges}")
 def swap_then_read(spark, sf):
-    return _swap_then_read(spark, sf, "swap", "nbi_id % 2 = 0")
-
-
-@query("swap_then_read_all")
-def swap_then_read_all(spark, sf):
-    return _swap_then_read(spark, sf, "swap-all", "true")
+    return _swap_then_read(spark, sf, "swap", "true")
 
 
 def _swap_then_read(spark, sf, folder, rows):
@@ -496,24 +491,22 @@ def map_tiles(spark, sf):
 
 
 @query("components", """
-    WITH RECURSIVE e AS (SELECT u, v FROM {v_edges} WHERE u % 10 <> 4 AND v % 10 <> 4), b AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e),
+    WITH RECURSIVE e AS (SELECT u, v FROM {v_edges}), b AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e),
     r(a, b) AS (SELECT a, a FROM b UNION SELECT r.a, b.b FROM r JOIN b ON r.b = b.a), c AS (SELECT a AS node_id, min(b) AS root FROM r GROUP BY a), s AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) AS component FROM c GROUP BY root)
     SELECT node_id, component FROM c JOIN s ON c.root = s.root""")
 def component_labels(spark, sf):
-    return graph.ranked_components(carrier(spark, sf, "v_edges").where("u % 10 <> 4 and v % 10 <> 4"))
+    return graph.ranked_components(carrier(spark, sf, "v_edges"))
 
 
-@query("shortest_path", """
-    WITH RECURSIVE b AS (SELECT u AS a, v AS b, length_m AS w FROM {v_edges} UNION ALL SELECT v, u, length_m FROM {v_edges}),
-    r(o, n, d, h) AS (SELECT 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0 UNION SELECT r.o, b.b, r.d + b.w, r.h + 1 FROM r JOIN b ON r.n = b.a WHERE r.h < 14 AND r.d + b.w < 60 AND b.b <= 45)
-    SELECT 1 AS pair_id, min(d) AS distance FROM r WHERE n = 37 HAVING count(*) > 0""")
-def shortest_path(spark, sf):
-    pairs = spark.createDataFrame([(1, 0, 37)], "pair_id int, origin bigint, goal bigint")
-    return graph.shortest_paths(carrier(spark, sf, "v_edges").where("u <= 45 and v <= 45"), pairs).select("pair_id", "distance")
+#: Least distances between all nodes, in DuckDB.
+NEAREST = """r(o, n, d) USING KEY (o, n) AS (SELECT n, n, 0.0::DOUBLE FROM nodes UNION
+      SELECT r.o, b.b, min(r.d + b.w) FROM r JOIN b ON r.n = b.a LEFT JOIN recurring.r AS q ON q.o = r.o AND q.n = b.b WHERE q.d IS NULL OR r.d + b.w < q.d GROUP BY r.o, b.b)"""
 
 
-@query("shortest_path_all")
-def shortest_path_all(spark, sf):
+@query("shortest_path", f"""
+    WITH RECURSIVE b AS (SELECT u AS a, v AS b, length_m AS w FROM {{v_edges}} UNION ALL SELECT v, u, length_m FROM {{v_edges}}), nodes AS (SELECT DISTINCT a AS n FROM b), {NEAREST}
+    SELECT o AS pair_id, d AS distance FROM r WHERE n = o + 37""")
+def shortest_path(spark, sf):
     """A pair from every node to the one 37 numbers on, where there is one, over all edges."""
     e = carrier(spark, sf, "v_edges")
     nodes = e.select("u").union(e.select("v")).distinct()
@@ -521,6 +514,34 @@ def shortest_path_all(spark, sf):
     return graph.shortest_paths(e, pairs.select(F.col("u").alias("pair_id"), F.col("u").alias("origin"), "goal")).select("pair_id", "distance")
 
 
+@query("route_trips", f"""
+    WITH RECURSIVE e AS (SELECT edge_id, u, v, length_m, edge_id % 11 = 0 AS bad FROM {{v_edges}}), nodes AS (SELECT u AS n FROM e UNION SELECT v FROM e),
+    b AS (SELECT u AS a, v AS b, length_m AS w FROM e WHERE NOT bad UNION ALL SELECT v, u, length_m FROM e WHERE NOT bad), {NEAREST},
+    t AS (SELECT edge_id AS pair_id, edge_id AS oe, CASE WHEN edge_id % 5 = 0 THEN edge_id ELSE edge_id + 20 END AS ge FROM e),
+    s AS (SELECT pair_id, n, c FROM t JOIN (SELECT edge_id, u AS n, 0.25::DOUBLE * length_m AS c FROM e UNION ALL SELECT edge_id, v, 0.75::DOUBLE * length_m FROM e) x ON x.edge_id = oe WHERE ge <> oe),
+    g AS (SELECT pair_id, n, c FROM t JOIN (SELECT edge_id, u AS n, 0.5::DOUBLE * length_m AS c FROM e UNION ALL SELECT edge_id, v, 0.5::DOUBLE * length_m FROM e) x ON x.edge_id = ge WHERE ge <> oe),
+    far AS (SELECT s.pair_id, min(s.c + d + g.c) AS distance FROM s JOIN g ON s.pair_id = g.pair_id JOIN r ON r.o = s.n AND r.n = g.n GROUP BY s.pair_id),
+    met AS (SELECT DISTINCT s.pair_id FROM s JOIN r ON r.o = s.n JOIN (SELECT u AS n FROM e WHERE bad UNION SELECT v FROM e WHERE bad) x ON x.n = r.n)
+    SELECT t.pair_id, CASE WHEN w.edge_id IS NULL THEN 'not_on_network' WHEN oe = ge THEN CASE WHEN w.bad THEN 'no_compliant_path' ELSE 'ok' END WHEN far.distance IS NOT NULL THEN 'ok' WHEN met.pair_id IS NOT NULL THEN 'no_compliant_path' ELSE 'no_path' END AS status,
+      CASE WHEN oe = ge THEN CASE WHEN NOT w.bad THEN 0.25::DOUBLE * w.length_m END ELSE far.distance END AS distance
+    FROM t LEFT JOIN e w ON w.edge_id = ge LEFT JOIN far ON far.pair_id = t.pair_id LEFT JOIN met ON met.pair_id = t.pair_id""")
+def route_trips(spark, sf):
+    """A trip from a quarter of every edge to the middle of the edge 20 numbers on, or of its own, past closed edges."""
+    e = carrier(spark, sf, "v_edges")
+    k = F.col("edge_id")
+    limits = e.select(k, (k % 11 == 0).alias("closed"), F.lit(False).alias("hazmat_blocked"), F.lit(None).cast("double").alias("min_clearance_in"), F.lit(None).cast("double").alias("max_weight_lb"))
+    trips = e.select(k.alias("pair_id"), k.alias("o_edge"), F.lit(0.25).alias("o_frac"), F.when(k % 5 == 0, k).otherwise(k + 20).alias("g_edge"), F.lit(0.5).alias("g_frac"))
+    return routing.routes(graph.allowed(e, limits, graph.Vehicle()), trips).select("pair_id", "status", "distance")
+
+
+@query("mainland_edges", """
+    WITH RECURSIVE b AS (SELECT u AS a, v AS b FROM {v_edges} UNION SELECT v, u FROM {v_edges}), r(a, b) AS (SELECT a, a FROM b UNION SELECT r.a, b.b FROM r JOIN b ON r.b = b.a),
+    c AS (SELECT a, min(b) AS root FROM r GROUP BY a), m AS (SELECT root FROM c GROUP BY root ORDER BY count(*) DESC, root LIMIT 1) SELECT edge_id FROM {v_edges} JOIN c ON a = u WHERE root = (SELECT root FROM m)""")
+def mainland_edges(spark, sf):
+    e = carrier(spark, sf, "v_edges")
+    return graph.mainland_edges(e, graph.ranked_components(e)).select("edge_id")
+
+
 @query("nodes_edges", """
     WITH l AS (SELECT edge_id, a.lon AS x0, a.lat AS y0, b.lon AS x1, b.lat AS y1 FROM {v_edges} e JOIN {v_places} a ON a.place_id = e.u JOIN {v_places} b ON b.place_id = e.v),
     p AS (SELECT x0 AS lon, y0 AS lat FROM l UNION ALL SELECT x1, y1 FROM l) SELECT row_number() OVER (ORDER BY lon, lat) AS node_id, round(lon, 6) AS lon, round(lat, 6) AS lat, count(*) AS degree FROM p GROUP BY lon, lat""")
@@ -558,66 +579,82 @@ def blocked(spark, sf):
 # ---- conflation --------------------------------------------------------------------------------------------
 
 
-@query("conflate_pairs", """
+PAIRS = """
     WITH n AS (SELECT 'a' AS s, rid, lon, lat, brand, regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g') AS nm FROM {v_src_a} UNION ALL SELECT 'b', rid, lon, lat, brand, trim(regexp_replace(regexp_replace(lower(name), '#\\s*\\d+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) FROM {v_src_b}),
     g AS (SELECT *, list_distinct(flatten(list_transform(list_filter(string_split(nm, ' '), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) AS BIGINT) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS t FROM n),
-    p AS (SELECT a.rid AS o, b.rid AS f, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) AS sim, """ + HAV.format(a="a", b="b") + """ AS d, CASE WHEN a.brand = b.brand THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM g a JOIN g b ON a.s = 'a' AND b.s = 'b' AND abs(a.lat - b.lat) < 0.01 AND abs(a.lon - b.lon) < 0.01)
-    SELECT o, f, round(sim, 6) AS name_sim, round(d, 1) AS dist_m, CASE WHEN 0.60::DOUBLE*sim + 0.25::DOUBLE*(1.0::DOUBLE - least(d, 150.0::DOUBLE)/150.0::DOUBLE) + 0.15::DOUBLE*bonus >= 0.85::DOUBLE THEN 'merge' WHEN 0.60::DOUBLE*sim + 0.25::DOUBLE*(1.0::DOUBLE - least(d, 150.0::DOUBLE)/150.0::DOUBLE) + 0.15::DOUBLE*bonus <= 0.55::DOUBLE THEN 'distinct' ELSE 'gray' END AS band
-    FROM p WHERE d <= 150 AND sim > 0.3::DOUBLE""")
+    p AS (SELECT a.rid AS o, b.rid AS f, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) AS sim, """ + HAV.format(a="a", b="b") + """ AS d, CASE WHEN a.brand = b.brand THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM g a JOIN g b ON a.s = 'a' AND b.s = 'b' AND abs(a.lat - b.lat) < 0.01 AND abs(a.lon - b.lon) < 0.01),
+    k AS (SELECT o, f, sim, d, 0.60::DOUBLE*sim + 0.25::DOUBLE*(1.0::DOUBLE - least(d, 150.0::DOUBLE)/150.0::DOUBLE) + 0.15::DOUBLE*bonus AS score FROM p WHERE d <= 150 AND sim > 0.3::DOUBLE)"""
+#: Pairs taken one by one, the best score first, unless an end is taken; and the rows that are gray.
+MATCHED = PAIRS + """,
+    q AS (SELECT list_reduce(list_prepend({'o': NULL::BIGINT, 'f': NULL::BIGINT, 'score': NULL::DOUBLE}, coalesce(list({'o': o::BIGINT, 'f': f::BIGINT, 'score': score} ORDER BY score DESC, o, f), [])), lambda t, x: CASE WHEN x.o IS NULL OR list_contains(t.os, x.o) OR list_contains(t.fs, x.f) THEN t
+      ELSE {'os': list_append(t.os, x.o), 'fs': list_append(t.fs, x.f), 'ss': list_append(t.ss, x.score)} END, {'os': []::BIGINT[], 'fs': []::BIGINT[], 'ss': []::DOUBLE[]}) AS t FROM k WHERE score >= 0.85::DOUBLE),
+    m AS (SELECT unnest(t.os) AS o, unnest(t.fs) AS f, unnest(t.ss) AS score FROM q),
+    h AS (SELECT o, f FROM k WHERE score > 0.55::DOUBLE AND score < 0.85::DOUBLE UNION ALL SELECT k.o, k.f FROM k LEFT JOIN m ON m.o = k.o AND m.f = k.f WHERE k.score >= 0.85::DOUBLE AND m.o IS NULL),
+    z AS (SELECT 'a' AS src, o AS rid FROM h UNION SELECT 'b', f FROM h)"""
+MERGED = MATCHED + """,
+    a AS (SELECT s.*, EXISTS (SELECT 1 FROM z WHERE z.src = 'a' AND z.rid = s.rid) AS gray FROM {v_src_a} s), b AS (SELECT s.*, EXISTS (SELECT 1 FROM z WHERE z.src = 'b' AND z.rid = s.rid) AS gray FROM {v_src_b} s),
+    x AS (SELECT o, f, CASE WHEN a.conf >= 0.5 THEN a.name ELSE b.name END AS name, CASE WHEN a.conf >= 0.5 THEN a.lon ELSE b.lon END AS lon, CASE WHEN a.conf >= 0.5 THEN a.lat ELSE b.lat END AS lat,
+        CASE WHEN a.conf >= 0.5 THEN coalesce(a.brand, b.brand) ELSE coalesce(b.brand, a.brand) END AS brand, CASE WHEN a.conf >= 0.5 THEN coalesce(a.website, b.website) ELSE coalesce(b.website, a.website) END AS website,
+        greatest(a.observed_at, b.observed_at) AS observed_at, a.conf AS conf, 'merged' AS src, a.gray OR b.gray AS gray FROM m JOIN a ON a.rid = o JOIN b ON b.rid = f
+      UNION ALL SELECT rid, NULL, name, lon, lat, brand, website, observed_at, conf, 'a', gray FROM a WHERE rid NOT IN (SELECT o FROM m)
+      UNION ALL SELECT NULL, rid, name, lon, lat, brand, website, observed_at, NULL, 'b', gray FROM b WHERE rid NOT IN (SELECT f FROM m))"""
+COLLIDED = MERGED + """,
+    w AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS nm, CAST(floor((lon + 180) / 360 * 262144) AS BIGINT) AS gx, CAST(floor((lat + 90) / 180 * 131072) AS BIGINT) AS gy FROM x),
+    v AS (SELECT *, count(*) OVER (PARTITION BY nm, gx, gy) AS n, count(*) FILTER (WHERE src = 'a') OVER (PARTITION BY nm, gx, gy) AS na, count(*) FILTER (WHERE src = 'b') OVER (PARTITION BY nm, gx, gy) AS nb,
+        row_number() OVER (PARTITION BY nm, gx, gy ORDER BY CASE src WHEN 'merged' THEN 0 ELSE 1 END, observed_at DESC NULLS LAST, o NULLS LAST, f NULLS LAST) AS i FROM w),
+    y AS (SELECT o, f, name, brand, website, observed_at, src, gray, CASE WHEN n > 1 THEN 'cell_name_collision' END AS cell_flag, n - 1 AS dropped FROM v WHERE i = 1 AND NOT (n = 2 AND na = 1 AND nb = 1)
+      UNION ALL SELECT a.o, b.f, CASE WHEN a.conf >= 0.5 THEN a.name ELSE b.name END, CASE WHEN a.conf >= 0.5 THEN coalesce(a.brand, b.brand) ELSE coalesce(b.brand, a.brand) END, CASE WHEN a.conf >= 0.5 THEN coalesce(a.website, b.website) ELSE coalesce(b.website, a.website) END,
+        greatest(a.observed_at, b.observed_at), 'merged', a.gray OR b.gray, 'cell_name_merge', 0 FROM v a JOIN v b ON a.nm = b.nm AND a.gx = b.gx AND a.gy = b.gy AND a.src = 'a' AND b.src = 'b' AND a.n = 2 AND a.na = 1 AND a.nb = 1)"""
+
+
+@query("conflate_pairs", PAIRS + """ SELECT o, f, round(sim, 6) AS name_sim, round(d, 1) AS dist_m, CASE WHEN score >= 0.85::DOUBLE THEN 'merge' WHEN score <= 0.55::DOUBLE THEN 'distinct' ELSE 'gray' END AS band FROM k""")
 def conflate_pairs(spark, sf):
     return _shown(_pairs(spark, sf))
 
 
-@query("conflate_match")
+@query("conflate_match", MATCHED + " SELECT o, f, round(score, 6) AS score FROM m")
 def conflate_match(spark, sf):
-    return conflate.match_one_to_one(_pairs(spark, sf).where("band = 'merge'"))
+    return conflate.match_one_to_one(_pairs(spark, sf).where("band = 'merge'")).select("o", "f", F.round("score", 6).alias("score"))
 
 
-@query("conflate_merge")
+@query("conflate_merge", MERGED + " SELECT o, f, name, round(lon, 6) AS lon, round(lat, 6) AS lat, brand, website, observed_at, src, gray FROM x")
 def conflate_merge(spark, sf):
-    return _merged(spark, sf)
+    return _merged(spark, sf).select("o", "f", "name", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "brand", "website", "observed_at", "src", "gray")
 
 
-@query("collisions")
+@query("collisions", COLLIDED + " SELECT o, f, name, brand, website, observed_at, src, gray, cell_flag, dropped FROM y")
 def collisions(spark, sf):
-    return _resolved(_merged(spark, sf))
-
+    return conflate.resolve_collisions(_merged(spark, sf)).select("o", "f", "name", "brand", "website", "observed_at", "src", "gray", "cell_flag", "dropped")
 
-@query("conflate_pairs_all")
-def conflate_pairs_all(spark, sf):
-    return _shown(_pairs(spark, sf, "v_all"))
 
-
-@query("conflate_match_all")
-def conflate_match_all(spark, sf):
-    return conflate.match_one_to_one(_pairs(spark, sf, "v_all").where("band = 'merge'"))
-
-
-@query("conflate_merge_all")
-def conflate_merge_all(spark, sf):
-    return _merged(spark, sf, "v_all")
+@query("conflate_gray", MATCHED + " SELECT src, rid FROM z")
+def conflate_gray(spark, sf):
+    p = _pairs(spark, sf)
+    return conflate.gray_ids(p, conflate.match_one_to_one(p.where("band = 'merge'")))
 
 
-@query("collisions_all")
-def collisions_all(spark, sf):
-    return _resolved(_merged(spark, sf, "v_all"))
+@query("publish_businesses", COLLIDED + """
+    SELECT o, f, round(100.0::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.35::DOUBLE * 0.65::DOUBLE + 0.25::DOUBLE * CASE WHEN observed_at IS NULL THEN 0.0::DOUBLE ELSE pow(0.5::DOUBLE, (31 - observed_at)::DOUBLE / 180.0::DOUBLE) END
+        + 0.20::DOUBLE * (3 * (name IS NOT NULL)::INT + 2 * (brand IS NOT NULL)::INT + (website IS NOT NULL)::INT) / 6.0::DOUBLE + 0.20::DOUBLE * CASE WHEN src = 'merged' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)), 0)::INT AS confidence,
+      concat_ws(',', CASE WHEN gray THEN 'dedup_gray_zone' END, cell_flag) AS flags FROM (SELECT * REPLACE (CASE WHEN observed_at > 31 THEN 31 ELSE observed_at END AS observed_at) FROM y)""")
+def publish_businesses(spark, sf):
+    rows = conflate.resolve_collisions(_merged(spark, sf))
+    rows = rows.withColumn("observed_at", F.date_add(F.lit("2024-01-01").cast("date"), F.col("observed_at").cast("int")).cast("timestamp_ntz"))
+    out = conflate.publish(rows, now(), {"name": 3, "brand": 2, "website": 1})
+    return out.select("o", "f", "confidence", F.array_join("flags", ",").alias("flags"))
 
 
-def _pairs(spark, sf, source="v_src"):
-    return conflate.candidate_pairs(carrier(spark, sf, f"{source}_a"), carrier(spark, sf, f"{source}_b"))
+def _pairs(spark, sf):
+    return conflate.candidate_pairs(carrier(spark, sf, "v_src_a"), carrier(spark, sf, "v_src_b"))
 
 
 def _shown(p):
     return p.select("o", "f", F.round("name_sim", 6).alias("name_sim"), F.round("dist_m", 1).alias("dist_m"), "band")
 
 
-def _merged(spark, sf, source="v_src"):
-    matches = conflate.match_one_to_one(_pairs(spark, sf, source).where("band = 'merge'"))
-    return conflate.merge(carrier(spark, sf, f"{source}_a"), carrier(spark, sf, f"{source}_b"), matches)
-
-
-def _resolved(rows):
-    return conflate.resolve_collisions(rows).select("key", "o", "f", "src", "cell_flag", "dropped")
+def _merged(spark, sf):
+    p = _pairs(spark, sf)
+    return conflate.merge(carrier(spark, sf, "v_src_a"), carrier(spark, sf, "v_src_b"), conflate.match_one_to_one(p.where("band = 'merge'")), p)
 
 
 # ---- tracking ----------------------------------------------------------------------------------------------
@@ -729,16 +766,9 @@ def price_region_chain(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), price_region(state, ["US", "PADD1", "PADD3", "PADD5", "CA"]).alias("region"))
 
 
-@query("station_state", "SELECT nbi_id, CASE WHEN nbi_id % 3 = 0 THEN 'TX' WHEN nbi_id % 3 = 1 AND posting IS NOT NULL THEN posting ELSE 'NEAR' END AS state, CASE WHEN nbi_id % 3 = 0 THEN 'osm' WHEN nbi_id % 3 = 1 AND posting IS NOT NULL THEN 'overture' ELSE 'nearest truck route' END AS state_source FROM {v_bridges}")
+@query("station_state")
 def station_state(spark, sf):
-    own, place, near = F.when(F.col("nbi_id") % 3 == 0, "TX"), F.when(F.col("nbi_id") % 3 == 1, F.col("posting")), F.lit("NEAR")
-    src = F.when(own.isNotNull(), "osm").when(place.isNotNull(), "overture").when(near.isNotNull(), "nearest truck route")
-    return carrier(spark, sf, "v_bridges").select("nbi_id", F.coalesce(own, place, near).alias("state"), src.alias("state_source"))
-
-
-@query("station_state_all")
-def station_state_all(spark, sf):
-    """As station_state, with the state of the truly nearest edge (that of its first node) where no source names one."""
+    """The state that a source names, else that of the nearest edge (of its first node)."""
     b, k = carrier(spark, sf, "v_bridges"), F.col("nbi_id")
     own, place = F.when(k % 3 == 0, "TX"), F.when(k % 3 == 1, F.col("posting"))
     s = b.select("nbi_id", "lon", "lat", own.alias("own"), place.alias("place"))
@@ -749,17 +779,11 @@ def station_state_all(spark, sf):
     return s.select("nbi_id", F.coalesce("own", "place", "near").alias("state"), src.alias("state_source"))
 
 
-@query("snap_candidates_all")
-def snap_candidates_all(spark, sf):
+@query("snap_candidates")
+def snap_candidates(spark, sf):
     parts = graph.ranked_components(carrier(spark, sf, "v_edges")).select(F.col("node_id").alias("u"), "component")
     lines = _graph_lines(spark, sf).join(carrier(spark, sf, "v_edges").select("edge_id", "u").join(parts, "u").select("edge_id", "component"), "edge_id")
-    return graph.snap_candidates(carrier(spark, sf, "v_bridges").select("nbi_id", "lon", "lat"), lines, "nbi_id").select("nbi_id", "component", "edge_id", F.round("access_m", 1).alias("access_m"))
-
-
-@query("conflate_gray_all")
-def conflate_gray_all(spark, sf):
-    p = _pairs(spark, sf, "v_all")
-    return conflate.gray_ids(p, conflate.match_one_to_one(p.where("band = 'merge'")))
+    return graph.snap_candidates(carrier(spark, sf, "v_bridges").select("nbi_id", "lon", "lat"), lines, "nbi_id").select("nbi_id", "component", "edge_id", F.round("access_m", 1).alias("access_m"), F.round("frac", 6).alias("frac"))
 
 
 @query("window_84d", "SELECT region, week_of, price FROM {v_prices} WHERE week_of >= (SELECT max(week_of) FROM {v_prices}) - 84")

@@ -48,39 +48,21 @@ def shop_bands(spark, sf):
 
 
 @query("licence_cascade", """
-    WITH m AS (SELECT s.nbi_id AS shop_id, l.nbi_id AS licence_id, CASE WHEN s.nbi_id % 4 = l.nbi_id % 4 THEN 1 ELSE 2 END AS pri, l.nbi_id AS late FROM {v_bridges} s JOIN {v_bridges} l ON s.name = l.name AND s.nbi_id % 50 = 0 AND l.nbi_id % 20 = 7 AND (s.nbi_id % 4 = l.nbi_id % 4 OR s.nbi_id % 3 = l.nbi_id % 3))
+    WITH m AS (SELECT s.nbi_id AS shop_id, l.nbi_id AS licence_id, CASE WHEN s.nbi_id % 4 = l.nbi_id % 4 THEN 1 ELSE 2 END AS pri, l.nbi_id AS late FROM {v_bridges} s JOIN {v_bridges} l ON s.name = l.name AND (s.nbi_id % 4 = l.nbi_id % 4 OR s.nbi_id % 3 = l.nbi_id % 3))
     SELECT shop_id, licence_id, CASE pri WHEN 1 THEN 'name_zip' ELSE 'name_city' END AS rule FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY pri, late DESC) AS n FROM m) t WHERE n = 1""")
 def licence_cascade(spark, sf):
-    return _licences(spark, sf, "nbi_id % 50 = 0", "nbi_id % 20 = 7")
-
-
-@query("licence_cascade_all")
-def licence_cascade_all(spark, sf):
-    return _licences(spark, sf, "true", "true")
-
-
-def _licences(spark, sf, shop, licence):
     b, k = carrier(spark, sf, "v_bridges"), F.col("nbi_id")
     none = F.lit(None).cast("double")
     town = F.concat(F.lit("TOWN"), (k % 3).cast("string"))
     zip_ = F.concat(F.lit("7500"), (k % 4).cast("string"))
-    s = b.where(shop).select(k.alias("shop_id"), "name", F.lit("TX").alias("state"), none.alias("lat"), none.alias("lon"), zip_.alias("zip"), F.lower(town).alias("city"), F.lit(None).cast("string").alias("address"))
-    li = b.where(licence).select(k.alias("licence_id"), F.concat(F.upper("name"), F.lit(" INC.")).alias("name"), F.lit("TX").alias("state"), none.alias("lat"), none.alias("lon"), zip_.alias("zip"), town.alias("city"), F.lit(None).cast("string").alias("address"), F.date_add(F.lit("2020-01-01").cast("date"), k.cast("int")).alias("expiry"))
+    s = b.select(k.alias("shop_id"), "name", F.lit("TX").alias("state"), none.alias("lat"), none.alias("lon"), zip_.alias("zip"), F.lower(town).alias("city"), F.lit(None).cast("string").alias("address"))
+    li = b.select(k.alias("licence_id"), F.concat(F.upper("name"), F.lit(" INC.")).alias("name"), F.lit("TX").alias("state"), none.alias("lat"), none.alias("lon"), zip_.alias("zip"), town.alias("city"), F.lit(None).cast("string").alias("address"), F.date_add(F.lit("2020-01-01").cast("date"), k.cast("int")).alias("expiry"))
     return shops.join_licences(s, li, F.lit("2024-01-01").cast("date")).select("shop_id", "licence_id", "rule")
 
 
-@query("map_match", "SELECT shop_id, osm_id, dist_m FROM (SELECT a.place_id AS shop_id, b.nbi_id AS osm_id, round(d, 1) AS dist_m, row_number() OVER (PARTITION BY a.place_id ORDER BY d, b.nbi_id) AS n FROM {v_places} a JOIN LATERAL (SELECT nbi_id, lon, lat, " + HAV.format(a="a", b="b") + " AS d FROM {v_bridges} b WHERE nbi_id % 2 = 0) b ON d <= 50000) t WHERE n = 1")
+@query("map_match", "SELECT shop_id, osm_id, dist_m FROM (SELECT a.place_id AS shop_id, b.nbi_id AS osm_id, round(d, 1) AS dist_m, row_number() OVER (PARTITION BY a.place_id ORDER BY d, b.nbi_id) AS n FROM {v_places} a JOIN LATERAL (SELECT nbi_id, lon, lat, " + HAV.format(a="a", b="b") + " AS d FROM {v_bridges} b) b ON d <= 50000) t WHERE n = 1")
 def map_match(spark, sf):
-    return _map_match(spark, sf, "nbi_id % 2 = 0")
-
-
-@query("map_match_all")
-def map_match_all(spark, sf):
-    return _map_match(spark, sf, "true")
-
-
-def _map_match(spark, sf, repair):
-    m = shops.match_map(carrier(spark, sf, "v_places").withColumnRenamed("place_id", "shop_id"), carrier(spark, sf, "v_bridges").where(repair).withColumnRenamed("nbi_id", "osm_id"), 50_000.0)
+    m = shops.match_map(carrier(spark, sf, "v_places").withColumnRenamed("place_id", "shop_id"), carrier(spark, sf, "v_bridges").withColumnRenamed("nbi_id", "osm_id"), 50_000.0)
     return m.select("shop_id", "osm_id", F.round("dist_m", 1).alias("dist_m"))
 
 
@@ -160,18 +142,9 @@ def graph_edges(spark, sf):
     return e.select("edge_id", F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"))
 
 
-@query("chain_witness", "SELECT place_id, brand, dist_m FROM (SELECT a.place_id, b.brand, round(d, 1) AS dist_m, row_number() OVER (PARTITION BY a.place_id ORDER BY d, b.nbi_id) AS n FROM {v_places} a JOIN LATERAL (SELECT nbi_id, brand, lon, lat, " + HAV.format(a="a", b="b") + " AS d FROM {v_bridges} b WHERE nbi_id % 3 = 0) b ON d <= 70000) t WHERE n = 1")
+@query("chain_witness", "SELECT place_id, brand, dist_m FROM (SELECT a.place_id, b.brand, round(d, 1) AS dist_m, row_number() OVER (PARTITION BY a.place_id ORDER BY d, b.nbi_id) AS n FROM {v_places} a JOIN LATERAL (SELECT nbi_id, brand, lon, lat, " + HAV.format(a="a", b="b") + " AS d FROM {v_bridges} b) b ON d <= 70000) t WHERE n = 1")
 def chain_witness(spark, sf):
-    return _chain_witness(spark, sf, "nbi_id % 3 = 0")
-
-
-@query("chain_witness_all")
-def chain_witness_all(spark, sf):
-    return _chain_witness(spark, sf, "true")
-
-
-def _chain_witness(spark, sf, site):
-    chain = carrier(spark, sf, "v_bridges").where(site).select(F.col("nbi_id").alias("site_id"), "lon", "lat", "brand")
+    chain = carrier(spark, sf, "v_bridges").select(F.col("nbi_id").alias("site_id"), "lon", "lat", "brand")
     return presence.chain_witness(carrier(spark, sf, "v_places").select("place_id", "lon", "lat"), chain, 70_000.0).select("place_id", "brand", F.round("dist_m", 1).alias("dist_m"))
 
 

@@ -1,4 +1,4 @@
-"""Queries over whole tables, which have no SQL form, against brute force on the smallest tables."""
+"""Queries against brute force on the smallest tables."""
 
 import heapq
 import math
@@ -35,28 +35,28 @@ def test_licences_of_all_shops(spark, bridges):
         rank = lambda n, k=k: 1 if n % 4 == k % 4 else 2 if n % 3 == k % 3 else 3
         pri, late = min((rank(x["nbi_id"]), -x["nbi_id"]) for x in bridges if x["name"] == s["name"])
         want[k] = (-late, {1: "name_zip", 2: "name_city"}[pri])
-    got = roads.QUERIES["licence_cascade_all"](spark, SF).collect()
+    got = roads.QUERIES["licence_cascade"](spark, SF).collect()
     assert len(got) == len(bridges) and {r["shop_id"]: (r["licence_id"], r["rule"]) for r in got} == want
 
 
-@pytest.mark.parametrize("name, radius, columns", [("map_match_all", 50_000, ("shop_id", "osm_id")), ("chain_witness_all", 70_000, ("place_id", "brand"))])
+@pytest.mark.parametrize("name, radius, columns", [("map_match", 50_000, ("shop_id", "osm_id")), ("chain_witness", 70_000, ("place_id", "brand"))])
 def test_nearest_of_all(spark, bridges, places, name, radius, columns):
     want = {}
     for p in places:
         d, k, brand = min((metres(p, b), b["nbi_id"], b["brand"]) for b in bridges)
         if d <= radius:
-            want[p["place_id"]] = (k if name == "map_match_all" else brand, round(d, 1))
+            want[p["place_id"]] = (k if name == "map_match" else brand, round(d, 1))
     got = roads.QUERIES[name](spark, SF).collect()
     assert {r[columns[0]]: (r[columns[1]], r["dist_m"]) for r in got} == want and len(got) == len(want)
 
 
 def test_swap_keeps_all_rows(spark, bridges):
-    got = domain.QUERIES["swap_then_read_all"](spark, SF).collect()
+    got = domain.QUERIES["swap_then_read"](spark, SF).collect()
     assert sorted(got) == sorted((b["nbi_id"], b["clearance_in"]) for b in bridges)
 
 
 def test_conflation_of_all_rows(spark, bridges):
-    a, b = (carrier(spark, SF, f"v_all_{s}").collect() for s in "ab")
+    a, b = (carrier(spark, SF, f"v_src_{s}").collect() for s in "ab")
     assert len(a) == len(b) == len(bridges)
     grams = lambda name: {f"  {w} "[i : i + 3] for w in name.lower().replace("#12", "").split() for i in range(len(w) + 1)}
     want, scored = {}, []
@@ -69,15 +69,15 @@ def test_conflation_of_all_rows(spark, bridges):
                 s = 0.6 * sim + 0.25 * (1 - d / 150) + 0.15 * (x["brand"] == y["brand"])
                 want[x["rid"], y["rid"]] = "merge" if s >= 0.85 else "distinct" if s <= 0.55 else "gray"
                 scored += [(-s, x["rid"], y["rid"])] if s >= 0.85 else []
-    assert {(r["o"], r["f"]): r["band"] for r in domain.QUERIES["conflate_pairs_all"](spark, SF).collect()} == want
+    assert {(r["o"], r["f"]): r["band"] for r in domain.QUERIES["conflate_pairs"](spark, SF).collect()} == want
     taken = []
     for _, o, f in sorted(scored):
         if all(o != p and f != q for p, q in taken):
             taken.append((o, f))
-    assert sorted((r["o"], r["f"]) for r in domain.QUERIES["conflate_match_all"](spark, SF).collect()) == sorted(taken)
-    merged = domain.QUERIES["conflate_merge_all"](spark, SF).collect()
+    assert sorted((r["o"], r["f"]) for r in domain.QUERIES["conflate_match"](spark, SF).collect()) == sorted(taken)
+    merged = domain.QUERIES["conflate_merge"](spark, SF).collect()
     assert len(merged) == len(a) + len(b) - len(taken) and sorted(r["o"] for r in merged if r["o"] is not None) == sorted(x["rid"] for x in a)
-    assert sum(1 + r["dropped"] + (r["cell_flag"] == "cell_name_merge") for r in domain.QUERIES["collisions_all"](spark, SF).collect()) == len(merged)
+    assert sum(1 + r["dropped"] + (r["cell_flag"] == "cell_name_merge") for r in domain.QUERIES["collisions"](spark, SF).collect()) == len(merged)
 
 
 def dijkstra(edges, origin):
@@ -99,7 +99,7 @@ def test_shortest_paths_over_all_edges(spark):
     edges = [(r["u"], r["v"], r["length_m"]) for r in carrier(spark, "/root/testdata/sf0.01", "v_edges").collect()]
     nodes = {n for u, v, _ in edges for n in (u, v)}
     want = {u: best[u + 37] for u in nodes if u + 37 in nodes and u + 37 in (best := dijkstra(edges, u))}
-    got = domain.QUERIES["shortest_path_all"](spark, "/root/testdata/sf0.01").collect()
+    got = domain.QUERIES["shortest_path"](spark, "/root/testdata/sf0.01").collect()
     assert max(want) > 45 and {r["pair_id"]: r["distance"] for r in got} == want and len(got) == len(want)
 
 
@@ -131,7 +131,7 @@ def test_nearest_line(spark):
 
 
 def test_station_state_is_computed(spark):
-    got = {r["nbi_id"]: r for r in domain.QUERIES["station_state_all"](spark, SF).collect()}
+    got = {r["nbi_id"]: r for r in domain.QUERIES["station_state"](spark, SF).collect()}
     at = {p["place_id"]: p for p in carrier(spark, SF, "v_places").collect()}
     edges = [(r["u"], r["edge_id"], [(at[n]["lon"], at[n]["lat"]) for n in (r["u"], r["v"])]) for r in carrier(spark, SF, "v_edges").collect() if r["u"] in at and r["v"] in at]
     left = [b for b in carrier(spark, SF, "v_bridges").collect() if b["nbi_id"] % 3 == 2 or b["nbi_id"] % 3 == 1 and b["posting"] is None]
