@@ -52,13 +52,13 @@ def _mandatory(template: str) -> list[tuple[int, str]]:
 
 def _doc_places(docs: DataFrame, text_col: str, vocabulary: list[str]) -> DataFrame:
     """Adds n_words, has (the distinct words of the vocabulary in the text) and places: (w, i) for each place of such
-    a word, empty unless the text has an infrequent one."""
+    a word, null unless the text has an infrequent one."""
+    listed = lambda words: F.array(*[F.lit(w) for w in words])
     words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    out = docs.withColumn("_words", words).withColumn("has", F.array_intersect("_words", listed(vocabulary)))
     found = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    telling = F.array(*[F.lit(w) for w in vocabulary if w not in FREQUENT])
-    out = docs.withColumn("_words", words).withColumn("_found", found)
-    out = out.select(*docs.columns, F.size("_words").cast("bigint").alias("n_words"), "_found", F.array_distinct(F.transform("_found", lambda x: x["w"])).alias("has"))
-    return out.withColumn("places", F.when(F.arrays_overlap("has", telling), F.col("_found"))).drop("_found")
+    places = F.when(F.arrays_overlap("has", listed(w for w in vocabulary if w not in FREQUENT)), found)
+    return out.select(*docs.columns, F.size("_words").cast("bigint").alias("n_words"), "has", places.alias("places"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple = BASE, more: tuple = MORE) -> DataFrame:
