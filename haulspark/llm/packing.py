@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from haulspark.llm.common import checkpoint, map_batches, narrow, prepare
 from haulspark.llm.wordbpe import encoder
 
+#: Keys of cut pieces that are sent to all tasks at most (16 MB); more of them meet the texts in a shuffle.
+SENT_KEYS = 250_000
 PIECE = "doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, pid int, nth bigint, key string"
 OUT_NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 OUT = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
@@ -224,9 +226,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, i
 
     ranked = base.join(offsets, ["pid", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "key", (F.col("before") + F.col("nth")).alias("rank"))
     placed = checkpoint(map_batches(ranked, place, f"{OUT}, key string"))
-    # the few pieces that the greedy end has cut are encoded once more for their checksums
+    # the few pieces that the greedy end has cut are encoded once more for their checksums; their texts alone move
     cut = placed.where("ids_crc32 is null")
-    texts = _keyed(docs, id_col, text_col).select("key", "text").join(cut.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    keys = cut.select("key").distinct()
+    few = keys.count() <= SENT_KEYS
+    texts = _keyed(docs, id_col, text_col).select("key", "text").join(F.broadcast(keys) if few else keys, "key", "left_semi").dropDuplicates(["key"])
     cut = map_batches(cut.join(texts, "key").select(*OUT_NAMES, "text"), checksums, OUT)
     out = placed.where("ids_crc32 is not null").select(*OUT_NAMES).unionByName(cut)
     return out.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")  # a sequence lies together
