@@ -24,6 +24,8 @@ from haulspark.llm.common import checkpoint, map_batches, narrow, prepare
 
 #: Characters of text in a block: bounds a worker's memory; larger blocks share more words.
 BLOCK_CHARS = 32 << 20
+#: Characters of text for each bucket of distinct words.
+BUCKET_CHARS = 64 << 20
 BLOCK = "block bigint, rows binary, seq binary, n bigint, bucket array<int>, words array<binary>"
 
 
@@ -92,7 +94,7 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col: s
                 if len(own):
                     full.append(k)
                     packs.append(press.compress(_join([np.diff(place[own].astype("<i8"), prepend=0).astype("<u4").tobytes(), *[words[i] for i in own.tolist()]])))
-            planes = place[seq].view("u1").reshape(-1, 4).T[:3]
+            planes = place[seq].view("u1").reshape(-1, 4).T  # planes of zeros take next to nothing
             ids, null = np.array([i or 0 for i in step.ids], "<i8"), np.array([i is None for i in step.ids], "u1")
             lens = np.array([len(x) for x in step.seqs], "<u4")
             row = {
@@ -150,7 +152,7 @@ def _assembled(joined: DataFrame, path: str, emit, schema: str) -> DataFrame:
                         ids[k] = np.frombuffer(x, width).tolist()
                 who, null, lens = _split(unpress.decompress(rows))
                 planes = [np.frombuffer(unpress.decompress(p), "u1") for p in _split(seq)]
-                at = planes[0].astype("<u4") | planes[1].astype("<u4") << 8 | planes[2].astype("<u4") << 16
+                at = np.stack(planes, 1).view("<u4")[:, 0] if len(planes[0]) else np.zeros(0, "<u4")
                 ends = np.cumsum(np.frombuffer(lens, "<u4"), dtype=np.int64).tolist()
                 who = [None if x else i for i, x in zip(np.frombuffer(who, "<i8").tolist(), null, strict=True)]
                 put, starts = emit(ids, table), [0, *ends][:-1]
@@ -165,12 +167,14 @@ def _assembled(joined: DataFrame, path: str, emit, schema: str) -> DataFrame:
 def _answers(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chars = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))  # a bucket's words stay few
     base = checkpoint(blocks(docs, pattern, buckets, id_col, text_col))
     asked = base.select("block", F.explode(F.arrays_zip("bucket", "words")).alias("x")).select(F.col("x.bucket").alias("bucket"), "block", F.col("x.words").alias("words"))
-    answers = encode_words(asked.repartition("bucket").sortWithinPartitions("bucket"), path, pattern)
-    answers = answers.groupBy("block").agg(F.collect_list("answer").alias("answers"))  # one per bucket at most
-    return base.select("block", "rows", "seq", "n").join(answers, "block", "left").select("rows", "seq", "n", "answers")
+    answers = encode_words(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket"), path, pattern)
+    n = max(1, base.count())  # a task per block: blocks are large, whatever their number
+    answers = answers.repartition(n, "block").groupBy("block").agg(F.collect_list("answer").alias("answers"))  # one per bucket at most
+    return base.select("block", "rows", "seq", "n").repartition(n, "block").join(answers, "block", "left").select("rows", "seq", "n", "answers")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
