@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed values.
 KINDS = {"bulk_http", "arcgis", "live_json", "api_keyed", "derived"}
@@ -125,9 +125,11 @@ def fetch_keyed(get: Callable[[str, dict], bytes], url: str, key: str) -> dict:
     doc = json.loads(get(url, {"api_key": key, "offset": 0}))
     response = doc.setdefault("response", {})
     rows = list(response.get("data") or [])
-    for _ in range(MAX_PAGES - 1):
+    for page in range(1, MAX_PAGES + 1):
         if len(rows) >= int(response.get("total") or len(rows)):
             break
+        if page == MAX_PAGES:
+            raise ConnectionError(f"{len(rows)} of {response['total']} rows after {MAX_PAGES} pages")
         more = (json.loads(get(url, {"api_key": key, "offset": len(rows)})).get("response") or {}).get("data") or []
         if not more:
             break
@@ -159,6 +161,48 @@ def check_spool(path: str, manifest: Mapping, factor: float = 5.0) -> None:
         raise OSError(f"{free} bytes are free, {factor * size:.0f} are needed")
 
 
+def fetch_if_changed(spark: SparkSession, target: str, remote_md5: str, chunks: Callable[[], Iterable[bytes]], dry_run: bool = False) -> tuple[bool, str]:
+    """Replaces a large file only when its published md5 differs from the one kept beside it.
+
+    The new file is written aside, in the store that ``target`` is in, and takes its place only once its md5 is right;
+    the md5 beside it is written last.  A mismatch leaves the old file and raises.
+    """
+    jvm = spark.sparkContext._jvm
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    side, part = Path(f"{target}.md5"), Path(f"{target}.part")
+    local = None
+    if fs.exists(side) and fs.exists(Path(target)):
+        stream = fs.open(side)
+        try:
+            local = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()[0]
+        finally:
+            stream.close()
+    if local == remote_md5:
+        return False, f"unchanged ({remote_md5[:12]})"
+    if dry_run:
+        return True, f"{str(local)[:12]} is not {remote_md5[:12]}"
+    got, out = hashlib.md5(usedforsecurity=False), fs.create(part, True)
+    try:
+        for chunk in chunks():
+            got.update(chunk)
+            out.write(bytearray(chunk))
+    finally:
+        out.close()
+    if got.hexdigest() != remote_md5:
+        fs.delete(part, False)
+        raise ValueError(f"md5 is {got.hexdigest()}, not {remote_md5}; the old file stays")
+    if fs.exists(Path(target)):
+        fs.delete(Path(target), False)
+    fs.rename(part, Path(target))
+    out = fs.create(side, True)
+    try:
+        out.write(bytearray(f"{remote_md5}\n".encode()))
+    finally:
+        out.close()
+    return True, f"replaced ({remote_md5[:12]})"
+
+
 # ---- queue and resources -----------------------------------------------------------------------------------
 
 

@@ -147,3 +147,17 @@ def publish(rows: DataFrame, now: Column, weights: Mapping[str, int], half_life_
     flags = F.array_compact(F.array(F.when(F.col("gray"), "dedup_gray_zone"), F.col("cell_flag")))
     out = rows.withColumn("business_id", short_key("biz_", squeeze(F.col("name")), *place)).withColumn("_s", s).withColumn("def", inferred if inferred is not None else F.lit(None).cast("string"))
     return out.select("business_id", *[c for c in rows.columns if c not in ("key", "cell_flag", "dropped", "gray")], "def", "_s.*", flags.alias("flags"))
+
+
+def workload(a: DataFrame, b: DataFrame, pairs: DataFrame, limit: int = 5_000_000) -> DataFrame:
+    """One row that says what a conflation has to hold: rows of both sides, pairs by band, distinct gray ids, and the
+    verdict run_as_is, spill_first from ``limit`` merge pairs and gray ids on, or empty_source."""
+    gray = F.col("band") == "gray"
+    p = pairs.agg(
+        F.count(F.lit(1)).alias("blocked_pairs"), F.count_if(F.col("band") == "merge").alias("merge_band_pairs"), F.count_if(gray).alias("gray_band_pairs"), F.count_if(F.col("band") == "distinct").alias("distinct_band_pairs"),
+        F.countDistinct(F.when(gray, F.col("o"))).alias("gray_ids_a"), F.countDistinct(F.when(gray, F.col("f"))).alias("gray_ids_b"),
+    )
+    n = a.agg(F.count(F.lit(1)).alias("rows_a")).join(F.broadcast(b.agg(F.count(F.lit(1)).alias("rows_b"))))  # a row each
+    units = F.col("merge_band_pairs") + F.col("gray_ids_a") + F.col("gray_ids_b")
+    verdict = F.when((F.col("rows_a") == 0) | (F.col("rows_b") == 0), "empty_source").when(units < limit, "run_as_is").otherwise("spill_first")
+    return n.join(F.broadcast(p)).withColumn("units", units).withColumn("verdict", verdict)

@@ -79,3 +79,19 @@ def path_rollup(path: DataFrame) -> DataFrame:
     conn = F.col("kind") == "connector"
     total = path.groupBy("path_id").agg(F.sum("length_m").alias("length_m"), F.count_if(conn).alias("connectors"), F.coalesce(F.sum(F.when(conn, F.col("length_m"))), F.lit(0.0)).alias("connector_m"), F.sum(F.coalesce("structures_unknown_clearance", F.lit(0))).alias("unknown_clearance"))
     return total.join(roads, "path_id", "left")
+
+
+#: Categories of businesses that stand in for repair shops.
+REPAIR = ("truck_repair", "towing", "tire_service", "truck_dealer")
+
+
+def mechanics(path: DataFrame, shops: DataFrame | None, businesses: DataFrame, buffer_m: float) -> DataFrame:
+    """Repair, towing and tyre shops near a path, with ``source`` saying which table answered.
+
+    ``shops`` (shop_id, name, category, lon, lat, verification_status, confidence) answers if it has any row; else the
+    repair categories of ``businesses`` (business_id, name, category, lon, lat) do, unverified.
+    """
+    if shops is not None and not shops.isEmpty():
+        return features_near(path, shops, buffer_m, "shop_id").withColumnRenamed("shop_id", "id").withColumn("source", F.lit("mechanic_shops"))
+    found = features_near(path, businesses.where(F.col("category").isin(*REPAIR)), buffer_m, "business_id").withColumnRenamed("business_id", "id")
+    return found.withColumns({"verification_status": F.lit(None).cast("string"), "confidence": F.lit(None).cast("int"), "source": F.lit("businesses (fallback)")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,61 @@ def watch(runs: DataFrame, since: Column, threshold: int, backlog: int) -> DataF
     return g.select("source_id", F.explode(alerts).alias("a")).select("a.alert", "source_id", "a.n")
 
 
+def alerts(runs: DataFrame, sources: DataFrame, queue: DataFrame, now: Column, nightly: Sequence[str] = (), window_h: int = 24, threshold: int = 3, nightly_h: int = 30, stuck_h: int = 6, backlog_h: int = 6, deferred_h: int = 24) -> DataFrame:
+    """(key, severity, source_id, n, said): all seven alerts.
+
+    ``runs`` has run_id, source_id, status, started_at, message; ``sources`` source_id, enabled; ``queue`` job_id,
+    source_id, status, enqueued_at, message.  Sources whose id begins with _test_ are left out.
+    """
+    ago = lambda h: now - F.expr(f"INTERVAL {int(h)} HOURS")
+    real = lambda df: df.where(~F.coalesce(F.col("source_id").startswith("_test_"), F.lit(False)))
+    r, s, q = real(runs), real(sources), queue.where("status = 'queued'")
+    said = lambda df, kind, key, n, text, severity="high": df.select(F.concat(F.lit(f"{kind}/"), key.cast("string")).alias("key"), F.lit(severity).alias("severity"), F.col("source_id"), n.cast("bigint").alias("n"), text.alias("said"))
+    last = F.max_by("message", F.struct("started_at", "run_id")).alias("last")
+    failed = r.where("status = 'failed'")
+    hours = lambda at: F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / F.lit(3600e6))
+    key, one = F.col("source_id"), F.lit(1)
+    repeated = failed.where(F.col("started_at") > ago(window_h)).groupBy("source_id").agg(F.count(one).alias("n"), last).where(F.col("n") >= threshold)
+    selfcheck = failed.where(F.col("source_id").isin(list(nightly)) & (F.col("started_at") > ago(nightly_h))).groupBy("source_id").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("n"), last)
+    never = r.groupBy("source_id").agg(F.count(one).alias("n"), F.count_if(F.col("status") == "success").alias("ok")).where("ok = 0 and n >= 3")
+    stuck = r.where((F.col("status") == "running") & (F.col("started_at") < ago(stuck_h)))
+    disarmed = s.where("not enabled").join(r.groupBy("source_id").agg(F.max("started_at").alias("at")).where(F.col("at") > ago(24 * 7)), "source_id")
+    backlog = q.where(F.col("enqueued_at") < ago(backlog_h)).agg(F.count(one).alias("n"), F.min("enqueued_at").alias("at")).where("n > 0").withColumn("source_id", F.lit(None).cast("string"))
+    deferred = real(q).where(F.col("message").startswith("deferred") & (F.col("enqueued_at") < ago(deferred_h)))
+    none = F.lit(None).cast("string")
+    parts = [
+        said(repeated, "failing", key, F.col("n"), F.substring("last", 1, 160)), said(selfcheck, "selfcheck", key, F.col("n"), F.substring("last", 1, 200)), said(never, "never-ok", key, F.col("n"), none),
+        said(stuck, "stuck", F.col("run_id"), hours("started_at"), none), said(disarmed, "disarmed", key, one, none), said(backlog, "backlog", F.lit("queue"), F.col("n"), F.col("at").cast("string"), "medium"),
+        said(deferred, "deferred", key, hours("enqueued_at"), F.substring("message", 1, 200)),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def activity(runs: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Runs of each source in the last days, by outcome."""
+    r = runs.where((F.col("started_at") >= now - F.expr(f"INTERVAL {int(days)} DAYS")) & ~F.col("source_id").startswith("_test_"))
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    return r.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("runs"), n("success").alias("ok"), n("skipped_unchanged", "skipped_no_key", "gated").alias("skipped"), n("failed").alias("failed"), n("running").alias("running"),
+        F.coalesce(F.sum("rows_published"), F.lit(0)).alias("rows_published"), F.max("started_at").alias("last_at"),
+    )
+
+
+def attention(runs: DataFrame, sources: DataFrame, now: Column, days: int = 7, threshold: int = 5) -> DataFrame:
+    """(source_id, reason) of what needs a human, each source once: STALE before BREAKER OPEN before FAILING.
+
+    A source is stale if it is enabled, has an objective (slo_hours), and its last good run is older than that or
+    missing.
+    """
+    ok = runs.where(F.col("status").isin(OK)).groupBy("source_id").agg(F.max("started_at").alias("ok_at"))
+    state = sources.where("enabled and slo_hours is not null").join(ok, "source_id", "left")
+    stale = state.where(F.col("ok_at").isNull() | (freshness_state(F.col("ok_at"), now, F.col("slo_hours")) == "STALE")).select("source_id", F.lit(1).alias("rank"))
+    open_ = breaker(runs, threshold).where("state = 'open'").select("source_id", F.lit(2).alias("rank"))
+    failing = activity(runs, now, days).where("failed > 0").select("source_id", F.lit(3).alias("rank"))
+    first = stale.unionByName(open_).unionByName(failing).groupBy("source_id").agg(F.min("rank").alias("rank"))
+    return first.select("source_id", F.when(F.col("rank") == 1, "STALE").when(F.col("rank") == 2, "BREAKER OPEN").otherwise("FAILING").alias("reason"))
+
+
 def sync_registry(wanted: DataFrame, stored: DataFrame, columns: Sequence[str]) -> DataFrame:
     """What to do with each source: insert, update, keep, or disable; none is deleted."""
     a = wanted.select("source_id", F.struct(*columns).alias("new"), F.lit(True).alias("w"))

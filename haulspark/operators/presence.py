@@ -43,7 +43,7 @@ def chain_witness(places: DataFrame, chain: DataFrame, radius_m: float) -> DataF
 
 def rescore_liveness(places: DataFrame, ledger: DataFrame, chain: DataFrame | None, now: Column, half_life_days: float) -> DataFrame:
     """place_id with liveness, its components, state and reasons.  ``places`` may have licence_active,
-    licence_expired and closed (three-valued)."""
+    licence_expired and closed (three-valued), and half_life_days, which goes before the argument where it isn't null."""
     for c in ("licence_active", "licence_expired", "closed"):
         if c not in places.columns:
             places = places.withColumn(c, F.lit(None).cast("boolean"))
@@ -53,9 +53,10 @@ def rescore_liveness(places: DataFrame, ledger: DataFrame, chain: DataFrame | No
     )
     j = places.withColumn("entity_id", F.col("place_id").cast("string")).join(seen, "entity_id", "left")
     j = j.join(chain.select("place_id", F.col("brand").alias("chain_brand")), "place_id", "left") if chain is not None else j.withColumn("chain_brand", F.lit(None).cast("string"))
+    half = F.coalesce(F.col("half_life_days"), F.lit(float(half_life_days))) if "half_life_days" in places.columns else half_life_days
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     corr = F.when(F.col("chain_brand").isNotNull() | no("licence_active"), 1.0).otherwise(0.0)
-    s = score.liveness(score.decay(F.col("last_seen_at"), now, half_life_days), score.breadth(F.coalesce("n_sources", F.lit(0))), corr, no("missing"), no("licence_expired"), no("closed"))
+    s = score.liveness(score.decay(F.col("last_seen_at"), now, half), score.breadth(F.coalesce("n_sources", F.lit(0))), corr, no("missing"), no("licence_expired"), no("closed"))
     reasons = F.array_compact(F.array(
         F.concat(F.lit("chain_confirmed:"), F.col("chain_brand")), F.when(no("licence_active"), "licence_active"), F.when(no("licence_expired"), "licence_expired"),
         F.when(no("missing"), "vanished_from_source"), F.when(no("closed"), "closure_asserted"), F.when(F.col("last_seen_at").isNull(), "never_confirmed"),

@@ -16,7 +16,9 @@ def verify(shops: DataFrame, area_codes: DataFrame) -> DataFrame:
     ``shops`` has shop_id, name, state, lat, lon, phone, src_confidence, source_names, licence_verified,
     licence_expired, osm_match_id; ``area_codes`` (area_code, area_state) is the numbering plan's list.
     """
-    near = F.count(F.lit(1)).over(Window.partitionBy(F.round("lat", 5), F.round("lon", 5)))
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    apart = F.when(~known, F.xxhash64("shop_id"))  # shops without a place are no group
+    near = F.when(known, F.count(F.lit(1)).over(Window.partitionBy(F.round("lat", 5), F.round("lon", 5), apart))).otherwise(1)
     s = shops.withColumn("_d", phone10(F.col("phone"))).withColumn("_here", near)
     s = s.join(area_codes.select(F.col("area_code").alias("_ac"), "area_state"), F.substring("_d", 1, 3) == F.col("_ac"), "left")
     coord = F.coalesce((F.col("lon") > -180) & (F.col("lon") < 0) & (F.col("lat") > 15) & (F.col("lat") < 72) & ~((F.abs("lat") < 0.5) & (F.abs("lon") < 0.5)), F.lit(False))
@@ -64,3 +66,18 @@ def match_map(shops: DataFrame, repair: DataFrame, radius_m: float) -> DataFrame
     """shop_id, osm_id, dist_m: the nearest repair place of the map within the radius."""
     m = nearest_within(shops.select("shop_id", "lon", "lat"), repair.select("osm_id", "lon", "lat"), radius_m, "shop_id", "osm_id")
     return m.select("shop_id", F.col("r.osm_id").alias("osm_id"), "dist_m")
+
+
+def coverage(shops: DataFrame, establishments: DataFrame, miles: DataFrame, scarce_miles: float = 40.0) -> DataFrame:
+    """(state, shops, establishments, miles, verdict): thin_data where a state's share of its establishments is below
+    half the nation's, real_scarcity from ``scarce_miles`` of route a shop on, else covered; null without shops.
+
+    ``shops`` has a row a shop; ``establishments`` (state, n) and ``miles`` (state, miles) a row a state.
+    """
+    n = shops.groupBy("state").agg(F.count(F.lit(1)).alias("shops"))
+    j = n.join(establishments.select("state", F.col("n").alias("establishments")), "state", "full").join(miles.select("state", "miles"), "state", "full")
+    j = j.select("state", F.coalesce("shops", F.lit(0)).alias("shops"), F.coalesce("establishments", F.lit(0)).alias("establishments"), F.coalesce("miles", F.lit(0.0)).alias("miles"))
+    nation = j.agg((F.sum("shops") / F.nullif(F.sum("establishments"), F.lit(0))).alias("national"))  # one row
+    share, each = F.col("shops") / F.nullif("establishments", F.lit(0)), F.col("miles") / F.nullif("shops", F.lit(0))
+    verdict = F.when(share < F.col("national") / 2, "thin_data").when(each >= scarce_miles, "real_scarcity").when(F.col("shops") > 0, "covered")
+    return j.join(F.broadcast(nation)).select("state", "shops", "establishments", "miles", verdict.alias("verdict"))

@@ -270,19 +270,6 @@ def independence(spark, sf):
     return carrier(spark, sf, "v_places").select("place_id", F.array_join(orgs, ",").alias("orgs"), score.independent(orgs).alias("n_independent"))
 
 
-@query("coverage_verdict", """
-    WITH c AS (SELECT state, count(*) AS shops, sum(CASE WHEN has_diesel THEN 1 ELSE 0 END) AS ok FROM {v_places} GROUP BY state), e AS (SELECT n_name AS state, count(*) AS estabs FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey GROUP BY n_name),
-    j AS (SELECT coalesce(c.state, e.state) AS state, coalesce(shops, 0) AS shops, coalesce(estabs, 0) AS estabs FROM c FULL OUTER JOIN e ON c.state = e.state), g AS (SELECT sum(shops)::DOUBLE / sum(estabs) AS national FROM j)
-    SELECT state, CAST(shops AS BIGINT) AS shops, CASE WHEN shops::DOUBLE / nullif(estabs, 0) < national / 2 THEN 'thin_data' WHEN estabs * 1.0 / nullif(shops, 0) >= 20 THEN 'real_scarcity' ELSE 'covered' END AS verdict FROM j, g""")
-def coverage_verdict(spark, sf):
-    shops = carrier(spark, sf, "v_places").groupBy("state").agg(F.count(F.lit(1)).alias("shops"))
-    estabs = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_name").alias("state")).agg(F.count(F.lit(1)).alias("estabs"))
-    j = shops.join(estabs, "state", "full").select("state", F.coalesce("shops", F.lit(0)).alias("shops"), F.coalesce("estabs", F.lit(0)).alias("estabs"))
-    g = j.agg((F.sum("shops") / F.sum("estabs")).alias("national"))  # one row
-    capture, miles = F.col("shops") / F.nullif("estabs", F.lit(0)), F.col("estabs") / F.nullif("shops", F.lit(0))
-    return j.join(F.broadcast(g)).select("state", "shops", F.when(capture < F.col("national") / 2, "thin_data").when(miles >= 20, "real_scarcity").otherwise("covered").alias("verdict"))
-
-
 # ---- text, units, tags -------------------------------------------------------------------------------------
 
 NAMES = "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN concat(p_name, ' TVL CTR #', CAST(p_size AS VARCHAR(9))) WHEN 1 THEN concat('The ', p_name, ' & Sons, Inc.') WHEN 2 THEN concat(p_name, '''s Svc Stn Hwy') WHEN 3 THEN NULL WHEN 4 THEN '!!' ELSE upper(p_name) END AS name FROM {part}"

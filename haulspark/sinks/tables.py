@@ -6,6 +6,7 @@ Paths go through the cluster's file system, so any store that Spark can write to
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,18 +34,32 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A new file beside the old one, then a rename, so that a reader sees one or the other."""
-    fs, p, Path = _fs(spark, path)
-    part = Path(f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(part, True)
+POINTER = re.compile(r"pointer-(\d{12})")
+
+
+def _pointers(spark: SparkSession, table: str) -> list[str]:
+    """The table's pointers, the newest last."""
+    fs, p, _ = _fs(spark, table)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if POINTER.fullmatch(f.getPath().getName())) if fs.exists(p) else []
+
+
+def _point(spark: SparkSession, table: str, text: str) -> None:
+    """A new pointer under the next number: written aside, then renamed, which fails if another writer has the number.
+
+    No pointer is overwritten or deleted, so a reader always finds a whole one.
+    """
+    fs, part, Path = _fs(spark, f"{table}/.pointer-{uuid.uuid4().hex}")
+    out = fs.create(part, False)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(part, p)
+    last = _pointers(spark, table)
+    name = f"pointer-{int(POINTER.fullmatch(last[-1])[1]) + 1 if last else 1:012d}"
+    target = Path(f"{table}/{name}")
+    if fs.exists(target) or not fs.rename(part, target):
+        fs.delete(part, False)
+        raise RefusedLoad(f"another writer published {name}")
 
 
 def snapshot_swap(df: DataFrame, table: str, min_rows: int = 1) -> str:
@@ -60,16 +75,16 @@ def snapshot_swap(df: DataFrame, table: str, min_rows: int = 1) -> str:
         fs, p, _ = _fs(spark, f"{table}/{version}")
         fs.delete(p, True)
         raise RefusedLoad(f"{n} rows, {min_rows} are the least")
-    _write_text(spark, f"{table}/CURRENT", json.dumps({"version": version, "rows": n}))
+    _point(spark, table, json.dumps({"version": version, "rows": n}))
     return version
 
 
 def current(spark: SparkSession, table: str) -> DataFrame:
     """The live version of a snapshot table."""
-    text = _read_text(spark, f"{table}/CURRENT")
-    if text is None:
+    names = _pointers(spark, table)
+    if not names:
         raise FileNotFoundError(f"{table} has no version")
-    return spark.read.parquet(f"{table}/{json.loads(text)['version']}")
+    return spark.read.parquet(f"{table}/{json.loads(_read_text(spark, f'{table}/{names[-1]}'))['version']}")
 
 
 def event_lifecycle(live: DataFrame, seen: DataFrame, now: Column, keys=("source_id", "event_id"), sources: DataFrame | None = None) -> DataFrame:

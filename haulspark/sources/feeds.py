@@ -78,6 +78,27 @@ def geojson_wkt(geometry: Column) -> Column:
     return F.when(known & ~F.coalesce(too_short, F.lit(False)), F.concat(kind, F.lit(" "), body))
 
 
+def multiline_wkt(geometry: Column) -> Column:
+    """WKT of a GeoJSON line or lines as one MULTILINESTRING; parts of fewer than two points go, null if none is left."""
+    kind, raw = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
+    parts = F.when(kind == "LineString", F.array(F.from_json(raw, "array<array<double>>"))).when(kind == "MultiLineString", F.from_json(raw, "array<array<array<double>>>"))
+    long_ = F.filter(parts, lambda p: F.size(p) >= 2)
+    text = F.transform(long_, lambda p: F.concat(F.lit("("), F.array_join(F.transform(p, lambda x: F.concat_ws(" ", x[0].cast("string"), x[1].cast("string"))), ", "), F.lit(")")))
+    return F.when(F.size(long_) > 0, F.concat(F.lit("MULTILINESTRING("), F.array_join(text, ", "), F.lit(")")))
+
+
+def national_network(docs: DataFrame) -> DataFrame:
+    """Routes of the national network (NN above 0), with their signs, places and traffic; others are not on it."""
+    p = lambda n: F.nullif(F.trim(_at(f"properties.{n}")), F.lit(""))
+    num = lambda n: p(n).try_cast("double").try_cast("int")
+    fips = num("STFIPS")
+    ref = F.nullif(F.concat_ws(" ", p("SIGNT1"), p("SIGNN1")), F.lit(""))
+    return elements(docs, "features").where(num("NN") > 0).select(
+        num("ID").alias("route_id"), F.coalesce(p("LNAME"), ref).alias("route_name"), ref.alias("route_ref"), p("SIGNT1").alias("sign_type"), p("SIGNN1").alias("sign_num"), p("ROUTEID").alias("routeid_state"), num("NN").alias("nn"),
+        fips.alias("state_fips"), F.try_element_at(lookup(FIPS), F.lpad(fips.cast("string"), 2, "0")).alias("state"), (fips * 1000 + num("CTFIPS")).alias("county_fips"), num("FCLASS").alias("fclass"), num("AADT").alias("aadt"), num("AADT_COM").alias("aadt_com"),
+        num("THROUGH_LA").alias("through_lanes"), multiline_wkt(_at("geometry")).alias("geom_wkt"), F.concat(num("YEAR").cast("string"), F.lit("-01-01")).try_cast("date").alias("observed_at"), _at("properties").alias("props"))
+
+
 def weekly_prices(docs: DataFrame) -> DataFrame:
     """region, product, week_of, price_usd_gal, observed_at; rows without a value carry no observation."""
     rows = docs.select(F.explode(F.coalesce(F.from_json(F.get_json_object("content", "$.response.data"), "array<string>"), F.array().cast("array<string>"))).alias("element"))
@@ -240,8 +261,8 @@ def classify_registry(rows: DataFrame, states: dict[str, str]) -> DataFrame:
     url, version = F.trim(F.coalesce("url", F.lit(""))), F.trim(F.coalesce("version", F.lit("")))
     state = F.try_element_at(lookup(states), F.lower(F.trim(F.coalesce("state", F.lit("")))))
     reason = (
-        F.when(~yes("active"), "inactive").when(~url.startswith("http"), "no_url").when(yes("needAPIKey"), "needs_key").when(url.rlike("(?i)[?&](?:api_?key|token|access_token)=[^&]+"), "embedded_credential")
-        .when((version != "") & ~version.rlike(r"^(?:3|4)(?:\.\d+)?$"), "other_schema").when(state.isNull(), "no_state")
+        F.when(~yes("active"), "inactive").when(~url.startswith("http"), "no_url").when(yes("needAPIKey"), "needs_key").when(F.exists(F.split(F.lower(F.substring_index(url, "?", -1)), "&"), lambda p: F.substring_index(p, "=", 1).isin("apikey", "api_key", "token", "access_token") & (F.length(F.substring_index(p, "=", -1)) > 0) & p.contains("=")), "embedded_credential")
+        .when((version != "") & (~F.substring_index(version, ".", 1).isin("3", "4") | version.cast("string").try_cast("double").isNull()), "other_schema").when(state.isNull(), "no_state")
     )
     return rows.select("*", state.alias("usps"), reason.alias("reason"))
 

@@ -52,6 +52,20 @@ def too_soon(fixes: DataFrame, seconds: int = 5) -> DataFrame:
     return fixes.withColumn("too_soon", F.coalesce(F.col("received_at") < before + F.expr(f"INTERVAL {int(seconds)} SECONDS"), F.lit(False)))
 
 
+def authorise(pings: DataFrame, devices: DataFrame) -> DataFrame:
+    """Pings with ``refused``: unauthorized for an unknown device or a wrong token, alike, forbidden for a device that
+    is not active, else null.  ``pings`` has device_id and token, ``devices`` device_id, token_sha256 and active."""
+    d = devices.select("device_id", F.col("token_sha256").alias("_sha"), F.col("active").alias("_active"), F.lit(True).alias("_known"))
+    right = F.coalesce(F.sha2(F.col("token").cast("binary"), 256) == F.col("_sha"), F.lit(False))
+    refused = F.when(~right, "unauthorized").when(~F.coalesce("_active", F.lit(False)), "forbidden")
+    return pings.join(d, "device_id", "left").withColumn("refused", refused).withColumn("_counts", F.col("_known").isNotNull()).drop("token", "_sha", "_active", "_known")
+
+
+def rejects(judged: DataFrame) -> DataFrame:
+    """(device_id, rejects): refused pings of each known device; unknown devices are nobody's."""
+    return judged.where("_counts and refused is not null").groupBy("device_id").agg(F.count(F.lit(1)).alias("rejects"))
+
+
 def lifecycle_sink(table: str, now: Callable[[int], Column]) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: folds each micro-batch of polled events into a snapshot table.
 

@@ -4,11 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from haulspark.plans import basic, domain, roads
+from haulspark.plans import basic, domain, operations, roads
 from haulspark.plans.carriers import TABLES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = {**basic.QUERIES, **domain.QUERIES, **roads.QUERIES}, {**basic.SQL, **domain.SQL, **roads.SQL}
+QUERIES, SQL = {**basic.QUERIES, **domain.QUERIES, **roads.QUERIES, **operations.QUERIES}, {**basic.SQL, **domain.SQL, **roads.SQL, **operations.SQL}
 
 
 @pytest.fixture(scope="module")
