@@ -46,40 +46,39 @@ class Forest:
         All trees ascend together until ``k`` candidates are found and a vector as near as the ``k``-th of them has
         been missed with a probability of at most ``miss``: (1 - (1 - angle / pi) ** bits) ** trees.
         """
-        trees, n = len(self.keys), len(queries)
         asked = [self.hashes(queries, p) for p in self.planes]
-        pending = np.arange(n)
-        looked, found = np.zeros(n, np.int64), [np.zeros(0, np.int64)] * n
+        found = [np.zeros(0, np.int64)] * len(queries)
         seen = np.zeros(len(mat), bool)
-        for bits in range(BITS, -1, -1):
+        due = np.full(len(queries), BITS)  # the prefix length that a query is looked up with next; -1 when it is done
+        while (bits := int(due.max(initial=-1))) >= 0:
+            rows = np.flatnonzero(due == bits)
             free = (np.int64(1) << (BITS - bits)) - 1
-            lo, hi = np.zeros((trees, len(pending)), np.int64), np.zeros((trees, len(pending)), np.int64)
+            lo, hi = (np.empty((len(self.keys), len(rows)), np.int64) for _ in range(2))
             for t, keys in enumerate(self.keys):
-                low = asked[t][pending] & ~free
+                low = asked[t][rows] & ~free
                 lo[t] = np.searchsorted(keys, low, "left")
                 hi[t] = np.searchsorted(keys, low | free, "right")
-            total, stay = (hi - lo).sum(0), []
-            for j, q in enumerate(pending.tolist()):
-                if bits and total[j] < max(k + 1, 1.3 * looked[q]):  # hardly more than before
-                    stay.append(q)
-                    continue
-                looked[q] = total[j]
-                seen[:] = False
-                for o, a, b in zip(self.order, lo[:, j].tolist(), hi[:, j].tolist(), strict=True):
-                    if b > a:
-                        seen[o[a:b]] = True
-                seen[own[q]] = False
-                found[q] = np.flatnonzero(seen)
-                if bits and (len(found[q]) < k or not self.enough(mat[found[q]] @ queries[q], k, bits, miss)):
-                    stay.append(q)
-            pending = np.array(stay, np.int64)
-            if not len(pending):
-                break
+            total = (hi - lo).sum(0)
+            for j, q in enumerate(rows.tolist()):
+                wide = 0  # the prefix length that is short enough for what has been found
+                if total[j] > k or not bits:
+                    seen[:] = False
+                    some = np.flatnonzero(hi[:, j] > lo[:, j]).tolist()
+                    for t in some:
+                        seen[self.order[t][lo[t, j] : hi[t, j]]] = True
+                    seen[own[q]] = False
+                    found[q] = np.flatnonzero(seen)
+                    if len(found[q]) >= k:
+                        wide = self.enough(mat[found[q]] @ queries[q], k, miss)
+                # halfway there, since the k-th best is nearer by then
+                due[q] = -1 if not bits or wide >= bits else max(0, bits - 3) if not wide else (bits + wide) // 2
         return found
 
-    def enough(self, near: np.ndarray, k: int, bits: int, miss: float) -> bool:
-        angle = np.arccos(np.clip(np.partition(near, -k)[-k], -1, 1))
-        return (1 - (1 - angle / np.pi) ** bits) ** len(self.keys) <= miss
+    def enough(self, near: np.ndarray, k: int, miss: float) -> int:
+        """The longest prefix at which a vector as near as the k-th best is missed by all trees with ``miss`` at most."""
+        same = 1 - np.arccos(np.clip(np.partition(near, -k)[-k], -1, 1)) / np.pi
+        at_least = 1 - miss ** (1 / len(self.keys))  # the chance that one tree must have
+        return BITS if same >= 1 else max(0, int(np.log(at_least) / np.log(max(same, 1e-12))))
 
 
 def unit(mat: np.ndarray) -> np.ndarray:
