@@ -78,7 +78,15 @@ class _Writer:
         part = f"{self.folder}/.{name}.{uuid.uuid4().hex}"
         with self.fs.open_output_stream(part) as f:
             f.write(data)
-        self.fs.move(part, f"{self.folder}/{name}")
+        there = f"{self.folder}/{name}"
+        if self.fs.get_file_info(there).type != pafs.FileType.NotFound:  # not every file system moves onto a file
+            self.fs.delete_file(part)
+            return
+        try:
+            self.fs.move(part, there)
+        except OSError:
+            if self.fs.get_file_info(there).type == pafs.FileType.NotFound:
+                raise
 
     def close(self) -> dict | None:
         if not self.buffer:
@@ -101,7 +109,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_
 
     prepare(docs.sparkSession)
     d = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # by id and the text's beginning, so that many rows of one id, or of none, go to many tasks
+    d = d.repartitionByRange("doc_id", F.substring("text", 1, 24)).sortWithinPartitions("doc_id", "text")
 
     def make():
         enc = encoder(tokenizer)
