@@ -154,7 +154,7 @@ def _top(v: DataFrame, k: int, query_every: int) -> DataFrame:
         return step
 
     q = queries.select(F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
-    start = q.withColumn("part", F.lit(first)).join(base.where(F.col("part") == first), "part")
+    start = q.withColumn("part", F.explode(F.sequence(F.lit(first), F.lit(first)))).join(base.where(F.col("part") == first), "part")
     thetas = map_batches(start.select("q_part", "ids", "mat", "q_ids", "q_mat"), seed, "q_part int, theta binary, parts array<int>")
     q = checkpoint(q.join(thetas, "q_part"))
     pairs = base.join(q.withColumn("part", F.explode("parts")), "part")
