@@ -41,13 +41,14 @@ class Forest:
         return ((mat @ planes) > 0).astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
     def candidates(self, mat: np.ndarray, queries: np.ndarray, own: list[np.ndarray], k: int, miss: float):
-        """For each query the places of its candidates, those of ``own`` left out.
+        """For each query the places of its candidates, those of ``own`` left out, and their nearness.
 
         All trees ascend together until ``k`` candidates are found and a vector as near as the ``k``-th of them has
         been missed with a probability of at most ``miss``: (1 - (1 - angle / pi) ** bits) ** trees.
         """
         asked = [self.hashes(queries, p) for p in self.planes]
         found = [np.zeros(0, np.int64)] * len(queries)
+        near = [np.zeros(0)] * len(queries)
         seen = np.zeros(len(mat), bool)
         due = np.full(len(queries), BITS)  # the prefix length that a query is looked up with next; -1 when it is done
         while (bits := int(due.max(initial=-1))) >= 0:
@@ -63,16 +64,18 @@ class Forest:
                 wide = 0  # the prefix length that is short enough for what has been found
                 if total[j] > k or not bits:
                     seen[:] = False
-                    some = np.flatnonzero(hi[:, j] > lo[:, j]).tolist()
-                    for t in some:
-                        seen[self.order[t][lo[t, j] : hi[t, j]]] = True
+                    for o, x, y in zip(self.order, lo[:, j].tolist(), hi[:, j].tolist(), strict=True):
+                        if y > x:
+                            seen[o[x:y]] = True
                     seen[own[q]] = False
-                    found[q] = np.flatnonzero(seen)
+                    seen[found[q]] = False
+                    fresh = np.flatnonzero(seen)
+                    found[q], near[q] = np.concatenate([found[q], fresh]), np.concatenate([near[q], mat[fresh] @ queries[q]])
                     if len(found[q]) >= k:
-                        wide = self.enough(mat[found[q]] @ queries[q], k, miss)
+                        wide = self.enough(near[q], k, miss)
                 # halfway there, since the k-th best is nearer by then
                 due[q] = -1 if not bits or wide >= bits else max(0, bits - 3) if not wide else (bits + wide) // 2
-        return found
+        return zip(found, near, strict=True)
 
     def enough(self, near: np.ndarray, k: int, miss: float) -> int:
         """The longest prefix at which a vector as near as the k-th best is missed by all trees with ``miss`` at most."""
@@ -94,7 +97,7 @@ def cosine(mat: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (mat * q).sum(1) / (np.sqrt((mat * mat).sum(1)) * np.sqrt((q * q).sum()))
 
 
-def nearest(df: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 128, miss: float = 0.02, seed: int = 11) -> DataFrame:
+def nearest(df: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = 128, miss: float = 0.05, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest by cosine found for each vector whose id is divisible by
     ``query_every``, among all vectors but those of the query's own id; ties to the smaller id.
 
@@ -126,10 +129,9 @@ def _nearest(v: DataFrame, k: int, query_every: int, trees: int, miss: float, se
                 lo, hi = (np.searchsorted(held["sorted"], q_ids, side) for side in ("left", "right"))
                 own = [held["order"][x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
                 out = {"query_id": [], "vec_id": [], "score": []}
-                for i, found in enumerate(held["forest"].candidates(scaled, asked, own, k, miss)):
+                for i, (found, rough) in enumerate(held["forest"].candidates(scaled, asked, own, k, miss)):
                     if not len(found):
                         continue
-                    rough = scaled[found] @ asked[i]
                     if len(found) > k:
                         found = found[rough >= np.partition(rough, -k)[-k] - 1e-9]  # all ties stay
                     s = cosine(mat[found], q_mat[i])

@@ -78,7 +78,7 @@ def test_near_neighbours_take_few_candidates():
     centres = r.standard_normal((400, 48))
     mat = ann.unit(np.repeat(centres, 10, 0) + 0.05 * r.standard_normal((4000, 48)))
     forest, asked = ann.Forest(mat, 128, 11), np.arange(0, 4000, 50)
-    found = forest.candidates(mat, mat[asked], [np.array([q]) for q in asked], 5, 0.02)
+    found = [f for f, _ in forest.candidates(mat, mat[asked], [np.array([q]) for q in asked], 5, 0.02)]
     assert np.mean([len(f) for f in found]) < 0.1 * len(mat)
     hits = []
     for q, f in zip(asked, found, strict=True):
