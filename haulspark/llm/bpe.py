@@ -167,7 +167,7 @@ def _assembled(joined: DataFrame, path: str, emit, schema: str) -> DataFrame:
 def _answers(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
-    chars = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
+    chars = narrow(docs, text=text_col).agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))  # a bucket's words stay few
     base = checkpoint(blocks(docs, pattern, buckets, id_col, text_col))
     asked = base.select("block", F.explode(F.arrays_zip("bucket", "words")).alias("x")).select(F.col("x.bucket").alias("bucket"), "block", F.col("x.words").alias("words"))

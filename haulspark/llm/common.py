@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from haulspark.session import checkpoint, checkpoint_dir
 
-__all__ = ["BATCH_ROWS", "by_length", "checkpoint", "checkpoint_dir", "each_with_each", "finite_vectors", "map_batches", "narrow", "packed", "prepare", "read", "scratch", "unpack"]
+__all__ = ["BATCH_ROWS", "by_length", "checkpoint", "checkpoint_dir", "each_with_each", "finite_vectors", "map_batches", "narrow", "numbered", "packed", "place", "prepare", "read", "scratch", "unpack"]
 
 #: Rows in an Arrow batch, so that a batch of very long texts still fits a Python worker.
 BATCH_ROWS = 1000
@@ -78,9 +78,24 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+def place(df: DataFrame, name: str) -> int:
+    """The position of a column: the one of exactly that name, else the one that differs in case only."""
+    exact = [i for i, c in enumerate(df.columns) if c == name]
+    alike = exact or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(alike) != 1:
+        raise ValueError(f"{len(alike)} columns are named {name}")
+    return alike[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, …, so that no name can clash, be it by case only."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def narrow(df: DataFrame, **names: str) -> DataFrame:
     """Only the columns in use, under our own names, so that extra columns of any name cannot clash."""
-    return df.select(*[F.col(f"`{v}`").alias(k) for k, v in names.items()])
+    at = {k: place(df, v) for k, v in names.items()}
+    return numbered(df).select(*[F.col(f"c{i}").alias(k) for k, i in at.items()])
 
 
 # ---- vectors in blocks -----------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulspark.llm.common import checkpoint, checkpoint_dir
+from haulspark.llm.common import checkpoint, checkpoint_dir, narrow
 
 #: The phrases and labels that every scan has.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -72,7 +72,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     checkpoint_dir(docs.sparkSession)
     templates = [(p, label, k < len(base)) for k, (p, label) in enumerate([*base, *more])]
     vocabulary = sorted({w for p, _, _ in templates for _, w in _mandatory(p)})
-    d = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    d = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     d = checkpoint(_doc_places(d, "text", vocabulary).drop("text"))
     # as many rows as the templates have words
     n, df = d.count(), {r["w"]: r["count"] for r in d.select(F.explode("has").alias("w")).groupBy("w").count().collect()}

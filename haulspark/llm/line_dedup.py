@@ -10,6 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulspark.llm.common import numbered, place
+
+
+#: White space that is trimmed from the ends of lines.
+BLANK = " \t\r\x0b\x0c\xa0\u2028\u3000"
+
+
+def _bare(line: Column) -> Column:
+    return F.trim(line, F.lit(BLANK))
+
 
 def _mark(line: Column) -> Column:
     """96 bits that stand for a line."""
@@ -19,20 +29,22 @@ def _mark(line: Column) -> Column:
 def dedup_lines(pages: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
     """All columns of ``pages`` with the text cleaned, plus n_lines and n_dropped.
 
-    A line is what stands between line feeds, without spaces at its ends; a page counts once for a line it
+    A line is what stands between line feeds, without white space at its ends; a page counts once for a line it
     repeats.  A line is dropped from the pages of a host where more than ``max_ratio`` of the host's pages have it
     and at least ``min_pages`` do; empty lines stay.  A null host is a host; a null text counts as empty and becomes
     empty; repeated rows are pages of their own; no rows give no rows.
     """
-    names = set(pages.columns)
+    names = pages.columns
     own = lambda n: next(x for x in (n, *(f"{n}_{i}" for i in range(len(names) + 1))) if x.lower() not in {y.lower() for y in names})
-    key, bad, lines = own("_key"), own("_bad"), own("_lines")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    host = F.col(f"`{host_col}`").cast("string")
+    key, bad, lines = "_key", "_bad", "_lines"
+    text_at, host_at = f"c{place(pages, text_col)}", f"c{place(pages, host_col)}"
+    pages = numbered(pages)
+    text = F.coalesce(F.col(text_at), F.lit(""))
+    host = F.col(host_at).cast("string")
     page_key = F.md5(F.concat(F.coalesce(F.concat(F.lit("h"), host), F.lit("n")), F.lit("\n"), text))
 
     d = pages.select(host.alias("host"), text.alias("text"))
-    marks = F.transform(F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")), _mark)
+    marks = F.transform(F.array_distinct(F.filter(F.transform(F.split("text", "\n"), _bare), lambda x: x != "")), _mark)
     totals = d.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = d.select("host", F.explode(marks).alias("m")).groupBy("host", "m").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.col("n") >= min_pages)
@@ -41,21 +53,22 @@ def dedup_lines(pages: DataFrame, host_col: str = "source", text_col: str = "tex
     each = pages.select(host.alias("host"), page_key.alias("k"), text.alias("text")).select("host", "k", F.explode(marks).alias("m"))
     drop = each.join(boiler, each.host.eqNullSafe(boiler.bh) & (each.m == boiler.m)).groupBy("k").agg(F.collect_set(each.m).alias(bad))  # at most a page's lines
     joined = pages.withColumn(key, page_key).join(drop.withColumnRenamed("k", key), key, "left")
-    clean = F.filter(F.split(text, "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(bad), _mark(F.trim(x))))
+    clean = F.filter(F.split(text, "\n"), lambda x: (_bare(x) == "") | ~F.array_contains(F.col(bad), _mark(_bare(x))))
     joined = joined.withColumn(lines, F.when(F.col(bad).isNotNull(), clean))  # most pages lose nothing and are not taken apart
-    rest = [F.when(F.col(lines).isNull(), text).otherwise(F.array_join(lines, "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
+    rest = [F.when(F.col(lines).isNull(), text).otherwise(F.array_join(lines, "\n")).alias(c) if c == text_at else F.col(c) for c in pages.columns]
     n = F.size(F.split(text, "\n")).cast("bigint")
-    return joined.select(*rest, n.alias(own("n_lines")), F.when(F.col(lines).isNull(), 0).otherwise(n - F.size(lines)).cast("bigint").alias(own("n_dropped")))
+    out = joined.select(*rest, n.alias("_n"), F.when(F.col(lines).isNull(), 0).otherwise(n - F.size(lines)).cast("bigint").alias("_d"))
+    return out.toDF(*names, own("n_lines"), own("n_dropped"))
 
 
 #: DuckDB's form of the query over ``documents``.
 SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 t AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
-u AS (SELECT source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line FROM d),
+u AS (SELECT source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12) || chr(160) || chr(8232) || chr(12288))), lambda x: x <> ''))) AS line FROM d),
 c AS (SELECT source, line, count(*) AS n FROM u GROUP BY source, line HAVING count(*) >= 5),
 b AS (SELECT c.source, list(line) AS bad FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n > 0.1::DOUBLE * pages GROUP BY c.source),
-k AS (SELECT doc_id, string_split(text, chr(10)) AS ls, list_filter(string_split(text, chr(10)), lambda x: NOT coalesce(list_contains(bad, trim(x, ' ')), false)) AS kept
+k AS (SELECT doc_id, string_split(text, chr(10)) AS ls, list_filter(string_split(text, chr(10)), lambda x: NOT coalesce(list_contains(bad, trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12) || chr(160) || chr(8232) || chr(12288))), false)) AS kept
       FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(kept) AS BIGINT) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM k
 """

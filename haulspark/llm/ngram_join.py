@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulspark.llm.common import checkpoint, map_batches, narrow, prepare
+from haulspark.llm.common import checkpoint, map_batches, narrow, numbered, place, prepare
 from haulspark.operators.components import components
 
 #: 50 bands of 6 MinHash values find candidates.
@@ -432,13 +432,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = best.select(F.col("w.key").alias("key"), F.col("w.first").alias("id"), F.lit(False).alias("lone"))
     stay = stay.unionByName(sketched.where("grams = 0").select("key", F.col("doc_id").alias("id"), F.lit(True).alias("lone")).distinct())
     stay = stay.select(F.col("key").alias("stay_key"), F.col("id").alias("stay_id"), "lone")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    others = [c for c, name in zip(own, docs.columns, strict=True) if name not in (id_col, text_col)]
+    names, id_at, text_at = docs.columns, f"c{place(docs, id_col)}", f"c{place(docs, text_col)}"
+    docs = numbered(docs)
+    others = [F.col(c) for c in docs.columns if c not in (id_at, text_at)]
     rows = docs.select(
-        F.struct(*own).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"),
-        (F.to_json(F.struct(*others)) if others else F.lit("")).alias("other"),
-    )
+        F.struct(*docs.columns).alias("row"), F.col(id_at).cast("bigint").alias("id"), F.md5(F.coalesce(F.col(text_at), F.lit(""))).alias("key"), (F.to_json(F.struct(*others)) if others else F.lit("")).alias("other")
+    )
     # one join moves the texts once, by text and id, so that copies of one text go different ways
     kept = rows.join(stay, (rows.key == stay.stay_key) & rows.id.eqNullSafe(stay.stay_id))
     each = F.when(F.col("lone"), F.monotonically_increasing_id()).otherwise(-1)
-    return kept.select("key", "id", each.alias("each"), "row", "other").groupBy("key", "id", "each").agg(F.min_by("row", "other").alias("row")).select("row.*")
+    return kept.select("key", "id", each.alias("each"), "row", "other").groupBy("key", "id", "each").agg(F.min_by("row", "other").alias("row")).select("row.*").toDF(*names)

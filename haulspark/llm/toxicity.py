@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulspark.llm.common import checkpoint, map_batches, narrow, prepare
+from haulspark.llm.common import checkpoint, map_batches, narrow, numbered, place, prepare
 
 #: What a sign may stand for.
 LOOKALIKE = {
@@ -453,22 +453,23 @@ def score(docs: DataFrame, weights: dict[str, float], base: float, language: str
 
     taken = {c.lower() for c in docs.columns}
     name = next(n for n in ("toxicity", *(f"toxicity_{i}" for i in range(len(docs.columns)))) if n not in taken)
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    place = docs.columns.index(text_col)
+    names, at = docs.columns, place(docs, text_col)
+    docs = numbered(docs)
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, p, none = shared.value
-        reader = Reader(model(name), lambda words: tuple(f for w in words for f in features(w) if f in p))
+        model_name, p, none = shared.value
+        reader = Reader(model(model_name), lambda words: tuple(f for w in words for f in features(w) if f in p))
         for b in batches:
             scores = []
-            for text in b.column(place).to_pylist():
+            for text in b.column(at).to_pylist():
                 clean = 1 - none
                 for f in set().union(*reader.values(text or "")):
                     clean *= 1 - p[f]
                 scores.append(1 - clean)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, name)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

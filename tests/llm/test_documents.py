@@ -96,6 +96,29 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_operators_take_columns_that_differ_in_case(spark):
+    from haulspark.llm import bpe, packing, records
+
+    rows = [(1, "mit license here", "a"), (2, None, None), (3, "", "a"), (3, "mit license here", "a")]
+    d = docs(spark, rows).drop("key").selectExpr("*", "1 AS TEXT", "2 AS Doc_Id", "'z' AS Source", "map(1, 2) AS `a.b`", "1 AS Toxicity")
+    y = spark.createDataFrame([(1, 1, 1), (2, 0, 5)], "doc_id bigint, toxic int, Toxic int")
+    assert license.license_scan(d).agg(F.sum("n_base")).first()[0] == 2
+    assert line_dedup.dedup_lines(d).columns[: len(d.columns)] == d.columns and line_dedup.dedup_lines(d).count() == 4
+    kept = ngram_join.one_of_each(d)
+    assert kept.columns == d.columns and kept.count() == 3 and ngram_join.jaccard_join(d).count() == 4
+    assert toxicity.reject_toxic(d, y).columns == d.columns and toxicity.toxic_scores(d, y).count() == 4
+    public = pytest.importorskip("public_tokenizers")
+    assert packing.pack(d, public.path("word_bpe_49k.json")).agg(F.sum("length")).first()[0] > 4
+    assert bpe.encode(d, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN).count() == 4
+    assert records.tokens_round_trip(d, public.path("word_bpe_49k.json"), 2).count() == 4
+
+
+def test_line_dedup_trims_white_space_and_takes_long_texts(spark):
+    rows = [(i, f"own {i}\nmenu{end}\n" + "long line of words " * 50_000 * (i == 3), "a") for i, end in enumerate(["", "\r", "\t", " ", "\u3000", "\xa0 "])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {i: t.split("\n")[0] + "\n" + t.split("\n")[2] for i, t, _ in rows}
+
+
 # ---- near duplicates ---------------------------------------------------------------------------------------
 
 
