@@ -11,7 +11,7 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulspark.functions.geo import mercator, tile_bounds, tile_of
@@ -21,17 +21,29 @@ EXTENT = 4096
 
 @dataclass(frozen=True)
 class Layer:
-    """Which form of a layer a zoom level shows."""
+    """Which rows and which form of a layer a zoom level shows."""
 
     name: str
     clustered_below: int = 0
     generalized_below: int = 0
     cap: int = 5000
     importance: str | None = None
+    row_filter: str | None = None
+    min_zoom: int = 0
 
     def source_for(self, z: int) -> str:
         return "cluster" if z < self.clustered_below else "generalized" if z < self.generalized_below else "raw"
 
+    def rows(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        """The rows that are on the map; columns that a table lacks, as generalized ones do, are null."""
+        out = df.where(self.row_filter) if self.row_filter else df
+        return out.withColumns({c: F.lit(None).cast("string") for c in columns if c not in df.columns})
+
+
+def counted(layers: dict[Layer, DataFrame]) -> list[tuple[str, DataFrame]]:
+    """(layer, one row of held and drawn) of each layer, so that a filtered layer is seen to be one."""
+    return [(layer.name, df.agg(F.count(F.lit(1)).alias("held"), F.count_if(F.expr(layer.row_filter or "true")).alias("drawn"))) for layer, df in layers.items()]
+
 
 def _varint(n: int) -> bytes:
     out = bytearray()
@@ -60,27 +72,54 @@ def _value(v) -> bytes:
     return _field(1, str(v).encode())
 
 
+def _zigzag(n: int) -> int:
+    return (n << 1) ^ (n >> 31)
+
+
+def _commands(parts: list[list[tuple[int, int]]]) -> bytes:
+    """A point, or lines: move to the first place of each part, then on to the others, each relative to the one before."""
+    out, x, y = b"", 0, 0
+    for part in parts:
+        for i, (px, py) in enumerate(part):
+            if i < 2:
+                out += _varint(1 << 3 | 1) if not i else _varint((len(part) - 1) << 3 | 2)
+            out += _varint(_zigzag(px - x)) + _varint(_zigzag(py - y))
+            x, y = px, py
+    return out
+
+
 def encode_points(layer: str, rows: list[tuple[int, int, dict]]) -> bytes:
     """A tile of one point layer: (x, y, properties) in tile units; null properties are left out."""
+    return encode(layer, [([[(x, y)]], props) for x, y, props in rows], 1)
+
+
+def encode(layer: str, rows: list[tuple[list[list[tuple[int, int]]], dict]], kind: int) -> bytes:
+    """A tile of one layer of points (kind 1) or lines (kind 2): (parts, properties) in tile units."""
     keys: dict[str, int] = {}
     values: dict[tuple, int] = {}
     features = b""
-    for x, y, props in rows:
+    for parts, props in rows:
         tags = b""
         for k, v in props.items():
             if v is not None:
                 tags += _varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault((type(v), v), len(values)))
-        zig = lambda n: (n << 1) ^ (n >> 31)
-        geometry = _varint(1 << 3 | 1) + _varint(zig(x)) + _varint(zig(y))
-        features += _field(2, _field(2, tags) + _number(3, 1) + _field(4, geometry))
+        features += _field(2, _field(2, tags) + _number(3, kind) + _field(4, _commands(parts)))
     body = _number(15, 2) + _field(1, layer.encode()) + features + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _value(v)) for _, v in values) + _number(5, EXTENT)
     return _field(3, body)
 
 
+def _capped(t: DataFrame, order: list[Column], id_col: str, cap: int) -> DataFrame:
+    """The first ``cap`` rows of each tile, numbered _n: first within shares of a tile, then of what these keep, since a
+    tile of a low zoom level may hold all rows."""
+    share = F.pmod(F.xxhash64(id_col), F.lit(64))
+    first = t.withColumn("_s", share).withColumn("_n", F.row_number().over(Window.partitionBy("x", "y", "_s").orderBy(*order))).where(F.col("_n") <= cap).drop("_s", "_n")
+    return first.withColumn("_n", F.row_number().over(Window.partitionBy("x", "y").orderBy(*order))).where(F.col("_n") <= cap)
+
+
 def point_tiles(points: DataFrame, layer: Layer, z: int, properties: list[str], id_col: str) -> DataFrame:
     """(x, y, n, tile) of every tile at a zoom level with points: at most ``layer.cap`` points each, the most important
     first (nulls last), then by id; clustered layers give a point per grid cell with its count."""
-    t = points.where("lon is not null and lat is not null").withColumn("t", tile_of(F.col("lon"), F.col("lat"), z)).withColumn("m", mercator(F.col("lon"), F.col("lat")))
+    t = layer.rows(points, properties).where("lon is not null and lat is not null").withColumn("t", tile_of(F.col("lon"), F.col("lat"), z)).withColumn("m", mercator(F.col("lon"), F.col("lat")))
     side = 2 * 20037508.342789244 / 2**z
     px = F.floor((F.col("m.x") + 20037508.342789244 - F.col("t.x") * side) / side * EXTENT).cast("int")
     py = F.floor((20037508.342789244 - F.col("m.y") - F.col("t.y") * side) / side * EXTENT).cast("int")
@@ -89,21 +128,73 @@ def point_tiles(points: DataFrame, layer: Layer, z: int, properties: list[str],
         g = t.groupBy("x", "y", F.floor(F.col("px") / 64).alias("gx"), F.floor(F.col("py") / 64).alias("gy"))
         t = g.agg(F.avg("px").cast("int").alias("px"), F.avg("py").cast("int").alias("py"), F.count(F.lit(1)).alias("point_count"), F.min(id_col).alias(id_col)).drop("gx", "gy")
         properties = ["point_count"]
-    from pyspark.sql import Window
-
     order = ([F.desc_nulls_last(layer.importance)] if layer.importance and layer.importance in t.columns else []) + [F.asc(id_col)]
-    t = t.withColumn("_n", F.row_number().over(Window.partitionBy("x", "y").orderBy(*order))).where(F.col("_n") <= layer.cap)
+    t = _capped(t, order, id_col, layer.cap)
     name, props = layer.name, list(properties)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_n")
-        clean = lambda v: None if v is None or v is pd.NA or isinstance(v, float) and v != v else v.item() if hasattr(v, "item") else v
-        rows = [(int(r["px"]), int(r["py"]), {p: clean(r[p]) for p in props}) for r in pdf.to_dict("records")]
+        rows = [(int(r["px"]), int(r["py"]), {p: _plain(r[p]) for p in props}) for r in pdf.to_dict("records")]
         return pd.DataFrame({"x": [pdf["x"].iloc[0]], "y": [pdf["y"].iloc[0]], "n": [len(rows)], "tile": [encode_points(name, rows)]})
 
     return t.groupBy("x", "y").applyInPandas(one, "x int, y int, n int, tile binary")
 
 
+def _plain(v):
+    return None if v is None or v is pd.NA or isinstance(v, float) and v != v else v.item() if hasattr(v, "item") else v
+
+
+#: A line is cut this far outside its tile, in shares of the tile.
+MARGIN = 64 / EXTENT
+
+
+def clip(line: list[tuple[float, float]]) -> list[list[tuple[int, int]]]:
+    """The parts of a line, given in shares of a tile, that lie within the tile and its margin, in tile units."""
+    low, high = -MARGIN, 1 + MARGIN
+    parts: list[list[tuple[int, int]]] = []
+    for (ax, ay), (bx, by) in zip(line, line[1:], strict=False):
+        dx, dy, t0, t1 = bx - ax, by - ay, 0.0, 1.0
+        for p, d in ((ax, dx), (ay, dy)):
+            if d:
+                a, b = sorted(((low - p) / d, (high - p) / d))
+                t0, t1 = max(t0, a), min(t1, b)
+            elif not low <= p <= high:
+                t1 = -1.0
+        if t0 <= t1:
+            start, end = ((round((ax + t * dx) * EXTENT), round((ay + t * dy) * EXTENT)) for t in (t0, t1))
+            if parts and parts[-1][-1] == start:
+                parts[-1] += [end] * (end != start)
+            elif end != start:
+                parts.append([start, end])
+    return parts
+
+
+def line_tiles(lines: DataFrame, layer: Layer, z: int, properties: list[str], id_col: str) -> DataFrame:
+    """(x, y, n, tile) of every tile at a zoom level that a line meets, at most ``layer.cap`` lines each, the most
+    important first (nulls last), then by id.  Lines of fewer than two places are left out; none below min_zoom."""
+    half, side, last = 20037508.342789244, 2 * 20037508.342789244 / 2**z, 2**z - 1
+    rows = layer.rows(lines, properties).where((F.size("line") > 1) & F.lit(z >= layer.min_zoom))
+    spot = lambda p: F.struct(((mercator(p["lon"], p["lat"])["x"] + half) / side).alias("wx"), ((half - mercator(p["lon"], p["lat"])["y"]) / side).alias("wy"))
+    t = rows.select(*dict.fromkeys([id_col, *properties, *([layer.importance] if layer.importance in rows.columns else [])]), F.transform("line", spot).alias("w"))
+    span = lambda s, f: F.sequence(*[F.greatest(F.lit(0), F.least(F.lit(last), F.floor(v).cast("int"))) for v in (F.least(s["a"][f], s["b"][f]) - MARGIN, F.greatest(s["a"][f], s["b"][f]) + MARGIN)])
+    pieces = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b")))
+    boxes = F.transform(pieces, lambda s: F.flatten(F.transform(span(s, "wx"), lambda x: F.transform(span(s, "wy"), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
+    t = t.withColumn("t", F.explode(F.array_distinct(F.flatten(boxes)))).select("*", "t.x", "t.y").drop("t")
+    order = ([F.desc_nulls_last(layer.importance)] if layer.importance in t.columns else []) + [F.asc(id_col)]
+    t = _capped(t, order, id_col, layer.cap)
+    name, props = layer.name, list(properties)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, found = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0]), []
+        for r in pdf.sort_values("_n").to_dict("records"):
+            parts = clip([(p["wx"] - x, p["wy"] - y) for p in r["w"]])
+            if parts:
+                found.append((parts, {p: _plain(r[p]) for p in props}))
+        return pd.DataFrame({"x": [x], "y": [y], "n": [len(found)], "tile": [encode(name, found, 2)]})
+
+    return t.groupBy("x", "y").applyInPandas(one, "x int, y int, n int, tile binary").where("n > 0")
+
+
 def in_tile(points: DataFrame, z: int, x: int, y: int) -> DataFrame:
     """The points of one tile: a bound on the columns that the scan can use, not a computed one."""
     import math
@@ -125,21 +216,21 @@ def merge_lines(lines: list[list[tuple[float, float]]]) -> list[list[tuple[float
         ends[line[-1]].append(i)
     left, out = set(range(len(lines))), []
 
-    def follow(path, forward):
-        while True:
-            tip = path[-1] if forward else path[0]
-            others = [i for i in ends[tip] if i in left]
-            if len(ends[tip]) != 2 or not others:
-                return path
-            i = others[0]
-            left.discard(i)
-            line = lines[i] if (lines[i][0] == tip) == forward else lines[i][::-1]
-            path = path + line[1:] if forward else line[:-1] + path
+    def follow(tip):
+        """The places on from a line's end, as far as exactly two lines meet."""
+        on = []
+        while len(ends[tip]) == 2 and (others := [i for i in ends[tip] if i in left]):
+            left.discard(others[0])
+            line = lines[others[0]]
+            on += line[1:] if line[0] == tip else line[-2::-1]
+            tip = on[-1]
+        return on
 
-    for i in range(len(lines)):
+    for i, line in enumerate(lines):
         if i in left:
             left.discard(i)
-            out.append(follow(follow(list(lines[i]), True), False))
+            after = follow(line[-1])
+            out.append(follow(line[0])[::-1] + list(line) + after)
     return out
 
 

