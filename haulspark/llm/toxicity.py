@@ -418,21 +418,23 @@ def fit(docs: DataFrame, labels: DataFrame, language: str, id_col: str = "doc_id
     # near copies mostly share their smallest hash; one of them stands for all, lest a copied text's words look toxic
     rows = map_batches(sample.where("y = 1").select("text"), cover, "has array<int>, sign bigint").orderBy("sign", F.size("has")).collect()
     has = list({r["sign"]: set(r["has"]) for r in rows}.values())
-    names, stems = list(index), set()
+    names = list(index)
+    said: set[int] = set()  # features that say the same as one that we have
     out: dict[str, float] = {}
     todo = [[COVER, h] for h in has]  # each toxic text is to be explained so many times
     while todo:
-        seen = Counter(i for _, h in todo for i in h)
-        for i in list(seen):
-            if names[i][:4] in stems:  # says the same as one that we have
-                del seen[i]
+        seen = Counter(i for _, h in todo for i in h if i not in said)
         if not seen:
             break
         best = max(seen, key=lambda i: (seen[i] - 3 * grow * n0[names[i]], len(names[i]), names[i]))
         if seen[best] < least:
             break
         f = names[best]
-        stems.add(f[:4])
+        said.add(best)
+        if f[-1] == "-":  # a beginning stands for all that begins with it, or that it begins with
+            said.update(i for i, x in enumerate(names) if x.startswith(f[:-1]) or x[-1] == "-" and f.startswith(x[:-1]))
+        else:
+            said.update(index[x] for x in features(f)[1:] if x in index)
         out[f] = (n1[f] + 0.2) / (n1[f] + grow * n0[f] + 0.6)
         for x in todo:
             x[0] -= best in x[1]
