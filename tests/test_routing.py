@@ -95,6 +95,25 @@ def test_mainland(spark):
     assert [r["edge_id"] for r in graph.mainland_edges(e, graph.ranked_components(e)).collect()] == [1]
 
 
+def test_components_of_stars_pairs_loops_and_random_graphs(spark):
+    r = random.Random(9)
+    for edges in ([(5, k) for k in range(6, 400)] + [(900, k) for k in range(401, 500)] + [(5, 450), (1000, 1001), (2000, 2000), (1002, 1002), (1002, 1003), (None, 4)], [(r.randrange(200), r.randrange(200)) for _ in range(140)], [(1, 1)], []):
+        parent = {}
+
+        def find(x, parent=parent):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            if a is not None:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+        got = components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
+        assert len(got) == len(parent) and {x["node"]: x["component"] for x in got} == {n: find(n) for n in parent}
+
+
 def test_unfinished_components_raise(spark):
     e = spark.range(40).selectExpr("id AS u", "id + 1 AS v")
     assert components(e).where("component = 0").count() == 41
