@@ -431,14 +431,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = members.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("w"))
     stay = best.select(F.col("w.key").alias("key"), F.col("w.first").alias("id"), F.lit(False).alias("lone"))
     stay = stay.unionByName(sketched.where("grams = 0").select("key", F.col("doc_id").alias("id"), F.lit(True).alias("lone")).distinct())
-    stay = stay.select(F.col("key").alias("stay_key"), F.col("id").alias("stay_id"), "lone")
+    at = F.concat_ws(":", "key", F.coalesce(F.col("id").cast("string"), F.lit("none")))  # of a text and an id
+    stay = stay.select(at.alias("at"), "lone")
     names, id_at, text_at = docs.columns, f"c{place(docs, id_col)}", f"c{place(docs, text_col)}"
     docs = numbered(docs)
     others = [F.col(c) for c in docs.columns if c not in (id_at, text_at)]
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), F.col(id_at).cast("bigint").alias("id"), F.md5(F.coalesce(F.col(text_at), F.lit(""))).alias("key"), (F.to_json(F.struct(*others)) if others else F.lit("")).alias("other")
     )
-    # one join moves the texts once, by text and id, so that copies of one text go different ways
-    kept = rows.join(stay, (rows.key == stay.stay_key) & rows.id.eqNullSafe(stay.stay_id))
+    # one join moves the texts once, by text and id, so that copies of one text go different ways; rows are grouped there
+    kept = rows.withColumn("at", at).join(stay, "at")
     each = F.when(F.col("lone"), F.monotonically_increasing_id()).otherwise(-1)
-    return kept.select("key", "id", each.alias("each"), "row", "other").groupBy("key", "id", "each").agg(F.min_by("row", "other").alias("row")).select("row.*").toDF(*names)
+    return kept.select("at", each.alias("each"), "row", "other").groupBy("at", "each").agg(F.min_by("row", "other").alias("row")).select("row.*").toDF(*names)
