@@ -167,6 +167,95 @@ def national_network(spark, sf):
     return feeds.national_network(docs).select("route_id", "route_ref", "state", "county_fips", "geom_wkt")
 
 
+def _features(spark, sf, feature):
+    """A document of one feature for every bridge."""
+    k = F.col("nbi_id").cast("string")
+    return carrier(spark, sf, "v_bridges").select(k.alias("path"), F.concat(F.lit('{"features": ['), feature, F.lit("]}")).alias("content"))
+
+
+def _json(*parts):
+    """JSON text of literals and columns in turn."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@query("feed_prices", "SELECT CASE nbi_id % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'PADD1A' ELSE 'X9' END AS region, DATE '2024-01-01' + CAST(size AS INTEGER) AS week_of, size / 10.0::DOUBLE AS price_usd_gal FROM {v_bridges} WHERE nbi_id % 4 <> 0")
+def feed_prices(spark, sf):
+    k, n = F.col("nbi_id"), F.col("size")
+    area = F.when(k % 3 == 0, "NUS").when(k % 3 == 1, " R1X ").otherwise("X9")
+    value = F.when(k % 4 == 0, "null").otherwise((n / 10.0).cast("string"))
+    row = _json('{"response": {"data": [{"duoarea": "', area, '", "period": "', F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int")), '", "value": ', value, "}]}}")
+    docs = carrier(spark, sf, "v_bridges").select(k.cast("string").alias("path"), row.alias("content"))
+    return feeds.weekly_prices(docs).select("region", "week_of", "price_usd_gal")
+
+
+@query("feed_parking", "SELECT CAST(nbi_id AS VARCHAR) AS site_id, CASE WHEN nbi_id % 3 = 0 THEN 'public_rest_area' ELSE 'truck_stop' END AS kind, 'TX' AS state, CAST(size AS DOUBLE) AS lat, -100.5::DOUBLE AS lon, CASE WHEN nbi_id % 2 = 0 THEN CAST(size AS INTEGER) END AS truck_spaces FROM {v_bridges}")
+def feed_parking(spark, sf):
+    k, n = F.col("nbi_id"), F.col("size")
+    name, spots = F.when(k % 3 == 0, "Weigh Scale 4").otherwise("Joe"), F.when(k % 2 == 0, n.cast("string")).otherwise('"many"')
+    point = F.when(k % 5 == 0, _json('null, "bbox": ', n)).otherwise(_json('{"type": "Point", "coordinates": [-100.5, ', n, "]}"))
+    feature = _json('{"properties": {"OBJECTID": ', k, ', "nhs_rest_stop": "', name, '", "state": " tx ", "longitude": -100.5, "latitude": ', n, ', "number_of_spots": ', spots, '}, "geometry": ', point, "}")
+    return feeds.parking(_features(spark, sf, feature), "2024-01-01").select("site_id", "kind", "state", "lat", "lon", "truck_spaces")
+
+
+@query("feed_tunnels", "SELECT CASE WHEN nbi_id % 4 <> 0 THEN '48' || CAST(nbi_id AS VARCHAR) END AS tunnel_id, 'TX' AS state, round(size * 12.0::DOUBLE, 1) AS min_vert_clearance_in, CASE nbi_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS hazmat_restricted FROM {v_bridges}")
+def feed_tunnels(spark, sf):
+    k, n = F.col("nbi_id"), F.col("size")
+    flag = F.when(k % 3 == 0, '"1"').when(k % 3 == 1, '"0"').otherwise('"N"')
+    number = F.when(k % 4 == 0, "").otherwise(k.cast("string"))
+    feature = _json('{"properties": {"state_code_i3": "48", "tunnel_number_i1": "', number, '", "min_vert_clearance_over_tunnel_": ', n, ', "hazardous_material_restriction_": ', flag, '}, "geometry": null}')
+    return feeds.tunnels(_features(spark, sf, feature)).select("tunnel_id", "state", "min_vert_clearance_in", "hazmat_restricted")
+
+
+@query("feed_alerts", "SELECT 'a' || CAST(nbi_id AS VARCHAR) AS event_id, CASE WHEN nbi_id % 3 = 0 THEN 'POLYGON ((1 2,3 4,5 ' || CAST(size AS VARCHAR) || ',1 2))' END AS geom_wkt FROM {v_bridges}")
+def feed_alerts(spark, sf):
+    k, n = F.col("nbi_id"), F.col("size")
+    ring = F.when(k % 3 == 0, _json('{"type": "Polygon", "coordinates": [[[1, 2], [3, 4], [5, ', n, "], [1, 2]]]}")).otherwise("null")
+    return feeds.weather_alerts(_features(spark, sf, _json('{"id": "a', k, '", "properties": {"sent": "2024-01-01T00:00:00Z"}, "geometry": ', ring, "}"))).select("event_id", "geom_wkt")
+
+
+@query("feed_chain_sites", "SELECT 'loves:' || CAST(nbi_id AS VARCHAR) AS chain_site_id, CASE WHEN nbi_id % 2 = 0 THEN 'OK' END AS state, CASE WHEN nbi_id % 5 = 0 THEN true END AS open_24h FROM {v_bridges} WHERE nbi_id % 4 <> 0")
+def feed_chain_sites(spark, sf):
+    k = F.col("nbi_id")
+    ref = F.when(k % 4 == 0, "").otherwise(k.cast("string"))
+    feature = _json('{"properties": {"ref": "', ref, '", "brand": "L", "addr:state": "', F.when(k % 2 == 0, "ok").otherwise("Oklahoma"), '", "opening_hours": "', F.when(k % 5 == 0, feeds.ALWAYS_OPEN[0]).otherwise("Mo-Fr"), '"}, "geometry": {"type": "Point", "coordinates": [-100.0, 35.0]}}')
+    return feeds.chain_sites(_features(spark, sf, feature), "loves", "2024-01-01").select("chain_site_id", "state", "open_24h")
+
+
+@query("feed_state_prices", "SELECT CASE nbi_id % 2 WHEN 0 THEN 'TX' ELSE 'CA' END AS state, 3 + size / 100.0::DOUBLE AS price FROM {v_bridges} WHERE nbi_id % 3 <> 0")
+def feed_state_prices(spark, sf):
+    k, n = F.col("nbi_id"), F.col("size")
+    page = _json('<table><tr><td><a href="?x=1&state=', F.when(k % 3 == 0, "ZZ").when(k % 2 == 0, "TX").otherwise("CA"), '">s</a></td><td class="regular">$2.999</td><td class="b diesel">\n $', F.format_string("%.3f", 3 + n / 100.0), "</td></tr></table>")
+    return feeds.state_prices(carrier(spark, sf, "v_bridges").select(k.cast("string").alias("path"), page.alias("content"))).select("state", F.round("price", 2).alias("price"))
+
+
+@query("feed_registry", "SELECT nbi_id, CASE nbi_id % 6 WHEN 0 THEN 'inactive' WHEN 1 THEN 'no_url' WHEN 2 THEN 'needs_key' WHEN 3 THEN 'embedded_credential' WHEN 4 THEN CASE WHEN size % 2 = 0 THEN 'other_schema' ELSE 'no_state' END END AS reason FROM {v_bridges}")
+def feed_registry(spark, sf):
+    k, n = F.col("nbi_id"), F.col("size")
+    url = F.when(k % 6 == 1, "ftp://h").when(k % 6 == 3, "https://h/f?a=1&Api_Key=x").otherwise("https://h/f?api_key=&n=1")
+    rows = carrier(spark, sf, "v_bridges").select(
+        "nbi_id", F.when(k % 6 == 0, "false").otherwise("TRUE").alias("active"), url.alias("url"), F.when(k % 6 == 2, "yes").alias("needAPIKey"), F.when((k % 6 == 4) & (n % 2 == 0), "cwz 1").when(k % 6 == 4, "4").otherwise("4.1").alias("version"), F.when(k % 6 == 4, "nowhere").otherwise(" Texas ").alias("state")
+    )
+    return feeds.classify_registry(rows, {"texas": "TX"}).select("nbi_id", "reason")
+
+
+@query("licence_ids", "SELECT CASE WHEN n = 1 THEN id ELSE id || '/' || CAST(n AS VARCHAR) END AS id, nbi_id FROM (SELECT brand AS id, nbi_id, row_number() OVER (PARTITION BY brand ORDER BY nbi_id) AS n FROM {v_bridges} WHERE posting IN ('P', 'K'))")
+def licence_ids(spark, sf):
+    return feeds.licences(carrier(spark, sf, "v_bridges").select(F.col("brand").alias("id"), "nbi_id", "posting"), "id", ["P", "K"], "posting").select("id", "nbi_id")
+
+
+@query("state_codes", "SELECT nbi_id, CASE nbi_id % 3 WHEN 0 THEN 'TX' WHEN 1 THEN 'OK' END AS state FROM {v_bridges}")
+def state_codes(spark, sf):
+    k = F.col("nbi_id")
+    return carrier(spark, sf, "v_bridges").select("nbi_id", text.state_code(F.when(k % 3 == 0, " tx").when(k % 3 == 1, "OK").otherwise("Texas")).alias("state"))
+
+
+@query("place_labels", "SELECT nbi_id, CASE nbi_id % 4 WHEN 0 THEN 'fuel' WHEN 1 THEN 'repair' WHEN 2 THEN 'fuel' END AS slug FROM {v_bridges}")
+def place_labels(spark, sf):
+    k = F.col("nbi_id")
+    labels = F.when(k % 4 == 0, F.array(F.lit("Garage"), F.lit("Gas Station"))).when(k % 4 == 1, F.array(F.lit("Garage"))).when(k % 4 == 2, F.array(F.lit("x"), F.lit("Truck Stop"))).otherwise(F.array(F.lit("Museum")))
+    return carrier(spark, sf, "v_bridges").select("nbi_id", feeds.first_label(labels, {"Garage": "repair", "Gas Station": "fuel", "Truck Stop": "fuel"}, ["fuel", "repair"]).alias("slug"))
+
+
 @query("redacted", "SELECT nbi_id, 'https://h/x?api_key=[redacted]&n=' || CAST(size AS VARCHAR) AS url FROM {v_bridges}")
 def redacted(spark, sf):
     return carrier(spark, sf, "v_bridges").select("nbi_id", text.redact(F.concat(F.lit("https://h/x?api_key="), F.col("brand"), F.lit("&n="), F.col("size").cast("string"))).alias("url"))

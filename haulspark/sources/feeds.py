@@ -6,9 +6,7 @@ feed's raises instead of reading as an empty feed, which would close every event
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,32 +200,42 @@ def state_prices(docs: DataFrame) -> DataFrame:
 def bridges(spark: SparkSession, zip_path: str, out_folder: str) -> DataFrame:
     """The national bridge file: the largest delimited member of a ZIP, quoted by apostrophes, several records a bridge.
 
-    The archive is unpacked once by the driver, member by member, into ``out_folder``; its rows are read in parallel.
+    The member is streamed out of the archive into ``out_folder``, where all executors read it in parallel; no more
+    than a buffer of it is held at a time.
     """
-    raw = spark.read.format("binaryFile").load(zip_path).select("content").first()[0]
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        members = [i for i in z.infolist() if i.filename.lower().endswith((".txt", ".csv")) and not i.is_dir()]
-        if not members:
-            raise NotAFeed("no delimited member")
-        member = max(members, key=lambda i: i.file_size)
-        years = [m[0] for n in (member.filename, *z.namelist()) if (m := re.search(r"(?:19|20)\d{2}", n))]
-        data = z.read(member)
-    year = years[0] if years else str(member.date_time[0])
-    df = _csv(spark, data, out_folder)
-    return merge_bridges(df.withColumn("observed_at", F.lit(f"{year}-01-01").cast("date")))
-
-
-def _csv(spark: SparkSession, data: bytes, folder: str) -> DataFrame:
-    """Puts a delimited file where all executors can read it, and reads it in parallel."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/records.txt")
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-    try:
-        for at in range(0, len(data), 1 << 20):
-            out.write(bytearray(data[at : at + (1 << 20)]))
-    finally:
-        out.close()
-    return spark.read.option("header", True).option("quote", "'").option("encoding", "ISO-8859-1").csv(folder)
+    path, io = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def walk(take: str | None = None) -> list[tuple[str, int, int]]:
+        """(name, bytes, year) of each member; the one to take is copied."""
+        found, stream = [], jvm.java.util.zip.ZipInputStream(path(zip_path).getFileSystem(conf).open(path(zip_path)))
+        try:
+            while (entry := stream.getNextEntry()) is not None:
+                name = entry.getName()
+                if name == take:
+                    target = path(f"{out_folder}/records.txt")
+                    out = target.getFileSystem(conf).create(target, True)
+                    try:
+                        io.copyLarge(stream, out)
+                    finally:
+                        out.close()
+                elif not take:
+                    size = io.copyLarge(stream, jvm.org.apache.commons.io.output.NullOutputStream.INSTANCE)
+                    found.append((name, size, entry.getTimeLocal().getYear()))
+        finally:
+            stream.close()
+        return found
+
+    names = walk()
+    members = [m for m in names if m[0].lower().endswith((".txt", ".csv"))]
+    if not members:
+        raise NotAFeed("no delimited member")
+    member = max(members, key=lambda m: m[1])
+    walk(member[0])
+    years = [m[0] for n in (member[0], *(x[0] for x in names)) if (m := re.search(r"(?:19|20)\d{2}", n))]
+    df = spark.read.option("header", True).option("quote", "'").option("encoding", "ISO-8859-1").csv(out_folder)
+    return merge_bridges(df.withColumn("observed_at", F.lit(f"{years[0] if years else member[2]}-01-01").cast("date")))
 
 
 def merge_bridges(records: DataFrame) -> DataFrame:
