@@ -57,15 +57,20 @@ def nearest_within(left: DataFrame, right: DataFrame, radius_m: float, left_id:
     return pairs.groupBy(F.col(f"l.{left_id}").alias(left_id)).agg(best).select(left_id, F.col("b.r").alias("r"), F.col("b.dist_m").alias("dist_m"))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, start_m: float = 50_000.0, grow: float = 4.0, max_abs_lat: float = 72.0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, start_m: float | None = None, grow: float = 3.0, max_abs_lat: float = 72.0) -> DataFrame:
     """The ``k`` nearest right rows of every left row, without a radius: (left_id, rank, right_id, dist_m).
 
     Rings grow until each left row has ``k`` within the radius already searched, which makes the answer exact, but for
     pairs across the 180th meridian.  The last ring spans the globe; only rows that far from all others reach it.
+    The first ring (``start_m``) holds some ``4 * k`` rows where the right side is as dense as on the whole.
     """
-    spark, radius, out = left.sparkSession, start_m, None
+    spark, out = left.sparkSession, None
     todo = left.where("lon is not null and lat is not null")
-    k = min(k, right.count())
+    side = right.agg(F.count(F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), 1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("lon", "lat")]).first()
+    k = min(k, side["n"])
+    if k:
+        area = max(1.0, (side["max_lon"] - side["min_lon"]) * (side["max_lat"] - side["min_lat"])) * 111_000.0**2
+        radius = start_m or min(GLOBE_M, max(1000.0, math.sqrt(4 * k * area / (math.pi * side["n"]))))
     if k == 0:
         kinds = dict(left.dtypes)[left_id], dict(right.dtypes)[right_id]
         return spark.createDataFrame([], f"{left_id} {kinds[0]}, rank int, {right_id} {kinds[1]}, dist_m double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulspark.functions import text
+from haulspark.functions import geo, text
 from haulspark.operators import conflate, corridor, live, ops, shops
 from haulspark.plans.carriers import carrier, oracle, table
 from haulspark.plans.domain import NOW, _pairs, now
@@ -178,6 +178,14 @@ def _json(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+@query("spheroid", """
+    WITH r AS (SELECT nbi_id, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(lat))) AS b1, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(40.0::DOUBLE))) AS b2, radians(-100.0::DOUBLE - lon) AS dl FROM {v_bridges}),
+    c AS (SELECT *, 2 * asin(sqrt(pow(sin((b2 - b1) / 2), 2) + cos(b1) * cos(b2) * pow(sin(dl / 2), 2))) AS s, (b1 + b2) / 2 AS p, (b2 - b1) / 2 AS q FROM r)
+    SELECT nbi_id, round(CASE WHEN s = 0 THEN 0 ELSE 6378137.0::DOUBLE * (s - 1 / 298.257223563::DOUBLE / 2 * ((s - sin(s)) * pow(sin(p) * cos(q) / cos(s / 2), 2) + (s + sin(s)) * pow(cos(p) * sin(q) / sin(s / 2), 2))) END, 2) AS metres FROM c""")
+def spheroid(spark, sf):
+    return carrier(spark, sf, "v_bridges").select("nbi_id", F.round(geo.spheroid_m(F.col("lon"), F.col("lat"), F.lit(-100.0), F.lit(40.0)), 2).alias("metres"))
+
+
 @query("feed_prices", "SELECT CASE nbi_id % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'PADD1A' ELSE 'X9' END AS region, DATE '2024-01-01' + CAST(size AS INTEGER) AS week_of, size / 10.0::DOUBLE AS price_usd_gal FROM {v_bridges} WHERE nbi_id % 4 <> 0")
 def feed_prices(spark, sf):
     k, n = F.col("nbi_id"), F.col("size")

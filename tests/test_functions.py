@@ -117,3 +117,13 @@ def test_liveness(spark):
 
 def test_dates_are_strict(spark):
     assert run(spark, lambda c: F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date")), ["2024-02-30", "2024-02-28", "x", None]) == [None, dt.date(2024, 2, 28), None, None]
+
+
+def test_spheroid(one):
+    from haulspark.functions.geo import spheroid_m
+
+    at = lambda *p: one(spheroid_m(*[F.col(n) for n in "abcd"]), **dict(zip("abcd", p, strict=True)))
+    assert at(-100.0, 40.0, -100.0, 40.0) == 0
+    assert at(0.0, 0.0, 1.0, 0.0) == pytest.approx(111_319.49, abs=0.1)  # a degree of the equator
+    assert at(0.0, 45.0, 0.0, 46.0) == pytest.approx(111_141.5, abs=2)  # a degree of the meridian
+    assert at(-96.8, 32.78, -97.52, 35.47) == pytest.approx(305_800, rel=5e-3)
