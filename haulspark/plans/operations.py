@@ -246,6 +246,17 @@ def feed_registry(spark, sf):
     return feeds.classify_registry(rows, {"texas": "TX"}).select("nbi_id", "reason")
 
 
+@query("feed_registry_ids", """
+    WITH r AS (SELECT nbi_id, CASE nbi_id % 3 WHEN 0 THEN 'tx' WHEN 1 THEN 'ok' END AS st, lower(regexp_replace(trim(regexp_replace(name, '[^a-zA-Z0-9]+', ' ', 'g')), ' ', '_', 'g')) AS slug FROM {v_bridges})
+    SELECT nbi_id, CASE WHEN st IS NOT NULL THEN 'wzdx_' || st || CASE WHEN row_number() OVER (PARTITION BY st ORDER BY nbi_id) > 1 THEN '_' || slug ELSE '' END END AS source_id FROM r""")
+def feed_registry_ids(spark, sf):
+    k = F.col("nbi_id")
+    rows = carrier(spark, sf, "v_bridges").select(
+        "nbi_id", F.lit("true").alias("active"), F.lit("https://h").alias("url"), F.lit(None).cast("string").alias("needAPIKey"), F.lit("4.1").alias("version"), F.when(k % 3 == 0, "Texas").when(k % 3 == 1, "Oklahoma").alias("state"), F.col("name").alias("feedName"), F.lit("org").alias("issuingOrganization")
+    )
+    return feeds.registry_ids(feeds.classify_registry(rows, {"texas": "TX", "oklahoma": "OK"}), "nbi_id").select("nbi_id", "source_id")
+
+
 @query("licence_ids", "SELECT CASE WHEN n = 1 THEN id ELSE id || '/' || CAST(n AS VARCHAR) END AS id, nbi_id FROM (SELECT brand AS id, nbi_id, row_number() OVER (PARTITION BY brand ORDER BY nbi_id) AS n FROM {v_bridges} WHERE posting IN ('P', 'K'))")
 def licence_ids(spark, sf):
     return feeds.licences(carrier(spark, sf, "v_bridges").select(F.col("brand").alias("id"), "nbi_id", "posting"), "id", ["P", "K"], "posting").select("id", "nbi_id")

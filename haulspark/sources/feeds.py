@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulspark.functions import units
@@ -275,10 +275,20 @@ def classify_registry(rows: DataFrame, states: dict[str, str]) -> DataFrame:
     return rows.select("*", state.alias("usps"), reason.alias("reason"))
 
 
+def registry_ids(classified: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """``classify_registry``'s rows with ``source_id`` where none is left out: a state's first feed, in the order of
+    ``ordinal``, is wzdx_ and the state; its others add the feed's name, or else the organisation's."""
+    kept = classified.where("reason is null")
+    n = F.row_number().over(Window.partitionBy("usps").orderBy(ordinal))
+    text = F.coalesce(F.nullif(F.trim("feedName"), F.lit("")), F.col("issuingOrganization"), F.lit(""))
+    slug = F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), "_")
+    base = F.concat(F.lit("wzdx_"), F.lower("usps"))
+    ids = kept.withColumn("_n", n).withColumn("source_id", F.when(F.col("_n") == 1, base).otherwise(F.concat_ws("_", base, slug))).drop("_n")
+    return ids.unionByName(classified.where("reason is not null").withColumn("source_id", F.lit(None).cast("string")))
+
+
 def licences(pages: DataFrame, id_col: str, classes: list[str], class_col: str) -> DataFrame:
     """A registry's rows of the wanted classes; repeated ids get /2, /3, … in the order of the rest of the row."""
-    from pyspark.sql import Window
-
     others = [c for c in pages.columns if c != id_col]
     n = F.row_number().over(Window.partitionBy(id_col).orderBy(*others))
     return pages.where(F.col(class_col).isin(classes)).withColumn("_n", n).withColumn(id_col, F.when(F.col("_n") == 1, F.col(id_col)).otherwise(F.concat_ws("/", id_col, F.col("_n").cast("string")))).drop("_n")
