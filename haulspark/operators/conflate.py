@@ -11,10 +11,19 @@ from haulspark.functions import score
 from haulspark.functions.geo import geohash
 from haulspark.functions.score import pair_band, pair_score
 from haulspark.functions.text import digits, norm_name, set_similarity, short_key, squeeze, trigrams
+from haulspark.operators.numbering import number
 from haulspark.operators.spatial import dwithin
 from haulspark.session import checkpoint
 
 
+def staged(source: DataFrame, closed: str | None = None) -> DataFrame:
+    """A source's rows that can be matched, with ``rid``: those with a category, a name and a place that isn't null
+    island, and not closed (``closed`` names the column of the closing date).  rid follows source_record_id and name."""
+    place = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & ~((F.col("lat") == 0) & (F.col("lon") == 0))
+    rows = source.where(F.col("category").isNotNull() & F.col("name").isNotNull() & place & (F.col(closed).isNull() if closed else F.lit(True)))
+    return number(rows, ["source_record_id", "name"], "rid")
+
+
 def candidate_pairs(a: DataFrame, b: DataFrame, radius_m: float = 150.0, min_sim: float = 0.3) -> DataFrame:
     """(o, f, name_sim, dist_m, score, band) of pairs within the radius whose names are similar enough.
 

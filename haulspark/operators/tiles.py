@@ -40,11 +40,6 @@ class Layer:
         return out.withColumns({c: F.lit(None).cast("string") for c in columns if c not in df.columns})
 
 
-def counted(layers: dict[Layer, DataFrame]) -> list[tuple[str, DataFrame]]:
-    """(layer, one row of held and drawn) of each layer, so that a filtered layer is seen to be one."""
-    return [(layer.name, df.agg(F.count(F.lit(1)).alias("held"), F.count_if(F.expr(layer.row_filter or "true")).alias("drawn"))) for layer, df in layers.items()]
-
-
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 0x7F:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulspark.functions import geo, text
-from haulspark.operators import conflate, corridor, live, ops, shops
+from haulspark.operators import conflate, corridor, live, ops, shops, viewer
 from haulspark.plans.carriers import carrier, oracle, table
 from haulspark.plans.domain import NOW, _pairs, now
 from haulspark.plans.roads import ALONG, _path
@@ -153,6 +153,41 @@ def device_rejects(spark, sf):
     return tracking.rejects(tracking.authorise(p.withColumn("token", token), devices))
 
 
+@query("viewer_inventory", f"""
+    SELECT 'bridges' AS layer, count(*) FILTER (WHERE clearance_in IS NOT NULL) AS drawn, count(*) AS held, NULL::TIMESTAMP AS newest FROM {{v_bridges}}
+    UNION ALL SELECT 'pings', count(*), count(*), max(observed_at) FROM {{v_pings}}""")
+def viewer_inventory(spark, sf):
+    return viewer.inventory({"bridges": (carrier(spark, sf, "v_bridges"), "clearance_in is not null"), "pings": (carrier(spark, sf, "v_pings"), None)})
+
+
+@query("viewer_breakdown", "SELECT coalesce(posting, 'unknown') AS posting, count(*) AS n FROM {v_bridges} WHERE clearance_in IS NOT NULL GROUP BY 1")
+def viewer_breakdown(spark, sf):
+    return viewer.breakdown(carrier(spark, sf, "v_bridges"), "posting", "clearance_in is not null")
+
+
+@query("viewer_prices", "SELECT region, product, week_of, price FROM (SELECT *, row_number() OVER (PARTITION BY region, product ORDER BY week_of DESC, price DESC) AS n FROM {v_prices}) t WHERE n = 1")
+def viewer_prices(spark, sf):
+    return viewer.latest_prices(carrier(spark, sf, "v_prices"))
+
+
+@query("viewer_runs", "SELECT run_id, source_id, status FROM {v_runs} ORDER BY started_at DESC, run_id DESC LIMIT 25")
+def viewer_runs(spark, sf):
+    return viewer.last_runs(carrier(spark, sf, "v_runs")).select("run_id", "source_id", "status")
+
+
+@query("text_search", "SELECT nbi_id FROM {v_bridges} WHERE list_has_all(string_split(lower(name || ' ' || brand), ' '), ['green', 'bolt']) OR len(list_intersect(list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) AS BIGINT) + 2), lambda i: substr('  ' || w || ' ', i, 3))))), ['  b', ' bo', 'bol', 'olt', 'lt ', '  g', ' gr', 'gre', 'ree', 'een', 'en ']))::DOUBLE / len(list_distinct(list_concat(list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) AS BIGINT) + 2), lambda i: substr('  ' || w || ' ', i, 3))))), ['  b', ' bo', 'bol', 'olt', 'lt ', '  g', ' gr', 'gre', 'ree', 'een', 'en ']))) > 0.3")
+def text_search(spark, sf):
+    return viewer.search(carrier(spark, sf, "v_bridges"), "Bolt green", ("name", "brand")).select("nbi_id")
+
+
+@query("conflate_staged", "SELECT row_number() OVER (ORDER BY nbi_id, name) AS rid, nbi_id AS source_record_id FROM {v_bridges} WHERE nbi_id % 3 <> 0 AND nbi_id % 7 <> 0 AND nbi_id % 11 <> 0 AND posting IS NOT NULL")
+def conflate_staged(spark, sf):
+    k = F.col("nbi_id")
+    at = lambda c: F.when(k % 7 == 0, 0.0).when(k % 11 == 0, 500.0).otherwise(F.col(c)).alias(c)
+    rows = carrier(spark, sf, "v_bridges").select(k.alias("source_record_id"), "name", F.col("posting").alias("category"), at("lon"), at("lat"), F.when(k % 3 == 0, "2023-01-01").alias("date_closed"))
+    return conflate.staged(rows, "date_closed").select(F.col("rid").cast("bigint").alias("rid"), "source_record_id")
+
+
 # ---- feeds and text ----------------------------------------------------------------------------------------
 
 
