@@ -18,7 +18,7 @@ from haulspark.session import checkpoint, checkpoint_dir
 
 __all__ = ["BATCH_ROWS", "by_length", "checkpoint", "checkpoint_dir", "each_with_each", "finite_vectors", "map_batches", "narrow", "numbered", "packed", "place", "prepare", "read", "scratch", "unpack"]
 
-#: Rows in an Arrow batch, so that a batch of very long texts still fits a Python worker.
+#: Rows in an Arrow batch; Spark bounds its bytes as well (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default).
 BATCH_ROWS = 1000
 
 
