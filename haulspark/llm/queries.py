@@ -79,6 +79,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents"), "source", "text", max_ratio=0.1, min_pages=5).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulspark.llm.word_runs import digests
+
+    return digests(read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulspark.llm.spelling import spelling_forms
+
+    return spelling_forms(read(spark, sf_dir, "documents"))
+
+
+def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haulspark.llm.repeats import digests
+
+    return digests(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
