@@ -2,8 +2,13 @@
 
 In a round, the states that improved go to their cells, where a best-first search runs from all of them at once; what
 leaves a cell is a state of the next round.  So there are as many rounds as a path crosses cells, not as it has edges,
-and a task holds one cell and a few pairs.  Rounds are written to the shared folder and read back, which gives the
-planner true sizes.
+and a task holds one cell and a few pairs.  Cells follow a space-filling curve where nodes have places, so that they
+are patches rather than strips.
+
+A state is a distance and a number of edges, never a path.  Once distances are known, paths are traced back from the
+goals, cell by cell, over the nodes that a shortest path may pass; each link into a cell is a record with the piece of
+path behind it, and pointer jumping puts the pieces of a path in order.  Rounds are written to the shared folder and
+read back, which gives the planner true sizes.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulspark.operators.numbering import number
@@ -20,6 +25,9 @@ from haulspark.session import checkpoint, written
 #: Nodes in a cell, and pairs that a task searches for.
 CELL_NODES, PAIRS = 4096, 32
 STATE, GOAL, SETTLED, AVOIDED = 0, 1, 2, 3
+#: Sums of one path's edges from both ends differ by rounding, by less than this share.
+ROUNDING = 1e-12
+BEGIN, LINK = 0, 1
 
 
 class NoRoute(Exception):
@@ -30,8 +38,28 @@ class NoRoute(Exception):
         self.code = code
 
 
-def _cells(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, cell) and (cell, u, v, w, edge_id, inside, to, blocked): both directions, the least free edge of two nodes."""
+def curve(lon: Column, lat: Column) -> Column:
+    """The place of a point on a Z curve over the globe: 24 bits of each coordinate, interleaved."""
+
+    def spread(v: Column) -> Column:
+        x = F.least(F.lit(2**24 - 1), F.greatest(F.lit(0), F.floor(v * F.lit(float(2**24))))).cast("bigint")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+        return x
+
+    return spread((lon + 180.0) / 360.0).bitwiseOR(F.shiftleft(spread((lat + 90.0) / 180.0), 1))
+
+
+def node_places(edges: DataFrame) -> DataFrame:
+    """(node, lon, lat) of the nodes of edges with u, v and line, which runs from u to v."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.element_at("line", 1).alias("p")), F.struct(F.col("v").alias("node"), F.element_at("line", -1).alias("p")))
+    return edges.where(F.size("line") > 1).select(F.inline(ends)).groupBy("node").agg(F.min("p").alias("p")).select("node", "p.lon", "p.lat")
+
+
+def _cells(edges: DataFrame, places: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(node, cell) and (cell, u, v, w, edge_id, inside, to, blocked): both directions, the least free edge of two nodes.
+
+    Cells are stretches of the nodes along the curve; nodes without a place, or all if ``places`` is None, by number."""
     why = F.col("why").isNotNull() if "why" in edges.columns else F.lit(False)
     edge_id = F.col("edge_id").cast("bigint") if "edge_id" in edges.columns else F.lit(None).cast("bigint")
     e = edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), F.col("length_m").cast("double").alias("w"), edge_id.alias("edge_id"), why.alias("blocked"))
@@ -39,76 +67,206 @@ def _cells(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w", "edge_id", "blocked"))
     # one edge for each two nodes that is free, and each one that isn't
     each = F.when(F.col("blocked"), F.col("edge_id")).otherwise(-1)
-    both = both.groupBy("u", "v", "blocked", each.alias("each")).agg(F.min(F.struct("w", "edge_id")).alias("m")).select("u", "v", "blocked", "m.w", "m.edge_id")
-    nodes = number(both.select(F.col("u").alias("node")).distinct(), ["node"], "n", 0).select("node", F.floor(F.col("n") / CELL_NODES).cast("bigint").alias("cell"))
-    nodes = written(nodes)
+    both = written(both.groupBy("u", "v", "blocked", each.alias("each")).agg(F.min(F.struct("w", "edge_id")).alias("m")).select("u", "v", "blocked", "m.w", "m.edge_id"))
+    nodes = both.select(F.col("u").alias("node")).distinct()
+    if nodes.count() <= CELL_NODES:
+        zero = F.lit(0).cast("bigint")
+        return nodes.withColumn("cell", zero), both.select(zero.alias("cell"), "u", "v", "w", "edge_id", F.lit(True).alias("inside"), zero.alias("to"), "blocked")
+    if places is not None:
+        at = places.groupBy(F.col("node").cast("bigint").alias("node")).agg(F.min(curve(F.col("lon"), F.col("lat"))).alias("z"))
+        nodes = nodes.join(at, "node", "left").withColumn("z", F.coalesce("z", F.lit(-1)))
+    else:
+        nodes = nodes.withColumn("z", F.lit(0))
+    nodes = written(number(nodes, ["z", "node"], "n", 0).select("node", F.floor(F.col("n") / CELL_NODES).cast("bigint").alias("cell")))
     at = lambda end, name: nodes.select(F.col("node").alias(end), F.col("cell").alias(name))
     both = both.join(at("u", "cell"), "u").join(at("v", "to"), "v")
     return nodes, written(both.select("cell", "u", "v", "w", "edge_id", (F.col("cell") == F.col("to")).alias("inside"), "to", "blocked"))
 
 
-def _explore(front: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """The best-first search of a few pairs within one cell; equal lengths go to fewer edges, then to the smaller path."""
+def _near(edges: pd.DataFrame) -> dict[int, list]:
     near: dict[int, list] = {}
     for u, *rest in zip(*(edges[c].tolist() for c in ("u", "v", "w", "inside", "to", "blocked", "edge_id")), strict=True):
         near.setdefault(u, []).append(rest)
-    out = []
+    return near
+
+
+def _settle(seeds: list[tuple[float, int, int]], near: dict[int, list], limit: float, goals: dict[int, float]):
+    """Best-first within a cell: the (distance, hops) of each node up to ``limit`` or the best goal, the offers to
+    nodes outside as node -> (distance, hops, cell), the blocked edges met, and what each goal met would cost."""
+    heap, done = list(seeds), {}
+    heapq.heapify(heap)
+    outside: dict[int, tuple] = {}
+    avoided: set[int] = set()
+    met: dict[int, tuple[float, int]] = {}
+    while heap:
+        d, hops, node = heapq.heappop(heap)
+        if d > limit:
+            break
+        if node in done:
+            continue
+        done[node] = (d, hops)
+        if node in goals:
+            limit = min(limit, d + goals[node])
+            met[node] = (d + goals[node], hops)
+        for v, w, inside, to, blocked, edge_id in near.get(node, ()):
+            if blocked:
+                avoided.add(int(edge_id))
+            elif d + w <= limit and v not in done:
+                if inside:
+                    heapq.heappush(heap, (d + w, hops + 1, v))
+                elif v not in outside or (d + w, hops + 1, to) < outside[v]:
+                    outside[v] = (d + w, hops + 1, to)
+    return done, {v: s for v, s in outside.items() if s[0] <= limit}, avoided, met
+
+
+def _goals(rows: pd.DataFrame) -> dict[int, float]:
+    goals: dict[int, float] = {}
+    for n, c in zip(rows["goal_nodes"].iloc[0], rows["goal_costs"].iloc[0], strict=True):
+        goals[int(n)] = min(float(c), goals.get(int(n), float("inf")))
+    return goals
+
+
+def _seeds(rows: pd.DataFrame) -> list[tuple[float, int, int]]:
+    return list(zip(rows["d"].tolist(), rows["hops"].tolist(), rows["node"].tolist(), strict=True))
+
+
+def _explore(front: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """The search of a few pairs within one cell."""
+    near, out = _near(edges), []
     for pair, rows in front.groupby("pair_id", sort=False):
         round_, cell, limit = int(rows["round"].iloc[0]), int(rows["cell"].iloc[0]), float(rows["limit"].iloc[0])
-        goals: dict[int, float] = {}
-        for n, c in zip(rows["goal_nodes"].iloc[0], rows["goal_costs"].iloc[0], strict=True):
-            goals[int(n)] = min(float(c), goals.get(int(n), float("inf")))
-        heap = [(d, h, tuple(p), n) for d, h, p, n in zip(rows["d"].tolist(), rows["hops"].tolist(), (p.tolist() for p in rows["path"]), rows["node"].tolist(), strict=True)]
-        heapq.heapify(heap)
-        settled: set[int] = set()
-        outside: dict[int, tuple] = {}
-        avoided: set[int] = set()
-        while heap:
-            d, hops, path, node = heapq.heappop(heap)
-            if d > limit:
-                break
-            if node in settled:
+        done, outside, avoided, met = _settle(_seeds(rows), near, limit, _goals(rows))
+        out += [(pair, GOAL, n, -1, d, hops) for n, (d, hops) in met.items()]
+        out += [(pair, STATE, v, to, d, hops) for v, (d, hops, to) in outside.items()]
+        out.append((pair, SETTLED, (round_ << 40) + cell, -1, 0.0, len(done)))
+        out += [(pair, AVOIDED, e, -1, 0.0, 0) for e in avoided]
+    return pd.DataFrame(out, columns=["pair_id", "kind", "node", "cell", "d", "hops"])
+
+
+def _trace(front: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Paths of a few pairs within one cell, backwards from the goals in it or from links that leave it.
+
+    A node is on a shortest path if its distance and the rest add up to the pair's; of several nodes that may follow
+    it the smallest one does.  Each edge from outside to such a node is a record with the piece of path from there."""
+    near, out = _near(edges), []
+    for pair, rows in front.groupby("pair_id", sort=False):
+        dist, total = float(rows["dist"].iloc[0]), int(rows["total"].iloc[0])
+        slack = abs(dist) * ROUNDING
+        done, *_ = _settle(_seeds(rows[rows["kind"] == STATE]), near, dist + slack, {})
+        links = rows[rows["kind"] == LINK]
+        offers = list(zip(links["hops"].tolist(), links["node"].tolist(), links["next"].tolist(), links["d"].tolist(), strict=True))
+        offers += [(0, n, -1, c) for n, c in _goals(rows).items() if n in done]
+        heapq.heapify(offers)
+        after: dict[int, int] = {}
+        rest: dict[int, tuple[int, float]] = {}
+        while offers:
+            hops, node, follow, d = heapq.heappop(offers)
+            label = done.get(node)
+            if node in after or label is None or label[1] + hops != total or label[0] + d > dist + slack:
                 continue
-            settled.add(node)
-            if node in goals:
-                limit = min(limit, d + goals[node])
-                out.append((pair, GOAL, node, -1, d + goals[node], hops, path))
-            for v, w, inside, to, blocked, edge_id in near.get(node, ()):
-                if blocked:
-                    avoided.add(int(edge_id))
-                elif d + w <= limit and v not in settled:
-                    state = (d + w, hops + 1, (*path, v))
-                    if inside:
-                        heapq.heappush(heap, (*state, v))
-                    elif v not in outside or (*state, to) < outside[v]:
-                        outside[v] = (*state, to)
-        out += [(pair, STATE, v, to, d, hops, path) for v, (d, hops, path, to) in outside.items() if d <= limit]
-        out.append((pair, SETTLED, (round_ << 40) + cell, -1, 0.0, len(settled), ()))
-        out += [(pair, AVOIDED, e, -1, 0.0, 0, ()) for e in avoided]
-    return pd.DataFrame(out, columns=["pair_id", "kind", "node", "cell", "d", "hops", "path"])
-
-
-def search(edges: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFrame:
+            after[node], rest[node] = follow, (hops, d)
+            if label[1]:
+                for v, w, inside, _, blocked, _ in near.get(node, ()):
+                    if inside and not blocked:
+                        heapq.heappush(offers, (hops + 1, v, node, d + w))
+
+        def piece(node, after=after):
+            """The nodes from here to the last one in this cell, and the node behind it, if any."""
+            nodes = [node]
+            while after[nodes[-1]] in after:
+                nodes.append(after[nodes[-1]])
+            return nodes, after[nodes[-1]]
+
+        for node, (hops, d) in rest.items():
+            if not done[node][1]:
+                nodes, to = piece(node)
+                out.append((pair, BEGIN, -1, node, 0.0, 0, -1, nodes, nodes[-1], to))
+            else:
+                for v, w, inside, cell, blocked, _ in near.get(node, ()):
+                    if not inside and not blocked and hops < total and d + w <= dist + slack:
+                        nodes, to = piece(node)
+                        out.append((pair, LINK, v, node, d + w, hops + 1, cell, nodes, nodes[-1], to))
+    return pd.DataFrame(out, columns=["pair_id", "kind", "node", "next", "d", "hops", "cell", "piece", "out_from", "out_to"])
+
+
+def _asked(links: DataFrame, front: DataFrame) -> DataFrame:
+    """The edges of the cells that pairs are searched in, for each bucket of pairs."""
+    asked = front.select(F.col("cell").alias("own"), F.col("bucket").alias("part")).distinct()
+    return links.join(asked, links["cell"] == asked["own"]).drop("own").withColumnRenamed("part", "bucket")
+
+
+def _paths(best: DataFrame, pairs: DataFrame, found: DataFrame, nodes: DataFrame, links: DataFrame, kind: str) -> DataFrame:
+    """(pair_id, path) of the pairs in ``found`` (pair_id, dist, total)."""
+    known = pairs.join(found, "pair_id")
+    states = best.where(F.col("kind") == STATE).select("pair_id", "kind", "node", F.lit(-1).cast("bigint").alias("next"), "cell", "s.d", "s.hops")
+    # First the cells of the goals, then those that records lead into.
+    goals = known.select("pair_id", F.explode("goal_nodes").alias("node")).join(nodes, "node").select("pair_id", "cell").distinct()
+    schema = f"pair_id {kind}, kind int, node bigint, next bigint, d double, hops int, cell bigint, piece array<bigint>, out_from bigint, out_to bigint"
+    keys, records, to_do, round_ = ["pair_id", "kind", "node", "next"], None, goals, 0
+    while True:
+        rows = states.join(to_do, ["pair_id", "cell"], "left_semi")
+        if records is not None:
+            seeds = records.where(F.col("kind") == LINK).join(to_do, ["pair_id", "cell"], "left_semi")
+            rows = rows.unionByName(seeds.select(*states.columns))
+        front = written(rows.join(known, "pair_id"))
+        step = front.groupBy("cell", "bucket").cogroup(_asked(links, front).groupBy("cell", "bucket")).applyInPandas(_trace, schema)
+        step = step.withColumn("born", F.lit(round_)).withColumn("first", F.lit(round_))
+        if records is not None:
+            step = records.unionByName(step)
+        # A cell that is traced again may have other pieces: the last ones count, the first decide what is new.
+        last = F.max_by(F.struct("d", "hops", "cell", "piece", "out_from", "out_to"), "born").alias("r")
+        records = written(step.groupBy(*keys).agg(last, F.max("born").alias("born"), F.min("first").alias("first")).select(*keys, "r.*", "born", "first"))
+        to_do = records.where((F.col("kind") == LINK) & (F.col("first") == round_)).select("pair_id", "cell").distinct()
+        round_ += 1
+        if to_do.isEmpty():
+            break
+    begin = records.where(F.col("kind") == BEGIN).groupBy("pair_id").agg(F.min(F.struct("next", "piece", "out_from", "out_to")).alias("r")).select("pair_id", "r.*")
+    reached = begin.select("pair_id", F.lit(0).alias("pos"), "piece", "out_from", "out_to")
+    if round_ > 1:
+        reached = _chained(written(reached), records.where(F.col("kind") == LINK))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "piece")))
+    return reached.groupBy("pair_id").agg(ordered.alias("p")).select("pair_id", F.flatten(F.col("p.piece")).alias("path"))
+
+
+def _chained(begin: DataFrame, records: DataFrame) -> DataFrame:
+    """The records that follow each beginning, by pointer jumping: each round doubles the reach of a jump, so a chain
+    of n records takes about log n rounds."""
+    here = [F.col("node").alias("out_from"), F.col("next").alias("out_to")]
+    jumps = written(records.select("pair_id", *here, F.col("out_from").alias("to_from"), F.col("out_to").alias("to_to"), F.lit(1).alias("steps")))
+    pieces = records.select("pair_id", *here, "piece")
+    at = written(begin.where("out_to >= 0").select("pair_id", F.lit(1).alias("pos"), "out_from", "out_to"))
+    while True:
+        on = written(at.join(jumps, ["pair_id", "out_from", "out_to"]).where("to_to >= 0").select("pair_id", (F.col("pos") + F.col("steps")).alias("pos"), F.col("to_from").alias("out_from"), F.col("to_to").alias("out_to")))
+        if on.isEmpty():
+            break
+        at = written(at.unionByName(on))
+        second = jumps.select("pair_id", F.col("out_from").alias("to_from"), F.col("out_to").alias("to_to"), F.col("to_from").alias("a"), F.col("to_to").alias("b"), F.col("steps").alias("more"))
+        jumps = written(jumps.join(second, ["pair_id", "to_from", "to_to"]).select("pair_id", "out_from", "out_to", F.col("a").alias("to_from"), F.col("b").alias("to_to"), (F.col("steps") + F.col("more")).alias("steps")))
+    behind = at.join(pieces, ["pair_id", "out_from", "out_to"]).select("pair_id", "pos", "piece")
+    return begin.select("pair_id", "pos", "piece").unionByName(behind)
+
+
+def search(edges: DataFrame, starts: DataFrame, goals: DataFrame, places: DataFrame | None = None, with_paths: bool = True) -> DataFrame:
     """(pair_id, distance, hops, path, explored, avoided) of every pair that a search began for.
 
     ``edges`` has u, v and length_m, not negative, and runs both ways; with ``edge_id`` and ``why`` too, edges whose
     ``why`` is not null are not used, and ``avoided`` lists those met.  ``starts`` and ``goals`` have pair_id, node and
     cost; a path's distance includes both costs.  ``explored`` counts the nodes settled, once for each time a cell was
     searched.  ``distance`` is null where there is no path.  Of equal distances the path of fewer nodes wins, then the
-    smaller one.  Nodes that no edge has and null ends begin nothing.
+    smaller one.  Nodes that no edge has and null ends begin nothing.  ``places`` (node, lon, lat) shapes the cells;
+    it changes how fast a search is, not what it finds.  Without ``with_paths`` path is null.
     """
-    nodes, links = _cells(edges)
+    nodes, links = _cells(edges, places)
     kind = dict(starts.dtypes)["pair_id"]
     ends = goals.where("node is not null").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct(F.col("node").cast("bigint").alias("node"), F.col("cost").cast("double").alias("cost")))).alias("g"))
-    pairs = ends.select("pair_id", F.col("g.node").alias("goal_nodes"), F.col("g.cost").alias("goal_costs"))
+    pairs = written(ends.select("pair_id", F.col("g.node").alias("goal_nodes"), F.col("g.cost").alias("goal_costs")))
     buckets = max(1, -(-pairs.count() // PAIRS))
-    pairs = written(pairs.withColumn("bucket", F.pmod(F.xxhash64("pair_id"), F.lit(buckets))))
-    state = F.struct("d", "hops", "path")
+    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("pair_id"), F.lit(buckets)))
     first = starts.select("pair_id", F.col("node").cast("bigint").alias("node"), F.col("cost").cast("double").alias("d")).join(nodes, "node").join(pairs.select("pair_id"), "pair_id", "left_semi")
-    first = first.select("pair_id", F.lit(STATE).alias("kind"), "node", "cell", "d", F.lit(0).alias("hops"), F.array("node").alias("path"))
-    keys, round_ = ["pair_id", "kind", "node", "cell"], 0
+    first = first.select("pair_id", F.lit(STATE).alias("kind"), "node", "cell", "d", F.lit(0).alias("hops"))
+    state, keys, round_ = F.struct("d", "hops"), ["pair_id", "kind", "node", "cell"], 0
     best = written(first.groupBy(*keys).agg(F.min(F.struct(state.alias("s"), F.lit(0).alias("born"))).alias("m")).select(*keys, "m.*"))
-    schema = f"pair_id {kind}, kind int, node bigint, cell bigint, d double, hops int, path array<bigint>"
+    schema = f"pair_id {kind}, kind int, node bigint, cell bigint, d double, hops int"
     while True:
         front = best.where((F.col("kind") == STATE) & (F.col("born") == round_))
         if front.isEmpty():
@@ -117,21 +275,30 @@ def search(edges: DataFrame, starts: DataFrame, goals: DataFrame) -> DataFrame:
         front = front.select("pair_id", "node", "cell", "s.*").join(pairs, "pair_id").join(limit, "pair_id", "left")
         front = front.withColumn("limit", F.coalesce("limit", F.lit(float("inf")))).where("d <= limit").withColumn("round", F.lit(round_))
         front = written(front)
-        asked = front.select(F.col("cell").alias("own"), F.col("bucket").alias("part")).distinct()
-        ways = links.join(asked, links["cell"] == asked["own"]).drop("own").withColumnRenamed("part", "bucket")
         round_ += 1
-        step = front.groupBy("cell", "bucket").cogroup(ways.groupBy("cell", "bucket")).applyInPandas(_explore, schema)
+        step = front.groupBy("cell", "bucket").cogroup(_asked(links, front).groupBy("cell", "bucket")).applyInPandas(_explore, schema)
         step = step.select(*keys, state.alias("s"), F.lit(round_).alias("born"))
         best = written(best.unionByName(step).groupBy(*keys).agg(F.min(F.struct("s", "born")).alias("m")).select(*keys, "m.*"))
-    hit = best.where(F.col("kind") == GOAL).groupBy("pair_id").agg(F.min("s").alias("s")).select("pair_id", F.col("s.d").alias("distance"), "s.hops", "s.path")
+    hit = best.where(F.col("kind") == GOAL).groupBy("pair_id").agg(F.min("s").alias("s")).select("pair_id", F.col("s.d").alias("distance"), "s.hops")
     met = best.where(F.col("kind") > GOAL).groupBy("pair_id").agg(F.sum(F.when(F.col("kind") == SETTLED, F.col("s.hops"))).alias("explored"), F.sort_array(F.collect_set(F.when(F.col("kind") == AVOIDED, F.col("node")))).alias("avoided"))
+    if with_paths:
+        paths = _paths(best, pairs, hit.select("pair_id", F.col("distance").alias("dist"), F.col("hops").alias("total")), nodes, links, kind)
+        hit = hit.join(paths, "pair_id", "left")
+    else:
+        hit = hit.withColumn("path", F.lit(None).cast("array<bigint>"))
     return met.join(hit, "pair_id", "left").select("pair_id", "distance", "hops", "path", "explored", "avoided")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """(pair_id, distance, hops, path) for each (pair_id, origin, goal) that has a path; edges run both ways."""
     end = lambda c: pairs.select("pair_id", F.col(c).alias("node"), F.lit(0.0).alias("cost"))
-    return search(edges, end("origin"), end("goal")).where("distance is not null").select("pair_id", "distance", "hops", "path")
+    return search(edges, end("origin"), end("goal"), places).where("distance is not null").select("pair_id", "distance", "hops", "path")
+
+
+def distances(edges: DataFrame, pairs: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """(pair_id, distance, hops) of ``shortest_paths`` without tracing paths."""
+    end = lambda c: pairs.select("pair_id", F.col(c).alias("node"), F.lit(0.0).alias("cost"))
+    return search(edges, end("origin"), end("goal"), places, with_paths=False).where("distance is not null").select("pair_id", "distance", "hops")
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -143,7 +310,7 @@ def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return p.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("pos", "m.edge_id"))).alias("x")).select("pair_id", F.col("x.edge_id").alias("edge_ids"))
 
 
-def routes(edges: DataFrame, trips: DataFrame) -> DataFrame:
+def routes(edges: DataFrame, trips: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """(pair_id, status, distance, path, edge_ids, explored, edges_excluded, exclusion_examples) of every trip.
 
     A trip has pair_id, o_edge, o_frac, g_edge, g_frac: places on edges as shares of their length from ``u``.  A path
@@ -158,7 +325,9 @@ def routes(edges: DataFrame, trips: DataFrame) -> DataFrame:
     same = on.where("o_edge = g_edge")
     apart = on.where("o_edge <> g_edge")
     seeds = lambda c: apart.select("pair_id", F.explode(F.array(F.struct(F.col(f"{c}_u").alias("node"), (F.col(f"{c}_frac") * F.col(f"{c}_len")).alias("cost")), F.struct(F.col(f"{c}_v").alias("node"), ((1.0 - F.col(f"{c}_frac")) * F.col(f"{c}_len")).alias("cost")))).alias("s")).select("pair_id", "s.*")
-    found = checkpoint(search(edges, seeds("o"), seeds("g")))
+    if places is None and "line" in edges.columns:
+        places = node_places(edges)
+    found = checkpoint(search(edges, seeds("o"), seeds("g"), places))
     reasons = found.select("pair_id", F.explode("avoided").alias("edge_id")).join(edges.select("edge_id", "why"), "edge_id").groupBy("pair_id").agg(F.slice(F.sort_array(F.collect_set("why")), 1, 5).alias("exclusion_examples"))
     ids = path_edges(found, edges.where("why is null"))
     none = F.array().cast("array<bigint>")

@@ -119,3 +119,47 @@ def test_unfinished_components_raise(spark):
     assert components(e).where("component = 0").count() == 41
     with pytest.raises(RuntimeError, match="not complete"):
         components(e, max_rounds=1)
+
+
+def test_time_and_rounds_do_not_follow_the_path(spark, monkeypatch):
+    """A state holds no path: one cell takes as long with a long way behind it, and pieces are put in order by jumps."""
+    import pandas as pd
+
+    n = routing.CELL_NODES
+    chain = pd.DataFrame({"u": range(n), "v": range(1, n + 1), "w": 1.0, "inside": True, "to": 0, "blocked": False, "edge_id": 0})
+    sizes = []
+    for behind in (1, 20_000):
+        front = pd.DataFrame({"pair_id": [1], "round": [0], "cell": [0], "limit": [float("inf")], "d": [float(behind)], "hops": [behind], "node": [0], "goal_nodes": [[n]], "goal_costs": [[0.0]]})
+        out = routing._explore(front, chain)
+        sizes.append(out.memory_usage(deep=True).sum())
+        assert out[out["kind"] == routing.GOAL]["d"].tolist() == [behind + n]
+    assert sizes[0] == sizes[1]
+    monkeypatch.setattr(routing, "CELL_NODES", 16)
+    e = spark.range(200).selectExpr("id AS u", "id + 1 AS v", "cast(1 AS double) AS length_m")
+    got = routing.shortest_paths(e, spark.createDataFrame([(1, 3, 198), (2, 150, 20)], "pair_id int, origin bigint, goal bigint")).collect()
+    assert {r["pair_id"]: r["path"] for r in got} == {1: list(range(3, 199)), 2: list(range(150, 19, -1))}
+    assert routing.distances(e, spark.createDataFrame([(1, 3, 198)], "pair_id int, origin bigint, goal bigint")).first()["distance"] == 195.0
+
+
+def test_cells_are_patches_along_the_curve(spark, monkeypatch):
+    side = 24
+    monkeypatch.setattr(routing, "CELL_NODES", 64)
+    node = lambda x, y: x * side + y
+    edges = [(node(x, y), node(x + a, y + b), 1.0 + (x * y) % 3) for x in range(side) for y in range(side) for a, b in ((0, 1), (1, 0)) if x + a < side and y + b < side]
+    e = spark.createDataFrame(edges, "u bigint, v bigint, length_m double")
+    places = spark.createDataFrame([(node(x, y), -100 + x / 100, 40 + y / 100) for x in range(side) for y in range(side)], "node bigint, lon double, lat double")
+    crossing = lambda p: routing._cells(e, p)[1].where("not inside").count()
+    assert crossing(places) < crossing(None)
+    pairs = spark.createDataFrame([(i, i * 37 % side**2, i * 101 % side**2) for i in range(12)], "pair_id int, origin bigint, goal bigint")
+    for p in (places, None):
+        for r in routing.shortest_paths(e, pairs, p).collect():
+            i = r["pair_id"]
+            assert (r["distance"], r["hops"], tuple(r["path"])) == dijkstra(edges, {i * 37 % side**2: 0.0}, {i * 101 % side**2: 0.0})
+
+
+def test_curve_interleaves(one):
+    from pyspark.sql import functions as F
+
+    for lon, lat in ((-180.0, -90.0), (180.0, 90.0), (0.0, 0.0), (-97.123, 31.77)):
+        x, y = (min(2**24 - 1, int((v + h) / (2 * h) * 2**24)) for v, h in ((lon, 180), (lat, 90)))
+        assert one(routing.curve(F.col("a"), F.col("b")), a=lon, b=lat) == sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(24))
