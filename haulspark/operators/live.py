@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulspark.functions.shapes import line_meets_box, polygon_meets_box
+
 
 def zones(props: Column) -> Column:
     """Zone codes of an alert from its JSON: the first that isn't empty of ``zones``, ``geocode.UGC`` and
@@ -23,3 +25,17 @@ def alerts_in_box(events: DataFrame, box: tuple[float, float, float, float], inc
     near = (F.col("xmin") <= x1) & (F.col("xmax") >= x0) & (F.col("ymin") <= y1) & (F.col("ymax") >= y0)
     wanted = F.coalesce(near, F.lit(include_nongeo))
     return events.where((F.col("kind") == "weather_alert") & F.col("soft_closed_at").isNull() & wanted)
+
+
+def events_in_box(events: DataFrame, box: tuple[float, float, float, float], include_nongeo: bool = False) -> DataFrame:
+    """Open events that touch the closed box themselves, not just by their extent.
+
+    An event has xmin, ymin, xmax, ymax, which the scan can use, and one of ``line`` (an array of points, of which a
+    single one is a point) and ``rings`` (a polygon's outside and holes), the other being null.  Events without any
+    geometry are left out unless ``include_nongeo``; one with an extent only counts by its extent.
+    """
+    x0, y0, x1, y1 = box
+    near = (F.col("xmin") <= x1) & (F.col("xmax") >= x0) & (F.col("ymin") <= y1) & (F.col("ymax") >= y0)
+    touches = F.when(F.col("rings").isNotNull(), polygon_meets_box(F.col("rings"), box)).when(F.col("line").isNotNull(), line_meets_box(F.col("line"), box)).otherwise(F.lit(True))
+    wanted = F.coalesce(near, F.lit(include_nongeo)) & (near.isNull() | touches)
+    return events.where(F.col("soft_closed_at").isNull() & wanted)

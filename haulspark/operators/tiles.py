@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulspark.functions.geo import mercator, tile_bounds, tile_of
+from haulspark.functions.shapes import let, point, steps, twice_area
+from haulspark.operators import polygons
 
 EXTENT = 4096
 
@@ -71,8 +73,9 @@ def _zigzag(n: int) -> int:
     return (n << 1) ^ (n >> 31)
 
 
-def _commands(parts: list[list[tuple[int, int]]]) -> bytes:
-    """A point, or lines: move to the first place of each part, then on to the others, each relative to the one before."""
+def _commands(parts: list[list[tuple[int, int]]], closed: bool = False) -> bytes:
+    """A point, lines or rings: move to the first place of each part, then on to the others, each relative to the one
+    before; rings are closed without naming their first place again."""
     out, x, y = b"", 0, 0
     for part in parts:
         for i, (px, py) in enumerate(part):
@@ -80,6 +83,8 @@ def _commands(parts: list[list[tuple[int, int]]]) -> bytes:
                 out += _varint(1 << 3 | 1) if not i else _varint((len(part) - 1) << 3 | 2)
             out += _varint(_zigzag(px - x)) + _varint(_zigzag(py - y))
             x, y = px, py
+        if closed:
+            out += _varint(1 << 3 | 7)
     return out
 
 
@@ -89,7 +94,7 @@ def encode_points(layer: str, rows: list[tuple[int, int, dict]]) -> bytes:
 
 
 def encode(layer: str, rows: list[tuple[list[list[tuple[int, int]]], dict]], kind: int) -> bytes:
-    """A tile of one layer of points (kind 1) or lines (kind 2): (parts, properties) in tile units."""
+    """A tile of one layer of points (kind 1), lines (2) or polygons (3): (parts, properties) in tile units."""
     keys: dict[str, int] = {}
     values: dict[tuple, int] = {}
     features = b""
@@ -98,7 +103,7 @@ def encode(layer: str, rows: list[tuple[list[list[tuple[int, int]]], dict]], kin
         for k, v in props.items():
             if v is not None:
                 tags += _varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault((type(v), v), len(values)))
-        features += _field(2, _field(2, tags) + _number(3, kind) + _field(4, _commands(parts)))
+        features += _field(2, _field(2, tags) + _number(3, kind) + _field(4, _commands(parts, kind == 3)))
     body = _number(15, 2) + _field(1, layer.encode()) + features + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _value(v)) for _, v in values) + _number(5, EXTENT)
     return _field(3, body)
 
@@ -123,8 +128,7 @@ def point_tiles(points: DataFrame, layer: Layer, z: int, properties: list[str],
         g = t.groupBy("x", "y", F.floor(F.col("px") / 64).alias("gx"), F.floor(F.col("py") / 64).alias("gy"))
         t = g.agg(F.avg("px").cast("int").alias("px"), F.avg("py").cast("int").alias("py"), F.count(F.lit(1)).alias("point_count"), F.min(id_col).alias(id_col)).drop("gx", "gy")
         properties = ["point_count"]
-    order = ([F.desc_nulls_last(layer.importance)] if layer.importance and layer.importance in t.columns else []) + [F.asc(id_col)]
-    t = _capped(t, order, id_col, layer.cap)
+    t = _capped(t, _order(t, layer, id_col), id_col, layer.cap)
     name, props = layer.name, list(properties)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -164,30 +168,94 @@ def clip(line: list[tuple[float, float]]) -> list[list[tuple[int, int]]]:
     return parts
 
 
-def line_tiles(lines: DataFrame, layer: Layer, z: int, properties: list[str], id_col: str) -> DataFrame:
-    """(x, y, n, tile) of every tile at a zoom level that a line meets, at most ``layer.cap`` lines each, the most
-    important first (nulls last), then by id.  Lines of fewer than two places are left out; none below min_zoom."""
+def line_parts(lines: DataFrame, z: int, keep: list[str]) -> DataFrame:
+    """(*keep, x, y, parts): what each line has within each tile of a level that it meets, and a margin, in tile units.
+
+    A line's pieces walk from tile to tile, one column of tiles after the other, so the rows follow its length and not
+    its extent.  ``parts`` has (i, sx, sy, ex, ey) for each piece, in order; what rounds to a single place is left out.
+    Rows that are equal in ``keep`` and line are one.
+    """
     half, side, last = 20037508.342789244, 2 * 20037508.342789244 / 2**z, 2**z - 1
-    rows = layer.rows(lines, properties).where((F.size("line") > 1) & F.lit(z >= layer.min_zoom))
-    spot = lambda p: F.struct(((mercator(p["lon"], p["lat"])["x"] + half) / side).alias("wx"), ((half - mercator(p["lon"], p["lat"])["y"]) / side).alias("wy"))
-    t = rows.select(*dict.fromkeys([id_col, *properties, *([layer.importance] if layer.importance in rows.columns else [])]), F.transform("line", spot).alias("w"))
-    span = lambda s, f: F.sequence(*[F.greatest(F.lit(0), F.least(F.lit(last), F.floor(v).cast("int"))) for v in (F.least(s["a"][f], s["b"][f]) - MARGIN, F.greatest(s["a"][f], s["b"][f]) + MARGIN)])
-    pieces = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b")))
-    boxes = F.transform(pieces, lambda s: F.flatten(F.transform(span(s, "wx"), lambda x: F.transform(span(s, "wy"), lambda y: F.struct(x.alias("x"), y.alias("y"))))))
-    t = t.withColumn("t", F.explode(F.array_distinct(F.flatten(boxes)))).select("*", "t.x", "t.y").drop("t")
-    order = ([F.desc_nulls_last(layer.importance)] if layer.importance in t.columns else []) + [F.asc(id_col)]
-    t = _capped(t, order, id_col, layer.cap)
-    name, props = layer.name, list(properties)
+    spot = lambda p: let(mercator(p["lon"], p["lat"]), lambda m: point((m["x"] + half) / side, (half - m["y"]) / side))
+    t = lines.where(F.size("line") > 1).select(*keep, F.xxhash64("line").alias("_line"), F.posexplode(steps(F.transform("line", spot))).alias("i", "s"))
+    ax, ay, dx, dy = F.col("s.a.lon"), F.col("s.a.lat"), F.col("s.b.lon") - F.col("s.a.lon"), F.col("s.b.lat") - F.col("s.a.lat")
+
+    def within(at, step, low, high):
+        """The stretch of a piece, from 0 to 1, in which one coordinate lies between two bounds: (t0, t1), t0 > t1 for none."""
+        a, b = (low - at) / F.when(step != 0, step), (high - at) / F.when(step != 0, step)
+        still = (at >= low) & (at <= high)
+        return F.coalesce(F.greatest(F.lit(0.0), F.least(a, b)), F.when(still, 0.0).otherwise(1.0)), F.coalesce(F.least(F.lit(1.0), F.greatest(a, b)), F.when(still, 1.0).otherwise(0.0))
+
+    tiles_of = lambda a, b: F.sequence(*[F.greatest(F.lit(0), F.least(F.lit(last), F.floor(v))).cast("int") for v in (F.least(a, b) - MARGIN, F.greatest(a, b) + MARGIN)])
+    t = t.withColumn("x", F.explode(tiles_of(ax, ax + dx)))
+    t0, t1 = within(ax, dx, F.col("x") - MARGIN, F.col("x") + 1 + MARGIN)
+    t = t.withColumn("t0", t0).withColumn("t1", t1).where("t0 <= t1").withColumn("y", F.explode(tiles_of(ay + F.col("t0") * dy, ay + F.col("t1") * dy)))
+    u0, u1 = within(ay, dy, F.col("y") - MARGIN, F.col("y") + 1 + MARGIN)
+    t = t.withColumn("t0", F.greatest("t0", u0)).withColumn("t1", F.least("t1", u1)).where("t0 <= t1")
+    unit = lambda at, step, tile, u: F.rint((at + F.col(u) * step - F.col(tile)) * EXTENT).cast("int")
+    t = t.select(*keep, "_line", "x", "y", "i", unit(ax, dx, "x", "t0").alias("sx"), unit(ay, dy, "y", "t0").alias("sy"), unit(ax, dx, "x", "t1").alias("ex"), unit(ay, dy, "y", "t1").alias("ey"))
+    t = t.where("sx <> ex or sy <> ey").groupBy(*keep, "_line", "x", "y")
+    return t.agg(F.array_sort(F.collect_set(F.struct("i", "sx", "sy", "ex", "ey"))).alias("parts")).drop("_line")
+
+
+def joined(parts) -> list[list[tuple[int, int]]]:
+    """Pieces in order, as lines that go on where a piece starts at the end of the one before."""
+    out: list[list[tuple[int, int]]] = []
+    for p in parts:
+        start, end = (p["sx"], p["sy"]), (p["ex"], p["ey"])
+        if out and out[-1][-1] == start:
+            out[-1].append(end)
+        else:
+            out.append([start, end])
+    return out
+
+
+def _order(t: DataFrame, layer: Layer, id_col: str) -> list[Column]:
+    return ([F.desc_nulls_last(layer.importance)] if layer.importance and layer.importance in t.columns else []) + [F.asc(id_col)]
+
+
+def line_tiles(lines: DataFrame, layer: Layer, z: int, properties: list[str], id_col: str) -> DataFrame:
+    """(x, y, n, tile, ids) of every tile at a zoom level that a line meets, at most ``layer.cap`` lines each, the most
+    important first (nulls last), then by id, which ``ids`` has in that order.  What doesn't meet a tile is cut away
+    before the cap counts.  Lines of fewer than two places are left out; there are no tiles below min_zoom."""
+    rows = layer.rows(lines, properties).where(F.lit(z >= layer.min_zoom))
+    t = line_parts(rows, z, list(dict.fromkeys([id_col, *properties, *([layer.importance] if layer.importance in rows.columns else [])])))
+    return _encoded(_capped(t, _order(t, layer, id_col), id_col, layer.cap), layer.name, properties, id_col, 2, joined)
+
+
+def _encoded(t: DataFrame, name: str, properties: list[str], id_col: str, kind: int, form) -> DataFrame:
+    props, ids = list(properties), dict(t.dtypes)[id_col]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, found = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0]), []
-        for r in pdf.sort_values("_n").to_dict("records"):
-            parts = clip([(p["wx"] - x, p["wy"] - y) for p in r["w"]])
-            if parts:
-                found.append((parts, {p: _plain(r[p]) for p in props}))
-        return pd.DataFrame({"x": [x], "y": [y], "n": [len(found)], "tile": [encode(name, found, 2)]})
-
-    return t.groupBy("x", "y").applyInPandas(one, "x int, y int, n int, tile binary").where("n > 0")
+        pdf = pdf.sort_values("_n")
+        found = [(form(r["parts"]), {p: _plain(r[p]) for p in props}) for r in pdf.to_dict("records")]
+        return pd.DataFrame({"x": [int(pdf["x"].iloc[0])], "y": [int(pdf["y"].iloc[0])], "n": [len(found)], "tile": [encode(name, found, kind)], "ids": [pdf[id_col].tolist()]})
+
+    return t.groupBy("x", "y").applyInPandas(one, f"x int, y int, n int, tile binary, ids array<{ids}>")
+
+
+def polygon_parts(polygons_: DataFrame, z: int, keep: list[str]) -> DataFrame:
+    """(*keep, x, y, parts): the rings of each polygon (``rings`` in degrees) within each tile of a level and a margin,
+    in tile units, without repeated places; the outside turns one way and holes the other.  What rounds to nothing is
+    left out."""
+    p = polygons.by_tile(polygons_.select(*keep, polygons.mercator_rings(F.col("rings")).alias("rings")), z, MARGIN / 2**z)
+    place = lambda p: F.struct(F.rint((p["lon"] * 2**z - F.col("x")) * EXTENT).cast("int").alias("x"), F.rint((p["lat"] * 2**z - F.col("y")) * EXTENT).cast("int").alias("y"))
+    apart = lambda r: let(r, lambda q: F.filter(q, lambda v, i: v != F.element_at(q, ((i + F.size(q) - 1) % F.size(q) + 1).cast("int"))))
+    area = lambda r: twice_area(F.transform(r, lambda v: point(v["x"].cast("double"), v["y"].cast("double"))))
+    sized = F.transform("rings", lambda r, i: let(apart(F.transform(r, place)), lambda q: F.struct(i.alias("i"), q.alias("r"), area(q).alias("a"))))
+    p = p.withColumn("rings", F.filter(sized, lambda r: r["a"] != 0)).where((F.size("rings") > 0) & (F.element_at("rings", 1)["i"] == 0))
+    turned = F.transform("rings", lambda r: F.when((r["a"] > 0) == (r["i"] == 0), r["r"]).otherwise(F.reverse(r["r"])))
+    units = F.transform("rings", lambda r: F.when(r["i"] == 0, F.abs(r["a"])).otherwise(-F.abs(r["a"])))
+    return p.select(*keep, "x", "y", turned.alias("parts"), (F.aggregate(units, F.lit(0.0), lambda t, v: t + v) / 2).alias("area"))
+
+
+def polygon_tiles(polygons_: DataFrame, layer: Layer, z: int, properties: list[str], id_col: str) -> DataFrame:
+    """(x, y, n, tile, ids) of every tile at a zoom level that a polygon meets, capped and in order as ``line_tiles``.
+    ``rings`` holds the outside and then holes, in degrees."""
+    rows = layer.rows(polygons_, properties).where(F.lit(z >= layer.min_zoom))
+    t = polygon_parts(rows, z, list(dict.fromkeys([id_col, *properties, *([layer.importance] if layer.importance in rows.columns else [])])))
+    rings = lambda parts: [[(v["x"], v["y"]) for v in r] for r in parts]
+    return _encoded(_capped(t, _order(t, layer, id_col), id_col, layer.cap), layer.name, properties, id_col, 3, rings)
 
 
 def in_tile(points: DataFrame, z: int, x: int, y: int) -> DataFrame:

@@ -169,13 +169,6 @@ def point_tiles(spark, sf):
     return tiles.point_tiles(carrier(spark, sf, "v_bridges"), tiles.Layer("bridges", cap=100, importance="clearance_in"), 5, ["nbi_id", "clearance_in"], "nbi_id").select("x", "y", "n")
 
 
-@query("line_tiles")
-def line_tiles(spark, sf):
-    """Tiles of the edges that are on the map; states of the edges are a column that this table lacks."""
-    layer = tiles.Layer("edges", cap=200, importance="edge_id", row_filter="edge_id % 7 <> 0", min_zoom=3)
-    return tiles.line_tiles(_graph_lines(spark, sf), layer, 6, ["edge_id", "state"], "edge_id").select("x", "y", "n", F.md5("tile").alias("digest"))
-
-
 @query("corridor_generalize", """
     WITH l AS (SELECT edge_id % 4 AS route FROM {v_edges} e JOIN {v_places} a ON a.place_id = e.u JOIN {v_places} b ON b.place_id = e.v)
     SELECT route, count(*) AS segments, 2 * count(*) AS points_before, true AS thinner FROM l GROUP BY route""")

@@ -4,11 +4,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from haulspark.plans import basic, domain, operations, roads
+from haulspark.plans import basic, domain, operations, roads, shapes
 from haulspark.plans.carriers import TABLES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = {**basic.QUERIES, **domain.QUERIES, **roads.QUERIES, **operations.QUERIES}, {**basic.SQL, **domain.SQL, **roads.SQL, **operations.SQL}
+PLANS = (basic, domain, operations, roads, shapes)
+QUERIES, SQL = ({k: v for p in PLANS for k, v in getattr(p, name).items()} for name in ("QUERIES", "SQL"))
 
 
 @pytest.fixture(scope="module")
