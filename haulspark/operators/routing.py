@@ -56,8 +56,9 @@ def node_places(edges: DataFrame) -> DataFrame:
     return edges.where(F.size("line") > 1).select(F.inline(ends)).groupBy("node").agg(F.min("p").alias("p")).select("node", "p.lon", "p.lat")
 
 
-def _cells(edges: DataFrame, places: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(node, cell) and (cell, u, v, w, edge_id, inside, to, blocked): both directions, the least free edge of two nodes.
+def _cells(edges: DataFrame, places: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
+    """(node, cell), (cell, u, v, w, edge_id, inside, to, blocked): both directions, the least free edge of two nodes,
+    and whether there is one cell only.
 
     Cells are stretches of the nodes along the curve; nodes without a place, or all if ``places`` is None, by number."""
     why = F.col("why").isNotNull() if "why" in edges.columns else F.lit(False)
@@ -71,7 +72,7 @@ def _cells(edges: DataFrame, places: DataFrame | None) -> tuple[DataFrame, DataF
     nodes = both.select(F.col("u").alias("node")).distinct()
     if nodes.count() <= CELL_NODES:
         zero = F.lit(0).cast("bigint")
-        return nodes.withColumn("cell", zero), both.select(zero.alias("cell"), "u", "v", "w", "edge_id", F.lit(True).alias("inside"), zero.alias("to"), "blocked")
+        return nodes.withColumn("cell", zero), both.select(zero.alias("cell"), "u", "v", "w", "edge_id", F.lit(True).alias("inside"), zero.alias("to"), "blocked"), True
     if places is not None:
         at = places.groupBy(F.col("node").cast("bigint").alias("node")).agg(F.min(curve(F.col("lon"), F.col("lat"))).alias("z"))
         nodes = nodes.join(at, "node", "left").withColumn("z", F.coalesce("z", F.lit(-1)))
@@ -80,7 +81,7 @@ def _cells(edges: DataFrame, places: DataFrame | None) -> tuple[DataFrame, DataF
     nodes = written(number(nodes, ["z", "node"], "n", 0).select("node", F.floor(F.col("n") / CELL_NODES).cast("bigint").alias("cell")))
     at = lambda end, name: nodes.select(F.col("node").alias(end), F.col("cell").alias(name))
     both = both.join(at("u", "cell"), "u").join(at("v", "to"), "v")
-    return nodes, written(both.select("cell", "u", "v", "w", "edge_id", (F.col("cell") == F.col("to")).alias("inside"), "to", "blocked"))
+    return nodes, written(both.select("cell", "u", "v", "w", "edge_id", (F.col("cell") == F.col("to")).alias("inside"), "to", "blocked")), False
 
 
 def _near(edges: pd.DataFrame) -> dict[int, list]:
@@ -143,52 +144,81 @@ def _explore(front: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["pair_id", "kind", "node", "cell", "d", "hops"])
 
 
-def _trace(front: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Paths of a few pairs within one cell, backwards from the goals in it or from links that leave it.
+def _back(done: dict, near: dict[int, list], offers: list[tuple[int, int, int, float]], dist: float, total: int):
+    """What follows each node that is on a shortest path, and its (hops, distance) to the goal, from offers of
+    (hops, node, next, distance), backwards within a cell.
 
     A node is on a shortest path if its distance and the rest add up to the pair's; of several nodes that may follow
-    it the smallest one does.  Each edge from outside to such a node is a record with the piece of path from there."""
+    it the smallest one does."""
+    slack = abs(dist) * ROUNDING
+    heapq.heapify(offers)
+    after: dict[int, int] = {}
+    rest: dict[int, tuple[int, float]] = {}
+    while offers:
+        hops, node, follow, d = heapq.heappop(offers)
+        label = done.get(node)
+        if node in after or label is None or label[1] + hops != total or label[0] + d > dist + slack:
+            continue
+        after[node], rest[node] = follow, (hops, d)
+        if label[1]:
+            for v, w, inside, _, blocked, _ in near.get(node, ()):
+                if inside and not blocked:
+                    heapq.heappush(offers, (hops + 1, v, node, d + w))
+    return after, rest
+
+
+def _piece(node: int, after: dict[int, int]) -> tuple[list[int], int]:
+    """The nodes from here to the last one in this cell, and the node behind it, or -1."""
+    nodes = [node]
+    while after[nodes[-1]] in after:
+        nodes.append(after[nodes[-1]])
+    return nodes, after[nodes[-1]]
+
+
+def _trace(front: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Paths of a few pairs within one cell, backwards from the goals in it or from links that leave it.  Each edge
+    from outside to a node on a shortest path is a record with the piece of path from there."""
     near, out = _near(edges), []
     for pair, rows in front.groupby("pair_id", sort=False):
         dist, total = float(rows["dist"].iloc[0]), int(rows["total"].iloc[0])
-        slack = abs(dist) * ROUNDING
-        done, *_ = _settle(_seeds(rows[rows["kind"] == STATE]), near, dist + slack, {})
+        limit = dist + abs(dist) * ROUNDING
+        done, *_ = _settle(_seeds(rows[rows["kind"] == STATE]), near, limit, {})
         links = rows[rows["kind"] == LINK]
         offers = list(zip(links["hops"].tolist(), links["node"].tolist(), links["next"].tolist(), links["d"].tolist(), strict=True))
         offers += [(0, n, -1, c) for n, c in _goals(rows).items() if n in done]
-        heapq.heapify(offers)
-        after: dict[int, int] = {}
-        rest: dict[int, tuple[int, float]] = {}
-        while offers:
-            hops, node, follow, d = heapq.heappop(offers)
-            label = done.get(node)
-            if node in after or label is None or label[1] + hops != total or label[0] + d > dist + slack:
-                continue
-            after[node], rest[node] = follow, (hops, d)
-            if label[1]:
-                for v, w, inside, _, blocked, _ in near.get(node, ()):
-                    if inside and not blocked:
-                        heapq.heappush(offers, (hops + 1, v, node, d + w))
-
-        def piece(node, after=after):
-            """The nodes from here to the last one in this cell, and the node behind it, if any."""
-            nodes = [node]
-            while after[nodes[-1]] in after:
-                nodes.append(after[nodes[-1]])
-            return nodes, after[nodes[-1]]
-
+        after, rest = _back(done, near, offers, dist, total)
         for node, (hops, d) in rest.items():
             if not done[node][1]:
-                nodes, to = piece(node)
+                nodes, to = _piece(node, after)
                 out.append((pair, BEGIN, -1, node, 0.0, 0, -1, nodes, nodes[-1], to))
             else:
                 for v, w, inside, cell, blocked, _ in near.get(node, ()):
-                    if not inside and not blocked and hops < total and d + w <= dist + slack:
-                        nodes, to = piece(node)
+                    if not inside and not blocked and hops < total and d + w <= limit:
+                        nodes, to = _piece(node, after)
                         out.append((pair, LINK, v, node, d + w, hops + 1, cell, nodes, nodes[-1], to))
     return pd.DataFrame(out, columns=["pair_id", "kind", "node", "next", "d", "hops", "cell", "piece", "out_from", "out_to"])
 
 
+def _at_once(front: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Search and paths of a few pairs where the graph is one cell."""
+    near, out = _near(edges), []
+    for row in front.to_dict("records"):
+        goals: dict[int, float] = {}
+        for n, c in zip(row["goal_nodes"], row["goal_costs"], strict=True):
+            goals[int(n)] = min(float(c), goals.get(int(n), float("inf")))
+        seeds = [(float(c), 0, int(n)) for n, c in zip(row["start_nodes"], row["start_costs"], strict=True) if n in near]
+        if not seeds:
+            continue
+        done, _, avoided, met = _settle(seeds, near, float("inf"), goals)
+        dist, total = min(met.values(), default=(None, None))
+        path = None
+        if met and row["with_path"]:
+            after, rest = _back(done, near, [(0, n, -1, c) for n, c in goals.items() if n in done], dist, total)
+            path = _piece(min(n for n in rest if not done[n][1]), after)[0]
+        out.append((row["pair_id"], dist, total, path, len(done), sorted(avoided)))
+    return pd.DataFrame(out, columns=["pair_id", "distance", "hops", "path", "explored", "avoided"]).astype({"hops": "Int32"})
+
+
 def _asked(links: DataFrame, front: DataFrame) -> DataFrame:
     """The edges of the cells that pairs are searched in, for each bucket of pairs."""
     asked = front.select(F.col("cell").alias("own"), F.col("bucket").alias("part")).distinct()
@@ -256,12 +286,17 @@ def search(edges: DataFrame, starts: DataFrame, goals: DataFrame, places: DataFr
     smaller one.  Nodes that no edge has and null ends begin nothing.  ``places`` (node, lon, lat) shapes the cells;
     it changes how fast a search is, not what it finds.  Without ``with_paths`` path is null.
     """
-    nodes, links = _cells(edges, places)
+    nodes, links, one = _cells(edges, places)
     kind = dict(starts.dtypes)["pair_id"]
     ends = goals.where("node is not null").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct(F.col("node").cast("bigint").alias("node"), F.col("cost").cast("double").alias("cost")))).alias("g"))
     pairs = written(ends.select("pair_id", F.col("g.node").alias("goal_nodes"), F.col("g.cost").alias("goal_costs")))
     buckets = max(1, -(-pairs.count() // PAIRS))
     pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("pair_id"), F.lit(buckets)))
+    if one:
+        begin = starts.where("node is not null").groupBy("pair_id").agg(F.collect_list(F.struct(F.col("node").cast("bigint").alias("node"), F.col("cost").cast("double").alias("cost"))).alias("s"))
+        front = begin.select("pair_id", F.col("s.node").alias("start_nodes"), F.col("s.cost").alias("start_costs"), F.lit(with_paths).alias("with_path")).join(pairs, "pair_id")
+        ways = links.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+        return front.groupBy("bucket").cogroup(ways.groupBy("bucket")).applyInPandas(_at_once, f"pair_id {kind}, distance double, hops int, path array<bigint>, explored bigint, avoided array<bigint>")
     first = starts.select("pair_id", F.col("node").cast("bigint").alias("node"), F.col("cost").cast("double").alias("d")).join(nodes, "node").join(pairs.select("pair_id"), "pair_id", "left_semi")
     first = first.select("pair_id", F.lit(STATE).alias("kind"), "node", "cell", "d", F.lit(0).alias("hops"))
     state, keys, round_ = F.struct("d", "hops"), ["pair_id", "kind", "node", "cell"], 0
