@@ -10,6 +10,7 @@ import struct
 from collections import defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from haulspark.functions.geo import mercator, tile_bounds, tile_of
 from haulspark.functions.shapes import let, point, steps, twice_area
 from haulspark.operators import polygons
+from haulspark.operators.chains import corridor_lines
 
 EXTENT = 4096
 
@@ -297,41 +299,38 @@ def merge_lines(lines: list[list[tuple[float, float]]]) -> list[list[tuple[float
     return out
 
 
-def simplify(line: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """Douglas-Peucker; the ends stay, and a closed line keeps a third point."""
+def simplify(line: list[tuple[float, float]], tolerance: float, circle: bool = True, places: bool = False) -> list:
+    """Douglas-Peucker; the ends stay, and a closed line keeps a third point, if ``circle``.  With ``places`` the
+    numbers of the points that stay."""
     keep, stack = {0, len(line) - 1}, [(0, len(line) - 1)]
-    if line[0] == line[-1] and len(line) > 3:
+    if circle and line[0] == line[-1] and len(line) > 3:
         far = max(range(1, len(line) - 1), key=lambda i: (line[i][0] - line[0][0]) ** 2 + (line[i][1] - line[0][1]) ** 2)
         keep.add(far)
         stack = [(0, far), (far, len(line) - 1)]
+    x, y = np.array(line, float).T
     while stack:
         a, b = stack.pop()
-        (x0, y0), (x1, y1) = line[a], line[b]
-        size = ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
-        best, at = tolerance, 0
-        for i in range(a + 1, b):
-            x, y = line[i]
-            d = abs((x1 - x0) * (y0 - y) - (x0 - x) * (y1 - y0)) / size if size else ((x - x0) ** 2 + (y - y0) ** 2) ** 0.5
-            if d > best:
-                best, at = d, i
-        if at:
-            keep.add(at)
-            stack += [(a, at), (at, b)]
-    return [line[i] for i in sorted(keep)]
+        if b - a < 2:
+            continue
+        dx, dy, px, py = x[b] - x[a], y[b] - y[a], x[a + 1 : b], y[a + 1 : b]
+        size = np.sqrt(dx * dx + dy * dy)
+        away = np.abs(dx * (y[a] - py) - (x[a] - px) * dy) / size if size else np.sqrt((px - x[a]) ** 2 + (py - y[a]) ** 2)
+        at = int(away.argmax())
+        if away[at] > tolerance:
+            keep.add(a + 1 + at)
+            stack += [(a, a + 1 + at), (a + 1 + at, b)]
+    return sorted(keep) if places else [line[i] for i in sorted(keep)]
 
 
 def generalize(segments: DataFrame, keys: list[str], tolerance_deg: float = 0.002) -> DataFrame:
-    """One row per corridor: keys, segments, points_before, points_after and lines, merged end to end and simplified."""
-    kinds = dict(segments.dtypes)
-    cols = ", ".join(f"{k} {kinds[k]}" for k in keys)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        def pts(line):
-            return [(p["lon"], p["lat"]) for p in line]
-
-        lines = [pts(line) for line in pdf.sort_values("edge_id")["line"] if len(line) > 1]
-        merged = [simplify(m, tolerance_deg) for m in merge_lines(lines)]
-        row = {k: [pdf[k].iloc[0]] for k in keys} | {"segments": [len(pdf)], "points_before": [sum(map(len, lines))], "points_after": [sum(map(len, merged))]}
-        return pd.DataFrame(row | {"lines": [[[{"lon": x, "lat": y} for x, y in m] for m in merged]]})
-
-    return segments.select(*keys, "edge_id", "line").groupBy(*keys).applyInPandas(one, f"{cols}, segments int, points_before int, points_after int, lines array<array<struct<lon:double,lat:double>>>")
+    """One row per corridor: keys, segments, points_before, points_after and lines, merged end to end and simplified
+    without new crossings; lines are in the order of their least edges.  A segment of fewer than two points only counts."""
+    before = segments.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("segments"), F.sum(F.when(F.size("line") > 1, F.size("line")).otherwise(0)).cast("int").alias("points_before"))
+    merged = corridor_lines(segments, keys, tolerance_deg)
+    after = merged.groupBy(*keys).agg(F.sum(F.size("line")).cast("int").alias("points_after"), F.sort_array(F.collect_list(F.struct("chain", "line"))).alias("l"))
+    none = F.array().cast("array<array<struct<lon:double,lat:double>>>")
+    same = F.lit(True)
+    left, right = before.alias("b"), after.alias("a")
+    for k in keys:
+        same = same & F.col(f"b.{k}").eqNullSafe(F.col(f"a.{k}"))
+    return left.join(right, same, "left").select(*[F.col(f"b.{k}").alias(k) for k in keys], "segments", "points_before", F.coalesce("points_after", F.lit(0)).alias("points_after"), F.coalesce(F.col("l.line"), none).alias("lines"))

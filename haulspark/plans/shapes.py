@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulspark.operators import live, polygons, tiles
+from haulspark.operators import chains, live, polygons, tiles
 from haulspark.plans.carriers import carrier, oracle
 from haulspark.plans.domain import _graph_lines, now
 
@@ -131,3 +131,22 @@ def polygon_tiles(spark, sf):
     """Squares around all bridges, each with a square hole, by tile: how many, and their area in tile units."""
     squares = carrier(spark, sf, "v_bridges").select("nbi_id", F.array(_square(0.5), _square(0.2)).alias("rings"))
     return tiles.polygon_parts(squares, 6, ["nbi_id"]).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
+
+
+# ---- corridors ---------------------------------------------------------------------------------------------
+
+
+@query("corridor_chains", """
+    WITH RECURSIVE l AS (SELECT edge_id % 4 AS route, edge_id, a.lon AS x0, a.lat AS y0, b.lon AS x1, b.lat AS y1 FROM {v_edges} e JOIN {v_places} a ON a.place_id = e.u JOIN {v_places} b ON b.place_id = e.v),
+    ends AS (SELECT route, edge_id, 0 AS side, x0 AS x, y0 AS y FROM l UNION ALL SELECT route, edge_id, 1, x1, y1 FROM l),
+    two AS (SELECT route, x, y FROM ends GROUP BY route, x, y HAVING count(*) = 2 AND min(edge_id) <> max(edge_id)),
+    links AS (SELECT a.route, a.edge_id AS edge, 1 - a.side AS way, b.edge_id AS after, b.side AS after_way FROM two t JOIN ends a ON a.route = t.route AND a.x = t.x AND a.y = t.y JOIN ends b ON b.route = t.route AND b.x = t.x AND b.y = t.y AND b.edge_id <> a.edge_id),
+    darts AS (SELECT route, edge_id AS edge, w AS way FROM l, (SELECT unnest([0, 1]) AS w)),
+    walk(route, s_edge, s_way, edge, way, pos) AS (SELECT d.route, d.edge, d.way, d.edge, d.way, 0 FROM darts d WHERE NOT EXISTS (SELECT 1 FROM links k WHERE k.route = d.route AND k.after = d.edge AND k.after_way = d.way)
+      UNION ALL SELECT w.route, s_edge, s_way, k.after, k.after_way, pos + 1 FROM walk w JOIN links k ON k.route = w.route AND k.edge = w.edge AND k.way = w.way)
+    SELECT route, min(edge) AS chain, count(*) AS lines, string_agg(CAST(edge AS VARCHAR), ',' ORDER BY pos) AS edges FROM walk GROUP BY route, s_edge, s_way HAVING min_by(way, edge) = 0""")
+def corridor_chains(spark, sf):
+    """The lines of four corridors joined end to end, in order."""
+    lines = _graph_lines(spark, sf).withColumn("route", F.col("edge_id") % 4)
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "edge_id"))), lambda s: s["edge_id"].cast("string")), ",").alias("edges")
+    return chains.chains(lines, ["route"]).groupBy("route", "chain").agg(F.count(F.lit(1)).alias("lines"), listed)
