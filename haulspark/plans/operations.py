@@ -13,7 +13,7 @@ from haulspark.plans.carriers import carrier, oracle, table
 from haulspark.plans.domain import NOW, _pairs, now
 from haulspark.plans.roads import ALONG, _path
 from haulspark.sources import feeds
-from haulspark.streaming import tracking
+from haulspark.streaming import devices, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -319,3 +319,14 @@ def redacted(spark, sf):
 def inferred_brand(spark, sf):
     category = F.when(F.col("p_size") > 25, "fuel").otherwise("other")
     return table(spark, sf, "part").select("p_partkey", text.inferred_brand(F.col("p_name"), F.col("p_brand"), category, ["fuel"], ["brand11", "brand23"], ["green"]).alias("def"))
+
+
+@query("ping_spacing", """
+    WITH RECURSIVE p AS (SELECT ping_id, device_id, observed_at, row_number() OVER (PARTITION BY device_id ORDER BY observed_at, ping_id) AS n FROM {v_pings}),
+    nxt AS (SELECT a.device_id, a.n, min(b.n) AS m FROM p a JOIN p b ON a.device_id = b.device_id AND b.observed_at >= a.observed_at + INTERVAL 2 DAYS GROUP BY a.device_id, a.n),
+    ok(device_id, n) AS (SELECT DISTINCT device_id, CAST(1 AS BIGINT) FROM p UNION ALL SELECT nxt.device_id, nxt.m FROM ok JOIN nxt ON nxt.device_id = ok.device_id AND nxt.n = ok.n)
+    SELECT ping_id, ok.n IS NULL AS rate_limited FROM p LEFT JOIN ok ON ok.device_id = p.device_id AND ok.n = p.n""")
+def ping_spacing(spark, sf):
+    """Which pings come within two days of the last one of their device that was let in."""
+    p = carrier(spark, sf, "v_pings").withColumn("received_at", F.col("observed_at"))
+    return devices.spaced(p, 2 * 86_400).select("ping_id", "rate_limited")
