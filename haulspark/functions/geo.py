@@ -29,7 +29,7 @@ def spheroid_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column
     a, f = 6_378_137.0, 1 / 298.257223563
     b1, b2 = (F.atan((1 - f) * F.tan(F.radians(x))) for x in (lat1, lat2))
     h = F.pow(F.sin((b2 - b1) / 2), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    s = 2 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    s = 2 * F.asin(F.sqrt(F.when(h.isNotNull(), F.least(F.lit(1.0), h))))
     p, q = (b1 + b2) / 2, (b2 - b1) / 2
     x = (s - F.sin(s)) * F.pow(F.sin(p) * F.cos(q) / F.cos(s / 2), 2)
     y = (s + F.sin(s)) * F.pow(F.cos(p) * F.sin(q) / F.sin(s / 2), 2)

@@ -1,6 +1,6 @@
 """Distance joins and nearest neighbours by grid cells.
 
-A condition on distances alone would be planned as a nested loop.  Here the plane is cut into cells at least as large
+A condition on distances alone would be planned as a nested loop.  Here the globe is cut into cells at least as large
 as the radius, the smaller side is copied to the 3x3 cells around it, and an equality join on cells feeds an exact
 filter, so the join shuffles by cell, splits under adaptive skew handling and never compares far pairs.
 """
@@ -12,42 +12,72 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulspark.functions.geo import haversine_m, segments
+from haulspark.functions.geo import haversine_m, segments, spheroid_m
 from haulspark.session import checkpoint
 
 #: Below the sphere's metres per degree, so that a cell is never too small.
 METRES_PER_DEGREE = 110_000.0
 #: More than half the way around: every pair is within it.
 GLOBE_M = 2.1e7
+#: Distances on the spheroid differ by less than this share from those on the sphere.
+FLATTER = 0.006
 #: Lines are measured by straight pieces of so many degrees at most.
 PIECE_DEG = 0.25
 
 
-def _cell_size(radius_m: float, max_abs_lat: float) -> tuple[float, float]:
-    high = radius_m / METRES_PER_DEGREE
-    wide = high / max(0.01, math.cos(math.radians(min(89.0, max_abs_lat + high))))
-    return wide, high
+class Grid:
+    """Cells on the sphere that are nowhere smaller than a radius: bands of latitude, each cut into as many equal parts
+    as its poleward side allows, so that there are fewer towards the poles and one on them.  Parts are counted around
+    the globe, so the last one lies beside the first."""
 
+    def __init__(self, radius_m: float):
+        self.high = min(180.0, radius_m / METRES_PER_DEGREE)
 
-def _cells(lon: Column, lat: Column, size: tuple[float, float]) -> tuple[Column, Column]:
-    return F.floor(lon / size[0]).cast("bigint"), F.floor(lat / size[1]).cast("bigint")
+    def band(self, lat: Column) -> Column:
+        return F.floor((lat + 90.0) / self.high).cast("bigint")
 
+    def parts(self, band: Column) -> Column:
+        """How many parts a band has: two places within the radius of which one is in the band are no farther apart
+        than one part."""
+        far = F.greatest(F.abs(band * self.high - 90.0), F.abs((band + 1) * self.high - 90.0)) + self.high
+        reach = F.sin(F.radians(F.lit(self.high / 2))) / F.cos(F.radians(F.least(far, F.lit(89.999999))))
+        return F.when((far >= 89.999999) | (reach >= 1), 1).otherwise(F.greatest(F.lit(1), F.floor(180.0 / F.degrees(F.asin(F.least(reach, F.lit(1.0)))))).cast("bigint")).cast("bigint")
 
-def dwithin(left: DataFrame, right: DataFrame, radius_m: float, left_pt=("lon", "lat"), right_pt=("lon", "lat"), max_abs_lat: float = 72.0) -> DataFrame:
+    def part(self, band: Column, lon: Column) -> Column:
+        return F.floor((lon + 180.0) / 360.0 * self.parts(band)).cast("bigint")
+
+    def cell(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        """(cx, cy) of a place."""
+        return F.pmod(self.part(self.band(lat), lon), self.parts(self.band(lat))), self.band(lat)
+
+    def around(self, lon0: Column, lon1: Column, lat0: Column, lat1: Column) -> Column:
+        """The cells, as an array of (cx, cy), that places within the radius of a box may be in; a box may go on beyond
+        180 degrees."""
+        bands = F.sequence(self.band(lat0) - 1, self.band(lat1) + 1)
+        inside = F.filter(bands, lambda b: ((b + 1) * self.high > 0) & (b * self.high <= 180.0))
+        # no cell twice, and all parts of a band once where the box is as wide as the band
+        row = lambda b: F.transform(F.sequence(self.part(b, lon0) - 1, F.least(self.part(b, lon1) + 1, self.part(b, lon0) + self.parts(b) - 2)), lambda x: F.struct(F.pmod(x, self.parts(b)).alias("cx"), b.alias("cy")))
+        every = lambda b: F.when(self.parts(b) < 3, F.transform(F.sequence(F.lit(0).cast("bigint"), self.parts(b) - 1), lambda x: F.struct(x.alias("cx"), b.alias("cy")))).otherwise(row(b))
+        return F.flatten(F.transform(inside, every))
+
+
+def dwithin(left: DataFrame, right: DataFrame, radius_m: float, left_pt=("lon", "lat"), right_pt=("lon", "lat"), spheroid: bool = False) -> DataFrame:
     """Pairs of left and right rows at most ``radius_m`` apart, with ``dist_m``; ``right`` is the side that is copied.
 
-    Columns of both sides are kept in the structs ``l`` and ``r``.  Rows without coordinates match nothing; latitudes
-    beyond ``max_abs_lat`` may miss pairs.  No pair comes twice; pairs across the 180th meridian don't come
-    unless the cells span it.
+    Columns of both sides are kept in the structs ``l`` and ``r``.  Rows without coordinates match nothing.  No pair
+    comes twice, and none is lost at the poles or across the 180th meridian.  Distances are great circles, or with
+    ``spheroid`` those on the spheroid, which differ by less than FLATTER from the sphere's.
     """
-    size = _cell_size(radius_m, max_abs_lat)
-    lx, ly = _cells(F.col(left_pt[0]), F.col(left_pt[1]), size)
-    a = left.where(F.col(left_pt[0]).isNotNull() & F.col(left_pt[1]).isNotNull()).select(F.struct(*left.columns).alias("l"), lx.alias("cx"), ly.alias("cy"))
-    rx, ry = _cells(F.col(right_pt[0]), F.col(right_pt[1]), size)
-    near = F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((rx + i % 3 - 1).alias("cx"), (ry + F.floor(i / 3) - 1).alias("cy"))))
-    b = right.where(F.col(right_pt[0]).isNotNull() & F.col(right_pt[1]).isNotNull()).select(F.struct(*right.columns).alias("r"), near.alias("c")).select("r", "c.cx", "c.cy")
-    d = haversine_m(F.col(f"l.{left_pt[0]}"), F.col(f"l.{left_pt[1]}"), F.col(f"r.{right_pt[0]}"), F.col(f"r.{right_pt[1]}"))
-    return a.join(b, ["cx", "cy"]).withColumn("dist_m", d).where(F.col("dist_m") <= radius_m).select("l", "r", "dist_m")
+    grid = Grid(radius_m * (1 + FLATTER) if spheroid else radius_m)
+    cx, cy = grid.cell(F.col(left_pt[0]), F.col(left_pt[1]))
+    a = left.where(F.col(left_pt[0]).isNotNull() & F.col(left_pt[1]).isNotNull()).select(F.struct(*left.columns).alias("l"), cx.alias("cx"), cy.alias("cy"))
+    x, y = F.col(right_pt[0]), F.col(right_pt[1])
+    b = right.where(x.isNotNull() & y.isNotNull()).select(F.struct(*right.columns).alias("r"), F.explode(grid.around(x, x, y, y)).alias("c")).select("r", "c.cx", "c.cy")
+    ends = (F.col(f"l.{left_pt[0]}"), F.col(f"l.{left_pt[1]}"), F.col(f"r.{right_pt[0]}"), F.col(f"r.{right_pt[1]}"))
+    near = a.join(b, ["cx", "cy"])
+    if spheroid:
+        near = near.where(haversine_m(*ends) <= radius_m * (1 + FLATTER))
+    return near.withColumn("dist_m", (spheroid_m if spheroid else haversine_m)(*ends)).where(F.col("dist_m") <= radius_m).select("l", "r", "dist_m")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, radius_m: float, left_id: str, right_id: str, **points) -> DataFrame:
@@ -57,11 +87,11 @@ def nearest_within(left: DataFrame, right: DataFrame, radius_m: float, left_id:
     return pairs.groupBy(F.col(f"l.{left_id}").alias(left_id)).agg(best).select(left_id, F.col("b.r").alias("r"), F.col("b.dist_m").alias("dist_m"))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, start_m: float | None = None, grow: float = 3.0, max_abs_lat: float = 72.0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, start_m: float | None = None, grow: float = 3.0, spheroid: bool = False) -> DataFrame:
     """The ``k`` nearest right rows of every left row, without a radius: (left_id, rank, right_id, dist_m).
 
-    Rings grow until each left row has ``k`` within the radius already searched, which makes the answer exact, but for
-    pairs across the 180th meridian.  The last ring spans the globe; only rows that far from all others reach it.
+    Rings grow until each left row has ``k`` within the radius already searched, which makes the answer exact, on
+    the spheroid too.  The last ring spans the globe; only rows that far from all others reach it.
     The first ring (``start_m``) holds some ``4 * k`` rows where the right side is as dense as on the whole.
     """
     spark, out = left.sparkSession, None
@@ -75,7 +105,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: i
         kinds = dict(left.dtypes)[left_id], dict(right.dtypes)[right_id]
         return spark.createDataFrame([], f"{left_id} {kinds[0]}, rank int, {right_id} {kinds[1]}, dist_m double")
     while True:
-        pairs = dwithin(todo, right, radius, max_abs_lat=max_abs_lat)
+        pairs = dwithin(todo, right, radius, spheroid=spheroid)
         flat = pairs.select(F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id), "dist_m")
         w = Window.partitionBy(left_id).orderBy("dist_m", right_id)
         top = checkpoint(flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(left_id, "rank", right_id, "dist_m"))
@@ -88,11 +118,17 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: i
         radius = min(GLOBE_M, radius * grow)
 
 
+def _turn(degrees: Column) -> Column:
+    """A difference of longitudes, the short way around."""
+    return F.when(F.abs(degrees) > 180.0, degrees - 360.0 * F.rint(degrees / 360.0)).otherwise(degrees)
+
+
 def line_pieces(lines: DataFrame, line_id: str) -> DataFrame:
-    """(line_id, ax, ay, bx, by): lines in straight pieces of at most PIECE_DEG; a line of one point is one piece."""
+    """(line_id, ax, ay, bx, by): lines in straight pieces of at most PIECE_DEG, the short way around the globe; a line
+    of one point is one piece.  Pieces may go on beyond 180 degrees."""
     line = F.filter("line", lambda p: p["lon"].isNotNull() & p["lat"].isNotNull())
     s = lines.select(line_id, line.alias("line")).select(line_id, F.explode(segments(F.when(F.size("line") == 1, F.concat("line", "line")).otherwise(F.col("line")))).alias("s"))
-    dx, dy = F.col("s.b.lon") - F.col("s.a.lon"), F.col("s.b.lat") - F.col("s.a.lat")
+    dx, dy = _turn(F.col("s.b.lon") - F.col("s.a.lon")), F.col("s.b.lat") - F.col("s.a.lat")
     n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / PIECE_DEG)).cast("int")
     s = s.select(line_id, F.col("s.a").alias("_a"), dx.alias("_dx"), dy.alias("_dy"), n.alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("_i"))
     x, y = (lambda j, p=p, d=d: F.col(f"_a.{p}") + F.col(d) * j / F.col("_n") for p, d in (("lon", "_dx"), ("lat", "_dy")))
@@ -100,19 +136,18 @@ def line_pieces(lines: DataFrame, line_id: str) -> DataFrame:
     return s.select(line_id, x(i).alias("ax"), y(i).alias("ay"), x(i + 1).alias("bx"), y(i + 1).alias("by"))
 
 
-def lines_within(points: DataFrame, pieces: DataFrame, radius_m: float, point_id: str, line_id: str, max_abs_lat: float = 72.0) -> DataFrame:
+def lines_within(points: DataFrame, pieces: DataFrame, radius_m: float, point_id: str, line_id: str) -> DataFrame:
     """(point_id, line_id, dist_m): every line of ``pieces`` (of line_pieces) within the radius of a point, once.
 
-    Pieces are dealt to the cells that their boxes touch, points to the 3x3 cells around them.
+    Points are in one cell each, pieces are copied to the cells around their boxes.
     """
-    size = _cell_size(radius_m, max_abs_lat)
-    px, py = _cells(F.col("lon"), F.col("lat"), size)
-    around = F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((px + i % 3 - 1).alias("cx"), (py + F.floor(i / 3) - 1).alias("cy"))))
-    p = points.where("lon is not null and lat is not null").select(point_id, "lon", "lat", around.alias("c")).select(point_id, "lon", "lat", "c.cx", "c.cy")
-    low, high = _cells(F.least("ax", "bx"), F.least("ay", "by"), size), _cells(F.greatest("ax", "bx"), F.greatest("ay", "by"), size)
-    dealt = pieces.withColumn("cx", F.explode(F.sequence(low[0], high[0]))).withColumn("cy", F.explode(F.sequence(low[1], high[1])))
+    grid = Grid(radius_m)
+    cx, cy = grid.cell(F.col("lon"), F.col("lat"))
+    p = points.where("lon is not null and lat is not null").select(point_id, "lon", "lat", cx.alias("cx"), cy.alias("cy"))
+    around = grid.around(F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by"))
+    dealt = pieces.withColumn("c", F.explode(around)).select(*pieces.columns, "c.cx", "c.cy")
     k = F.cos(F.radians("lat"))  # degrees of longitude shrink with the latitude
-    ux, uy, dx, dy = (F.col("ax") - F.col("lon")) * k, F.col("ay") - F.col("lat"), (F.col("bx") - F.col("ax")) * k, F.col("by") - F.col("ay")
+    ux, uy, dx, dy = _turn(F.col("ax") - F.col("lon")) * k, F.col("ay") - F.col("lat"), (F.col("bx") - F.col("ax")) * k, F.col("by") - F.col("ay")
     t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ux * dx + uy * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
     d = haversine_m(F.col("lon"), F.col("lat"), F.col("ax") + t * (F.col("bx") - F.col("ax")), F.col("ay") + t * (F.col("by") - F.col("ay")))
     near = p.join(dealt, ["cx", "cy"]).withColumn("dist_m", d).where(F.col("dist_m") <= radius_m)

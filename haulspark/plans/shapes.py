@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulspark.operators import chains, live, polygons, tiles
+from haulspark.operators import chains, live, polygons, spatial, tiles
 from haulspark.plans.carriers import carrier, oracle
-from haulspark.plans.domain import _graph_lines, now
+from haulspark.plans.domain import HAV, _graph_lines, now
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,3 +150,44 @@ def corridor_chains(spark, sf):
     lines = _graph_lines(spark, sf).withColumn("route", F.col("edge_id") % 4)
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "edge_id"))), lambda s: s["edge_id"].cast("string")), ",").alias("edges")
     return chains.chains(lines, ["route"]).groupBy("route", "chain").agg(F.count(F.lit(1)).alias("lines"), listed)
+
+
+# ---- the whole globe -------------------------------------------------------------------------------------
+
+
+def _globe(k: str, a: int, b: int) -> str:
+    """Places all over the globe, many of them at the 180th meridian and at the poles; for Spark and DuckDB alike."""
+    lon = f"CAST(CASE {k} % 5 WHEN 0 THEN 17990 + ({k} * {a}) % 20 WHEN 1 THEN ({k} * {a}) % 20 - 18000 ELSE ({k} * {a}) % 36000 - 18000 END AS DOUBLE) / CAST(100 AS DOUBLE)"
+    lat = f"CAST(CASE {k} % 3 WHEN 0 THEN 8500 + ({k} * {b}) % 500 ELSE ({k} * {b}) % 18000 - 9000 END AS DOUBLE) / CAST(100 AS DOUBLE)"
+    return f"{lon} AS lon, {lat} AS lat"
+
+
+PLACES, BRIDGES = _globe("place_id", 7919, 104729), _globe("nbi_id", 7907, 104717)
+
+
+def _on_globe(spark, sf):
+    places, bridges = carrier(spark, sf, "v_places"), carrier(spark, sf, "v_bridges")
+    return places.selectExpr("place_id", *_columns(PLACES)), bridges.selectExpr("nbi_id", *_columns(BRIDGES))
+
+
+def _columns(text: str) -> list[str]:
+    lon, lat = text.split(" AS lon, ")
+    return [f"{lon} AS lon", lat]
+
+
+GLOBE = f"FROM (SELECT place_id, {PLACES} FROM {{v_places}}) a JOIN (SELECT nbi_id, {BRIDGES} FROM {{v_bridges}}) b ON " + HAV.format(a="a", b="b")
+
+
+@query("globe_within", "SELECT a.place_id, b.nbi_id, round(" + HAV.format(a="a", b="b") + f", 1) AS dist_m {GLOBE} <= 150000")
+def globe_within(spark, sf):
+    """Pairs within 150 km all over the globe, also across the 180th meridian and at the poles."""
+    a, b = _on_globe(spark, sf)
+    return spatial.dwithin(a, b, 150_000.0).select("l.place_id", "r.nbi_id", F.round("dist_m", 1).alias("dist_m"))
+
+
+@query("globe_nearest", "SELECT place_id, rank, nbi_id, dist_m FROM (SELECT a.place_id, b.nbi_id, round(d, 1) AS dist_m, CAST(row_number() OVER (PARTITION BY a.place_id ORDER BY d, b.nbi_id) AS INTEGER) AS rank FROM (SELECT place_id, "
+       + PLACES + " FROM {v_places}) a JOIN LATERAL (SELECT nbi_id, " + HAV.format(a="a", b="b") + " AS d FROM (SELECT nbi_id, " + BRIDGES + " FROM {v_bridges}) b) b ON true) t WHERE rank <= 2")
+def globe_nearest(spark, sf):
+    """The two bridges nearest to every place, however far."""
+    a, b = _on_globe(spark, sf)
+    return spatial.nearest(a, b, "place_id", "nbi_id", 2).select("place_id", "rank", "nbi_id", F.round("dist_m", 1).alias("dist_m"))
