@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -152,6 +153,22 @@ def upsert_prices(spark, sf):
     return sinks.upsert(p, new, ["region", "week_of"])
 
 
+@query("merge_buckets", """
+    SELECT nbi_id, brand, CASE WHEN nbi_id < 60 THEN size + 100 ELSE size END AS size FROM {v_bridges} WHERE nbi_id % 97 <> 5 OR nbi_id >= 400
+    UNION ALL SELECT nbi_id + 10000000, brand, size FROM {v_bridges} WHERE nbi_id < 20""")
+def merge_buckets(spark, sf):
+    """A table of buckets after a merge of changed, new and removed rows."""
+    from haulspark.session import checkpoint_dir
+    from haulspark.sinks import buckets
+
+    b = carrier(spark, sf, "v_bridges").select("nbi_id", "brand", "size")
+    path = f"{checkpoint_dir(spark)}/buckets-{uuid.uuid4().hex}"
+    buckets.create(b, path, ["nbi_id"], 16)
+    changed = b.where("nbi_id < 60").withColumn("size", F.col("size") + 100).unionByName(b.where("nbi_id < 20").withColumn("nbi_id", F.col("nbi_id") + 10_000_000))
+    buckets.merge(changed, path, gone=b.where("nbi_id % 97 = 5 and nbi_id < 400"))
+    return buckets.read(spark, path)
+
+
 @query("replace_groups", "SELECT nbi_id, brand, size FROM {v_bridges} WHERE brand NOT IN ('Brand#1', 'Brand#2') UNION ALL SELECT nbi_id, brand, size + 1 FROM {v_bridges} WHERE brand = 'Brand#1'")
 def replace_groups(spark, sf):
     old = carrier(spark, sf, "v_bridges").select("nbi_id", "brand", "size")

@@ -62,8 +62,15 @@ def _point(spark: SparkSession, table: str, text: str) -> None:
         raise RefusedLoad(f"another writer published {name}")
 
 
-def snapshot_swap(df: DataFrame, table: str, min_rows: int = 1) -> str:
-    """Writes a new version below ``table`` and points to it; refuses fewer than ``min_rows`` rows.
+def last_batch(spark: SparkSession, table: str, stream: str) -> int:
+    """The last batch of a stream that the live version holds, or -1."""
+    names = _pointers(spark, table)
+    return json.loads(_read_text(spark, f"{table}/{names[-1]}")).get("batches", {}).get(stream, -1) if names else -1
+
+
+def snapshot_swap(df: DataFrame, table: str, min_rows: int = 1, batches: dict[str, int] | None = None) -> str:
+    """Writes a new version below ``table`` and points to it; refuses fewer than ``min_rows`` rows.  ``batches`` notes
+    the last batch of streams, beside what the version before has noted.
 
     The version is written and counted before the pointer moves, so a failure leaves the live version as it was.
     """
@@ -75,7 +82,9 @@ def snapshot_swap(df: DataFrame, table: str, min_rows: int = 1) -> str:
         fs, p, _ = _fs(spark, f"{table}/{version}")
         fs.delete(p, True)
         raise RefusedLoad(f"{n} rows, {min_rows} are the least")
-    _point(spark, table, json.dumps({"version": version, "rows": n}))
+    names = _pointers(spark, table)
+    noted = json.loads(_read_text(spark, f"{table}/{names[-1]}")).get("batches", {}) if names else {}
+    _point(spark, table, json.dumps({"version": version, "rows": n, "batches": noted | (batches or {})}))
     return version
 
 

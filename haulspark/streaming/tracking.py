@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulspark.sinks.tables import current, event_lifecycle, snapshot_swap
+from haulspark.sinks.tables import current, event_lifecycle, last_batch, snapshot_swap
 
 
 def ping_reason(now: Column, lon: Column | None = None, lat: Column | None = None, speed: Column | None = None, observed_at: Column | None = None) -> Column:
@@ -66,15 +66,18 @@ def rejects(judged: DataFrame) -> DataFrame:
     return judged.where("_counts and refused is not null").groupBy("device_id").agg(F.count(F.lit(1)).alias("rejects"))
 
 
-def lifecycle_sink(table: str, now: Callable[[int], Column]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: folds each micro-batch of polled events into a snapshot table.
+def lifecycle_sink(table: str, now: Callable[[int], Column], stream: str = "polls") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: folds each micro-batch of polled events into a snapshot table, once: a batch that comes
+    again after a failure publishes nothing.  A query that begins with a new checkpoint takes a new ``stream`` name.
 
     A batch has source_id, event_id and payload; a row with a null event_id stands for a poll that found nothing.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if last_batch(spark, table, stream) >= batch_id:
+            return
         polled, seen = batch.select("source_id").distinct(), batch.where("event_id is not null")
-        snapshot_swap(event_lifecycle(current(spark, table), seen, now(batch_id), sources=polled), table, min_rows=0)
+        snapshot_swap(event_lifecycle(current(spark, table), seen, now(batch_id), sources=polled), table, min_rows=0, batches={stream: batch_id})
 
     return write
