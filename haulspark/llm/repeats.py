@@ -29,7 +29,7 @@ from haulspark.session import written
 #: Bytes of a string that must start twice.
 LENGTH = 400
 #: Bytes of text that are hashed at once, unless a document is longer.
-CHUNK = 1 << 20
+CHUNK = 256 << 10
 #: Bytes of contexts in a pack, and different contexts of one gram that may share one.
 PACK_BYTES, HOT = 1 << 20, 1000
 SPAN = "key binary, lo bigint, hi bigint"
@@ -313,10 +313,13 @@ def _windows(cuts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(d: DataFrame, length: int = LENGTH, hot: int = HOT, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """(key, lo, hi): spans of repeated windows, which may overlap, of (key, doc_id, text) rows."""
     c = written(_contexts(d, length))
-    kinds = written(c.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one")))
-    whole = c.join(kinds.where(F.col("n") > 1).select("context"), "context", "left_semi").select("key", "lo", "hi")
+    kinds = written(c.groupBy("gram", "context").agg(F.count("*").alias("n")))
     grams = kinds.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > 1)
-    chosen = kinds.join(grams, "gram").select("gram", "one.key", "one.lo", "one.hi", (F.col("m") > hot).alias("hot"))
+    told = kinds.join(grams, "gram", "left").where((F.col("n") > 1) | F.col("m").isNotNull()).select("context", "n", "m")
+    found = written(c.join(told, "context"))  # what repeats as a whole or in part
+    whole = found.where(F.col("n") > 1).select("key", "lo", "hi")
+    one = found.where(F.col("m").isNotNull()).groupBy("context").agg(F.min(F.struct("key", "lo", "hi", "gram", "m")).alias("one"))
+    chosen = one.select("one.key", "one.lo", "one.hi", "one.gram", (F.col("one.m") > hot).alias("hot"))
     cuts = written(_cut_out(d, chosen))
     packed = _packs(cuts.where(~F.col("hot")), length, pack_bytes)
     w = _windows(cuts.where("hot"), length)
