@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulspark.functions import geo, text
-from haulspark.operators import conflate, corridor, live, ops, shops, viewer
+from haulspark.operators import conflate, corridor, fulltext, live, ops, shops, viewer
 from haulspark.plans.carriers import carrier, oracle, table
 from haulspark.plans.domain import NOW, _pairs, now
 from haulspark.plans.roads import ALONG, _path
@@ -330,3 +330,22 @@ def ping_spacing(spark, sf):
     """Which pings come within two days of the last one of their device that was let in."""
     p = carrier(spark, sf, "v_pings").withColumn("received_at", F.col("observed_at"))
     return devices.spaced(p, 2 * 86_400).select("ping_id", "rate_limited")
+
+
+WORDS = "string_split(regexp_replace(lower(name || ' ' || brand), '[^a-z0-9]+', ' ', 'g'), ' ')"
+
+
+@query("stem_index", f"""
+    WITH w AS (SELECT nbi_id, unnest({WORDS}) AS w, unnest(range(1, len({WORDS}) + 1)) AS pos FROM {{v_bridges}})
+    SELECT nbi_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS places FROM w WHERE w IN ('bolt', 'bolts', 'bolted', 'bolting') GROUP BY nbi_id""")
+def stem_index(spark, sf):
+    """Where the names and brands have forms of one word."""
+    at = fulltext.index(carrier(spark, sf, "v_bridges"), "nbi_id", ("name", "brand")).where(F.col("stem").isin(fulltext.asked(spark, "bolting")))
+    return at.select("nbi_id", F.array_join("positions", ",").alias("places"))
+
+
+@query("stemmed_search", f"SELECT nbi_id FROM {{v_bridges}} WHERE list_has_all({WORDS}, ['bolt', 'brand'])")
+def stemmed_search(spark, sf):
+    """Rows that have the stems of a query in other forms than the table, through the index."""
+    at = fulltext.index(carrier(spark, sf, "v_bridges"), "nbi_id", ("name", "brand"))
+    return fulltext.having_all(at, "some bolting, and the brands", "nbi_id")
