@@ -13,7 +13,8 @@ from haulspark.functions.units import clearance_in
 from haulspark.operators.components import components
 from haulspark.operators.numbering import number
 from haulspark.operators.routing import shortest_paths
-from haulspark.operators.spatial import dwithin, line_pieces, lines_within
+from haulspark.operators.spatial import dwithin, line_pieces, nearest_lines
+from haulspark.session import written
 
 
 @dataclass(frozen=True)
@@ -146,10 +147,11 @@ def snap_candidates(points: DataFrame, edges: DataFrame, point_id: str = "point_
 
     ``edges`` has edge_id, line and component.
     """
-    near = lines_within(points, line_pieces(edges, "edge_id"), max_access_m, point_id, "edge_id").withColumnRenamed("dist_m", "access_m")
-    near = near.join(edges.select("edge_id", "component"), "edge_id")
-    order = Window.partitionBy(point_id).orderBy("access_m", "edge_id")
-    pool = near.withColumn("_n", F.row_number().over(order)).where((F.col("_n") <= k) | (F.col("component") == mainland))
+    pieces = written(line_pieces(edges, "edge_id"))
+    ids = edges.select("edge_id", "component")
+    main = pieces.join(ids.where(F.col("component") == mainland).select("edge_id"), "edge_id", "left_semi")
+    near = nearest_lines(points, pieces, point_id, "edge_id", k, max_access_m).unionByName(nearest_lines(points, main, point_id, "edge_id", 1, max_access_m))
+    pool = near.distinct().withColumnRenamed("dist_m", "access_m").join(ids, "edge_id")
     best = pool.groupBy(point_id, "component").agg(F.min(F.struct("access_m", "edge_id")).alias("b")).select(point_id, "component", "b.edge_id", "b.access_m")
     placed = best.join(edges.select("edge_id", "line"), "edge_id").join(points.select(point_id, "lon", "lat"), point_id)
     return placed.select(point_id, "component", "edge_id", "access_m", locate(F.col("line"), F.col("lon"), F.col("lat")).alias("frac"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulspark.functions.geo import haversine_m, segments, spheroid_m
+from haulspark.functions.shapes import let
 from haulspark.session import checkpoint
 
 #: Below the sphere's metres per degree, so that a cell is never too small.
@@ -40,25 +41,30 @@ class Grid:
         """How many parts a band has: two places within the radius of which one is in the band are no farther apart
         than one part."""
         far = F.greatest(F.abs(band * self.high - 90.0), F.abs((band + 1) * self.high - 90.0)) + self.high
-        reach = F.sin(F.radians(F.lit(self.high / 2))) / F.cos(F.radians(F.least(far, F.lit(89.999999))))
-        return F.when((far >= 89.999999) | (reach >= 1), 1).otherwise(F.greatest(F.lit(1), F.floor(180.0 / F.degrees(F.asin(F.least(reach, F.lit(1.0)))))).cast("bigint")).cast("bigint")
-
-    def part(self, band: Column, lon: Column) -> Column:
-        return F.floor((lon + 180.0) / 360.0 * self.parts(band)).cast("bigint")
+        reach = lambda f: F.sin(F.radians(F.lit(self.high / 2))) / F.cos(F.radians(F.least(f, F.lit(89.999999))))
+        count = lambda f, r: F.when((f >= 89.999999) | (r >= 1), 1).otherwise(F.greatest(F.lit(1), F.floor(180.0 / F.degrees(F.asin(F.least(r, F.lit(1.0)))))).cast("bigint")).cast("bigint")
+        return let(far, lambda f: let(reach(f), lambda r: count(f, r)))
 
     def cell(self, lon: Column, lat: Column) -> tuple[Column, Column]:
         """(cx, cy) of a place."""
-        return F.pmod(self.part(self.band(lat), lon), self.parts(self.band(lat))), self.band(lat)
+        band = self.band(lat)
+        return let(self.parts(band), lambda n: F.pmod(self._part(lon, n), n)), band
+
+    def _part(self, lon: Column, n: Column) -> Column:
+        return F.floor((lon + 180.0) / 360.0 * n).cast("bigint")
 
     def around(self, lon0: Column, lon1: Column, lat0: Column, lat1: Column) -> Column:
         """The cells, as an array of (cx, cy), that places within the radius of a box may be in; a box may go on beyond
         180 degrees."""
-        bands = F.sequence(self.band(lat0) - 1, self.band(lat1) + 1)
-        inside = F.filter(bands, lambda b: ((b + 1) * self.high > 0) & (b * self.high <= 180.0))
-        # no cell twice, and all parts of a band once where the box is as wide as the band
-        row = lambda b: F.transform(F.sequence(self.part(b, lon0) - 1, F.least(self.part(b, lon1) + 1, self.part(b, lon0) + self.parts(b) - 2)), lambda x: F.struct(F.pmod(x, self.parts(b)).alias("cx"), b.alias("cy")))
-        every = lambda b: F.when(self.parts(b) < 3, F.transform(F.sequence(F.lit(0).cast("bigint"), self.parts(b) - 1), lambda x: F.struct(x.alias("cx"), b.alias("cy")))).otherwise(row(b))
-        return F.flatten(F.transform(inside, every))
+
+        def row(b: Column, n: Column) -> Column:
+            # no cell twice, and all parts of a band once where the box is as wide as the band
+            some = let(self._part(lon0, n), lambda p: F.sequence(p - 1, F.least(self._part(lon1, n) + 1, p + n - 2)))
+            every = F.when(n < 3, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(some)
+            return F.transform(every, lambda x: F.struct(F.pmod(x, n).alias("cx"), b.alias("cy")))
+
+        bands = F.filter(F.sequence(self.band(lat0) - 1, self.band(lat1) + 1), lambda b: ((b + 1) * self.high > 0) & (b * self.high <= 180.0))
+        return F.flatten(F.transform(bands, lambda b: let(self.parts(b), lambda n: row(b, n))))
 
 
 def dwithin(left: DataFrame, right: DataFrame, radius_m: float, left_pt=("lon", "lat"), right_pt=("lon", "lat"), spheroid: bool = False) -> DataFrame:
@@ -171,6 +177,28 @@ def nearest_line(points: DataFrame, lines: DataFrame, point_id: str, line_id: st
         radius = min(GLOBE_M, radius * grow)
 
 
+def nearest_lines(points: DataFrame, pieces: DataFrame, point_id: str, line_id: str, k: int, max_m: float, start_m: float = 5_000.0, grow: float = 5.0) -> DataFrame:
+    """(point_id, line_id, dist_m): the ``k`` nearest lines of every point, none beyond ``max_m``; ties to the smaller id.
+
+    ``pieces`` is of line_pieces and should be a written table.  Rings grow, and a point that has ``k`` lines within a
+    ring goes no farther, so where lines are dense only the small ring's pairs are rows.
+    """
+    order, radius, out = Window.partitionBy(point_id).orderBy("dist_m", line_id), min(start_m, max_m), None
+    todo = checkpoint(points.where("lon is not null and lat is not null").select(point_id, "lon", "lat"))
+    while True:
+        found = checkpoint(lines_within(todo, pieces, radius, point_id, line_id).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k))
+        full = found.where(F.col("_n") == k).select(point_id)
+        last = radius >= max_m
+        top = (found if last else found.join(full, point_id, "left_semi")).select(point_id, line_id, "dist_m")
+        out = top if out is None else out.unionByName(top)
+        if last:
+            return out
+        todo = checkpoint(todo.join(full, point_id, "left_anti"))
+        if todo.isEmpty():
+            return out
+        radius = min(max_m, radius * grow)
+
+
 def density_grid(points: DataFrame, cell_deg: float) -> DataFrame:
     """Cells of a grid with the count and centroid of their points; counts sum to the rows with coordinates."""
     from haulspark.functions.geo import grid_cell

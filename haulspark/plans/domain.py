@@ -770,7 +770,20 @@ def price_region_chain(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), price_region(state, ["US", "PADD1", "PADD3", "PADD5", "CA"]).alias("region"))
 
 
-@query("station_state")
+#: The edges in straight pieces of a quarter of a degree, and how far a place is from each, in DuckDB.
+PIECES = """l AS (SELECT edge_id, e.u, a.lon AS x0, a.lat AS y0, b.lon - a.lon AS dx, b.lat - a.lat AS dy, greatest(1, ceil(greatest(abs(b.lon - a.lon), abs(b.lat - a.lat)) / 0.25::DOUBLE)) AS n FROM {v_edges} e JOIN {v_places} a ON a.place_id = e.u JOIN {v_places} b ON b.place_id = e.v),
+    pieces AS (SELECT edge_id, x0 + dx * i / n AS ax, y0 + dy * i / n AS ay, x0 + dx * (i + 1) / n AS bx, y0 + dy * (i + 1) / n AS cy FROM (SELECT *, unnest(range(0, CAST(n AS BIGINT))) AS i FROM l))"""
+SHARE = "coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, -((ax - lon) * cos(radians(lat)) * (bx - ax) * cos(radians(lat)) + (ay - lat) * (cy - ay)) / nullif(pow((bx - ax) * cos(radians(lat)), 2) + pow(cy - ay, 2), 0.0::DOUBLE))), 0.0::DOUBLE)"
+FROM_PIECE = "2*6371008.8::DOUBLE*asin(sqrt(pow(sin(radians(ay + t * (cy - ay) - lat)/2),2)+cos(radians(lat))*cos(radians(ay + t * (cy - ay)))*pow(sin(radians(ax + t * (bx - ax) - lon)/2),2)))"
+
+
+@query("station_state", f"""
+    WITH {PIECES}, s AS (SELECT nbi_id, lon, lat FROM {{v_bridges}} WHERE nbi_id % 3 = 2 OR (nbi_id % 3 = 1 AND posting IS NULL)),
+    d AS (SELECT nbi_id, edge_id, {FROM_PIECE} AS d FROM (SELECT *, {SHARE} AS t FROM s, pieces)),
+    m AS (SELECT nbi_id, min(d) AS d FROM d GROUP BY nbi_id), w AS (SELECT d.nbi_id, min(edge_id) AS edge_id FROM d JOIN m ON m.nbi_id = d.nbi_id AND d.d = m.d GROUP BY d.nbi_id)
+    SELECT b.nbi_id, CASE WHEN b.nbi_id % 3 = 0 THEN 'TX' WHEN b.nbi_id % 3 = 1 AND posting IS NOT NULL THEN posting ELSE p.state END AS state,
+      CASE WHEN b.nbi_id % 3 = 0 THEN 'osm' WHEN b.nbi_id % 3 = 1 AND posting IS NOT NULL THEN 'overture' WHEN p.state IS NOT NULL THEN 'nearest truck route' END AS state_source
+    FROM {{v_bridges}} b LEFT JOIN w ON w.nbi_id = b.nbi_id LEFT JOIN l ON l.edge_id = w.edge_id LEFT JOIN {{v_places}} p ON p.place_id = l.u""")
 def station_state(spark, sf):
     """The state that a source names, else that of the nearest edge (of its first node)."""
     b, k = carrier(spark, sf, "v_bridges"), F.col("nbi_id")
@@ -783,7 +796,13 @@ def station_state(spark, sf):
     return s.select("nbi_id", F.coalesce("own", "place", "near").alias("state"), src.alias("state_source"))
 
 
-@query("snap_candidates")
+@query("snap_candidates", f"""
+    WITH RECURSIVE {PIECES}, g AS (SELECT u AS a, v AS b FROM {{v_edges}} UNION SELECT v, u FROM {{v_edges}}), r(a, b) AS (SELECT a, a FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
+    c AS (SELECT a AS node, min(b) AS root FROM r GROUP BY a), k AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) AS component FROM c GROUP BY root),
+    d AS (SELECT nbi_id, lon, lat, edge_id, min(d) AS access_m FROM (SELECT nbi_id, lon, lat, edge_id, {FROM_PIECE} AS d FROM (SELECT *, {SHARE} AS t FROM (SELECT nbi_id, lon, lat FROM {{v_bridges}}) s JOIN pieces ON least(ax, bx) - 0.6 < lon AND greatest(ax, bx) + 0.6 > lon AND least(ay, cy) - 0.3 < lat AND greatest(ay, cy) + 0.3 > lat)) x WHERE d <= 25000 GROUP BY nbi_id, lon, lat, edge_id),
+    n AS (SELECT d.*, k.component, x0, y0, dx, dy, row_number() OVER (PARTITION BY nbi_id ORDER BY access_m, d.edge_id) AS n FROM d JOIN l ON l.edge_id = d.edge_id JOIN c ON c.node = l.u JOIN k ON k.root = c.root),
+    o AS (SELECT *, row_number() OVER (PARTITION BY nbi_id, component ORDER BY access_m, edge_id) AS q FROM n WHERE n <= 60 OR component = 1)
+    SELECT nbi_id, component, edge_id, round(access_m, 1) AS access_m, round(coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((lon - x0) * dx + (lat - y0) * dy) / nullif(dx * dx + dy * dy, 0.0::DOUBLE))), 0.0::DOUBLE), 6) AS frac FROM o WHERE q = 1""")
 def snap_candidates(spark, sf):
     parts = graph.ranked_components(carrier(spark, sf, "v_edges")).select(F.col("node_id").alias("u"), "component")
     lines = _graph_lines(spark, sf).join(carrier(spark, sf, "v_edges").select("edge_id", "u").join(parts, "u").select("edge_id", "component"), "edge_id")
