@@ -193,10 +193,12 @@ def verified_share(spark, sf):
     return carrier(spark, sf, "v_bridges").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") > 25).alias("fresh"), F.round(F.avg(F.when(F.col("clearance_in").isNotNull(), 1.0).otherwise(0.0)), 9).alias("share"))
 
 
-@query("org_names", "SELECT unnest(['overture', 'microsoft', 'meta', 'microsoft', 'somefeed']) AS org, unnest([1, 2, 3, 4, 5]) AS i")
+@query("org_names", "SELECT nbi_id, CASE nbi_id % 5 WHEN 0 THEN 'overture' WHEN 1 THEN 'microsoft' WHEN 2 THEN 'meta' WHEN 3 THEN 'microsoft' ELSE lower(brand) END AS org FROM {v_bridges}")
 def org_names(spark, sf):
-    feeds = spark.createDataFrame([(1, "Overture-signals"), (2, "MSFT"), (3, " Facebook"), (4, "bing maps"), (5, "SomeFeed")], "i int, f string")
-    return feeds.select(score.organisation(F.col("f")).alias("org"), "i")
+    """The organisation behind each row's feed, which is named in several ways."""
+    k = F.col("nbi_id") % 5
+    feed = F.when(k == 0, "Overture-signals").when(k == 1, "MSFT").when(k == 2, " Facebook").when(k == 3, "bing maps").otherwise(F.col("brand"))
+    return carrier(spark, sf, "v_bridges").select("nbi_id", score.organisation(feed).alias("org"))
 
 
 @query("cadence_contradictions", """
