@@ -31,7 +31,7 @@ class WordEncoder:
     The vocabulary normalizes, lower-cases and splits without looking across white space, and splits letters from
     signs, so the ids of a text are those of its words and of the signs after them, in order.  Each distinct word
     is encoded once and kept (bounded by ``keep`` tokens); texts with control characters that only Python takes for
-    white space are encoded as a whole.
+    white space, or with strings of special tokens, are encoded as a whole.
     """
 
     def __init__(self, path: str, keep: int = 500_000):
@@ -39,7 +39,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Strings of special tokens, which the library finds in the text as it stands, before it is lower-cased.
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.I)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 65536 else "<u4")
         self.known: dict[str, bytes] = {}
         self.keep = keep
@@ -57,6 +59,8 @@ class WordEncoder:
         """A text's words, if its ids are theirs in order; lower-cased and with signs apart where that changes nothing."""
         if not text:
             return []
+        if self.special.search(text):
+            return None
         if ODD_LETTER.search(text) or not self.direct or BESIDE_A_SIGN.search(text):
             return None if ODD_SPACE.search(text) else text.split()
         text = text.lower()

@@ -63,7 +63,6 @@ def test_run_equals_brute_force(spark):
         first[c] = min(i, first.get(c, i))
     rows = [r for r, c in zip(rows, classes, strict=True) if r[0] == first[c]]
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in got} == {i for i, _, _ in rows}
     number = {i: n for n, (i, _, _) in enumerate(rows)}

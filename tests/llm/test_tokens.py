@@ -32,7 +32,6 @@ def whole():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -44,6 +43,11 @@ def test_word_encoder_equals_the_library(whole):
     texts = [*TEXTS, *("".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(400))]
     for text, ids in zip(texts, enc.encode(texts), strict=True):
         assert np.frombuffer(ids, enc.width).tolist() == whole(text), repr(text[:80])
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "a", "B.", " ", "\n", "É", ",", "<|end", "oftext|>"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 8))) for _ in range(30_000)]
+    for text, ids in zip(texts, WordEncoder(WORDS).encode(texts), strict=True):
+        assert np.frombuffer(ids, enc.width).tolist() == whole(text), repr(text)
+    assert whole("a <|endoftext|> b")[1] == 49407
 
 
 def test_records_round_trip(spark, tmp_path, whole):
