@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 
 from haulspark.llm.common import map_batches, narrow, prepare
 
-#: Elements whose content is never text of the page.
-SKIP = frozenset("script style noscript template svg math head title iframe object embed canvas audio video select textarea button option datalist map".split())
+#: Elements whose content is never text of the page: scripts, styles, graphics, forms, sources of formulas, and what
+#: stands in for a player that is there.
+SKIP = frozenset("script style noscript template svg annotation annotation-xml head title iframe object embed canvas audio video select textarea button option datalist map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption "
@@ -59,7 +60,8 @@ def parse(page: str) -> Node:
     wrongly nested tags are taken as browsers take them, as far as blocks are concerned."""
     root = Node("html", None)
     here, at, n, link = root, 0, len(page), 0
-    inside: Counter = Counter()  # open elements by tag
+    stack: list[Node] = []  # open elements
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # their places in the stack, by tag
     unclosed: set[str] = set()  # elements that are skipped and have no end tag from here on
     last = page.rfind(">")
     find = TAG
@@ -70,6 +72,14 @@ def parse(page: str) -> Node:
             here.total += len(s)
             here.links += len(s) * (link > 0)
 
+    def close_from(place: int) -> Node:
+        while len(stack) > place:
+            opened[stack.pop().tag].pop()
+        return stack[-1] if stack else root
+
+    def nearest(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened[t]), default=-1)
+
     while at < n:
         m = find.search(page, at) if at <= last else None
         if find is TAG and (m is None or OPENING.search(page, at, m.start())):  # a tag without an end was passed over
@@ -91,12 +101,8 @@ def parse(page: str) -> Node:
                 link = max(0, link - 1)
             elif tag == "br":
                 text(" ")
-            elif inside[tag]:
-                while here.tag != tag:
-                    inside[here.tag] -= 1
-                    here = here.parent
-                inside[tag] -= 1
-                here, link = here.parent, 0
+            elif opened[tag]:
+                here, link = close_from(opened[tag][-1]), 0
             continue
         if tag in SKIP and tag not in VOID:
             if tag not in unclosed:
@@ -119,16 +125,10 @@ def parse(page: str) -> Node:
         if tag in VOID or tag not in BLOCKS:
             continue
         shut, bounds = CLOSED_BY.get(tag, ((), ()))
-        up = here if any(inside[t] for t in shut) else root
-        while up.parent and up.tag not in bounds and up.tag not in shut:
-            up = up.parent
-        if up.parent and up.tag in shut:
-            while here is not up.parent:
-                inside[here.tag] -= 1
-                here = here.parent
+        if (place := nearest(shut)) > nearest(bounds):
+            here = close_from(place)
         if here.parent and (here.tag == "p" or here.tag[0] == "h" and len(here.tag) == 2 and tag[0] == "h" and len(tag) == 2):
-            inside[here.tag] -= 1
-            here = here.parent
+            here = close_from(len(stack) - 1)
         hints, hidden = [], False
         if m[3]:
             for a in ATTR.finditer(m[3]):
@@ -143,7 +143,8 @@ def parse(page: str) -> Node:
         child = Node(tag, here, frozenset(hints), hidden)
         here.children.append(child)
         here.texts.append(child)
-        inside[tag] += 1
+        opened[tag].append(len(stack))
+        stack.append(child)
         here, link = child, 0
     return root
 

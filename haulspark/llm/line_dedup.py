@@ -36,7 +36,7 @@ def dedup_lines(pages: DataFrame, host_col: str = "source", text_col: str = "tex
     """
     names = pages.columns
     own = lambda n: next(x for x in (n, *(f"{n}_{i}" for i in range(len(names) + 1))) if x.lower() not in {y.lower() for y in names})
-    key, bad, lines = "_key", "_bad", "_lines"
+    key, bad, lines, cuts = "_key", "_bad", "_lines", "_cuts"
     text_at, host_at = f"c{place(pages, text_col)}", f"c{place(pages, host_col)}"
     pages = numbered(pages)
     text = F.coalesce(F.col(text_at), F.lit(""))
@@ -50,13 +50,18 @@ def dedup_lines(pages: DataFrame, host_col: str = "source", text_col: str = "tex
     counts = counts.where(F.col("n") >= min_pages)
     boiler = counts.join(totals, counts.host.eqNullSafe(totals.host)).where(F.col("n") > F.lit(float(max_ratio)) * F.col("pages")).select(counts.host.alias("bh"), "m")
 
-    each = pages.select(host.alias("host"), page_key.alias("k"), text.alias("text")).select("host", "k", F.explode(marks).alias("m"))
-    drop = each.join(boiler, each.host.eqNullSafe(boiler.bh) & (each.m == boiler.m)).groupBy("k").agg(F.collect_set(each.m).alias(bad))  # at most a page's lines
+    at = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(_bare(x).alias("x"), i.alias("i"))), lambda s: s["x"] != "")
+    each = pages.select(host.alias("host"), page_key.alias("k"), text.alias("text")).select("host", "k", F.explode(at).alias("s"))
+    each = each.select("host", "k", _mark(F.col("s.x")).alias("m"), F.col("s.i").alias("i"))
+    drop = each.join(boiler, each.host.eqNullSafe(boiler.bh) & (each.m == boiler.m)).groupBy("k").agg(F.sort_array(F.collect_set("i")).alias(bad))  # at most a page's lines
     joined = pages.withColumn(key, page_key).join(drop.withColumnRenamed("k", key), key, "left")
-    clean = F.filter(F.split(text, "\n"), lambda x: (_bare(x) == "") | ~F.array_contains(F.col(bad), _mark(_bare(x))))
-    joined = joined.withColumn(lines, F.when(F.col(bad).isNotNull(), clean))  # most pages lose nothing and are not taken apart
+    # what stays are the stretches between the places of dropped lines; most pages lose nothing and are not taken apart
+    joined = joined.withColumn(lines, F.when(F.col(bad).isNotNull(), F.split(text, "\n")))
+    joined = joined.withColumn(cuts, F.concat(F.array(F.lit(-1)), bad, F.array(F.size(lines))))
+    stretches = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: F.slice(lines, F.element_at(cuts, i) + 2, F.element_at(cuts, i + 1) - F.element_at(cuts, i) - 1))
+    joined = joined.withColumn(lines, F.when(F.col(bad).isNotNull(), F.flatten(stretches)))
     rest = [F.when(F.col(lines).isNull(), text).otherwise(F.array_join(lines, "\n")).alias(c) if c == text_at else F.col(c) for c in pages.columns]
-    n = F.size(F.split(text, "\n")).cast("bigint")
+    n = (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
     out = joined.select(*rest, n.alias("_n"), F.when(F.col(lines).isNull(), 0).otherwise(n - F.size(lines)).cast("bigint").alias("_d"))
     return out.toDF(*names, own("n_lines"), own("n_dropped"))
 

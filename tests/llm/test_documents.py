@@ -119,6 +119,17 @@ def test_line_dedup_trims_white_space_and_takes_long_texts(spark):
     assert got == {i: t.split("\n")[0] + "\n" + t.split("\n")[2] for i, t, _ in rows}
 
 
+def test_line_dedup_of_many_boilerplate_lines_is_linear(spark):
+    import time
+
+    start = time.time()
+    shared = "\n".join(f"menu {i}" for i in range(100_000))
+    rows = [(i, f"own {i}\n{shared}\nmenu 5\n\nlast {i}", "a") for i in range(6)]
+    got = {r["doc_id"]: tuple(r) for r in line_dedup.dedup_lines(docs(spark, rows)).select("doc_id", "text", "n_lines", "n_dropped").collect()}
+    assert got == {i: (i, f"own {i}\n\nlast {i}", 100_004, 100_001) for i in range(6)}
+    assert time.time() - start < 60
+
+
 # ---- near duplicates ---------------------------------------------------------------------------------------
 
 
@@ -319,10 +330,11 @@ def test_hostile_pages_take_linear_time():
     import time
 
     start = time.time()
-    for page in ('<a "' * 200_000, "</p>" * 200_000, "<!" * 300_000, "<button>" * 100_000, "<div>" * 20_000 + "<li></li>" * 50_000, "<div>" * 20_000 + "</p></div>" * 20_000, "<svg><p>" * 50_000, "<" * 500_000):
+    for page in ('<a "' * 200_000, "</p>" * 200_000, "<!" * 300_000, "<button>" * 100_000, "<div>" * 20_000 + "<li></li>" * 50_000, "<div>" * 20_000 + "</p></div>" * 20_000, "<svg><p>" * 50_000, "<" * 500_000, "<li><ul>" + "<div>" * 20_000 + "<li></li>" * 100_000, "<dl><dd>" + "<div>" * 20_000 + "<dt>x</dt>" * 50_000, "<ul><li>" * 20_000):
         html_extract.main_text(page)
     assert time.time() - start < 60
     assert html_extract.main_text('<article><p>Less: 1 < 2, said <a title="x > y">one</a> of them.</p></article>')[0] == "Less: 1 < 2, said one of them."
+    assert html_extract.main_text("<article><p>Mass is <math><mi>m</mi><annotation>\\\\m</annotation></math>, as it was known for long.</p></article>")[0] == "Mass is m, as it was known for long."
     assert html_extract.main_text('<article><p class="x>Broken quotes here.</p><p>And one more.</p></article>')[0].endswith("And one more.")
 
 
