@@ -6,6 +6,11 @@ connect texts to candidate groups.  Within a group, MinHash values are compared
 dropped when the posterior probability that it reaches the threshold falls below a tolerance; the rest is verified
 exactly on the sets of n-grams.  Groups are cut into blocks of bounded size that meet pairwise, and only counts and
 spanning links leave a block: pairs are never rows.
+
+Texts that share boilerplate only hang together by bands, but needn't be compared: of two sets of a similarity of at
+least t, the rarest n - ceil(t n) + 1 n-grams of either, in any order of n-grams that holds for both, have one in
+common.  Groups of more than a block are taken apart by that in shuffles, and so is each block before it is compared,
+with the n-grams in order of how many texts of the group or block have them.  No link is lost by it.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ BANDS, ROWS = 50, 6
 SKETCH, STEP = 64, 16
 #: A block of a candidate group holds about so many texts and n-grams at most.
 BLOCK_TEXTS, BLOCK_GRAMS = 4096, 1_000_000
+#: Sets fewer than these are compared straight.
+FEW = 16
 #: Bands that a task remembers, so that a large group is a few rows of it.
 KEPT_BANDS = 500_000
 EDGES = string.punctuation + "…“”‘’«»¡¿–—"
@@ -99,16 +106,58 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n
 
 
+def _slots(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many of a set's n rarest n-grams must be looked at: two sets without one in common there aren't similar."""
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+
+
+def teams(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """A label for each set: sets of different labels have a similarity below ``threshold``."""
+    n = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), n)
+    _, kind, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    order = np.lexsort((rank[kind], row))
+    row, kind = row[order], kind[order]
+    seen = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) < _slots(n, threshold)[row]
+    seen &= count[kind] > 1
+    row, kind = row[seen], kind[seen]
+    order = np.argsort(kind, kind="stable")
+    row, kind = row[order], kind[order]
+    head = np.concatenate([[True], kind[1:] != kind[:-1]]) if len(kind) else np.zeros(0, bool)
+    first = row[np.maximum.accumulate(np.where(head, np.arange(len(row)), 0))]
+    return _roots(len(sets), row[row != first], first[row != first])
+
+
 def links(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float, tolerance: float) -> np.ndarray:
-    """Which sets of ``a`` are linked to which of ``b`` (to each other, if None), as a matrix of truth values."""
+    """Which sets of ``a`` are linked to which of ``b`` (to each other, if None), as a matrix of truth values.
+    Only sets of one team are compared."""
     own = b is None
     b = a if own else b
+    every = a if own else [*a, *b]
+    if len(every) < FEW:
+        ka = minhash(a, SKETCH)
+        return _compared(a, b, ka, ka if own else minhash(b, SKETCH), own, threshold, tolerance)
+    team = teams(every, threshold)
+    out = np.zeros((len(a), len(b)), bool)
+    order = np.argsort(team, kind="stable")
+    for members in np.split(order, np.flatnonzero(np.diff(team[order])) + 1):
+        at_a = members if own else members[members < len(a)]
+        at_b = members if own else members[members >= len(a)] - len(a)
+        if len(at_a) > own and len(at_b):
+            part_a, part_b = [a[i] for i in at_a], [b[i] for i in at_b]
+            ka = minhash(part_a, SKETCH)
+            out[np.ix_(at_a, at_b)] = _compared(part_a, part_b, ka, ka if own else minhash(part_b, SKETCH), own, threshold, tolerance)
+    return out
+
+
+def _compared(a: list[np.ndarray], b: list[np.ndarray], ka: np.ndarray, kb: np.ndarray, own: bool, threshold: float, tolerance: float) -> np.ndarray:
+    """Links of sets whose MinHash values are ``ka`` and ``kb``: pruned by these, STEP at a time, then verified."""
     na, nb = (np.array([len(x) for x in s], np.int64) for s in (a, b))
     ok = np.minimum(na[:, None], nb) >= threshold * np.maximum(na[:, None], nb)
     if own:
         ok &= np.triu(np.ones_like(ok), 1)
-    ka = minhash(a, SKETCH)
-    kb = ka if own else minhash(b, SKETCH)
     for at in range(0, len(a), 256):
         part = ok[at : at + 256]
         same = np.zeros(part.shape, np.uint8)
@@ -291,6 +340,31 @@ def _candidate_edges(sketched: DataFrame) -> DataFrame:
     return both.where("band is null").select("u", "v").unionByName(map_batches(met, across, "u bigint, v bigint")).distinct()
 
 
+def _taken_apart(texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(key, grp) of the texts of large groups, rows (key, grp, text), in finer groups; texts without a partner are
+    left out.  Texts hang together if they share one of their rarest n-grams in their group."""
+
+    def make():
+        words = _Words()
+
+        def step(b: pa.RecordBatch):
+            sets = grams(b.column(2).to_pylist(), words, n)
+            yield {"node": b.column(0).to_pylist(), "grp": b.column(1).to_pylist(), "slots": _slots(np.array([len(s) for s in sets], np.int64), threshold).tolist(), "grams": [s.view(np.int64) for s in sets]}
+
+        return step
+
+    sets = checkpoint(map_batches(texts.select(_node("key"), "grp", "text"), make, "node bigint, grp bigint, slots bigint, grams array<bigint>"))
+    each = sets.select("node", "grp", "slots", F.size("grams").alias("size"), F.explode("grams").alias("g"))
+    shared = checkpoint(each.groupBy("grp", "g").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
+    # what only one text has is rarest and fills its slots first
+    ranked = each.join(shared, ["grp", "g"]).groupBy("node", "grp").agg(F.sort_array(F.collect_list(F.struct("texts", "g"))).alias("s"), F.first("slots").alias("slots"), F.first("size").alias("size"))
+    left = F.greatest(F.col("slots") - F.col("size") + F.size("s"), F.lit(0)).cast("int")
+    rare = checkpoint(ranked.select("node", "grp", F.explode(F.slice("s", F.lit(1), left)).alias("x")).select("node", "grp", F.col("x.g").alias("g")))
+    lead = rare.groupBy("grp", "g").agg(F.min("node").alias("lead"))
+    edges = rare.join(checkpoint(lead), ["grp", "g"]).where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    return components(edges)
+
+
 def _linked(rows: list[tuple], threshold: float, tolerance: float) -> dict:
     """Counts and leaders within one whole group: rows are (key, copies, set)."""
     link = links([r[2] for r in rows], None, threshold, tolerance)
@@ -324,7 +398,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     groups = components(_candidate_edges(sketched))
     found = kinds.select("key", "copies", "grams", _node("key").alias("node")).join(groups, "node").select("key", "copies", "grams", F.col("component").alias("grp"))
     found = checkpoint(found)
-    size = found.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    size = checkpoint(found.groupBy("grp").agg(blocks))
+    large = size.where("blocks > 1").select("grp")
+    if not large.isEmpty():
+        whole = checkpoint(found.join(large, "grp", "left_semi"))
+        finer = _taken_apart(text.select("key", "text").dropDuplicates(["key"]).join(whole.select("key", "grp"), "key"), n, threshold)
+        apart = whole.withColumn("node", _node("key")).join(finer, "node").select("key", "copies", "grams", F.col("component").alias("grp"))
+        found = checkpoint(found.join(large, "grp", "left_anti").select("key", "copies", "grams", "grp").unionByName(apart))
+        size = found.groupBy("grp").agg(blocks)
     placed = found.join(size, "grp").select("key", "copies", "grp", "blocks", F.pmod(F.xxhash64("key", F.lit(3)), "blocks").cast("int").alias("block"))
     texts = text.select("key", "text").dropDuplicates(["key"]).join(placed, "key")
 
@@ -436,10 +518,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names, id_at, text_at = docs.columns, f"c{place(docs, id_col)}", f"c{place(docs, text_col)}"
     docs = numbered(docs)
     others = [F.col(c) for c in docs.columns if c not in (id_at, text_at)]
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(id_at).cast("bigint").alias("id"), F.md5(F.coalesce(F.col(text_at), F.lit(""))).alias("key"), (F.to_json(F.struct(*others)) if others else F.lit("")).alias("other")
-    )
+        F.struct(*docs.columns).alias("row"), F.col(id_at).cast("bigint").alias("id"), F.md5(F.coalesce(F.col(text_at), F.lit(""))).alias("key"),
+        (F.to_json(F.struct(*others), exact) if others else F.lit("")).alias("other"), F.col(text_at).isNull().alias("none"),
+    )
     # one join moves the texts once, by text and id, so that copies of one text go different ways; rows are grouped there
     kept = rows.withColumn("at", at).join(stay, "at")
-    each = F.when(F.col("lone"), F.monotonically_increasing_id()).otherwise(-1)
-    return kept.select("at", each.alias("each"), "row", "other").groupBy("at", "each").agg(F.min_by("row", "other").alias("row")).select("row.*").toDF(*names)
+    each = F.when(F.col("lone"), F.concat(F.col("none").cast("string"), "other"))
+    one = kept.select("at", "lone", each.alias("each"), "row", "other").groupBy("at", "lone", "each").agg(F.min_by("row", "other").alias("row"), F.count(F.lit(1)).alias("n"))
+    # equal rows without words are counted, then written out again, a thousand at a time
+    n = F.when(F.col("lone"), F.col("n")).otherwise(F.lit(1))
+    one = one.select("row", n.alias("n")).select("row", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1000))).alias("k"))
+    return one.select("row", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("n") - 1000 * F.col("k"))))).select("row.*").toDF(*names)

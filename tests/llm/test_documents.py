@@ -184,6 +184,40 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, block):
     assert got == sorted(brute(rows)[0], key=str)
 
 
+@pytest.mark.parametrize("block", [4096, 100])
+def test_boilerplate_alone_makes_no_candidates(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", block)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    common = " ".join(word() for _ in range(120))
+    rows = [(i, f"{' '.join(word() for _ in range(35))} {common} {' '.join(word() for _ in range(35))}", "s") for i in range(600)]
+    rows += [(1000 + k, edit(r, rows[k % 7][1], 2), "s") for k in range(20)]
+    got = sorted(map(tuple, ngram_join.jaccard_join(docs(spark, rows)).collect()), key=str)
+    assert got == sorted(brute(rows)[0], key=str)
+    sets = ngram_join.grams([t for _, t, _ in rows], ngram_join._Words(), 5)
+    sizes = collections.Counter(ngram_join.teams(sets, 0.8).tolist()).values()
+    assert sum(n * (n - 1) for n in sizes) < 0.01 * len(rows) ** 2
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_teams_hold_all_links(seed):
+    r = random.Random(seed)
+    texts = [t for _, t, _ in corpus(r) if t]
+    texts += [" ".join(["a", "b"] * r.randint(1, 9)) for _ in range(20)] + [f"{texts[9]} {sentence(r, r.randint(1, 30))}" for _ in range(20)]
+    sets = [s for s in ngram_join.grams(texts, ngram_join._Words(), 5) if len(s)]
+    team = ngram_join.teams(sets, 0.8)
+    for i, a in enumerate(map(set, map(list, sets))):
+        for j in range(i):
+            if len(a & set(sets[j])) >= 0.8 * len(a | set(sets[j])) - 1e-9:
+                assert team[i] == team[j]
+
+
+def test_repeated_rows_without_words_all_stay(spark):
+    rows = [(1, "...", "a")] * 2500 + [(1, None, "a")] * 3 + [(1, "", "a"), (1, "", "b"), (None, "", None), (None, "", None), (2, "x y", "b"), (2, "x y", "a"), (2, "x y", "a")]
+    got = ngram_join.one_of_each(docs(spark, rows)).groupBy("doc_id", "text", "source").count().collect()
+    assert {tuple(x)[:3]: x["count"] for x in got} == {(1, "...", "a"): 2500, (1, None, "a"): 3, (1, "", "a"): 1, (1, "", "b"): 1, (None, "", None): 2, (2, "x y", "a"): 1}
+
+
 def test_one_of_each_class_stays(spark):
     rows = corpus(random.Random(3))
     _, classes = brute(rows)
