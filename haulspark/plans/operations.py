@@ -84,7 +84,9 @@ def _repair(spark, sf):
     return b.select(k.alias("business_id"), "name", F.when(k % 3 == 0, "towing").when(k % 3 == 1, "truck_repair").otherwise("hotel").alias("category"), "lon", "lat")
 
 
-@query("mechanics_fallback", f"WITH {ALONG} SELECT nbi_id AS id, 'businesses (fallback)' AS source, round(offset_m, 1) AS offset_m FROM p WHERE offset_m <= 30000 AND nbi_id % 3 <> 2")
+@query("mechanics_fallback", """
+    WITH p AS (SELECT nbi_id, 2*6371008.8::DOUBLE*asin(sqrt(pow(sin(radians(37 - lat)/2), 2) + cos(radians(lat))*cos(radians(37))*pow(sin(radians(greatest(-120, least(-80, lon)) - lon)/2), 2))) AS offset_m FROM {v_bridges})
+    SELECT nbi_id AS id, 'businesses (fallback)' AS source, round(offset_m, 1) AS offset_m FROM p WHERE offset_m <= 30000 AND nbi_id % 3 <> 2""")
 def mechanics_fallback(spark, sf):
     own = _repair(spark, sf)
     none = own.where("false").select(F.col("business_id").alias("shop_id"), "name", "category", "lon", "lat", F.lit("x").alias("verification_status"), F.lit(1).alias("confidence"))
