@@ -49,22 +49,22 @@ def match_one_to_one(pairs: DataFrame) -> DataFrame:
     """(o, f, score): the matching that taking pairs one by one, best score first, would give; ties to smaller ids.
 
     In each round the pairs that are best for both their ends are taken together; the order is total, so that is what
-    the one-by-one way takes too.
+    the one-by-one way takes too.  Sides grow with the input while their shuffled bytes look small, so none is broadcast.
     """
     rest, out = checkpoint(pairs.select("o", "f", "score")), None
     key = lambda other: F.struct((-F.col("score")).alias("s"), F.col("o"), F.col("f"))
     while not rest.isEmpty():
         best_o = rest.groupBy("o").agg(F.min(key("f")).alias("bo"))
         best_f = rest.groupBy("f").agg(F.min(key("o")).alias("bf"))
-        taken = checkpoint(rest.join(best_o, "o").join(best_f, "f").where((F.col("bo.o") == F.col("o")) & (F.col("bo.f") == F.col("f")) & (F.col("bf.o") == F.col("o")) & (F.col("bf.f") == F.col("f"))).select("o", "f", "score"))
+        taken = checkpoint(rest.join(best_o.hint("merge"), "o").join(best_f.hint("merge"), "f").where((F.col("bo.o") == F.col("o")) & (F.col("bo.f") == F.col("f")) & (F.col("bf.o") == F.col("o")) & (F.col("bf.f") == F.col("f"))).select("o", "f", "score"))
         out = taken if out is None else out.unionByName(taken)
-        rest = checkpoint(rest.join(taken.select("o"), "o", "left_anti").join(taken.select("f"), "f", "left_anti"))
+        rest = checkpoint(rest.join(taken.select("o").hint("merge"), "o", "left_anti").join(taken.select("f").hint("merge"), "f", "left_anti"))
     return out if out is not None else pairs.select("o", "f", "score").limit(0)
 
 
 def gray_ids(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     """(src, rid) of rows to flag gray: both ends of gray pairs, and of pairs good enough to merge that lost the matching."""
-    lost = pairs.where("band = 'merge'").select("o", "f").join(matches.select("o", "f"), ["o", "f"], "left_anti")
+    lost = pairs.where("band = 'merge'").select("o", "f").join(matches.select("o", "f").hint("merge"), ["o", "f"], "left_anti")
     g = pairs.where("band = 'gray'").select("o", "f").unionByName(lost)
     return g.select(F.lit("a").alias("src"), F.col("o").alias("rid")).union(g.select(F.lit("b"), "f")).distinct()
 
@@ -102,15 +102,15 @@ def merge(a: DataFrame, b: DataFrame, matches: DataFrame, pairs: DataFrame | Non
         if gray is None:
             return df.withColumn("gray", F.lit(False))
         g = gray.where(F.col("src") == src).select("rid", F.lit(True).alias("gray"))
-        return df.join(g, "rid", "left").withColumn("gray", F.coalesce("gray", F.lit(False)))
+        return df.join(g.hint("merge"), "rid", "left").withColumn("gray", F.coalesce("gray", F.lit(False)))
 
     a, b = marked(a, "a"), marked(b, "b")
-    m = matches.select("o", "f").join(a.select(F.col("rid").alias("o"), F.struct("*").alias("a")), "o").join(b.select(F.col("rid").alias("f"), F.struct("*").alias("b")), "f")
+    m = matches.select("o", "f").join(a.select(F.col("rid").alias("o"), F.struct("*").alias("a")).hint("merge"), "o").join(b.select(F.col("rid").alias("f"), F.struct("*").alias("b")).hint("merge"), "f")
     first = F.coalesce(F.col("a.conf"), F.lit(0.0)) >= canonical_conf
     sources = lambda *x: F.array(*[F.lit(s) for s in x]).alias("present_in")
     both = m.select("o", "f", *_one(F.col("a"), F.col("b"), first, shared), F.col("a.conf").alias("conf"), F.lit("merged").alias("src"), sources("a", "b"), (F.col("a.gray") | F.col("b.gray")).alias("gray"))
-    only_a = a.join(matches.select(F.col("o").alias("rid")), "rid", "left_anti").select(F.col("rid").alias("o"), F.lit(None).cast("bigint").alias("f"), *shared, "conf", F.lit("a").alias("src"), sources("a"), "gray")
-    only_b = b.join(matches.select(F.col("f").alias("rid")), "rid", "left_anti").select(F.lit(None).cast("bigint").alias("o"), F.col("rid").alias("f"), *shared, F.lit(None).cast(a.schema["conf"].dataType).alias("conf"), F.lit("b").alias("src"), sources("b"), "gray")
+    only_a = a.join(matches.select(F.col("o").alias("rid")).hint("merge"), "rid", "left_anti").select(F.col("rid").alias("o"), F.lit(None).cast("bigint").alias("f"), *shared, "conf", F.lit("a").alias("src"), sources("a"), "gray")
+    only_b = b.join(matches.select(F.col("f").alias("rid")).hint("merge"), "rid", "left_anti").select(F.lit(None).cast("bigint").alias("o"), F.col("rid").alias("f"), *shared, F.lit(None).cast(a.schema["conf"].dataType).alias("conf"), F.lit("b").alias("src"), sources("b"), "gray")
     return both.unionByName(only_a).unionByName(only_b)
 
 

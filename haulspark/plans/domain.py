@@ -14,6 +14,7 @@ from haulspark.functions import text as T
 from haulspark.operators import conflate, gates, graph, presence, routing, spatial
 from haulspark.operators.components import components
 from haulspark.plans.carriers import carrier, oracle, spark_sql, table
+from haulspark.session import checkpoint
 from haulspark.sinks import tables as sinks
 from haulspark.streaming import tracking
 
@@ -633,7 +634,7 @@ def collisions(spark, sf):
 
 @query("conflate_gray", MATCHED + " SELECT src, rid FROM z")
 def conflate_gray(spark, sf):
-    p = _pairs(spark, sf)
+    p = checkpoint(_pairs(spark, sf))
     return conflate.gray_ids(p, conflate.match_one_to_one(p.where("band = 'merge'")))
 
 
@@ -657,7 +658,7 @@ def _shown(p):
 
 
 def _merged(spark, sf):
-    p = _pairs(spark, sf)
+    p = checkpoint(_pairs(spark, sf))
     return conflate.merge(carrier(spark, sf, "v_src_a"), carrier(spark, sf, "v_src_b"), conflate.match_one_to_one(p.where("band = 'merge'")), p)
 
 

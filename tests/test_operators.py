@@ -350,3 +350,18 @@ def test_paged_series_that_do_not_end_raise():
     page = json.dumps({"response": {"total": 1000, "data": [1]}}).encode()
     with pytest.raises(ConnectionError, match="20 of 1000"):
         control.fetch_keyed(lambda url, params: page, "u", "k")
+
+
+def test_conflation_broadcasts_no_side(spark, monkeypatch):
+    plans = []
+    look = lambda df: (df.collect(), plans.append(df._jdf.queryExecution().executedPlan().toString()))
+    monkeypatch.setattr(conflate, "checkpoint", lambda df: (look(df), df.localCheckpoint())[1])
+    a = spark.createDataFrame([(1, "Big Rig Repair", -97.0, 35.0, "X", 0.9), (2, "Joe's Diesel", -97.0, 36.0, "Y", 0.1)], "rid long, name string, lon double, lat double, brand string, conf double")
+    b = a.drop("conf").withColumn("rid", F.col("rid") + 10)
+    p = conflate.candidate_pairs(a, b).localCheckpoint()
+    m = conflate.match_one_to_one(p.where("band = 'merge'"))
+    merged = conflate.merge(a, b, m, p)
+    look(conflate.gray_ids(p, m))
+    look(merged)
+    assert sorted((r["o"], r["f"]) for r in merged.collect()) == [(1, 11), (2, 12)]
+    assert len(plans) >= 5 and not [x for x in plans if "Broadcast" in x]
