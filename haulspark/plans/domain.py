@@ -434,8 +434,8 @@ def haversine(spark, sf):
 
 @query("dwithin", "SELECT a.place_id, b.nbi_id, round(" + HAV.format(a="a", b="b") + ", 1) AS dist_m FROM {v_places} a JOIN {v_bridges} b ON " + HAV.format(a="a", b="b") + " <= 60000")
 def dwithin(spark, sf):
-    d = spatial.dwithin(carrier(spark, sf, "v_bridges").select("nbi_id", "lon", "lat"), carrier(spark, sf, "v_places").select("place_id", "lon", "lat"), 60_000.0)
-    return d.select("r.place_id", "l.nbi_id", F.round("dist_m", 1).alias("dist_m"))
+    d = spatial.dwithin(carrier(spark, sf, "v_bridges").select("nbi_id", "lon", "lat"), carrier(spark, sf, "v_places").select("place_id", "lon", "lat"), 60_000.0, digits=1)
+    return d.select("r.place_id", "l.nbi_id", "dist_m")
 
 
 @query("nearest_within", "SELECT place_id, nbi_id, dist_m FROM (SELECT a.place_id, b.nbi_id, round(d, 1) AS dist_m, row_number() OVER (PARTITION BY a.place_id ORDER BY d, b.nbi_id) AS n FROM {v_places} a JOIN LATERAL (SELECT nbi_id, lon, lat, " + HAV.format(a="a", b="b") + " AS d FROM {v_bridges} b) b ON d <= 80000) t WHERE n = 1")

@@ -182,7 +182,7 @@ GLOBE = f"FROM (SELECT place_id, {PLACES} FROM {{v_places}}) a JOIN (SELECT nbi_
 def globe_within(spark, sf):
     """Pairs within 150 km all over the globe, also across the 180th meridian and at the poles."""
     a, b = _on_globe(spark, sf)
-    return spatial.dwithin(a, b, 150_000.0).select("l.place_id", "r.nbi_id", F.round("dist_m", 1).alias("dist_m"))
+    return spatial.dwithin(a.select("place_id", "lon", "lat"), b.select("nbi_id", "lon", "lat"), 150_000.0, digits=1).select("l.place_id", "r.nbi_id", "dist_m")
 
 
 @query("globe_nearest", "SELECT place_id, rank, nbi_id, dist_m FROM (SELECT a.place_id, b.nbi_id, round(d, 1) AS dist_m, CAST(row_number() OVER (PARTITION BY a.place_id ORDER BY d, b.nbi_id) AS INTEGER) AS rank FROM (SELECT place_id, "
