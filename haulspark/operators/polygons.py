@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulspark.functions.shapes import all_edges, clip_rings, extent, let, odd, point, step_meets_box
-from haulspark.session import written
+from haulspark.session import spread, written
 
 #: The point join's cells are of every third level; DEEPER times a cell of more than EDGES edges is cut into 8 x 8.
 STRIDE, DEEPEST, DEEPER, EDGES = 3, 12, 2, 16
@@ -56,8 +56,8 @@ def by_tile(polygons: DataFrame, z: int, margin: float = 0.0) -> DataFrame:
         left = let(clip_rings(F.col("rings"), _box(F.col("_z"), F.col("_t.x"), F.col("_t.y"), margin)), lambda r: F.when(F.size(r) > 0, F.array(r)).otherwise(F.slice(F.array(r), 1, 0)))
         return d.select(*rest, "_z", "_t", F.explode(left).alias("rings"))
 
-    p = cut(p)
     first = p.agg(F.min("_z")).first()[0]
+    p = cut(p)
     for k in range(z if first is None else first, z):
         here = F.col("_z") == k  # what starts deeper waits
         p = p.withColumn("_t", F.explode(F.when(here, _children(F.col("_t"), 1)).otherwise(F.array("_t")))).withColumn("_z", F.when(here, k + 1).otherwise(F.col("_z")))
@@ -69,7 +69,7 @@ def cover(polygons: DataFrame, id_col: str) -> DataFrame:
     """(id_col, z, x, y, whole, edges): cells over a polygon of ``rings`` in degrees; those that lie within it as a
     whole have no edges, the others those that a ray to the east from within the cell may cross."""
     share = lambda e: F.struct(*[((e[c] + h) / (2 * h)).alias(c) for c, h in (("x0", 180.0), ("y0", 90.0), ("x1", 180.0), ("y1", 90.0))])
-    p = polygons.where((F.size("rings") > 0) & (F.size(F.element_at("rings", 1)) > 2)).select(id_col, "rings", share(extent(F.col("rings"))).alias("_e"))
+    p = spread(polygons.where((F.size("rings") > 0) & (F.size(F.element_at("rings", 1)) > 2)), id_col).select(id_col, "rings", share(extent(F.col("rings"))).alias("_e"))
     p = p.withColumn("z", (F.floor(_level(F.col("_e"), DEEPEST) / STRIDE) * STRIDE + STRIDE).cast("int"))
     p = p.withColumn("t", F.explode(_grid(F.col("_e"), F.col("z"), 0.0))).select(id_col, "z", "t", all_edges(F.col("rings")).alias("edges"))
 
@@ -81,28 +81,43 @@ def cover(polygons: DataFrame, id_col: str) -> DataFrame:
         found = let(reach, lambda e: let(F.size(F.filter(e, lambda s: step_meets_box(s, box))), lambda n: kept(e, n)))
         return d.select(id_col, "z", "t", F.explode(found).alias("c")).select(id_col, "z", "t", "c.*")
 
-    done = judged(p)
+    more = F.col("n") > EDGES
+    last = done = written(judged(p))
     for _ in range(DEEPER):
-        more = F.col("n") > EDGES
-        deeper = done.where(more).select(id_col, (F.col("z") + STRIDE).alias("z"), F.explode(_children(F.col("t"), STRIDE)).alias("t"), "edges")
-        done = written(done.where(~more).unionByName(judged(deeper)))
+        deeper = last.where(more)
+        if deeper.isEmpty():
+            break
+        last = written(judged(spread(deeper.select(id_col, (F.col("z") + STRIDE).alias("z"), F.explode(_children(F.col("t"), STRIDE)).alias("t"), "edges"), id_col, "t")))
+        done = done.where(~more).unionByName(last)
     return done.select(id_col, "z", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "whole", "edges")
 
 
+def shapes(polygons: DataFrame) -> DataFrame:
+    """(_shape, rings): the different polygons, numbered, as a table; polygons without rings are left out."""
+    return written(polygons.where(F.size("rings") > 0).select("rings").distinct().withColumn("_shape", F.monotonically_increasing_id()))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str) -> DataFrame:
     """(point_id, polygon_id) for each point (lon, lat) within a polygon (rings), by the even-odd rule.
 
     Both sides meet by cell, at each of the few levels that the cover has; a cell within a polygon needs no further
     test.  Coordinates that are null or off the globe and polygons of fewer than three points are left out.
+
+    Each different polygon is covered once and each place tested once; then polygons and last points of one shape or
+    place meet these pairs by equality, so that pairs of rows are never moved.
     """
-    cells = cover(polygons, polygon_id)
+    kinds = shapes(polygons)
+    cells = cover(kinds, "_shape")
     levels = sorted(r["z"] for r in cells.select("z").distinct().collect())  # a few, from DEEPEST, STRIDE and DEEPER
     x, y = (F.col("lon") + 180.0) / 360.0, (F.col("lat") + 90.0) / 180.0
     at = lambda v, z: F.least(F.lit(2**z - 1), F.greatest(F.lit(0), F.floor(v * 2.0**z))).cast("int")
     keys = F.array(*[F.struct(F.lit(z).alias("z"), at(x, z).alias("x"), at(y, z).alias("y")) for z in levels]) if levels else F.array().cast("array<struct<z:int,x:int,y:int>>")
-    p = points.where(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90)).select(point_id, "lon", "lat", F.explode(keys).alias("k"))
-    p = p.select(point_id, "lon", "lat", "k.z", "k.x", "k.y")
-    return p.join(cells, ["z", "x", "y"]).where(F.col("whole") | odd(F.col("edges"), F.col("lon"), F.col("lat"))).select(point_id, polygon_id)
+    valid = points.where(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90)).select(point_id, "lon", "lat")
+    p = valid.select("lon", "lat").distinct().select("lon", "lat", F.explode(keys).alias("k")).select("lon", "lat", "k.z", "k.x", "k.y")
+    near = p.join(cells.hint("merge"), ["z", "x", "y"]).where(F.col("whole") | odd(F.col("edges"), F.col("lon"), F.col("lat"))).select("lon", "lat", "_shape")
+    own = polygons.join(kinds.hint("merge"), "rings").select(polygon_id, "_shape")
+    pairs = near.join(own.hint("merge"), "_shape").select("lon", "lat", polygon_id)
+    return spread(pairs, "lon", "lat").join(spread(valid, "lon", "lat").hint("merge"), ["lon", "lat"]).select(point_id, polygon_id)
 
 
 def mercator_rings(rings: Column) -> Column:

@@ -19,6 +19,7 @@ from haulspark.functions.geo import mercator, tile_bounds, tile_of
 from haulspark.functions.shapes import let, point, steps, twice_area
 from haulspark.operators import polygons
 from haulspark.operators.chains import corridor_lines
+from haulspark.session import spread
 
 EXTENT = 4096
 
@@ -239,8 +240,9 @@ def _encoded(t: DataFrame, name: str, properties: list[str], id_col: str, kind:
 def polygon_parts(polygons_: DataFrame, z: int, keep: list[str]) -> DataFrame:
     """(*keep, x, y, parts): the rings of each polygon (``rings`` in degrees) within each tile of a level and a margin,
     in tile units, without repeated places; the outside turns one way and holes the other.  What rounds to nothing is
-    left out."""
-    p = polygons.by_tile(polygons_.select(*keep, polygons.mercator_rings(F.col("rings")).alias("rings")), z, MARGIN / 2**z)
+    left out.  Each different polygon is cut once, however many rows have it."""
+    kinds = polygons.shapes(polygons_)
+    p = polygons.by_tile(spread(kinds, "_shape").select("_shape", polygons.mercator_rings(F.col("rings")).alias("rings")), z, MARGIN / 2**z)
     place = lambda p: F.struct(F.rint((p["lon"] * 2**z - F.col("x")) * EXTENT).cast("int").alias("x"), F.rint((p["lat"] * 2**z - F.col("y")) * EXTENT).cast("int").alias("y"))
     apart = lambda r: let(r, lambda q: F.filter(q, lambda v, i: v != F.element_at(q, ((i + F.size(q) - 1) % F.size(q) + 1).cast("int"))))
     area = lambda r: twice_area(F.transform(r, lambda v: point(v["x"].cast("double"), v["y"].cast("double"))))
@@ -248,7 +250,9 @@ def polygon_parts(polygons_: DataFrame, z: int, keep: list[str]) -> DataFrame:
     p = p.withColumn("rings", F.filter(sized, lambda r: r["a"] != 0)).where((F.size("rings") > 0) & (F.element_at("rings", 1)["i"] == 0))
     turned = F.transform("rings", lambda r: F.when((r["a"] > 0) == (r["i"] == 0), r["r"]).otherwise(F.reverse(r["r"])))
     units = F.transform("rings", lambda r: F.when(r["i"] == 0, F.abs(r["a"])).otherwise(-F.abs(r["a"])))
-    return p.select(*keep, "x", "y", turned.alias("parts"), (F.aggregate(units, F.lit(0.0), lambda t, v: t + v) / 2).alias("area"))
+    p = p.select("_shape", "x", "y", turned.alias("parts"), (F.aggregate(units, F.lit(0.0), lambda t, v: t + v) / 2).alias("area"))
+    own = polygons_.join(kinds.hint("merge"), "rings").select(*keep, "_shape")
+    return own.join(p.hint("merge"), "_shape").select(*keep, "x", "y", "parts", "area")
 
 
 def polygon_tiles(polygons_: DataFrame, layer: Layer, z: int, properties: list[str], id_col: str) -> DataFrame:

@@ -153,3 +153,19 @@ def test_polygon_tiles(spark, cap):
     assert all(r["n"] == len(r["ids"]) <= cap and r["ids"] == [1, 2, 3][: r["n"]] or r["ids"] in ([2, 3][:cap],) for r in got)
     assert len(got) > 100 and bytes(got[0]["tile"]).count(b"\x0f") >= 1
     assert tiles.polygon_tiles(df, tiles.Layer("p", min_zoom=8), 7, ["id"], "id").count() == 0
+
+
+def test_equal_polygons_are_cut_once(spark, monkeypatch):
+    seen = []
+    for f in ("cover", "by_tile"):
+        monkeypatch.setattr(polygons, f, lambda df, *a, f=getattr(polygons, f): (seen.append(df.count()), f(df, *a))[1])
+    p = lambda x, y: (float(x), float(y))
+    kinds = [[[p(0, 0), p(4, 0), p(4, 4), p(0, 4)]], [[p(2, 2), p(6, 2), p(6, 6)]], []]
+    rows = spark.createDataFrame([(i, kinds[i % 3]) for i in range(90)], "pid int, rings array<array<struct<lon:double,lat:double>>>")
+    points = spark.createDataFrame([(i, *[(1.0, 1.0), (3.5, 2.5), (9.0, 9.0)][i % 3]) for i in range(60)] + [(99, None, 1.0)], "id int, lon double, lat double")
+    got = [(r["id"], r["pid"]) for r in polygons.points_in_polygons(points, rows, "id", "pid").collect()]
+    want = {(i, j) for i in range(60) for j in range(90) if (i % 3, j % 3) in ((0, 0), (1, 0), (1, 1))}
+    assert len(got) == len(set(got)) and set(got) == want
+    parts = tiles.polygon_parts(rows, 3, ["pid"]).collect()
+    assert {r["pid"] % 3 for r in parts} == {0, 1} and len(parts) == 30 * len({(r["pid"] % 3, r["x"], r["y"]) for r in parts})
+    assert seen == [2, 2]
