@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulspark.operators.numbering import number
-from haulspark.session import checkpoint, written
+from haulspark.session import checkpoint, spread, written
 
-#: Nodes in a cell, and pairs that a task searches for.
-CELL_NODES, PAIRS = 4096, 32
+#: Nodes in a cell, and pairs that are searched for together in it, which share one copy of its edges.
+CELL_NODES, PAIRS = 4096, 256
 STATE, GOAL, SETTLED, AVOIDED = 0, 1, 2, 3
 #: Sums of one path's edges from both ends differ by rounding, by less than this share.
 ROUNDING = 1e-12
@@ -120,23 +120,27 @@ def _settle(seeds: list[tuple[float, int, int]], near: dict[int, list], limit: f
     return done, {v: s for v, s in outside.items() if s[0] <= limit}, avoided, met
 
 
-def _goals(rows: pd.DataFrame) -> dict[int, float]:
+def _goals(nodes, costs) -> dict[int, float]:
     goals: dict[int, float] = {}
-    for n, c in zip(rows["goal_nodes"].iloc[0], rows["goal_costs"].iloc[0], strict=True):
+    for n, c in zip(nodes, costs, strict=True):
         goals[int(n)] = min(float(c), goals.get(int(n), float("inf")))
     return goals
 
 
-def _seeds(rows: pd.DataFrame) -> list[tuple[float, int, int]]:
-    return list(zip(rows["d"].tolist(), rows["hops"].tolist(), rows["node"].tolist(), strict=True))
+def _by_pair(front: pd.DataFrame, columns: list[str]) -> dict:
+    """The rows of each pair as tuples of ``columns``."""
+    rows: dict = {}
+    for pair, *rest in zip(*(front[c].tolist() for c in ("pair_id", *columns)), strict=True):
+        rows.setdefault(pair, []).append(tuple(rest))
+    return rows
 
 
 def _explore(front: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     """The search of a few pairs within one cell."""
     near, out = _near(edges), []
-    for pair, rows in front.groupby("pair_id", sort=False):
-        round_, cell, limit = int(rows["round"].iloc[0]), int(rows["cell"].iloc[0]), float(rows["limit"].iloc[0])
-        done, outside, avoided, met = _settle(_seeds(rows), near, limit, _goals(rows))
+    for pair, rows in _by_pair(front, ["d", "hops", "node", "round", "cell", "limit", "goal_nodes", "goal_costs"]).items():
+        round_, cell, limit, *goals = rows[0][3:]
+        done, outside, avoided, met = _settle([r[:3] for r in rows], near, limit, _goals(*goals))
         out += [(pair, GOAL, n, -1, d, hops) for n, (d, hops) in met.items()]
         out += [(pair, STATE, v, to, d, hops) for v, (d, hops, to) in outside.items()]
         out.append((pair, SETTLED, (round_ << 40) + cell, -1, 0.0, len(done)))
@@ -179,13 +183,12 @@ def _trace(front: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     """Paths of a few pairs within one cell, backwards from the goals in it or from links that leave it.  Each edge
     from outside to a node on a shortest path is a record with the piece of path from there."""
     near, out = _near(edges), []
-    for pair, rows in front.groupby("pair_id", sort=False):
-        dist, total = float(rows["dist"].iloc[0]), int(rows["total"].iloc[0])
+    for pair, rows in _by_pair(front, ["d", "hops", "node", "next", "kind", "dist", "total", "goal_nodes", "goal_costs"]).items():
+        dist, total, *goals = rows[0][5:]
         limit = dist + abs(dist) * ROUNDING
-        done, *_ = _settle(_seeds(rows[rows["kind"] == STATE]), near, limit, {})
-        links = rows[rows["kind"] == LINK]
-        offers = list(zip(links["hops"].tolist(), links["node"].tolist(), links["next"].tolist(), links["d"].tolist(), strict=True))
-        offers += [(0, n, -1, c) for n, c in _goals(rows).items() if n in done]
+        done, *_ = _settle([r[:3] for r in rows if r[4] == STATE], near, limit, {})
+        offers = [(hops, node, follow, d) for d, hops, node, follow, kind, *_ in rows if kind == LINK]
+        offers += [(0, n, -1, c) for n, c in _goals(*goals).items() if n in done]
         after, rest = _back(done, near, offers, dist, total)
         for node, (hops, d) in rest.items():
             if not done[node][1]:
@@ -203,9 +206,7 @@ def _at_once(front: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     """Search and paths of a few pairs where the graph is one cell."""
     near, out = _near(edges), []
     for row in front.to_dict("records"):
-        goals: dict[int, float] = {}
-        for n, c in zip(row["goal_nodes"], row["goal_costs"], strict=True):
-            goals[int(n)] = min(float(c), goals.get(int(n), float("inf")))
+        goals = _goals(row["goal_nodes"], row["goal_costs"])
         seeds = [(float(c), 0, int(n)) for n, c in zip(row["start_nodes"], row["start_costs"], strict=True) if n in near]
         if not seeds:
             continue
@@ -219,10 +220,18 @@ def _at_once(front: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["pair_id", "distance", "hops", "path", "explored", "avoided"]).astype({"hops": "Int32"})
 
 
-def _asked(links: DataFrame, front: DataFrame) -> DataFrame:
-    """The edges of the cells that pairs are searched in, for each bucket of pairs."""
-    asked = front.select(F.col("cell").alias("own"), F.col("bucket").alias("part")).distinct()
-    return links.join(asked, links["cell"] == asked["own"]).drop("own").withColumnRenamed("part", "bucket")
+def _in_cells(front: DataFrame, links: DataFrame, search, schema: str) -> DataFrame:
+    """``search`` for the pairs of ``front`` in each cell, PAIRS together.
+
+    The pairs of a cell are dealt to as many buckets as they need, so edges are copied once for each PAIRS pairs of a
+    cell, however many pairs and cells there are.  Rows are few bytes and much work, so adaptive execution mustn't put
+    buckets together."""
+    counts = front.groupBy("cell").agg(F.count_distinct("pair_id").alias("n"))
+    asked = counts.select("cell", F.ceil(F.col("n") / PAIRS).cast("bigint").alias("buckets"))
+    pairs = front.join(asked, "cell").withColumn("bucket", F.pmod(F.xxhash64("pair_id"), F.col("buckets"))).drop("buckets")
+    ways = links.join(asked, "cell").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("buckets") - 1))).drop("buckets")
+    key = ["cell", "bucket"]
+    return spread(pairs, *key).groupBy(*key).cogroup(spread(ways, *key).groupBy(*key)).applyInPandas(search, schema)
 
 
 def _paths(best: DataFrame, pairs: DataFrame, found: DataFrame, nodes: DataFrame, links: DataFrame, kind: str) -> DataFrame:
@@ -239,7 +248,7 @@ def _paths(best: DataFrame, pairs: DataFrame, found: DataFrame, nodes: DataFrame
             seeds = records.where(F.col("kind") == LINK).join(to_do, ["pair_id", "cell"], "left_semi")
             rows = rows.unionByName(seeds.select(*states.columns))
         front = written(rows.join(known, "pair_id"))
-        step = front.groupBy("cell", "bucket").cogroup(_asked(links, front).groupBy("cell", "bucket")).applyInPandas(_trace, schema)
+        step = _in_cells(front, links, _trace, schema)
         step = step.withColumn("born", F.lit(round_)).withColumn("first", F.lit(round_))
         if records is not None:
             step = records.unionByName(step)
@@ -290,9 +299,9 @@ def search(edges: DataFrame, starts: DataFrame, goals: DataFrame, places: DataFr
     kind = dict(starts.dtypes)["pair_id"]
     ends = goals.where("node is not null").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct(F.col("node").cast("bigint").alias("node"), F.col("cost").cast("double").alias("cost")))).alias("g"))
     pairs = written(ends.select("pair_id", F.col("g.node").alias("goal_nodes"), F.col("g.cost").alias("goal_costs")))
-    buckets = max(1, -(-pairs.count() // PAIRS))
-    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("pair_id"), F.lit(buckets)))
     if one:
+        buckets = max(1, -(-pairs.count() // PAIRS))
+        pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("pair_id"), F.lit(buckets)))
         begin = starts.where("node is not null").groupBy("pair_id").agg(F.collect_list(F.struct(F.col("node").cast("bigint").alias("node"), F.col("cost").cast("double").alias("cost"))).alias("s"))
         front = begin.select("pair_id", F.col("s.node").alias("start_nodes"), F.col("s.cost").alias("start_costs"), F.lit(with_paths).alias("with_path")).join(pairs, "pair_id")
         ways = links.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
@@ -311,7 +320,7 @@ def search(edges: DataFrame, starts: DataFrame, goals: DataFrame, places: DataFr
         front = front.withColumn("limit", F.coalesce("limit", F.lit(float("inf")))).where("d <= limit").withColumn("round", F.lit(round_))
         front = written(front)
         round_ += 1
-        step = front.groupBy("cell", "bucket").cogroup(_asked(links, front).groupBy("cell", "bucket")).applyInPandas(_explore, schema)
+        step = _in_cells(front, links, _explore, schema)
         step = step.select(*keys, state.alias("s"), F.lit(round_).alias("born"))
         best = written(best.unionByName(step).groupBy(*keys).agg(F.min(F.struct("s", "born")).alias("m")).select(*keys, "m.*"))
     hit = best.where(F.col("kind") == GOAL).groupBy("pair_id").agg(F.min("s").alias("s")).select("pair_id", F.col("s.d").alias("distance"), "s.hops")

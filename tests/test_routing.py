@@ -163,3 +163,22 @@ def test_curve_interleaves(one):
     for lon, lat in ((-180.0, -90.0), (180.0, 90.0), (0.0, 0.0), (-97.123, 31.77)):
         x, y = (min(2**24 - 1, int((v + h) / (2 * h) * 2**24)) for v, h in ((lon, 180), (lat, 90)))
         assert one(routing.curve(F.col("a"), F.col("b")), a=lon, b=lat) == sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(24))
+
+
+def test_edges_are_copied_by_the_pairs_of_a_cell(spark, monkeypatch):
+    """Copies of a cell's edges follow the pairs in that cell, not the pairs of the whole graph."""
+    monkeypatch.setattr(routing, "CELL_NODES", 64)
+    monkeypatch.setattr(routing, "PAIRS", 32)
+    seen, explore = spark.sparkContext.accumulator(0), routing._explore
+
+    def counted(front, edges):
+        seen.add(len(edges))
+        return explore(front, edges)
+
+    monkeypatch.setattr(routing, "_explore", counted)
+    n = 20 * 64
+    e = spark.range(n - 1).selectExpr("id AS u", "id + 1 AS v", "cast(1 AS double) AS length_m")
+    pairs = spark.range(n - 1).selectExpr("id AS pair_id", "id AS origin", "id + 1 AS goal")
+    got = routing.distances(e, pairs).collect()
+    assert len(got) == n - 1 and all(r["distance"] == 1.0 for r in got)
+    assert 2 * (n - 1) < seen.value < 8 * 2 * (n - 1)
