@@ -9,11 +9,11 @@ again, so that a simplified corridor meets itself where it did before and nowher
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulspark.session import written
+from haulspark.session import spread, written
 
 #: Points of a stretch that a task simplifies by itself.
 LOCAL = 20_000
@@ -21,6 +21,8 @@ LOCAL = 20_000
 BITS = 24
 #: Degrees of a cell in which pieces are held against each other.
 CELL = 0.05
+#: Pieces of each corridor that new pieces are held against first, and rows of a side that is broadcast at most.
+FIRST, BROADCAST = 256, 200_000
 
 
 def _darts(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,35 +144,67 @@ def simplified(points: DataFrame, keys: list[str], tolerance: float, local: int
     names = [*group, "lo", "hi", "ax", "ay", "bx", "by"]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", lo bigint, hi bigint, ax double, ay double, bx double, by double"
 
-    def finish(stretch: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    def finish(stretches: pa.Table, inner: pa.Table) -> pa.Table:
+        own: dict[str, list] = {}
+        for key, *point in zip(*(inner.column(c).to_pylist() for c in ("_key", "o", "lon", "lat")), strict=True):
+            own.setdefault(key, []).append(tuple(point))
         out = []
-        for s in stretch.to_dict("records"):
-            own = own.sort_values("o")
-            places = [s["lo"], *own["o"].tolist(), s["hi"]]
-            line = list(zip([s["ax"], *own["lon"].tolist(), s["bx"]], [s["ay"], *own["lat"].tolist(), s["by"]], strict=True))
-            kept = simplify(line, tolerance, circle=bool(s["first"]), places=True)
-            out += [(*[s[c] for c in group], places[i], places[j], *line[i], *line[j]) for i, j in zip(kept, kept[1:], strict=False)]
-        return pd.DataFrame(out, columns=names)
+        for s in stretches.to_pylist():
+            points = [(s["lo"], s["ax"], s["ay"]), *sorted(own.get(s["_key"], ())), (s["hi"], s["bx"], s["by"])]
+            kept = simplify([p[1:] for p in points], tolerance, circle=bool(s["first"]), places=True)
+            for a, b in zip(kept, kept[1:], strict=False):
+                ends = zip(names[len(group) :], (points[a][0], points[b][0], *points[a][1:], *points[b][1:]), strict=True)
+                out.append({**{c: s[c] for c in group}, **dict(ends)})
+        return pa.Table.from_pylist(out, schema=pa.schema([stretches.schema.field(c) for c in names]))
 
     short = done.where("n <= 2").select(*names)
     longer = done.where("n > 2")
-    return short.unionByName(longer.groupBy(*group, "lo").cogroup(inner.groupBy(*group, "lo")).applyInPandas(finish, schema))
+    # Most stretches are short, so a task takes many of them together: some ``local`` points.
+    buckets = max(1, -(-(longer.agg(F.sum("n")).first()[0] or 0) // local))
+    dealt = lambda d: spread(d.withColumn("_key", F.to_json(F.struct(*group, "lo"))).withColumn("_b", F.pmod(F.xxhash64(*group, "lo"), F.lit(buckets))), "_b").groupBy("_b")
+    return short.unionByName(dealt(longer).cogroup(dealt(inner)).applyInArrow(finish, schema))
 
 
-def _crossing(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """The new pieces (keys, chain, lo) of which an inner place lies on another piece of the same keys."""
+def _dealt(pieces: DataFrame) -> DataFrame:
+    """The pieces in each cell (cx, cy) that they pass."""
     side = lambda a, b: F.sequence(F.floor(F.least(a, b) / CELL), F.floor(F.greatest(a, b) / CELL))
     dealt = pieces.withColumn("cx", F.explode(side("ax", "bx")))
     slope = (F.col("by") - F.col("ay")) / F.when(F.col("bx") != F.col("ax"), F.col("bx") - F.col("ax"))
     y = lambda x: F.coalesce(F.col("ay") + slope * (F.least(F.greatest(x, F.least("ax", "bx")), F.greatest("ax", "bx")) - F.col("ax")), F.col("ay"))
     y0, y1 = y(F.col("cx") * CELL), F.when(F.col("bx") != F.col("ax"), y((F.col("cx") + 1) * CELL)).otherwise(F.col("by"))
-    dealt = written(dealt.withColumn("cy", F.explode(F.sequence(F.floor(F.least(y0, y1) / CELL - 1e-9), F.floor(F.greatest(y0, y1) / CELL + 1e-9)))))
-    new = dealt.where("fresh")
-    other = dealt.select(*keys, "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("chain", "lo", "ax", "ay", "bx", "by")])
+    return dealt.withColumn("cy", F.explode(F.sequence(F.floor(F.least(y0, y1) / CELL - 1e-9), F.floor(F.greatest(y0, y1) / CELL + 1e-9))))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """Broadcast, if it is of few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df.hint("merge")
+
+
+def _met(new: DataFrame, others: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """The new pieces (keys, chain, lo) that one of the others crosses; ``on`` are columns that both must have alike."""
     turn = lambda p, q, r: (F.col(f"{q}x") - F.col(f"{p}x")) * (F.col(f"{r}y") - F.col(f"{p}y")) - (F.col(f"{q}y") - F.col(f"{p}y")) * (F.col(f"{r}x") - F.col(f"{p}x"))
     cross = (turn("a", "b", "o_a") * turn("a", "b", "o_b") < 0) & (turn("o_a", "o_b", "a") * turn("o_a", "o_b", "b") < 0)
-    met = new.join(other, [*keys, "cx", "cy"]).where((F.col("chain") != F.col("o_chain")) | (F.col("lo") != F.col("o_lo"))).where(cross)
-    return met.select(*keys, "chain", "lo").distinct()
+    met = new.join(others, on).where((F.col("chain") != F.col("o_chain")) | (F.col("lo") != F.col("o_lo"))).where(cross)
+    return written(met.select(*keys, "chain", "lo").distinct())
+
+
+def _crossing(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """The new pieces (keys, chain, lo) of which an inner place lies on another piece of the same keys.
+
+    One crossing is enough, so where lines cross each other often, FIRST pieces of each corridor tell of nearly all new
+    pieces; only those that none of these crosses are held against all pieces, by cells."""
+    one = [*keys, "chain", "lo"]
+    new = written(pieces.where("fresh").select(*one, "ax", "ay", "bx", "by"))
+    other = lambda d, *more: d.select(*keys, *more, *[F.col(c).alias(f"o_{c}") for c in ("chain", "lo", "ax", "ay", "bx", "by")])
+    many = pieces.join(F.broadcast(new.select(*keys).distinct()), keys, "left_semi") if keys and new.select(*keys).distinct().count() <= BROADCAST else pieces
+    sizes = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sample = many.join(sizes, keys) if keys else many.crossJoin(sizes)
+    sample = written(other(sample.where(F.pmod(F.xxhash64("chain", "lo"), F.lit(2**32)) / float(2**32) * F.col("_n") < FIRST)))
+    bad = _met(spread(new, "chain", "lo"), _counted(sample), keys, keys)
+    rest = written(_dealt(new.join(bad, one, "left_anti")))
+    if rest.isEmpty():
+        return bad
+    return bad.unionByName(_met(_counted(rest), other(_dealt(spread(pieces, "chain", "lo")), "cx", "cy"), keys, [*keys, "cx", "cy"]))
 
 
 def kept_apart(points: DataFrame, pieces: DataFrame, keys: list[str]) -> DataFrame:

@@ -111,3 +111,38 @@ def test_a_long_chain_is_no_group(spark):
     want = tiles.simplify([(i / 1000, math.sin(i / 2000)) for i in range(n + 1)], 0.01)
     assert len(pieces) == len(want) - 1 and pieces[0]["ax"] == 0.0 and pieces[-1]["bx"] == n / 1000
     assert all(p["bx"] == q["ax"] for p, q in zip(pieces, pieces[1:]))
+
+
+def rays(n, at=0.0):
+    turn = [math.pi * (i + 0.5) / n for i in range(n)]
+    return [(at - math.cos(t), -math.sin(t), at + math.cos(t), math.sin(t)) for t in turn]
+
+
+PIECE = "route int, chain bigint, lo bigint, hi bigint, ax double, ay double, bx double, by double, fresh boolean"
+
+
+def test_lines_that_cross_often_are_not_held_against_all(spark, monkeypatch):
+    """Where every new piece crosses many others, a few tell, and pieces aren't dealt to cells (too many of them here)."""
+    monkeypatch.setattr(chains, "CELL", 1e-10)
+    pieces = spark.createDataFrame([(0, i, 0, 2, *p, i % 2 == 0) for i, p in enumerate(rays(60))], PIECE)
+    assert sorted(r["chain"] for r in chains._crossing(pieces, ["route"]).collect()) == list(range(0, 60, 2))
+
+
+def test_crossings_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chains, "FIRST", 3)
+    r = random.Random(5)
+    rows = [(k % 3, k, 0, 2, x, y, x + r.uniform(-w, w), y + r.uniform(-w, w), r.random() < 0.6) for k in range(150) for x, y, w in [(r.uniform(0, 3), r.uniform(0, 3), r.choice([0.05, 0.2, 1.0]))]]
+    want = [a[1] for a in rows if a[8] and any(a[0] == b[0] and a[1] != b[1] and crossings([[a[4:6], a[6:8]], [b[4:6], b[6:8]]]) for b in rows)]
+    assert 0 < len(want) < sum(a[8] for a in rows)
+    for limit in (200_000, 0):
+        monkeypatch.setattr(chains, "BROADCAST", limit)
+        assert sorted(x["chain"] for x in chains._crossing(spark.createDataFrame(rows, PIECE), ["route"]).collect()) == want
+
+
+def test_short_stretches_share_a_group(spark, capsys):
+    df = frame(spark, [(0, i, [(3.0 * i, 0.0), (3.0 * i + 1, 0.01), (3.0 * i + 2, 0.0)]) for i in range(50)])
+    pieces = chains.simplified(chains.chain_points(df, chains.chains(df, ["route"]), ["route"]), ["route"], 0.1)
+    assert pieces.count() == 50
+    pieces.explain()
+    groups = [line for line in capsys.readouterr().out.splitlines() if "FlatMapCoGroups" in line]
+    assert groups and not any("chain#" in line.split("]")[0] for line in groups)
