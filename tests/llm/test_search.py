@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from haulspark.llm import ann, topk
+from haulspark.llm import ann, common, topk
 
 ODD = [(900, None), (950, [float("nan")] * 8), (1000, [0.0] * 8), (1050, [1.0, None] + [0.0] * 6), (1100, [1.0] * 3), (None, [1.0] * 8), (1150, [float("inf")] + [0.0] * 7)]
 
@@ -115,3 +116,22 @@ def test_forest_edges(spark, vectors):
     four = [(i, [1.0, 0.5, 0.2]) for i in range(5)] + [(9, [-1.0, 0.5, 0.2])]
     assert [i for i, _ in result(ann.nearest(table(spark, four), k=5))[0]] == [1, 2, 3, 4, 9]  # as many as there are
     assert [i for i, _ in result(ann.nearest(table(spark, [(0, [1e300, 1.0]), (1, [1e-300, 0.0]), (2, [0.0, 3.0])]), k=5))[0]] == [1, 2]
+
+
+def test_copied_queries_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Queries of a few kB are copied to all blocks, which is where the planner takes them for small."""
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERIES", 4)
+    r = np.random.default_rng(6)
+    table(spark, [(i, r.standard_normal(8).tolist()) for i in range(1000)]).write.parquet(str(tmp_path / "v"))
+    found = ann.nearest(spark.read.parquet(str(tmp_path / "v")), k=5)
+    assert len(found.collect()) == 20 * 5
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_block_is_a_task(spark):
+    v = spark.createDataFrame([(i, [float(i)]) for i in range(50)], common.VECTOR)
+    pairs = common.each_with_each(common.packed(v.repartition(9)), common.packed(v.repartition(3)), 9)
+    at = pairs.select("part", "q_part", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["part"], r["q_part"]) for r in at) == [(p, q) for p in range(9) for q in range(3)]
+    assert sorted({(r["task"], r["part"]) for r in at}) == [(p, p) for p in range(9)]
